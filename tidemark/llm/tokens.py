@@ -11,7 +11,7 @@ import os
 import numpy as np
 
 #: Words whose ids a worker keeps; more are encoded each time they come.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 900_000
 
 
 def tokenizer_path(name: str) -> str:
