@@ -1,0 +1,52 @@
+"""Many paths, one project: the ladder from repository address to path ancestor."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from tidemark.functions.scalars import make_id, normalize_remote, path_key
+
+
+def best_probe(probes: DataFrame, local_host: str) -> DataFrame:
+    """One probe per project: the local host's, else the newest, else the least host id."""
+    w = W.partitionBy("project_id").orderBy((F.col("host_id") == local_host).desc(), F.coalesce("detected_at", F.lit(0)).desc(), "host_id")
+    return probes.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+
+
+def exists_anywhere(probes: DataFrame) -> DataFrame:
+    """True if any host has the path, false if a host looked and none has it, null if none looked."""
+    return probes.groupBy("project_id").agg(F.max("path_exists").alias("path_exists"))
+
+
+def longest_ancestor(paths: DataFrame, anchors: DataFrame) -> DataFrame:
+    """paths (project_id, key) with the project_id of their longest strict ancestor among anchors.
+
+    Every path is joined by equality with its own prefixes, so the work grows with the depth of paths, not with pairs of them.
+    """
+    parts = F.split("key", "/")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    ups = paths.where(F.size(parts) > 1).select("project_id", F.explode(prefixes).alias("_up"))
+    a = anchors.select(F.col("project_id").alias("anchor_id"), F.col("key").alias("_up"))
+    found = ups.join(a, "_up").groupBy("project_id").agg(F.max_by("anchor_id", F.length("_up")).alias("anchor_id"))
+    return paths.join(found, "project_id", "left")
+
+
+def ladder(projects: DataFrame) -> DataFrame:
+    """projects (project_id, root_path, git_remote, git_common_dir, group_pinned, group_id) -> project_id, group_id, origin.
+
+    Rungs in order: pinned, remote, common directory, ancestor that has one of these, none.
+    """
+    p = projects.select("*", path_key(F.col("root_path")).alias("key"), normalize_remote(F.col("git_remote")).alias("_remote"))
+    common = p.where("_remote IS NOT NULL AND git_common_dir IS NOT NULL").groupBy("git_common_dir").agg(F.min("_remote").alias("_common_remote"))
+    p = p.join(common, "git_common_dir", "left")
+    remote = F.coalesce("_remote", "_common_remote")
+    origin = F.when(F.col("group_pinned"), "pinned").when(F.col("_remote").isNotNull(), "git_remote").when(F.col("git_common_dir").isNotNull(), "git_common_dir")
+    own = F.when(F.col("group_pinned"), F.col("group_id")).when(remote.isNotNull(), make_id(F.lit("git_remote"), remote)).when(F.col("git_common_dir").isNotNull(), make_id(F.lit("git_common_dir"), F.col("git_common_dir")))
+    first = p.select("project_id", "key", origin.alias("origin"), own.alias("own"))
+    anchors = first.where("own IS NOT NULL AND key NOT IN ('/', '.')")
+    above = longest_ancestor(first.where("origin IS NULL").select("project_id", "key"), anchors.select("project_id", "key"))
+    by_anchor = above.join(anchors.select(F.col("project_id").alias("anchor_id"), F.col("own").alias("_up")), "anchor_id", "left").select(F.col("project_id").alias("_pid"), "_up")
+    out = first.join(by_anchor, F.col("project_id") == F.col("_pid"), "left")
+    return out.select("project_id", F.coalesce("own", "_up").alias("group_id"), F.coalesce("origin", F.when(F.col("_up").isNotNull(), "path_ancestor"), F.lit("none")).alias("origin"))
