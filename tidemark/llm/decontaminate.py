@@ -1,11 +1,12 @@
 """Benchmark decontamination by spaced seeds.
 
-A seed is a fixed mask over SPAN word positions; the positions it does not select are ignored, so two passages
-that differ only there still share the seed's hash. All windows of the documents are hashed under all masks; a
+A seed is a fixed mask over word positions; the positions it does not select are ignored, so two passages
+that differ only there still share the seed's hash. Of 13 words that agree in 11, whichever they are, one of the three masks finds a place
+(tests/llm tries all); items shorter than 13 words have masks of their length that leave out every choice of blocks. All windows of the documents are hashed under all masks; a
 bitmap of fixed size over the benchmark's hashes passes few of them on, and an exact join with the benchmark's
 hashes gives hits: document, item, and the offset between them. Around each hit the words are compared position by position along
 that offset; the item counts as leaked where WINDOW consecutive words (the whole item if shorter) agree in at
-least 0.8 of the positions. A benchmark item shorter than SPAN is looked up by all its words.
+least 0.8 of the positions.
 
 Defined results: null and empty texts, and items without words, match nothing; rows without doc_id or item_id are left out;
 rows that repeat a doc_id or an item_id count as one if they are the same, else all of them count; empty tables give no rows.
@@ -13,10 +14,10 @@ rows that repeat a doc_id or an item_id count as one if they are the same, else
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,8 +26,7 @@ from tidemark.llm.common import id_text, partitions, read, staged
 from tidemark.llm.words import mix, odd_numbers, word_hashes
 
 #: The masks; 1 selects a position.
-MASKS = ("111101011", "110110110001", "101001101100101", "1100100011010011")
-SPAN = max(map(len, MASKS))
+MASKS = ("11101111", "1111010011", "100100110111")
 WINDOW, SHARE = 13, 0.8
 #: Bits of the bitmap over the benchmark's hashes, whatever the benchmark's size.
 BITS = 1 << 23
@@ -34,7 +34,7 @@ BITS = 1 << 23
 
 def _seeds(words: np.ndarray, masks: list[tuple[int, tuple[int, ...]]]) -> Iterator[tuple[int, np.ndarray]]:
     """(mask number, hash of each window under it)."""
-    factors = odd_numbers(4 * SPAN, 41)
+    factors = odd_numbers(64, 41)
     with np.errstate(over="ignore"):
         for number, at in masks:
             n = len(words) - at[-1]
@@ -45,10 +45,17 @@ def _seeds(words: np.ndarray, masks: list[tuple[int, tuple[int, ...]]]) -> Itera
                 yield number, mix(total)
 
 
+def short_masks(n: int) -> list[tuple[int, ...]]:
+    """Masks for items of n < WINDOW words, of which m may differ: n in m + 2 blocks, without any m of them."""
+    m = int(n * (1 - SHARE) + 1e-9)
+    blocks = np.array_split(np.arange(n), m + 2) if m else [np.arange(n)]
+    return [tuple(np.concatenate(own).tolist()) for own in itertools.combinations(blocks, len(blocks) - m)]
+
+
 def _masks(short: list[int]) -> list[tuple[int, tuple[int, ...]]]:
-    """The spaced masks, then one of all positions for each length of a short item (numbered from 100)."""
+    """The spaced masks, then those of each length of a short item (numbered from 100 times the length)."""
     spaced = [(i, tuple(j for j, c in enumerate(m) if c == "1")) for i, m in enumerate(MASKS)]
-    return spaced + [(100 + n, tuple(range(n))) for n in short]
+    return spaced + [(100 * n + k, at) for n in short for k, at in enumerate(short_masks(n))]
 
 
 def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,7 +63,7 @@ def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, seeds, places = [], [], []
         for item, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()).to_pylist()):
             words = word_hashes(text)
-            for _, hashes in _seeds(words, _masks([len(words)] if len(words) < SPAN else [])):
+            for _, hashes in _seeds(words, _masks([len(words)] if 0 < len(words) < WINDOW else [])):
                 items += [item] * len(hashes)
                 places += range(len(hashes))
                 seeds.append(hashes.view(np.int64))
@@ -76,7 +83,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: fl
     bench = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).distinct()
     seeds = staged(bench.mapInArrow(_item_seeds, "item_id long, item_at int, seed long"), "item-seeds")
     lengths = F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
-    short = sorted(r.n for r in bench.select(lengths.alias("n")).distinct().where(f"n > 0 AND n < {SPAN}").collect())  # fewer than SPAN rows
+    short = sorted(r.n for r in bench.select(lengths.alias("n")).distinct().where(f"n > 0 AND n < {WINDOW}").collect())  # fewer than WINDOW rows
     bits = np.zeros(BITS // 8, np.uint8)
     for r in seeds.select("seed").coalesce(4).mapInArrow(_bitmap, "bits binary").collect():  # at most 4 bitmaps
         bits |= np.frombuffer(r.bits, np.uint8)
