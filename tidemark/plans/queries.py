@@ -26,11 +26,13 @@ ORACLE_SQL: dict[str, str] = {}
 DAY = 86_400_000
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None, day: str | None = None):
+    """Register a query and its SQL; day: a date column, given as text on both sides."""
+
     def add(f):
-        QUERIES[f.__name__] = f
+        QUERIES[f.__name__] = (lambda spark, d: f(spark, d).withColumn(day, F.col(day).cast("string"))) if day else f
         if sql:
-            ORACLE_SQL[f.__name__] = sql
+            ORACLE_SQL[f.__name__] = f"SELECT * REPLACE (CAST({day} AS VARCHAR) AS {day}) FROM ({sql})" if day else sql
         return f
 
     return add
@@ -158,28 +160,28 @@ pc AS (SELECT *, CAST(make_timestamp(dn * {DAY} * 1000) AS DATE) AS day FROM pie
 _DAILY = f"{_DAYS}, {SWEEP('pc', 'day')}, act AS (SELECT day, {_I('sum(ended_at - started_at)')} AS active_ms FROM pc GROUP BY day), wal AS (SELECT day, {_I('coalesce(sum(ms) FILTER (WHERE level > 0), 0)')} AS wall_ms FROM lev GROUP BY day), dly AS (SELECT * FROM act JOIN wal USING (day))"
 
 
-@query(w(SPANS, f", {_DAILY} SELECT day, active_ms FROM act"))
+@query(w(SPANS, f", {_DAILY} SELECT day, active_ms FROM act"), day="day")
 def daily_active(spark, d):
     pieces = I.split(act_span(spark, d), "DAY")
     return pieces.groupBy(F.to_date("bucket").alias("day")).agg(F.sum(F.col("piece_end") - F.col("piece_start")).alias("active_ms"))
 
 
-@query(w(SPANS, f", {_DAILY} SELECT * FROM dly"))
+@query(w(SPANS, f", {_DAILY} SELECT * FROM dly"), day="day")
 def daily_wall(spark, d):
     return I.daily(act_span(spark, d))
 
 
-@query(w(SPANS, f", {_DAYS} SELECT day, source, {_I('sum(ended_at - started_at)')} AS active_ms FROM pc GROUP BY ALL"))
+@query(w(SPANS, f", {_DAYS} SELECT day, source, {_I('sum(ended_at - started_at)')} AS active_ms FROM pc GROUP BY ALL"), day="day")
 def daily_by_source(spark, d):
     return I.split(act_span(spark, d), "DAY").groupBy(F.to_date("bucket").alias("day"), "source").agg(F.sum(F.col("piece_end") - F.col("piece_start")).alias("active_ms"))
 
 
-@query(w(SPANS, f", {_DAILY}, sub AS (SELECT * FROM dly WHERE active_ms % 3 <> 0) SELECT CAST(c.day AS DATE) AS day, coalesce(active_ms, 0) AS active_ms, coalesce(wall_ms, 0) AS wall_ms FROM (SELECT unnest(generate_series((SELECT min(day) FROM sub), (SELECT max(day) FROM sub), INTERVAL 1 DAY)) AS day) c LEFT JOIN sub ON sub.day = CAST(c.day AS DATE)"))
+@query(w(SPANS, f", {_DAILY}, sub AS (SELECT * FROM dly WHERE active_ms % 3 <> 0) SELECT CAST(c.day AS DATE) AS day, coalesce(active_ms, 0) AS active_ms, coalesce(wall_ms, 0) AS wall_ms FROM (SELECT unnest(generate_series((SELECT min(day) FROM sub), (SELECT max(day) FROM sub), INTERVAL 1 DAY)) AS day) c LEFT JOIN sub ON sub.day = CAST(c.day AS DATE)"), day="day")
 def daily_gapfill(spark, d):
     return I.fill_days(I.daily(act_span(spark, d)).where("active_ms % 3 <> 0"), active_ms=F.lit(0), wall_ms=F.lit(0))
 
 
-@query(w(SPANS, f", {_DAILY} SELECT CAST(date_trunc('week', day) AS DATE) AS week, {_I('sum(active_ms)')} AS active_ms, {_I('sum(wall_ms)')} AS wall_ms, greatest(0, {_I('sum(active_ms)')} - {_I('sum(wall_ms)')}) AS surplus_ms FROM dly GROUP BY 1"))
+@query(w(SPANS, f", {_DAILY} SELECT CAST(date_trunc('week', day) AS DATE) AS week, {_I('sum(active_ms)')} AS active_ms, {_I('sum(wall_ms)')} AS wall_ms, greatest(0, {_I('sum(active_ms)')} - {_I('sum(wall_ms)')}) AS surplus_ms FROM dly GROUP BY 1"), day="week")
 def weekly_surplus(spark, d):
     return I.weekly(I.daily(act_span(spark, d)))
 
@@ -341,7 +343,7 @@ def _cost_by(key, expr=None):
 for _key, _sql, _expr in (("model", "model", None), ("source", "source", None), ("day", "CAST(make_timestamp(ts * 1000) AS DATE)", lambda: F.to_date(F.timestamp_millis("ts")))):
     _f = _cost_by(_key, _expr)
     _f.__name__ = "cost_daily" if _key == "day" else f"cost_by_{_key}"
-    query(w(COST, f"SELECT {_sql} AS {_key}, {_I('sum(total)')} AS total_nano, count(*) AS events FROM ledger GROUP BY 1"))(_f)
+    query(w(COST, f"SELECT {_sql} AS {_key}, {_I('sum(total)')} AS total_nano, count(*) AS events FROM ledger GROUP BY 1"), day="day" if _key == "day" else None)(_f)
 
 
 @query(w(COST, f"SELECT source, {_I('sum(t4)')} AS tokens, count(*) AS events FROM priced WHERE assumed GROUP BY source"))
