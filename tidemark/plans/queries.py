@@ -81,7 +81,7 @@ def session_rollup(spark, d):
     return A.active_ms(A.bounds(act_event(spark, d), "session_id"), act_span(spark, d), "session_id")
 
 
-_TOTALS = f"count(*) AS spans, count(DISTINCT session_id) AS sessions, count(DISTINCT thread_id) AS threads, {_I('sum(event_count)')} AS events, {_I('sum(ms)')} AS active_ms"
+_TOTALS = f"count(*) AS spans, count(DISTINCT session_id) AS sessions, count(DISTINCT thread_id) AS threads, {_I("coalesce(sum(event_count), 0)")} AS events, {_I("coalesce(sum(ms), 0)")} AS active_ms"
 
 
 @query(w(SPANS, f"SELECT {_TOTALS} FROM span"))
