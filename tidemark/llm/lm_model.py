@@ -102,31 +102,34 @@ def score(m: dict[str, np.ndarray], bigram: np.ndarray, flat: np.ndarray, length
     return out
 
 
-def train(flat: np.ndarray, lengths: np.ndarray, bigram: np.ndarray, epochs: int = 2, batch: int = 32, rate: float = 4e-3, seed: int = 3) -> dict[str, np.ndarray]:
-    """Adam on the mean cross-entropy of the scored inputs; the bigram table stays as it was counted."""
-    m, rng = init(seed), np.random.default_rng(seed)
+def train(flat: np.ndarray, lengths: np.ndarray, bigram: np.ndarray, epochs: int = 2, batch: int = 32, rate: float = 4e-3, seed: int = 3, state: dict | None = None) -> dict[str, np.ndarray]:
+    """Adam on the mean cross-entropy of the scored inputs; the bigram table stays as it was counted. With a state (see begin) its
+    weights are trained further at a constant rate, so that texts can come in pieces; else from init() at a falling rate."""
+    held = begin(init(seed)) if state is None else state
+    m, s1, s2, rng = held["m"], held["s1"], held["s2"], np.random.default_rng(seed)
     if not len(lengths):
         return m
     first, context, scored = windows(lengths)
     shift = np.repeat(np.arange(len(lengths)), -(-lengths // STRIDE))
-    s1, s2 = ({k: np.zeros_like(v) for k, v in m.items()} for _ in range(2))
     slots, scale = np.arange(STRIDE), np.float32(DIM**-0.5)
-    steps, t = epochs * -(-len(first) // batch), 0
+    steps = epochs * -(-len(first) // batch)
     for _ in range(epochs):
         order = rng.permutation(len(first))
         for i in range(0, len(order), batch):
-            w, t = order[i : i + batch], t + 1
+            w = order[i : i + batch]
+            held["t"] = t = held["t"] + 1
             inputs = _gather(flat, first[w] + shift[w])
             x, q, k, v, a, h = forward(m, inputs, context[w])
             live = slots[None] < scored[w][:, None]
             there = (first[w][:, None] + shift[w][:, None] + slots[None])[live]
-            logits = h[live] @ m["U"] + bigram[flat[there]]
-            logits -= logits.max(1, keepdims=True)
-            p = np.exp(logits)
-            p /= p.sum(1, keepdims=True)
-            p[np.arange(len(p)), flat[there + 1]] -= 1
-            p /= len(p)
-            g = {"U": h[live].T @ p}
+            own_h = h[live]
+            p = own_h @ m["U"]
+            p += bigram[flat[there]]
+            p -= p.max(1, keepdims=True)
+            np.exp(p, out=p)
+            p *= 1 / ((p @ _ONES) * np.float32(len(p)))[:, None]
+            p[np.arange(len(p)), flat[there + 1]] -= np.float32(1 / len(p))
+            g = {"U": own_h.T @ p}
             dh = np.zeros_like(h)
             dh[live] = p @ m["U"].T
             dh *= 1 - h * h
@@ -139,11 +142,16 @@ def train(flat: np.ndarray, lengths: np.ndarray, bigram: np.ndarray, epochs: int
             dx[:, WINDOW - STRIDE :] += dq @ m["Q"].T + dh
             g["Q"], g["K"], g["V"] = (y.reshape(-1, DIM).T @ dy.reshape(-1, DIM) for y, dy in ((own, dq), (x, dk), (x, dv)))
             g["P"] = dx.sum(0)
-            g["E"] = np.zeros_like(m["E"])
-            np.add.at(g["E"], inputs.ravel(), dx.reshape(-1, DIM))
-            step = rate * min(1.0, t / 50) * max(0.05, 1 - t / steps)
+            at = inputs.ravel()[:, None].astype(np.int64) * DIM + np.arange(DIM)
+            g["E"] = np.bincount(at.ravel(), dx.ravel(), CLASSES * DIM).reshape(CLASSES, DIM).astype(np.float32)
+            step = rate * min(1.0, t / 50) * (max(0.05, 1 - t / steps) if state is None else 1.0)
             for name, grad in g.items():
                 s1[name] += 0.1 * (grad - s1[name])
                 s2[name] += 0.01 * (grad * grad - s2[name])
                 m[name] -= np.float32(step / (1 - 0.9**t)) * s1[name] / (np.sqrt(s2[name] / np.float32(1 - 0.99**t)) + np.float32(1e-8))
     return m
+
+
+def begin(m: dict[str, np.ndarray]) -> dict:
+    """State of train() at the weights m, which are copied: weights, Adam's two means, steps done."""
+    return {"m": {k: v.copy() for k, v in m.items()}, "s1": {k: np.zeros_like(v) for k, v in m.items()}, "s2": {k: np.zeros_like(v) for k, v in m.items()}, "t": 0}

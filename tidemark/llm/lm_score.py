@@ -4,8 +4,10 @@ A text is its words (A-Z lower-cased) and one end. The attention model spells ev
 tokenizer; long texts are cut into windows that overlap by their context, and each id is scored once, in batches under a mask.
 A word's probability is SHARE * c / N + (1 - SHARE) * p(its ids | context), c being its count among the N tokens of the training fold.
 
-All training texts are counted: words, ids and pairs of id classes. The attention weights alone are fitted on a bounded sample,
-SAMPLE training texts of least id hash. The most frequent TOP words' counts (a fixed number) are broadcast; other words travel as
+All training texts are counted: words, ids and pairs of id classes; the classes come from the counts of all ids. The attention
+weights are trained on all training texts, each once: texts are dealt to ROUNDS rounds by their id's hash; in a round each task runs
+Adam over its own texts from the same weights, and the next round starts from the mean of the tasks' weights, each counting by its
+ids. So the weights depend a little on how the input is cut into tasks. The most frequent TOP words' counts (a fixed number) are broadcast; other words travel as
 64-bit hashes to a join with the counts, so the table of counts is never held in one place and no hot word is shuffled.
 
 Defined results: a null or empty text is the end alone; rows that repeat a doc_id are scored and counted each; a row without doc_id
@@ -29,7 +31,9 @@ from tidemark.llm.quality import fold
 from tidemark.llm.tokens import tokenizer_path
 from tidemark.llm.words import word_hashes
 
-SHARE, SAMPLE, TOP = 0.35, 1000, 1 << 17
+SHARE, ROUNDS, TOP = 0.35, 4, 1 << 17
+#: Windows in a training step, Adam's rate in the first round (it falls with the rounds), ids trained on together.
+BATCH, RATE, TRAINED = 64, 4e-3, 400_000
 KEPT_WORDS = 400_000
 #: Word hashes counted together; ids scored together.
 COUNTED, SCORED = 6_000_000, 200_000
@@ -77,76 +81,120 @@ def _texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return batch.column(batch.schema.get_field_index(name)).cast(pa.large_binary()).to_pylist()
 
 
-def _counter(path: str, of: np.ndarray):
-    """Counts of words (kind 0), ids (1) and pairs of classes (2), summed inside the task."""
+def _counts(kind: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["kind", "key", "n"])
 
-    def rows(kind: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["kind", "key", "n"])
+
+def _word_counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of words (kind 0), summed inside the task."""
+    held, size = [], 0
+    for batch in batches:
+        for text in _texts(batch):
+            words = word_hashes(text)
+            held += [words, np.array([END_WORD])]
+            size += len(words) + 1
+            if size >= COUNTED:
+                yield _counts(0, *np.unique(np.concatenate(held), return_counts=True))
+                held, size = [], 0
+    if held:
+        yield _counts(0, *np.unique(np.concatenate(held), return_counts=True))
+
+
+def _speller(path: str):
+    """The round and the ids (with an end before and after) of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _ids(path)
+        for batch in batches:
+            ids = [_spelled(table, t)[0].astype("<u4").tobytes() for t in _texts(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["round", "ids"])
+
+    return run
+
+
+def _laid(ids: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of texts end to end, number of ids of each text)."""
+    return np.frombuffer(b"".join(ids), "<u4").astype(np.int64), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+
+
+def _id_counter(size: int, of: np.ndarray | None = None):
+    """Counts of ids (kind 1) or, with the classes, of pairs of classes (2), summed inside the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, held, size = _ids(path), [], 0
-        ids_seen, pairs = np.zeros(table.size, np.int64), np.zeros(lm_model.CLASSES**2, np.int64)
+        seen = np.zeros(size if of is None else lm_model.CLASSES**2, np.int64)
         for batch in batches:
-            for text in _texts(batch):
-                words = word_hashes(text)
-                held += [words, np.array([END_WORD])]
-                size += len(words) + 1
-                ids, _ = _spelled(table, text)
-                np.add.at(ids_seen, ids[1:], 1)
-                c = of[ids].astype(np.int64)
-                np.add.at(pairs, c[:-1] * lm_model.CLASSES + c[1:], 1)
-                if size >= COUNTED:
-                    yield rows(0, *np.unique(np.concatenate(held), return_counts=True))
-                    held, size = [], 0
+            flat, n = _laid(batch.column(0).to_pylist())
+            starts = np.cumsum(n) - n
+            if of is None:
+                seen += np.bincount(np.delete(flat, starts), minlength=len(seen))
+            else:
+                c = of[flat].astype(np.int64)
+                seen += np.bincount(np.delete(c[:-1] * lm_model.CLASSES + c[1:], starts[1:] - 1), minlength=len(seen))
+        at = np.flatnonzero(seen)
+        yield _counts(1 if of is None else 2, at, seen[at])
+
+    return run
+
+
+def _learner(m: dict[str, np.ndarray], of: np.ndarray, bigram: np.ndarray, rate: float):
+    """Trains m on the task's texts, all of them: each weight's place and value times the ids trained on, and their number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, total, held, size = lm_model.begin(m), 0, [], 0
+
+        def learn() -> None:
+            flat, n = _laid(held)
+            lm_model.train(of[flat].astype(np.int64), n - 1, bigram, epochs=1, batch=BATCH, rate=rate, state=state)
+
+        for batch in batches:
+            for ids in batch.column(0).to_pylist():
+                held.append(ids)
+                size += len(ids) // 4 - 1
+                if size >= TRAINED:
+                    learn()
+                    total, held, size = total + size, [], 0
         if held:
-            yield rows(0, *np.unique(np.concatenate(held), return_counts=True))
-        for kind, seen in ((1, ids_seen), (2, pairs)):
-            at = np.flatnonzero(seen)
-            yield rows(kind, at, seen[at])
+            learn()
+            total += size
+        if total:
+            flat = np.concatenate([state["m"][k].ravel() for k in m]).astype(np.float64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat * total), pa.array(np.full(len(flat), total))], ["at", "w", "n"])
 
     return run
 
 
+def _learned(spelled: DataFrame, of: np.ndarray, bigram: np.ndarray) -> dict[str, np.ndarray]:
+    """The attention weights after ROUNDS rounds over all spelled texts."""
+    m = lm_model.init()
+    for k in range(ROUNDS):
+        each = spelled.where(F.col("round") == k).select("ids").mapInArrow(_learner(m, of, bigram, RATE * (1 - (k + 0.5) / ROUNDS)), "at long, w double, n long")
+        mean = staged(each.groupBy("at").agg((F.sum("w") / F.sum("n")).alias("w")), "lm-model").toPandas()  # one row for each weight
+        if len(mean):
+            flat = mean.sort_values("at").w.to_numpy(np.float32)
+            cuts = np.cumsum([w.size for w in m.values()])[:-1]
+            m = {name: x.reshape(w.shape) for (name, w), x in zip(m.items(), np.split(flat, cuts))}
+    return m
+
+
 def score_texts(docs: DataFrame, tokenizer: str, share: float = SHARE) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of docs."""
     spark = docs.sparkSession
     rows = id_text(docs).withColumn("held_out", fold(F.col("doc_id"), 7) == 2)
     training = rows.where("NOT held_out")
-    chosen = training.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    sample = staged(training.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text"), "lm-sample").repartition(1).sortWithinPartitions("doc_id")
-
-    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _ids(tokenizer)
-        seen = np.zeros(table.size, np.int64)
-        for batch in batches:
-            for text in _texts(batch):
-                seen += np.bincount(_spelled(table, text)[0][1:], minlength=table.size)
-        yield pa.RecordBatch.from_pydict({"of": pa.array([lm_model.classes(seen)[0].tobytes()], pa.binary())})
-
-    seen = sample.mapInArrow(grouped, "of binary").first()  # one number for each id; no row without training texts
-    of = np.frombuffer(seen.of, np.int16) if seen else lm_model.classes(np.zeros(_ids(tokenizer).size, np.int64))[0]
-    counts = staged(training.select("text").mapInArrow(_counter(tokenizer, of), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "lm-counts")
-    words = counts.where("kind = 0").select(F.col("key").alias("word"), "n")
+    size = _ids(tokenizer).size
+    spelled = staged(training.select(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)).cast("int").alias("round"), "text").mapInArrow(_speller(tokenizer), "round int, ids binary"), "lm-ids")
+    words = staged(training.select("text").mapInArrow(_word_counter, "kind int, key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "lm-counts").withColumnRenamed("key", "word")
     total, distinct = (x or 0 for x in words.agg(F.sum("n"), F.count("*")).first())
-    small = counts.where("kind > 0").toPandas()  # at most one row for each id and pair of classes
-    ids_seen, pairs = np.zeros(len(of)), np.zeros(lm_model.CLASSES**2)
-    for array, kind in ((ids_seen, 1), (pairs, 2)):
-        own = small[small.kind == kind]
-        array[own.key.to_numpy()] = own.n.to_numpy()
-    smooth = ids_seen + 0.5
-    inside = np.log(smooth / np.bincount(of, smooth, lm_model.CLASSES)[of]).astype(np.float32)
-    bigram = lm_model.bigram_logs(pairs.reshape(lm_model.CLASSES, -1))
-
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _ids(tokenizer)
-        texts = [of[_spelled(table, t)[0]] for b in batches for t in _texts(b)]
-        flat, lengths = np.concatenate(texts) if texts else np.zeros(0, np.int16), np.array([len(t) - 1 for t in texts], np.int64)
-        m = lm_model.train(flat, lengths, bigram, epochs=1)
-        yield pa.RecordBatch.from_pydict({"name": list(m), "weights": pa.array([w.tobytes() for w in m.values()], pa.binary())})
-
-    learned = staged(sample.mapInArrow(learn, "name string, weights binary"), "lm-model").collect()
-    shapes = lm_model.init()
-    model = {r.name: np.frombuffer(r.weights, np.float32).reshape(shapes[r.name].shape) for r in learned} or shapes
+
+    def counted(n: int, of: np.ndarray | None = None) -> np.ndarray:
+        rows = spelled.select("ids").mapInArrow(_id_counter(size, of), "kind int, key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas()  # at most n rows
+        out = np.zeros(n)
+        out[rows.key.to_numpy(np.int64)] = rows.n.to_numpy()
+        return out
+
+    of, inside = lm_model.classes(counted(size))
+    bigram = lm_model.bigram_logs(counted(lm_model.CLASSES**2, of).reshape(lm_model.CLASSES, -1))
+    model = _learned(spelled, of, bigram)
     top = words.orderBy(F.desc("n"), "word").limit(TOP).toPandas()
     order = np.argsort(top.word.to_numpy().view(np.uint64))
     held = spark.sparkContext.broadcast((model, bigram, of, inside, top.word.to_numpy().view(np.uint64)[order], top.n.to_numpy(np.float64)[order]))
