@@ -43,3 +43,43 @@ def test_rounds_average_and_learn(spark):
     flat, lengths = texts[0].astype(np.int64), np.array([len(texts[0]) - 1])
     m = lm_score._learned(spelled, of, bigram)
     assert lm_model.score(m, bigram, flat, lengths).mean() > lm_model.score(lm_model.init(), bigram, flat, lengths).mean() + 1
+
+
+def test_starts_are_the_first_ids_of_words():
+    table = lm_score._ids(PATH)
+    own = table.starts()
+    words = "amber don't 漢字  x naïve 12a34 <|endoftext|> _x_ ... é　y zzxqj".split(" ")
+    for w in words:
+        ids = np.frombuffer(table[w.encode()], "<u4")
+        assert own[ids[0]] and not own[ids[1:]].any() and table.size - 1 not in ids
+
+
+def test_words_and_end_share_at_most_one():
+    rng = np.random.default_rng(1)
+    m = {k: (w + rng.standard_normal(w.shape) * 0.3).astype(np.float32) for k, w in lm_model.init().items()}
+    size, end, starts, counts = 7, 6, np.array([1, 1, 1, 0, 0, 0, 1], bool), np.array([9.0, 5, 3, 8, 4, 2, 6])
+    of, inside = lm_model.classes(np.append(counts, np.zeros(lm_model.CLASSES)))
+    # no class but those of the seven ids: the pairs leave the others nothing
+    bigram = np.full((lm_model.CLASSES, lm_model.CLASSES), -80, np.float32)
+    own = of[:size]
+    bigram[np.ix_(own, own)] = rng.standard_normal((size, size)) * 2
+    share = np.bincount(of, np.exp(inside.astype(float)) * np.append(starts, np.zeros(lm_model.CLASSES)), lm_model.CLASSES)
+    # every word of up to four ids whose first id alone starts a word: all but a rest of long words
+    vocabulary, frontier = [], [[i] for i in np.flatnonzero(starts[:end])]
+    for _ in range(4):
+        vocabulary += frontier
+        frontier = [w + [i] for w in frontier for i in np.flatnonzero(~starts)]
+
+    def spelled(words):
+        return np.array([end, *(i for w in words for i in w), end]), np.array([*map(len, words), 1])
+
+    for before in ([], [[0, 3]], [[1], [2, 4, 3]]):
+        texts = [spelled([*before, w]) for w in vocabulary] + [spelled(before)]
+        logs = lm_score._word_logs(m, bigram, of, inside, share, texts)
+        at = np.cumsum([len(n) for _, n in texts])
+        last = np.append(at[:-1] - 2, at[-1] - 1)  # the word after `before`, or the end
+        total = np.exp(logs[last].astype(float)).sum()
+        rest = sum(np.exp(lm_score._word_logs(m, bigram, of, inside, share, [spelled([*before, w])])[len(before)].astype(float)) for w in frontier)
+        assert 0.3 < total <= 1.0001 and total + rest <= 1.0001
+        free = lm_score._word_logs(m, bigram, of, inside, np.ones_like(share), texts)  # without the words' ends
+        assert np.exp(free[last].astype(float)).sum() != total

@@ -79,13 +79,15 @@ def _gather(flat: np.ndarray, first: np.ndarray) -> np.ndarray:
     return flat[np.clip(at, 0, len(flat) - 1)]
 
 
-def score(m: dict[str, np.ndarray], bigram: np.ndarray, flat: np.ndarray, lengths: np.ndarray, batch: int = 64) -> np.ndarray:
-    """ln p(class) of every target. flat: classes of texts end to end, each with one begin class before it; lengths: inputs of each text,
+def score(m: dict[str, np.ndarray], bigram: np.ndarray, flat: np.ndarray, lengths: np.ndarray, batch: int = 64, share: np.ndarray | None = None) -> np.ndarray | tuple[np.ndarray, np.ndarray]:
+    """ln p(class) of every target; with a share for each class also ln of its mean under the next class's distribution, at every input. flat: classes of texts end to end, each with one begin class before it; lengths: inputs of each text,
     one less than its classes. Returns one value for each input, text after text."""
     first, context, scored = windows(lengths)
     shift = np.repeat(np.arange(len(lengths)), -(-lengths // STRIDE))  # flat has one more class for each earlier text
     order = np.argsort(context < WINDOW - STRIDE, kind="stable")
     out = np.empty(int(lengths.sum()), np.float32)
+    shared = np.empty_like(out)
+    sums = np.stack([_ONES, _ONES if share is None else share.astype(np.float32)], 1)
     slots = np.arange(STRIDE)
     for i in range(0, len(order), batch):
         w = order[i : i + batch]
@@ -98,8 +100,10 @@ def score(m: dict[str, np.ndarray], bigram: np.ndarray, flat: np.ndarray, length
         logits += bigram[flat[there]]
         target = logits[np.arange(len(at)), flat[there + 1]]
         np.exp(logits, out=logits)
-        out[at] = target - np.log(logits @ _ONES)
-    return out
+        total, part = (logits @ sums).T
+        out[at] = target - np.log(total)
+        shared[at] = np.log(np.maximum(part, np.float32(1e-30)) / total)
+    return out if share is None else (out, shared)
 
 
 def train(flat: np.ndarray, lengths: np.ndarray, bigram: np.ndarray, epochs: int = 2, batch: int = 32, rate: float = 4e-3, seed: int = 3, state: dict | None = None) -> dict[str, np.ndarray]:

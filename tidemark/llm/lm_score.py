@@ -3,6 +3,8 @@
 A text is its words (A-Z lower-cased) and one end. The attention model spells every word in ids of the byte-level
 tokenizer; long texts are cut into windows that overlap by their context, and each id is scored once, in batches under a mask.
 A word's probability is SHARE * c / N + (1 - SHARE) * p(its ids | context), c being its count among the N tokens of the training fold.
+p(its ids | context) is that of a whole word: the first id's among the ids that start a word or end the text (one of them comes, as the
+word before has ended), the others', and that after the last id a word starts or the text ends. So the words and the end share at most 1.
 
 All training texts are counted: words, ids and pairs of id classes; the classes come from the counts of all ids. The attention
 weights are trained on all training texts, each once: texts are dealt to ROUNDS rounds by their id's hash; in a round each task runs
@@ -58,6 +60,15 @@ class _Ids(dict):
         return ids
 
 
+    def starts(self) -> np.ndarray:
+        """Of each id, whether a word or the end begins with it: words are spelled after a space, and no other id of a word holds one."""
+        own = np.zeros(self.size, bool)
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
+            own[i] = token.startswith("\u0120")
+        own[self.size - 1] = True
+        return own
+
+
 _IDS: dict[str, _Ids] = {}
 
 
@@ -176,6 +187,18 @@ def _learned(spelled: DataFrame, of: np.ndarray, bigram: np.ndarray) -> dict[str
     return m
 
 
+def _word_logs(model: dict[str, np.ndarray], bigram: np.ndarray, of: np.ndarray, inside: np.ndarray, share: np.ndarray, spelled: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """ln p(word | context) of every word and end of the spelled texts; share: of each class, how much of it starts a word or is the end."""
+    flat = np.concatenate([s for s, _ in spelled])
+    logs, ends = lm_model.score(model, bigram, of[flat].astype(np.int64), np.array([len(s) - 1 for s, _ in spelled]), share=share)
+    logs += inside[np.concatenate([s[1:] for s, _ in spelled])]
+    each = np.concatenate([n for _, n in spelled])
+    first = np.cumsum(each) - each
+    after = np.append(ends[first][1:], np.float32(0))
+    after[np.cumsum([len(n) for _, n in spelled]) - 1] = 0  # nothing follows an end
+    return np.add.reduceat(logs, first) - ends[first] + after
+
+
 def score_texts(docs: DataFrame, tokenizer: str, share: float = SHARE) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of docs."""
     spark = docs.sparkSession
@@ -193,28 +216,24 @@ def score_texts(docs: DataFrame, tokenizer: str, share: float = SHARE) -> DataFr
         return out
 
     of, inside = lm_model.classes(counted(size))
+    share_of = np.bincount(of, np.exp(inside.astype(float)) * _ids(tokenizer).starts(), lm_model.CLASSES)
     bigram = lm_model.bigram_logs(counted(lm_model.CLASSES**2, of).reshape(lm_model.CLASSES, -1))
     model = _learned(spelled, of, bigram)
     top = words.orderBy(F.desc("n"), "word").limit(TOP).toPandas()
     order = np.argsort(top.word.to_numpy().view(np.uint64))
-    held = spark.sparkContext.broadcast((model, bigram, of, inside, top.word.to_numpy().view(np.uint64)[order], top.n.to_numpy(np.float64)[order]))
+    held = spark.sparkContext.broadcast((model, bigram, of, inside, share_of, top.word.to_numpy().view(np.uint64)[order], top.n.to_numpy(np.float64)[order]))
     base_of = math.log10(total + distinct + 1)
     kinds = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, words array<long>, logs array<float>"
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, bigram, of, inside, top_words, top_counts = held.value
+        model, bigram, of, inside, share_of, top_words, top_counts = held.value
         table, row = _ids(tokenizer), TaskContext.get().partitionId() << 40
         if not len(top_words):
             top_words, top_counts = np.zeros(1, np.uint64), np.zeros(1)
 
         def part(ids: list, outs: list, hashes: list[np.ndarray], spelled: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
             nonlocal row
-            flat = np.concatenate([s for s, _ in spelled])
-            lengths = np.array([len(s) - 1 for s, _ in spelled])
-            logs = lm_model.score(model, bigram, of[flat].astype(np.int64), lengths)
-            logs += inside[np.concatenate([s[1:] for s, _ in spelled])]
-            each = np.concatenate([n for _, n in spelled])
-            logs = np.add.reduceat(logs, np.cumsum(each) - each)
+            logs = _word_logs(model, bigram, of, inside, share_of, spelled)
             all_words = np.concatenate(hashes)
             at = np.minimum(np.searchsorted(top_words, all_words), len(top_words) - 1)
             c = np.where(top_words[at] == all_words, top_counts[at], 0.0)
