@@ -1,6 +1,7 @@
 """MinHash near-dedup with odd sketches.
 
-A document's set is its distinct word shingles. Documents of equal sets are one class. A class has HASHES MinHash
+A document's set is its distinct word shingles. Documents of equal sets are one class, whose key comes from the set's digest, so
+two texts under one doc_id are compared each on its own set. A class has HASHES MinHash
 samples: the first BANDS * ROWS form the bands, and all are folded into an odd sketch, a bitmap in which every sample flips one bit, so the
 XOR of two sketches counts the samples that differ. Classes that share a band are candidates; a pair whose sketches put
 its similarity surely below the bound is dropped, the others are confirmed on their full sets.
@@ -100,17 +101,28 @@ def _profiles(words: int):
                     odd = odd_sketches(samples)
                     for j, i in enumerate(full):
                         bands[i], sketch[i] = held[j].view(np.int64), odd[j].tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at:to], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], ["doc_id", "n_shingles", "digest", "bands", "sketch"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at:to], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) if len(s) else None for s in sets], pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], ["doc_id", "n_shingles", "digest", "bands", "sketch"])
                 at = to
 
     return run
 
 
+def _digest(shingled: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(shingled.tobytes())
+
+
 def _sets(words: int):
+    """Sets of (rep, digest, text) whose text has that digest; another text under the same doc_id has not."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t, words).tobytes() for t in batch.column(1).cast(pa.large_binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.large_binary()).cast(pa.binary())], ["rep", "shingles"])
+            reps, sets = [], []
+            for rep, digest, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.large_binary()).to_pylist()):
+                own = shingles(text, words)
+                if _digest(own) == digest:
+                    reps.append(rep)
+                    sets.append(own.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(sets, pa.large_binary()).cast(pa.binary())], ["rep", "shingles"])
 
     return run
 
@@ -180,13 +192,15 @@ def near_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     profile = staged(texts.mapInArrow(_profiles(words), "doc_id long, n_shingles long, digest binary, bands array<long>, sketch binary"), "minhash")
     full = profile.where("doc_id IS NOT NULL AND digest IS NOT NULL")
     members = full.select("doc_id", "digest").distinct()
-    reps = members.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    classes = full.join(reps, (full["doc_id"] == reps["rep"]) & (full["digest"] == reps["digest"]), "left_semi")
-    banded = classes.select(F.col("doc_id").alias("rep"), F.posexplode("bands").alias("band", "value")).select("rep", F.xxhash64("band", "value").alias("bucket"))
+    reps = members.groupBy("digest").agg(F.min("doc_id").alias("least")).withColumn("rep", F.xxhash64("digest"))
+    classes = full.join(reps, (full["doc_id"] == reps["least"]) & (full["digest"] == reps["digest"]), "left_semi").withColumn("rep", F.xxhash64("digest"))
+    banded = classes.select("rep", F.posexplode("bands").alias("band", "value")).select("rep", F.xxhash64("band", "value").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("who")).where("n > 1")
     once = shared.groupBy("n", "who").agg(F.min("bucket").alias("bucket")).select("n", "bucket")  # buckets of the same classes count once
-    inside = staged(banded.join(once, "bucket").join(classes.select(F.col("doc_id").alias("rep"), "sketch"), "rep").distinct(), "buckets")
-    sets = staged(texts.join(inside.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(words), "rep long, shingles binary"), "shingles")
+    inside = staged(banded.join(once, "bucket").join(classes.select("rep", "sketch"), "rep").distinct(), "buckets")
+    wanted = reps.join(inside.select("rep").distinct(), "rep", "left_semi")
+    found = texts.join(wanted, texts["doc_id"] == wanted["least"]).select("rep", "digest", "text")
+    sets = staged(found.mapInArrow(_sets(words), "rep long, shingles binary").dropDuplicates(["rep"]), "shingles")
     tested = spark.createDataFrame([], "a long, b long, linked boolean")
     parts = inside.select(F.col("rep").alias("id"), F.col("rep").alias("component_id")).distinct()
     n = partitions(spark)
@@ -211,8 +225,9 @@ def near_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
         tested = staged(tested.union(now), "tested-pairs")
         linked = components(tested.where("linked").select("a", "b"))
         parts = staged(parts.select("id").join(linked, "id", "left").select("id", F.coalesce("component_id", "id").alias("component_id")), "parts")
-    first = members.join(reps, "digest").select("doc_id", F.col("rep").alias("id"))
-    final = first.join(parts, "id", "left").select(F.col("doc_id").alias("a"), F.coalesce("component_id", "id").alias("b"))
+    tied = parts.withColumnRenamed("id", "rep").join(reps.select("rep", "least"), "rep")
+    named = tied.join(tied.groupBy("component_id").agg(F.min("least").alias("b")), "component_id").select("rep", "b")
+    final = members.join(reps.join(named, "rep", "left").select("digest", F.coalesce("b", "least").alias("b")), "digest").select(F.col("doc_id").alias("a"), "b")
     twice = members.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
     if not twice.isEmpty():  # a doc_id with several texts ties their components
         linked = components(final)
