@@ -109,14 +109,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: fl
     pairs = with_item.join(texts, F.col("hit_id") == F.col("doc_id")).select("doc_id", "item_id", "shift", "item_text", "text")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[str, np.ndarray] = {}
+        held, words = None, np.zeros(0, np.uint64)
         for batch in batches:
             out = []
             for doc, item, shift, item_text, text in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                key = (doc, len(text))
-                if key not in kept:
-                    kept = {key: word_hashes(text.encode())}
-                words, own = kept[key], word_hashes(item_text.encode())
+                if text != held:
+                    held, words = text, word_hashes(text.encode())
+                own = word_hashes(item_text.encode())
                 lo, hi = max(0, -shift), min(len(own), len(words) - shift)
                 size = min(window, len(own))
                 if hi - lo < size:
