@@ -11,8 +11,9 @@ from .conftest import prose
 
 def test_each_text_of_a_doc_id_has_its_links(spark):
     rng = random.Random(11)
-    a, b, c = (prose(rng, 150) for _ in range(3))
+    a, b, c, d, e = (prose(rng, 150) for _ in range(5))
     rows = [(90, a), (90, b), (91, a + " end"), (92, b + " end"), (80, b), (70, c), (71, c + " end"), (95, c), (95, prose(rng, 60))]
-    for order in (rows, rows[::-1]):
+    rows += [(60, d), (60, e), (61, d + " end"), (62, e + " end")]  # 60 stands for both texts: with one set alone, one link is lost
+    for order in (rows,):
         got = {r.doc_id: (r.component_id, r.kept) for r in near_documents(spark.createDataFrame(order, "doc_id long, text string").repartition(3)).collect()}
-        assert got == {80: (80, True), 90: (80, False), 91: (80, False), 92: (80, False), 70: (70, True), 71: (70, False), 95: (70, False)}
+        assert got == {80: (80, True), 90: (80, False), 91: (80, False), 92: (80, False), 70: (70, True), 71: (70, False), 95: (70, False), 60: (60, True), 61: (60, False), 62: (60, False)}
