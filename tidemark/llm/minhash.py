@@ -3,13 +3,14 @@
 A document's set is its distinct word shingles. Documents of equal sets are one class, whose key comes from the set's digest, so
 two texts under one doc_id are compared each on its own set. A class has HASHES MinHash
 samples: the first BANDS * ROWS form the bands, and all are folded into an odd sketch, a bitmap in which every sample flips one bit, so the
-XOR of two sketches counts the samples that differ. Classes that share a band are candidates; a pair whose sketches put
+XOR of two sketches counts the samples that differ. Classes that share a band are candidates; a pair whose sketches or sizes put
 its similarity surely below the bound is dropped, the others are confirmed on their full sets.
 
-Only components are wanted, so pairs are tested in passes: each class first with its most similar candidate, then,
-among candidates that are still in different components, with more and more of them, until no pair is left that is neither tested nor
-inside one component. A bucket of any size is dealt to pairs of blocks, so no task gathers it, and no pair of a bucket is
-skipped unless its link cannot change the result.
+Only components are wanted, so links are found in two passes. The first confirms each class against its likeliest partner alone.
+The second takes the buckets that still hold several components: a task compares the classes of two blocks of a bucket, the
+likeliest pairs first, skips pairs whose components it has joined already, and returns only the links that joined two
+components. So both passes make rows in proportion to the classes of a bucket (of a block pair, for buckets above BLOCK), a bucket of
+any size is dealt to many tasks, and no pair is skipped unless its link cannot change the result.
 
 Defined results: texts without words (null, empty, blank) have an empty set and link with nothing; fewer words than the
 shingle's are one shingle; rows that repeat a doc_id share one result (the union of their links); a row without doc_id comes back unlinked.
@@ -33,8 +34,8 @@ from tidemark.llm.words import mix, odd_numbers, word_hashes
 BANDS, ROWS, HASHES, BITS = 32, 5, 320, 1024
 #: How far below the bound an estimate may lie for a pair that reaches it: five deviations of 0.026.
 SLACK = 0.13
-#: Classes in a block of a bucket; candidates for each class in the passes (0: all).
-BLOCK, PASSES = 1024, (1, 8, 64, 0)
+#: Classes in a block of a bucket; candidates that are compared with one copy of their partner's text.
+BLOCK, FANOUT = 512, 256
 
 
 def shingles(text: bytes, words: int) -> np.ndarray:
@@ -83,7 +84,7 @@ def estimate(differing: np.ndarray) -> np.ndarray:
 def _profiles(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()).to_pylist()
+            ids, texts, keys = batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()).to_pylist(), batch.column(2)
             at = 0
             while at < len(ids):
                 to, size = at, 0
@@ -101,132 +102,200 @@ def _profiles(words: int):
                     odd = odd_sketches(samples)
                     for j, i in enumerate(full):
                         bands[i], sketch[i] = held[j].view(np.int64), odd[j].tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at:to], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) if len(s) else None for s in sets], pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], ["doc_id", "n_shingles", "digest", "bands", "sketch"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at:to], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), keys.slice(at, to - at), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], ["doc_id", "n_shingles", "text_key", "digest", "bands", "sketch"])
                 at = to
 
     return run
 
 
-def _digest(shingled: np.ndarray) -> bytes:
-    return xxhash.xxh3_128_digest(shingled.tobytes())
+def _similar(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], least: float) -> np.ndarray:
+    """Estimates (a x b) of the pairs of different components that may reach the bound, -9 for the others; a, b: component, size, sketch."""
+    est = estimate(np.bitwise_count(a[2][:, None] ^ b[2][None]).sum(2, dtype=np.int32))
+    low, high = np.minimum(a[1][:, None], b[1][None]), np.maximum(a[1][:, None], b[1][None])
+    return np.where((est >= least - SLACK) & (a[0][:, None] != b[0][None]) & (low >= (least - 1e-9) * high), est, -9.0)
 
 
-def _sets(words: int):
-    """Sets of (rep, digest, text) whose text has that digest; another text under the same doc_id has not."""
+def _sides(side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the first and of the second block of a pair; both are all rows where a block meets itself (side 2)."""
+    return np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[np.ndarray], list[bytes]]]:
+    """(bucket, i, j), [side, rep, component, size, sketch] and texts, if there are any, of each block pair; rows come sorted by block pair."""
+    held: list[tuple] = []
+    last = None
+
+    def whole():
+        return last, [np.concatenate(x) for x in zip(*(h[:5] for h in held))], [t for h in held for t in h[5]]
+
+    for batch in batches:
+        key, i, j, side, rep, part, size = (np.asarray(batch.column(k)) for k in range(7))
+        sketch = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint64).reshape(-1, BITS // 64)
+        for x, y in runs(key, i, j):
+            now = (key[x], i[x], j[x])
+            if now != last and held:
+                yield whole()
+                held = []
+            last = now
+            texts = batch.column(8).slice(x, y - x).cast(pa.large_binary()).to_pylist() if batch.num_columns > 8 else []
+            held.append((side[x:y], rep[x:y], part[x:y], size[x:y], sketch[x:y], texts))
+    if held:
+        yield whole()
+
+
+def _best(least: float):
+    """Each class's likeliest partner in each block pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            reps, sets = [], []
-            for rep, digest, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.large_binary()).to_pylist()):
-                own = shingles(text, words)
-                if _digest(own) == digest:
-                    reps.append(rep)
-                    sets.append(own.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(sets, pa.large_binary()).cast(pa.binary())], ["rep", "shingles"])
+        for _, (side, rep, part, size, sketch), _ in _blocks(batches):
+            a, b = _sides(side)
+            for own, others in ((a, b), (b, a))[: 1 if len(a) == len(side) else 2]:
+                for x in range(0, len(own) if len(others) else 0, 128):
+                    o = own[x : x + 128]
+                    est = _similar((part[o], size[o], sketch[o]), (part[others], size[others], sketch[others]), least)
+                    at = est.argmax(1)
+                    top = est[np.arange(len(o)), at]
+                    ok = top > 0
+                    yield pa.RecordBatch.from_arrays([pa.array(rep[o[ok]]), pa.array(rep[others[at[ok]]]), pa.array(top[ok])], ["rep", "hub", "est"])
 
     return run
 
 
-def _candidates(least: float, most: int):
-    """Rows sorted by block pair; yields pairs of different components whose sketches may reach the bound, the `most` likeliest of each class."""
-    popcount = np.bitwise_count
-
-    def pairs(side, rep, part, sketch):
-        a, b = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-        if not len(a) or not len(b) or part[a].min() == part[a].max() == part[b].min() == part[b].max():
-            return
-        for i in range(0, len(a), 64):
-            own = a[i : i + 64]
-            est = estimate(popcount(sketch[own][:, None] ^ sketch[b][None]).sum(2, dtype=np.int32))
-            ok = (est >= least - SLACK) & (part[own][:, None] != part[b][None])
-            if most and len(b) > most:
-                ok &= est >= -np.partition(-np.where(ok, est, -9.0), most - 1, axis=1)[:, most - 1 : most]
-            x, y = np.nonzero(ok)
-            yield rep[own[x]], rep[b[y]], est[x, y]
+def _live(least: float):
+    """The rows of each block pair that have a candidate in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
+        for (bucket, i, j), (side, rep, part, size, sketch), _ in _blocks(batches):
+            a, b = _sides(side)
+            live = np.zeros(len(side), bool)
+            for x in range(0, len(a), 128):
+                o = a[x : x + 128]
+                ok = _similar((part[o], size[o], sketch[o]), (part[b], size[b], sketch[b]), least) > 0
+                live[o] |= ok.any(1)
+                live[b] |= ok.any(0)
+            n = int(live.sum())
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, bucket)), pa.array(np.full(n, i)), pa.array(np.full(n, j)), pa.array(side[live]), pa.array(rep[live]), pa.array(part[live]), pa.array(size[live]), pa.array([s.tobytes() for s in sketch[live]], pa.binary())], ["bucket", "i", "j", "side", "rep", "part", "size", "sketch"])
 
-        def flush():
-            side, rep, part, sketch = (np.concatenate(x) for x in zip(*held))
-            for a, b, est in pairs(side, rep, part, sketch):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(est)], ["a", "b", "est"])
+    return run
 
-        last = None
-        for batch in batches:
-            key, i, j, side, rep, part = (np.asarray(batch.column(k)) for k in range(6))
-            sketch = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint64).reshape(-1, BITS // 64)
-            for x, y in runs(key, i, j):
-                now = (key[x], i[x], j[x])
-                if now != last and held:
-                    yield from flush()
-                    held = []
-                last = now
-                held.append([side[x:y], rep[x:y], part[x:y], sketch[x:y]])
-        if held:
-            yield from flush()
+
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether 100 * shared >= percent * united, of two sorted sets."""
+    if len(y) < len(x):
+        x, y = y, x
+    same = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * same >= percent * (len(x) + len(y) - same)
+
+
+def _join_blocks(words: int, percent: int):
+    """Links between components, from the full sets of the rows of a block pair: those that join two components not joined in it yet."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, (side, _, part, size, sketch), texts in _blocks(batches):
+            a, b = _sides(side)
+            x, y, est = [], [], []
+            for k in range(0, len(a), 128):
+                o = a[k : k + 128]
+                found = _similar((part[o], size[o], sketch[o]), (part[b], size[b], sketch[b]), percent / 100)
+                u, v = np.nonzero(found > 0)
+                x.append(o[u]), y.append(b[v]), est.append(found[u, v])
+            names, of = np.unique(part, return_inverse=True)
+            root = np.arange(len(names))
+            sets: dict[int, np.ndarray] = {}
+            joined = []
+            if x:
+                x, y, est = np.concatenate(x), np.concatenate(y), np.concatenate(est)
+                for k in np.argsort(-est, kind="stable"):
+                    p, q = root[of[x[k]]], root[of[y[k]]]
+                    if p == q:
+                        continue
+                    for r in (x[k], y[k]):
+                        if r not in sets:
+                            sets[r] = shingles(texts[r], words)
+                    if _linked(sets[x[k]], sets[y[k]], percent):
+                        root[root == max(p, q)] = min(p, q)
+                        joined.append((names[p], names[q]))
+            pairs = np.array(joined, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     return run
 
 
-def _confirm(least_percent: int):
+def _confirm(words: int, percent: int):
+    """Rows sorted by hub and salt, the hub's own text first: the candidates that are linked with it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, own = None, None
         for batch in batches:
-            a, b = batch.column(0), batch.column(1)
-            ok = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if len(y) < len(x):
-                    x, y = y, x
-                same = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                ok.append(100 * same >= least_percent * (len(x) + len(y) - same))
-            yield pa.RecordBatch.from_arrays([a, b, pa.array(ok, pa.bool_())], ["a", "b", "linked"])
+            a, b = [], []
+            for hub, salt, kind, rep, text in zip(*(batch.column(k).to_pylist() for k in range(4)), batch.column(4).cast(pa.large_binary()).to_pylist()):
+                if not kind:
+                    last, own = (hub, salt), shingles(text, words)
+                elif last == (hub, salt) and _linked(shingles(text, words), own, percent):
+                    a.append(rep), b.append(hub)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
 
 
+def _dealt(inside: DataFrame, parts: DataFrame, classes: DataFrame) -> DataFrame:
+    """The classes of the buckets that hold several components, dealt to the block pairs of their bucket and sorted by them."""
+    own = inside.join(parts, "rep")
+    open_ = own.groupBy("bucket").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("bucket")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = own.join(open_, "bucket", "left_semi").join(classes.select("rep", "size", "sketch"), "rep").withColumn("g", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
+    dealt = own.select("bucket", "g", "rep", "part", "size", "sketch", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("h"))
+    side = F.when(F.col("g") == F.col("h"), 2).when(F.col("g") < F.col("h"), 0).otherwise(1)
+    rows = dealt.select("bucket", F.least("g", "h").alias("i"), F.greatest("g", "h").alias("j"), side.alias("side"), "rep", "part", "size", "sketch")
+    return rows.repartition(partitions(inside.sparkSession), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+
+
+def _merged(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """parts (rep, part) after the links (a, b) between parts."""
+    found = components(links)
+    return staged(parts.join(found, F.col("part") == F.col("id"), "left").select("rep", F.coalesce("component_id", "part").alias("part")), "parts")
+
+
 def near_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """docs' doc_id, n_shingles, component_id and kept, one row per row; linked means 100 * shared >= percent * united."""
     spark, least = docs.sparkSession, percent / 100
     texts = id_text(docs)
-    profile = staged(texts.mapInArrow(_profiles(words), "doc_id long, n_shingles long, digest binary, bands array<long>, sketch binary"), "minhash")
+    profile = staged(texts.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(_profiles(words), "doc_id long, n_shingles long, text_key long, digest binary, bands array<long>, sketch binary"), "minhash")
     full = profile.where("doc_id IS NOT NULL AND digest IS NOT NULL")
     members = full.select("doc_id", "digest").distinct()
-    reps = members.groupBy("digest").agg(F.min("doc_id").alias("least")).withColumn("rep", F.xxhash64("digest"))
-    classes = full.join(reps, (full["doc_id"] == reps["least"]) & (full["digest"] == reps["digest"]), "left_semi").withColumn("rep", F.xxhash64("digest"))
+    first = F.min(F.struct("doc_id", "text_key")).alias("first")
+    one = full.groupBy("digest").agg(first, F.max("n_shingles").alias("size"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"))
+    classes = staged(one.select(F.xxhash64("digest").alias("rep"), "digest", F.col("first.doc_id").alias("least"), F.col("first.text_key").alias("text_key"), "size", "bands", "sketch"), "near-classes")
     banded = classes.select("rep", F.posexplode("bands").alias("band", "value")).select("rep", F.xxhash64("band", "value").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("who")).where("n > 1")
-    once = shared.groupBy("n", "who").agg(F.min("bucket").alias("bucket")).select("n", "bucket")  # buckets of the same classes count once
-    inside = staged(banded.join(once, "bucket").join(classes.select("rep", "sketch"), "rep").distinct(), "buckets")
-    wanted = reps.join(inside.select("rep").distinct(), "rep", "left_semi")
-    found = texts.join(wanted, texts["doc_id"] == wanted["least"]).select("rep", "digest", "text")
-    sets = staged(found.mapInArrow(_sets(words), "rep long, shingles binary").dropDuplicates(["rep"]), "shingles")
-    tested = spark.createDataFrame([], "a long, b long, linked boolean")
-    parts = inside.select(F.col("rep").alias("id"), F.col("rep").alias("component_id")).distinct()
+    who = F.bit_xor(F.xxhash64("rep")).alias("who"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("who_too")
+    shared = banded.groupBy("bucket").agg(F.count("*").alias("n"), *who).where("n > 1")
+    once = shared.groupBy("n", "who", "who_too").agg(F.min("bucket").alias("bucket")).select("n", "bucket")  # buckets of the same classes count once
+    inside = staged(banded.join(once, "bucket").select("bucket", "n", "rep").distinct(), "buckets")
+    parts = inside.select("rep", F.col("rep").alias("part")).distinct()
+    wanted = classes.join(parts.select("rep"), "rep", "left_semi").select("rep", "least", "text_key")
+    found = texts.join(wanted, (texts["doc_id"] == wanted["least"]) & (F.xxhash64("text") == wanted["text_key"]))
+    own_text = staged(found.select("least", "text_key", "rep", "text").dropDuplicates(["least", "text_key", "rep"]).select("rep", "text"), "near-texts")
     n = partitions(spark)
-    for most in PASSES:
-        blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-        own = inside.join(parts.withColumnRenamed("id", "rep"), "rep")
-        open_ = own.groupBy("bucket").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi")).where("lo <> hi").select("bucket")
-        own = own.join(open_, "bucket", "left_semi").withColumn("g", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
-        dealt = own.select("bucket", "g", "rep", "component_id", "sketch", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("h"))
-        dealt = dealt.select("bucket", F.least("g", "h").alias("i"), F.greatest("g", "h").alias("j"), F.when(F.col("g") == F.col("h"), 2).when(F.col("g") < F.col("h"), 0).otherwise(1).alias("side"), "rep", "component_id", "sketch")
-        rows = dealt.repartition(n, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-        found = rows.mapInArrow(_candidates(least, most), "a long, b long, est double").groupBy("a", "b").agg(F.max("est").alias("est"))
-        if most == 1:
-            found = found.groupBy("b").agg(F.max_by("a", "est").alias("a")).select("a", "b")
-        fresh = staged(found.select("a", "b").join(tested.select("a", "b"), ["a", "b"], "left_anti"), "near-pairs")
-        if fresh.isEmpty():
-            if most == 0:
-                break
-            continue
-        checked = fresh.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y")), "b")
-        now = checked.select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long, linked boolean")
-        tested = staged(tested.union(now), "tested-pairs")
-        linked = components(tested.where("linked").select("a", "b"))
-        parts = staged(parts.select("id").join(linked, "id", "left").select("id", F.coalesce("component_id", "id").alias("component_id")), "parts")
-    tied = parts.withColumnRenamed("id", "rep").join(reps.select("rep", "least"), "rep")
-    named = tied.join(tied.groupBy("component_id").agg(F.min("least").alias("b")), "component_id").select("rep", "b")
+
+    best = _dealt(inside, parts, classes).mapInArrow(_best(least), "rep long, hub long, est double").groupBy("rep").agg(F.max_by("hub", "est").alias("hub"))
+    pairs = best.groupBy(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).agg(F.min("hub").alias("hub"))
+    pairs = staged(pairs.select("hub", F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("rep")), "near-pairs")
+    fans = pairs.groupBy("hub").agg(F.ceil(F.count("*") / FANOUT).cast("int").alias("fans"))
+    sent = pairs.join(fans, "hub").select("hub", F.pmod(F.xxhash64("rep"), "fans").cast("int").alias("salt"), F.lit(1).alias("kind"), "rep")
+    hubs = fans.select("hub", F.explode(F.sequence(F.lit(0), F.col("fans") - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("hub").alias("rep"))
+    rows = sent.union(hubs).join(own_text, "rep").select("hub", "salt", "kind", "rep", "text")
+    rows = rows.repartition(n, "hub", "salt").sortWithinPartitions("hub", "salt", "kind")
+    parts = _merged(parts, rows.mapInArrow(_confirm(words, percent), "a long, b long"))
+
+    live = _dealt(inside, parts, classes).mapInArrow(_live(least), "bucket long, i int, j int, side int, rep long, part long, size long, sketch binary")
+    rows = live.join(own_text, "rep").select("bucket", "i", "j", "side", "rep", "part", "size", "sketch", "text")
+    rows = rows.repartition(n, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    parts = _merged(parts, rows.mapInArrow(_join_blocks(words, percent), "a long, b long"))
+
+    reps = classes.select("rep", "digest", "least")
+    tied = parts.join(reps, "rep")
+    named = tied.join(tied.groupBy("part").agg(F.min("least").alias("b")), "part").select("rep", "b")
     final = members.join(reps.join(named, "rep", "left").select("digest", F.coalesce("b", "least").alias("b")), "digest").select(F.col("doc_id").alias("a"), "b")
     twice = members.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
     if not twice.isEmpty():  # a doc_id with several texts ties their components
@@ -240,8 +309,10 @@ def near_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
 
 def drop_near_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """docs with one document of each group: the one with the smallest doc_id."""
-    gone = near_documents(docs, words, percent).where("NOT kept").select(F.col("doc_id").alias("_near_id")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["_near_id"], "left_anti")
+    gone = near_documents(docs, words, percent).where("NOT kept").select(F.col("doc_id").alias("near_id")).distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"))  # one column, so that none of docs' own clashes
+    left = rows.join(gone, F.col("row.doc_id").cast("long") == F.col("near_id"), "left_anti")
+    return left.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
