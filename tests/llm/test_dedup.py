@@ -6,6 +6,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tidemark.llm.common import components
 from tidemark.llm.line_dedup import build_mph, dedup_lines, mph_slots
@@ -63,13 +64,32 @@ def test_lines(docs, texts, no_docs):
     assert out.columns == [*docs.columns, "_n_lines", "_n_dropped"]
     assert Counter((r.doc_id, r.text, r._n_lines, r._n_dropped) for r in out.collect()) == want
     assert dedup_lines(no_docs).count() == 0
+    named = docs.select("*", *(F.lit(7).alias(c) for c in ("row", "keys", "done", "_n_lines", "_done", "_gone_id")))
+    out = dedup_lines(named)
+    assert out.columns == [*(c for c in named.columns if c != "_n_lines"), "_n_lines", "_n_dropped"]
+    assert Counter((r.doc_id, r.text, r._n_lines, r._n_dropped) for r in out.collect()) == want
+
+
+def test_a_line_that_most_documents_hold(spark, monkeypatch):
+    """Shards of few keys, copied to several salts."""
+    from tidemark.llm import line_dedup
+
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 7)
+    monkeypatch.setattr(line_dedup, "PROBES", 50)
+    hot, rng = "the very same line in nearly every document of them", random.Random(3)
+    rows = [(i, f"{hot}\nown {i} {'x' * 60}\nshared {rng.randrange(40)} {'y' * 50}") for i in range(300)]
+    count = Counter(x for _, t in rows for x in t.split("\n"))
+    last = {x: i for i, t in rows for x in t.split("\n")}
+    want = {i: "\n".join(x for x in t.split("\n") if count[x] < 5 or last[x] == i) for i, t in rows}
+    assert {r.doc_id: r.text for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
 
 
 def test_minimal_perfect_hash():
     keys = np.random.default_rng(1).integers(-(2**62), 2**62, (5000, 2))
-    displace, slot = build_mph(keys[:, 0], keys[:, 1])
-    assert sorted(slot) == list(range(5000))
-    assert (mph_slots(displace, 5000, keys[:, 0], keys[:, 1]) == slot).all()
+    sizes, bits = build_mph(keys[:, 0], keys[:, 1])
+    assert sorted(mph_slots(sizes, bits, keys[:, 0], keys[:, 1])) == list(range(5000))
+    assert len(bits) < 8 * 5000
+    assert not len(build_mph(keys[:0, 0], keys[:0, 1])[1])
 
 
 def near_by_force(texts, n: int):
