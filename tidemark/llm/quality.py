@@ -21,10 +21,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import id_text, read, staged
+from tidemark.llm.words import Kept
 
 SAMPLE, BUCKETS, DIM, EPOCHS, RATE = 6000, 1 << 16, 8, 6, 4.0
 NGRAMS = (3, 4)
-KEPT_WORDS = 400_000
+#: Words whose sums a task keeps in each of two generations.
+KEPT_WORDS = 150_000
 
 
 def fold(doc_id: Column, n: int) -> Column:
@@ -99,18 +101,16 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     return np.frombuffer(model.vectors, np.float32).reshape(-1, DIM).astype(float) @ (out[:, 1] - out[:, 0]), float(bias[1] - bias[0])
 
 
-class _Projected(dict):
+class _Projected(Kept):
     """word -> its features' summed projection and their number, as one complex number, which sums in one pass."""
 
     def __init__(self, weights: np.ndarray):
+        super().__init__(KEPT_WORDS)
         self.weights = weights.tolist()
 
-    def __missing__(self, word: str) -> complex:
+    def make(self, word: str) -> complex:
         own = features(word)
-        value = complex(sum(self.weights[f] for f in own), len(own))
-        if len(self) < KEPT_WORDS and len(word) < 64:
-            self[word] = value
-        return value
+        return complex(sum(self.weights[f] for f in own), len(own))
 
 
 def scorer(docs: DataFrame, labels: DataFrame):
@@ -129,7 +129,7 @@ def scorer(docs: DataFrame, labels: DataFrame):
 
 
 def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs plus _score (double) and _predicted (int, 1 if the score is at least 0.5)."""
+    """docs plus _score (double) and _predicted (int, 1 if the score is at least 0.5); columns of docs with these names give way to them."""
     score = scorer(docs, labels)
     return docs.withColumn("_score", score(F.coalesce(F.col("text").cast("string"), F.lit("")))).withColumn("_predicted", (F.col("_score") >= 0.5).cast("int"))
 

@@ -10,8 +10,10 @@ import os
 
 import numpy as np
 
-#: Words whose ids a worker keeps; more are encoded each time they come.
-KEPT_WORDS = 900_000
+from tidemark.llm.words import Kept
+
+#: Words whose ids a worker keeps in each of two generations, about 30 MB each.
+KEPT_WORDS = 150_000
 
 
 def tokenizer_path(name: str) -> str:
@@ -20,17 +22,15 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class _Words(dict):
+class _Words(Kept):
     """word -> ids as bytes (unsigned 32-bit little-endian)."""
 
     def __init__(self, tokenizer, before: str):
+        super().__init__(KEPT_WORDS)
         self.tokenizer, self.before = tokenizer, before
 
-    def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(self.before + word, add_special_tokens=False).ids, "<u4").tobytes() if word else b""
-        if len(self) < KEPT_WORDS and len(word) < 64:
-            self[word] = ids
-        return ids
+    def make(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(self.before + word, add_special_tokens=False).ids, "<u4").tobytes() if word else b""
 
 
 class Encoder:
@@ -71,7 +71,8 @@ _ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """One encoder per worker process and file."""
+    """The encoder of a file; a worker process keeps the last one alone."""
     if path not in _ENCODERS:
+        _ENCODERS.clear()
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]

@@ -5,19 +5,37 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-#: Words whose hash a worker keeps; others are hashed each time.
-KEPT_WORDS = 500_000
+#: Words whose hash a worker keeps in each of two generations.
+KEPT_WORDS = 60_000
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < KEPT_WORDS and len(word) < 64:
-            self[word] = h
-        return h
+class Kept(dict):
+    """word -> value, for the words used last: two generations of at most `most` short words, so a worker's memory is bounded whatever it reads."""
 
+    def __init__(self, most: int):
+        self.most, self.older = most, {}
 
-_HASHES = _Hashes()
+    def make(self, word):
+        raise NotImplementedError
+
+    def __missing__(self, word):
+        value = self.older.get(word)
+        if value is None:
+            value = self.make(word)
+        if len(word) < 64:
+            if len(self) >= self.most:
+                self.older = dict(self)
+                self.clear()
+            self[word] = value
+        return value
+
+
+class _Hashes(Kept):
+    def make(self, word: bytes) -> int:
+        return xxhash.xxh3_64_intdigest(word)
+
+
+_HASHES = _Hashes(KEPT_WORDS)
 
 
 def word_hashes(text: bytes) -> np.ndarray:
