@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import components
 from tidemark.llm.line_dedup import build_mph, dedup_lines, mph_slots
 from tidemark.llm.minhash import drop_near_documents, estimate, near_documents, odd_sketches, shingles, signatures
-from tidemark.llm.substring import LENGTH, drop_repeats, sort_bucket
+from tidemark.llm.substring import LENGTH, STARTS, drop_repeats, sort_bucket
 
 SPACE = " \t\n\r\x0b\x0c"
 
@@ -170,7 +170,7 @@ def test_repeats(docs, texts, no_docs):
 
 
 def test_repeats_of_a_hot_passage(spark, monkeypatch):
-    """Many contexts of one passage, each cut at another place; some go the way of hot buckets."""
+    """Many contexts of one passage, each cut at another place; with a low bound the buckets are split into pieces, and these into single suffixes."""
     from tidemark.llm import substring
 
     rng = random.Random(8)
@@ -180,7 +180,7 @@ def test_repeats_of_a_hot_passage(spark, monkeypatch):
     rows += [(900, "z" * 1000), (901, "zy" * 300), (902, passage)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = repeats_by_force(rows)
-    for hot in (16_000, 20):
+    for hot in (4_000, 20):
         monkeypatch.setattr(substring, "HOT", hot)
         assert Counter((r.doc_id, bytes(r.kept), r.n_bytes, r.n_removed, r.n_spans) for r in drop_repeats(df).collect()) == want
 
@@ -189,3 +189,27 @@ def test_bucket_without_repeats():
     a, b = bytes(range(200)), bytes(range(1, 201))
     out = sort_bucket([a, b, a], np.array([1, 1, 2]), np.array([10, 10, 10]), np.array([10, 10, 10]), np.array([1, 1, 1]))
     assert not out.any()
+
+
+def test_sorted_buckets_against_every_pair():
+    """Suffixes at any places, with ties far longer than the cover's period, some of them periodic."""
+    rng = np.random.default_rng(6)
+    base = bytes(rng.integers(97, 99, 700).astype(np.uint8))
+    for texts in ([base], [base, base[40:] + b"q" * 40, b"ab" * 350, b"z" * 700], [bytes(rng.integers(0, 256, 700).astype(np.uint8))]):
+        contexts, left, right = [], [], []
+        for _ in range(40):
+            text, a, n = texts[rng.integers(len(texts))], int(rng.integers(0, 300)), int(rng.integers(1, STARTS + 1))
+            left.append(int(rng.integers(n - 1, STARTS)))
+            right.append(left[-1] - n + 1)
+            contexts.append(text[a : a + n - 1 + LENGTH])
+        bucket, counts = rng.integers(0, 4, 40), rng.integers(1, 3, 40)
+        seen = Counter()
+        for c, b, n in zip(contexts, bucket, counts):
+            for k in range(len(c) - LENGTH + 1):
+                seen[b, c[k : k + LENGTH]] += n
+        out = sort_bucket(contexts, bucket, np.array(left), np.array(right), counts)
+        for i, c in enumerate(contexts):
+            want = np.zeros(STARTS, bool)
+            for k in range(len(c) - LENGTH + 1):
+                want[left[i] - k] = seen[bucket[i], c[k : k + LENGTH]] > 1
+            assert (out[i] == want).all()

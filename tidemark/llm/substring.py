@@ -1,13 +1,18 @@
-"""Suffix-array dedup of long repeated byte strings, one suffix bucket at a time, with difference-cover ranks.
+"""Suffix-array dedup of long repeated byte strings: blockwise suffix sorting, one bucket at a time, with difference-cover ranks.
 
-A start is dealt to the bucket of its anchor: the K-byte gram with the least hash (the leftmost of them) inside the LENGTH bytes that
-begin there. Equal strings have equal anchors at equal distances, so they always meet in one bucket, and a bucket whose
-anchor occurs once holds no repeat and is never built. A bucket's suffixes are its occurrences' contexts, the bytes around the
-anchor; equal contexts are summed before the shuffle. A bucket with several contexts is sorted as in
-blockwise suffix sorting: the SAMPLE-byte strings at the columns of a difference cover get ranks first, and two suffixes
-compare by the ranks at the first and last covered columns inside them and the few bytes before and after those, never by LENGTH bytes.
-Suffixes that compare equal are repeats. A bucket with more than HOT contexts is not gathered: its starts are
-compared by 128-bit digests in an ordinary aggregate.
+A suffix is dealt to the bucket of its anchor: the K-byte gram with the least hash (the leftmost of them) inside the LENGTH bytes that
+begin there. Equal strings have equal anchors, so they always meet in one bucket, and a bucket whose anchor occurs once holds no repeat and is
+never built. What is shuffled is not suffixes but contexts: the bytes around an occurrence of the anchor, which hold all suffixes it
+serves; equal contexts are summed first, and a bucket of equal contexts alone needs no bytes at all.
+
+A bucket's suffixes are sorted by their first PERIOD bytes. Ties are resolved by ranks, which bound the memory: the SAMPLE-byte
+strings at the places of a difference cover (6 of 31) are ranked once, and two tied suffixes, wherever they stand, have an offset of less than
+PERIOD at which both are covered; their ranks there, and the few bytes up to LENGTH, decide. The sort is a three-way
+quicksort over all tied groups at once; what compares equal to a pivot is a repeat.
+
+A bucket of more than HOT contexts is split by longer common prefixes: its contexts are cut into pieces of STEPS[0] neighbouring
+suffixes, keyed by the bytes that all of these share, equal pieces are summed again, and the smaller buckets are sorted as the others; with
+STEPS[1] = 1 suffix to a piece, a bucket holds equal suffixes only. So no bucket is ever gathered beyond HOT contexts.
 
 Defined results: a null or empty text has no bytes; texts shorter than LENGTH bytes keep everything unless they lie in a repeat (they
 cannot); rows that repeat a doc_id each count as a text of their own, and what repeats between them goes; a row without
@@ -30,12 +35,12 @@ from tidemark.llm.words import mix
 
 LENGTH, K = 200, 40
 STARTS = LENGTH - K + 1  # starts whose string can hold a given anchor
-#: A difference cover of 31: every residue is a difference of two of its members. SAMPLE bytes are ranked at each covered column.
-PERIOD, COVER, SAMPLE = 31, (1, 5, 11, 24, 25, 27), 128
-EDGE = 13  # the widest gap of the cover
-WIDTH = STARTS - 1 + LENGTH + STARTS - 1
-#: Contexts sorted at once; contexts of one bucket above which it is not gathered; bytes hashed at once; bits of the bitmap of repeated anchors.
-BATCH, HOT, CHUNK, BITS = 16_000, 16_000, 1 << 21, 1 << 26
+#: A difference cover of 31: every residue is a difference of two of its members. SAMPLE bytes are ranked at each covered place.
+PERIOD, COVER, SAMPLE = 31, (1, 5, 11, 24, 25, 27), 168
+#: Contexts sorted at once; contexts of one bucket above which it is split, and the suffixes of a piece then; bytes hashed at once.
+BATCH, HOT, STEPS, CHUNK = 4_000, 4_000, (16, 1), 1 << 21
+#: Bits of a bitmap of anchors for each anchor in it, and their bounds (the largest has 64 MB; beyond, it passes more on to the exact joins).
+SPARSE, LEAST_BITS, MOST_BITS = 8, 1 << 20, 1 << 29
 _P = np.uint64(0x9E3779B97F4A7C15)
 _POWERS: list[np.ndarray] = []
 
@@ -99,41 +104,95 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
 
 
+def _offsets() -> np.ndarray:
+    """By two residues: an offset at which places of these residues are both covered."""
+    out = np.zeros((PERIOD, PERIOD), np.int64)
+    for i in range(PERIOD):
+        for j in range(PERIOD):
+            out[i, j] = next(d for d in range(PERIOD) if (i + d) % PERIOD in COVER and (j + d) % PERIOD in COVER)
+    return out
+
+
+_OFFSETS = _offsets()
+
+
+def _words(data: np.ndarray) -> np.ndarray:
+    """At each place the next eight bytes as one number that compares as they do."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
+    out = np.zeros(len(data), np.uint64)
+    for k in range(8):
+        out = (out << np.uint64(8)) | padded[k : k + len(data)]
+    return out
+
+
+def _refine(group: np.ndarray, order: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order and groups (numbers that ascend along the order) after sorting inside each group by key; groups of one are dropped."""
+    by = np.argsort(key, kind="stable")
+    by = by[np.argsort(group[by], kind="stable")]
+    g, k, order = group[by], key[by], order[by]
+    new = np.ones(len(g), bool)
+    new[1:] = (g[1:] != g[:-1]) | (k[1:] != k[:-1])
+    g = np.cumsum(new) - 1
+    more = np.bincount(g)[g] > 1
+    return g[more], order[more]
+
+
 def sort_bucket(contexts: list[bytes], bucket: np.ndarray, left: np.ndarray, right: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Repeats among the suffixes of some buckets: bool, contexts x STARTS, by the distance from the start to the anchor.
 
     left, right: the largest and smallest such distance a context serves; its bytes run from anchor - left to anchor - right + LENGTH.
     """
-    m = len(contexts)
-    grid = np.zeros((m, WIDTH), np.uint8)
-    for i, c in enumerate(contexts):
-        a = STARTS - 1 - left[i]
-        grid[i, a : a + len(c)] = np.frombuffer(c, np.uint8)
-    of = np.unique(bucket, return_inverse=True)[1].astype(">u4").view(np.uint8).reshape(m, 4)
-    covered = [t for t in range(WIDTH - SAMPLE + 1) if t % PERIOD in COVER]
-    ranks: dict[int, np.ndarray] = {}
-
-    def rank(t: int) -> np.ndarray:
-        """Rank, inside its bucket, of each context's SAMPLE bytes at column t."""
-        if t not in ranks:
-            keys = np.ascontiguousarray(np.concatenate([of, grid[:, t : t + SAMPLE]], axis=1)).view(f"V{4 + SAMPLE}").ravel()
-            ranks[t] = np.unique(keys, return_inverse=True)[1].astype(">u4").view(np.uint8).reshape(m, 4)
-        return ranks[t]
-
+    m, serves = len(contexts), left - right + 1
+    text = np.frombuffer(b"".join(contexts), np.uint8)
+    edges = np.concatenate([[0], np.cumsum([len(c) for c in contexts])]).astype(np.int64)
+    of = np.repeat(np.arange(m), serves)  # context of each suffix
+    step = np.arange(len(of)) - np.repeat(np.cumsum(serves) - serves, serves)
+    place = edges[of] + step
+    words = _words(text)
     out = np.zeros((m, STARTS), bool)
-    for r in range(STARTS):
-        own = np.flatnonzero((right <= r) & (r <= left))
-        if len(own) < 1:
-            continue
-        s = STARTS - 1 - r
-        f = next(t for t in covered if t >= s)
-        e = max(t for t in covered if t <= s + LENGTH - SAMPLE)
-        keys = np.concatenate([of[own], rank(f)[own], rank(e)[own], grid[own, s:f], grid[own, e + SAMPLE : s + LENGTH]], axis=1)
-        keys = np.ascontiguousarray(keys).view(f"V{keys.shape[1]}").ravel()
-        _, which = np.unique(keys, return_inverse=True)
-        out[own, r] = np.bincount(which, counts[own])[which] > 1
-        for t in [t for t in ranks if t > s + LENGTH]:
-            del ranks[t]
+
+    # the first PERIOD bytes (and one more), eight at a time; suffixes alone in their group are unique
+    order = np.arange(len(place))
+    group, order = _refine(np.unique(bucket, return_inverse=True)[1][of], order, words[place])
+    for k in (8, 16, 24):
+        group, order = _refine(group, order, words[place[order] + k])
+    if not len(order):
+        out[of, left[of] - step] = counts[of] > 1
+        return out
+
+    # ranks of the covered places that tied suffixes can need
+    near = np.zeros(len(text) + 1, np.int32)
+    np.add.at(near, place[order], 1)
+    np.add.at(near, np.minimum(place[order] + PERIOD, len(text)), -1)
+    covered = np.flatnonzero((np.cumsum(near[:-1]) > 0) & np.isin(np.arange(len(text)) % PERIOD, COVER))
+    covered = covered[covered + SAMPLE <= len(text)]
+    rank = np.full(len(text), -1, np.int64)
+    sample = np.lib.stride_tricks.sliding_window_view(text, SAMPLE)[covered]
+    rank[covered] = np.unique(np.ascontiguousarray(sample).view(f"V{SAMPLE}").ravel(), return_inverse=True)[1]
+    del sample
+
+    # three-way quicksort of the tied groups by pivots
+    equal = np.zeros(len(place), bool)
+    weight = counts[of]
+    while len(order):
+        starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        sizes = np.diff(np.concatenate([starts, [len(group)]]))
+        own = place[order]
+        pivot = np.repeat(own[starts + sizes // 2], sizes)
+        d = _OFFSETS[pivot % PERIOD, own % PERIOD]
+        side = np.sign(rank[own + d] - rank[pivot + d])
+        for k in range(SAMPLE, LENGTH, 8):  # bytes before SAMPLE + d are equal where the ranks are
+            tied = np.flatnonzero(side == 0)
+            x, y = words[own[tied] + k], words[pivot[tied] + k]
+            side[tied] = np.where(x > y, 1, np.where(x < y, -1, 0))
+        same = np.flatnonzero(side == 0)
+        total = np.zeros(len(starts), np.int64)
+        at = np.repeat(np.arange(len(starts)), sizes)
+        np.add.at(total, at[same], weight[order[same]])
+        equal[order[same]] = total[at[same]] > 1
+        rest = np.flatnonzero(side)
+        group, order = _refine(at[rest], order[rest], side[rest])
+    out[of, left[of] - step] = equal | (weight > 1)
     return out
 
 
@@ -158,76 +217,154 @@ def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For hot buckets: one row for each suffix, with the digest of its string."""
-    for batch in batches:
-        for h, digest, left, right, n, context in zip(*(batch.column(i).to_pylist() for i in range(6))):
-            rs = np.arange(right, left + 1, dtype=np.int32)
-            own = [xxhash.xxh3_128_digest(context[left - r : left - r + LENGTH]) for r in rs]
-            yield pa.RecordBatch.from_arrays([pa.array([h] * len(rs), pa.int64()), pa.array([digest] * len(rs), pa.binary()), pa.array(rs), pa.array([n] * len(rs), pa.int64()), pa.array(own, pa.binary())], ["h", "digest", "r", "n", "string"])
+def _digest(context: bytes, left: int) -> bytes:
+    return xxhash.xxh3_128_digest(context, seed=left)
+
+
+def _cut(step: int):
+    """Pieces of contexts: the suffixes at distances k * step to k * step + step - 1, keyed by the bucket and the bytes that they share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["h_of", "digest_of", "h", "digest", "left", "right", "n", "context"]
+        for batch in batches:
+            rows: list[tuple] = []
+            for h, digest, left, right, n, context in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                for low in range(right // step * step, left + 1, step):
+                    r, own_left = max(low, right), min(low + step - 1, left)
+                    piece = context[left - own_left : left - r + LENGTH]
+                    shared = context[left - low : left - low + LENGTH - step + 1]  # inside the context, as some start at low to low + step - 1 is
+                    rows.append((h, digest, xxhash.xxh3_64_intdigest(shared, seed=(h ^ low) & (2**64 - 1)) - 2**63, _digest(piece, own_left), own_left, r, n, piece))
+                if len(rows) >= 50_000:
+                    yield _batch(rows, names)
+                    rows = []
+            if rows:
+                yield _batch(rows, names)
 
+    return run
 
-def _masks(pdf: pd.Series) -> pd.Series:
+
+_KINDS = {"h_of": pa.int64(), "digest_of": pa.binary(), "key": pa.int64(), "at": pa.int64(), "h": pa.int64(), "digest": pa.binary(), "left": pa.int32(), "right": pa.int32(), "n": pa.int64(), "context": pa.binary()}
+
+
+def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, _KINDS[n]) for n, c in zip(names, zip(*rows))], names)
+
+
+def _any(pdf: pd.Series) -> pd.Series:
+    """The union of the masks of a context's pieces."""
+    return pd.Series([np.bitwise_or.reduce(np.array([np.frombuffer(m, np.uint8) for m in masks]), axis=0).tobytes() for masks in pdf])
+
+
+def _whole(left: pd.Series, right: pd.Series) -> pd.Series:
     out = []
-    for rs in pdf:
+    for a, b in zip(left, right):
         bits = np.zeros(STARTS, bool)
-        bits[np.asarray(rs, int)] = True
+        bits[b : a + 1] = True
         out.append(np.packbits(bits).tobytes())
     return pd.Series(out)
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(key, spans array<struct<a long, b long>>): the runs of starts (a..b, inclusive) of repeated strings in each text."""
-    spark = docs.sparkSession
-    counts = docs.select("doc_id", "text").mapInArrow(_count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
-    bit = F.pmod("h", F.lit(BITS))
-    words = counts.select(bit.alias("at")).selectExpr("cast(at div 64 as int) word", "shiftleft(1L, cast(at % 64 as int)) bit").groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()  # at most BITS / 64 rows
-    table = np.zeros(BITS // 64, np.int64)
-    table[words["word"].to_numpy(int)] = words["bits"].to_numpy(np.int64)
-    held = spark.sparkContext.broadcast(table.view(np.uint8))  # BITS / 8 bytes
-
-    def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "at", "h", "left", "right", "digest", "context"]
-        packed = held.value
+_SHAPE = ["h", "digest", "left", "right", "n", "context"]
+
+
+def _verdict(contexts: DataFrame, steps: tuple[int, ...]) -> DataFrame:
+    """(h, digest, mask) of the contexts that hold repeats; mask: bits by distance from the start to the anchor. contexts are staged."""
+    spark = contexts.sparkSession
+    whole, union = F.pandas_udf(_whole, "binary"), F.pandas_udf(_any, "binary")
+    buckets = contexts.groupBy("h").agg(F.count("*").alias("m"))
+    cool = contexts.join(buckets.where(f"m > 1 AND m <= {HOT}").select("h"), "h").select(*_SHAPE)
+    sorted_ = cool.repartition(partitions(spark), "h").sortWithinPartitions("h").mapInArrow(_sort, "h long, digest binary, mask binary")
+    out = contexts.where("n > 1").select("h", "digest", whole("left", "right").alias("mask")).union(sorted_)
+    hot = buckets.where(f"m > {HOT}").select("h")
+    if not steps or hot.isEmpty():
+        return out
+    kinds = "h_of long, digest_of binary, h long, digest binary, left int, right int, n long, context binary"
+    cut = staged(contexts.join(hot, "h").select(*_SHAPE).mapInArrow(_cut(steps[0]), kinds), "pieces")
+    summed = cut.groupBy("h", "digest", "left", "right").agg(F.sum("n").alias("n"), F.any_value("context").alias("context"))
+    inner = _verdict(staged(summed, "contexts"), steps[1:])
+    back = cut.select("h_of", "digest_of", "h", "digest").join(inner, ["h", "digest"]).groupBy("h_of", "digest_of").agg(F.collect_list("mask").alias("masks"))
+    back = back.join(contexts.where("n = 1").select(F.col("h").alias("h_of"), F.col("digest").alias("digest_of")), ["h_of", "digest_of"], "left_semi")
+    return out.union(back.select("h_of", "digest_of", union("masks")))
+
+
+def _bitmap(anchored: DataFrame) -> tuple[int, np.ndarray]:
+    """(bits, bitmap as bytes) of the column h; its size follows the number of rows up to MOST_BITS."""
+    bits = max(LEAST_BITS, min(MOST_BITS, 1 << (SPARSE * anchored.count()).bit_length()))
+    at = anchored.select(F.pmod("h", F.lit(bits)).alias("at"))
+
+    def cell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows of one part of the bitmap (2^15 bits) after the other."""
+        now, held = None, np.zeros(1 << 15, bool)
+        for pdf in batches:
+            for part, own in pdf.groupby("part"):
+                if part != now and now is not None:
+                    yield pd.DataFrame({"part": [now], "bits": [np.packbits(held, bitorder="little").tobytes()]})
+                    held[:] = False
+                now = part
+                held[own["low"].to_numpy()] = True
+        if now is not None:
+            yield pd.DataFrame({"part": [now], "bits": [np.packbits(held, bitorder="little").tobytes()]})
+
+    rows = at.selectExpr("cast(at div 32768 as int) part", "cast(at % 32768 as int) low")
+    rows = rows.repartition(partitions(anchored.sparkSession), "part").sortWithinPartitions("part").mapInPandas(cell, "part int, bits binary")
+    table = np.zeros(bits // 8, np.uint8)
+    for r in rows.collect():  # at most bits / 2^15 rows of 4 KB
+        table[r.part * 4096 : r.part * 4096 + 4096] = np.frombuffer(r.bits, np.uint8)
+    return bits, table
+
+
+def _occurrences(held, context: bool):
+    """The anchors in the bitmap: where they stand (with a key of their text), or the bytes around them, equal ones of a chunk once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = _SHAPE if context else ["key", "at", "h", "left", "right", "digest"]
+        bits, packed = held.value
         for batch in batches:
             texts, keys = batch.column(1).cast(pa.large_binary()).to_pylist(), batch.column(2).to_pylist()
             for data, starts, rows in _chunks(batch.column(0).to_pylist(), texts):
                 h, place, first, last = anchors(data, starts)
-                b = h % np.uint64(BITS)
+                b = h % np.uint64(bits)
                 own = np.flatnonzero(packed[b >> np.uint64(3)] >> (b & np.uint64(7)).astype(np.uint8) & 1)
                 raw = data.tobytes()
                 edges = np.array([r[2] for r in rows])
                 for x in range(0, len(own), 20_000):
                     o = own[x : x + 20_000]
-                    which = np.searchsorted(edges, first[o], "right") - 1
-                    context = [raw[i : j + LENGTH] for i, j in zip(first[o].tolist(), last[o].tolist())]
-                    left, right = place[o] - first[o], place[o] - last[o]
-                    digest = [xxhash.xxh3_128_digest(c, seed=int(d)) for c, d in zip(context, left)]
-                    at = [rows[w][1] + p - rows[w][2] for w, p in zip(which.tolist(), place[o].tolist())]
-                    yield pa.RecordBatch.from_arrays([pa.array([keys[rows[w][0]] for w in which.tolist()], pa.int64()), pa.array(at, pa.int64()), pa.array(h[o].view(np.int64)), pa.array(left.astype(np.int32)), pa.array(right.astype(np.int32)), pa.array(digest, pa.binary()), pa.array(context, pa.binary())], names)
-
-    seen = docs.mapInArrow(occurrences, "key long, at long, h long, left int, right int, digest binary, context binary")
-    places = staged(seen, "anchors")
-    contexts = places.groupBy("h", "digest", "left", "right", "context").agg(F.count("*").alias("n"))
-    contexts = staged(contexts, "contexts")
-    buckets = contexts.groupBy("h").agg(F.count("*").alias("m"))
-    shape = ["h", "digest", "left", "right", "n", "context"]
-    cool = contexts.join(buckets.where(f"m > 1 AND m <= {HOT}").select("h"), "h").select(*shape)
-    sorted_ = cool.repartition(partitions(spark), "h").sortWithinPartitions("h").mapInArrow(_sort, "h long, digest binary, mask binary")
-    starts = contexts.join(buckets.where(f"m > {HOT}").select("h"), "h").select(*shape).mapInArrow(_strings, "h long, digest binary, r int, n long, string binary")
-    again = starts.groupBy("h", "r", "string").agg(F.sum("n").alias("total")).where("total > 1").select("h", "r", "string")
-    masks = F.pandas_udf(_masks, "binary")
-    hot = starts.where("n = 1").join(again, ["h", "r", "string"]).groupBy("h", "digest").agg(F.collect_list("r").alias("rs")).select("h", "digest", masks("rs").alias("mask"))
-    verdict = contexts.where("n > 1").select("h", "digest", F.lit(None).cast("binary").alias("mask")).union(sorted_).union(hot)
-    judged = places.select("key", "at", "h", "left", "right", "digest").join(verdict, ["h", "digest"])
+                    around = [raw[i : j + LENGTH] for i, j in zip(first[o].tolist(), last[o].tolist())]
+                    left, right, of = (place[o] - first[o]).tolist(), (place[o] - last[o]).tolist(), h[o].view(np.int64).tolist()
+                    digest = [_digest(c, d) for c, d in zip(around, left)]
+                    if context:
+                        seen: dict[tuple, list] = {}
+                        for row in zip(of, digest, left, right, around):
+                            seen.setdefault(row[:2], [*row[:4], 0, row[4]])[4] += 1
+                        yield _batch([tuple(r) for r in seen.values()], names)
+                    else:
+                        which = np.searchsorted(edges, first[o], "right") - 1
+                        at = [rows[w][1] + p - rows[w][2] for w, p in zip(which.tolist(), place[o].tolist())]
+                        yield _batch(list(zip((keys[rows[w][0]] for w in which.tolist()), at, of, left, right, digest)), names)
+
+    return run
+
+
+def repeated_spans(docs: DataFrame) -> DataFrame:
+    """(key, spans array<struct<a long, b long>>): the runs of starts (a..b, inclusive) of repeated strings in each text."""
+    sc = docs.sparkSession.sparkContext
+    counts = docs.select("doc_id", "text").mapInArrow(_count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
+    again = sc.broadcast(_bitmap(staged(counts, "anchors")))
+    places = staged(docs.select("doc_id", "text", "key").mapInArrow(_occurrences(again, False), "key long, at long, h long, left int, right int, digest binary"), "places")
+    kinds = staged(places.groupBy("h", "digest", "left", "right").agg(F.count("*").alias("n")), "kinds")
+    buckets = kinds.groupBy("h").agg(F.count("*").alias("m"))
+    mixed = staged(buckets.where("m > 1").select("h"), "mixed")
+    around = docs.select("doc_id", "text", "key").mapInArrow(_occurrences(sc.broadcast(_bitmap(mixed)), True), "h long, digest binary, left int, right int, n long, context binary")
+    contexts = around.join(mixed, "h", "left_semi").groupBy("h", "digest", "left", "right").agg(F.sum("n").alias("n"), F.any_value("context").alias("context"))
+    whole = F.pandas_udf(_whole, "binary")
+    plain = kinds.where("n > 1").join(mixed, "h", "left_anti").select("h", "digest", whole("left", "right").alias("mask"))
+    verdict = plain.union(_verdict(staged(contexts, "contexts"), STEPS))
+    judged = places.join(verdict, ["h", "digest"])
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, a, b = [], [], []
             for key, at, left, right, mask in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                if mask is None:
-                    keys.append(key), a.append(at - left), b.append(at - right)
-                    continue
                 bits = np.unpackbits(np.frombuffer(mask, np.uint8), count=STARTS)
                 rs = np.flatnonzero(bits)
                 for i, j in runs(rs - np.arange(len(rs))):
