@@ -1,4 +1,4 @@
-"""op2's model: every training text shapes it, and its spellings form a distribution."""
+"""op2's model: every training text shapes it, its spellings form a distribution, and attention helps on held-out text."""
 
 from __future__ import annotations
 
@@ -7,48 +7,64 @@ import zlib
 import numpy as np
 
 from tidemark.llm import lm_model, lm_score
+from tidemark.llm.common import read
 from tidemark.llm.tokens import tokenizer_path
 
 PATH = tokenizer_path("byte_bpe_50k.json")
 
 
-def test_all_training_texts_shape_classes_and_weights(spark, monkeypatch):
-    ids = [i for i in range(1800) if zlib.crc32(str(i).encode()) % 7 != 2]
-    assert len(ids) > 1400
+def spelled_ids(text: str) -> list[int]:
+    """An end, the ids of every word after a space, an end."""
+    table = lm_score._ids(PATH)
+    own = [i for w in text.lower().split() for i in table.tokenizer.encode(" " + w, add_special_tokens=False).ids]
+    return [table.size - 1, *own, table.size - 1]
+
+
+def test_all_training_texts_shape_tree_and_weights(spark, monkeypatch):
+    ids = [i for i in range(900) if zlib.crc32(str(i).encode()) % 7 != 2]
     texts = [(i, f"word{i} amber basin {'zephyr ' * (i % 5)}") for i in ids]
     seen = []
-    real = lm_score._learned
-    monkeypatch.setattr(lm_score, "_learned", lambda spelled, of, bigram: seen.append((spelled, of, bigram)) or real(spelled, of, bigram))
+    real = lm_score.learned
+    monkeypatch.setattr(lm_score, "learned", lambda spelled, tree, size: seen.append((spelled, tree, size)) or real(spelled, tree, size))
     lm_score.score_texts(spark.createDataFrame(texts, "doc_id long, text string"), PATH)
-    spelled, of, bigram = seen[0]
-    table = lm_score._ids(PATH)
-    want = [lm_score._spelled(table, t.encode())[0] for _, t in texts]
-    counts, pairs = np.zeros(table.size), np.zeros((lm_model.CLASSES, lm_model.CLASSES))
+    spelled, tree, size = seen[0]
+    want = [np.array(spelled_ids(t)) for _, t in texts]
+    counts = np.zeros(size)
     for x in want:
         np.add.at(counts, x[1:], 1)
-    assert np.array_equal(of, lm_model.classes(counts)[0])
-    for x in want:
-        np.add.at(pairs, (of[x[:-1]], of[x[1:]]), 1)
-    assert np.allclose(bigram, lm_model.bigram_logs(pairs))
+    again = lm_score.grown(PATH, counts)
+    assert np.array_equal(tree.bias, again.bias) and np.array_equal(tree.path, again.path)
     rows = spelled.collect()
-    assert sorted(bytes(r.ids) for r in rows) == sorted(x.astype("<u4").tobytes() for x in want) and {r["round"] for r in rows} == set(range(lm_score.ROUNDS))
-    per_round = [next(iter(spelled.where(f"round = {k}").coalesce(1).select("ids").mapInArrow(lm_score._learner(lm_model.init(), of, bigram, 1e-3), "at long, w double, n long").select("n").limit(1).collect())).n for k in range(lm_score.ROUNDS)]
-    assert sum(per_round) == sum(len(x) - 1 for x in want)
+    assert sorted(bytes(r.ids) for r in rows) == sorted(x.astype("<u2").tobytes() for x in want) and {r["round"] for r in rows} == set(range(lm_score.ROUNDS))
+    held = spark.sparkContext.broadcast((lm_model.init(tree, size), tree))
+    trained = spelled.coalesce(2).select("ids").mapInArrow(lm_score._learner(held, "<u2"), "block int, salt int, n long, w binary").where("block = 0").collect()
+    assert sum(r.n for r in trained) == sum(len(x) - 1 for x in want)
 
 
 def test_rounds_average_and_learn(spark):
-    texts = [np.tile(np.arange(20), 200).astype("<u4") for _ in range(160)]
+    texts = [np.append(23, np.tile(np.arange(20), 200)).astype("<u2") for _ in range(60)]
     spelled = spark.createDataFrame([(i % lm_score.ROUNDS, x.tobytes()) for i, x in enumerate(texts)], "round int, ids binary").repartition(2)
-    of, bigram = np.arange(lm_model.CLASSES, dtype=np.int16), np.zeros((lm_model.CLASSES, lm_model.CLASSES), np.float32)
+    starts = np.arange(24) % 2 == 1
+    tree = lm_model.Tree(np.bincount(texts[0][1:], minlength=24).astype(float), starts, np.arange(24))
     flat, lengths = texts[0].astype(np.int64), np.array([len(texts[0]) - 1])
-    m = lm_score._learned(spelled, of, bigram)
-    assert lm_model.score(m, bigram, flat, lengths).mean() > lm_model.score(lm_model.init(), bigram, flat, lengths).mean() + 1
+    m = lm_score.learned(spelled, tree, 24)
+    assert lm_model.score(m, tree, flat, lengths)[0].mean() > lm_model.score(lm_model.init(tree, 24), tree, flat, lengths)[0].mean() + 1
+
+
+def test_the_mean_counts_by_ids(spark):
+    rows = [(0, 1, 10, np.full(4, 1, "<f4").tobytes()), (0, 2, 30, np.full(4, 5, "<f4").tobytes()), (1, 1, 7, np.full(2, 3, "<f4").tobytes())]
+    df = spark.createDataFrame(rows, "block int, salt int, n long, w binary")
+    some = df.repartition(2, "block", "salt").sortWithinPartitions("block", "salt").mapInArrow(lm_score._mean, df.schema)
+    from pyspark.sql import functions as F
+
+    got = some.withColumn("salt", F.lit(0)).repartition(2, "block").sortWithinPartitions("block").mapInArrow(lm_score._mean, df.schema).collect()
+    assert {r.block: (r.n, np.frombuffer(r.w, "<f4").tolist()) for r in got} == {0: (40, [4.0] * 4), 1: (7, [3.0] * 2)}
 
 
 def test_starts_are_the_first_ids_of_words():
     table = lm_score._ids(PATH)
     own = table.starts()
-    words = "amber don't 漢字  x naïve 12a34 <|endoftext|> _x_ ... é　y zzxqj".split(" ")
+    words = "amber don't 漢字 \u3000x naïve 12a34 <|endoftext|> _x_ ... é\u00a0y zzxqj \u0120a".split(" ")
     for w in words:
         ids = np.frombuffer(table[w.encode()], "<u4")
         assert own[ids[0]] and not own[ids[1:]].any() and table.size - 1 not in ids
@@ -56,30 +72,49 @@ def test_starts_are_the_first_ids_of_words():
 
 def test_words_and_end_share_at_most_one():
     rng = np.random.default_rng(1)
-    m = {k: (w + rng.standard_normal(w.shape) * 0.3).astype(np.float32) for k, w in lm_model.init().items()}
     size, end, starts, counts = 7, 6, np.array([1, 1, 1, 0, 0, 0, 1], bool), np.array([9.0, 5, 3, 8, 4, 2, 6])
-    of, inside = lm_model.classes(np.append(counts, np.zeros(lm_model.CLASSES)))
-    # no class but those of the seven ids: the pairs leave the others nothing
-    bigram = np.full((lm_model.CLASSES, lm_model.CLASSES), -80, np.float32)
-    own = of[:size]
-    bigram[np.ix_(own, own)] = rng.standard_normal((size, size)) * 2
-    share = np.bincount(of, np.exp(inside.astype(float)) * np.append(starts, np.zeros(lm_model.CLASSES)), lm_model.CLASSES)
+    tree = lm_model.Tree(counts, starts, np.arange(size))
+    m = {k: (w + rng.standard_normal(w.shape) * 0.5).astype(np.float32) for k, w in lm_model.init(tree, size).items()}
     # every word of up to four ids whose first id alone starts a word: all but a rest of long words
     vocabulary, frontier = [], [[i] for i in np.flatnonzero(starts[:end])]
     for _ in range(4):
         vocabulary += frontier
         frontier = [w + [i] for w in frontier for i in np.flatnonzero(~starts)]
 
-    def spelled(words):
-        return np.array([end, *(i for w in words for i in w), end]), np.array([*map(len, words), 1])
+    def logs(texts):
+        flat = np.concatenate([[end, *(i for w in t for i in w), end] for t in texts])
+        n = np.array([2 + sum(map(len, t)) for t in texts])
+        first, _, each = lm_score._words(flat, n, starts)
+        assert each.tolist() == [len(t) + 1 for t in texts]
+        return lm_score.word_logs(m, tree, flat, n, first, each).astype(float), np.cumsum(each)
 
     for before in ([], [[0, 3]], [[1], [2, 4, 3]]):
-        texts = [spelled([*before, w]) for w in vocabulary] + [spelled(before)]
-        logs = lm_score._word_logs(m, bigram, of, inside, share, texts)
-        at = np.cumsum([len(n) for _, n in texts])
+        out, at = logs([[*before, w] for w in vocabulary] + [before])
         last = np.append(at[:-1] - 2, at[-1] - 1)  # the word after `before`, or the end
-        total = np.exp(logs[last].astype(float)).sum()
-        rest = sum(np.exp(lm_score._word_logs(m, bigram, of, inside, share, [spelled([*before, w])])[len(before)].astype(float)) for w in frontier)
+        total = np.exp(out[last]).sum()
+        out, at = logs([[*before, w] for w in frontier])
+        rest = np.exp(out[at - 2]).sum()
         assert 0.3 < total <= 1.0001 and total + rest <= 1.0001
-        free = lm_score._word_logs(m, bigram, of, inside, np.ones_like(share), texts)  # without the words' ends
-        assert np.exp(free[last].astype(float)).sum() != total
+
+
+def test_attention_helps_on_held_out_text(spark):
+    """The same model trained with and without attention (V held at 0), over the documents of the smallest tables."""
+    docs = [(r.doc_id, r.text or "") for r in read(spark, "/root/testdata/sf0.01", "documents").collect()]
+    fold = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    table = lm_score._ids(PATH)
+
+    def laid(own):
+        ids = [spelled_ids(t) for t in own]
+        return np.concatenate(ids), np.array([len(x) - 1 for x in ids])
+
+    flat, n = laid([t for i, t in docs if not fold(i)][:600])
+    held, n_held = laid([t for i, t in docs if fold(i)][:100])
+    counts = np.bincount(flat, minlength=table.size).astype(float)
+    tree = lm_score.grown(PATH, counts)
+    with_it, without = lm_model.begin(lm_model.init(tree, table.size)), lm_model.begin(lm_model.init(tree, table.size))
+    without["m"]["V"][:] = 0
+    lm_model.train(with_it, tree, flat, n)
+    lm_model.train(without, tree, flat, n, still="V")
+    a, b = (lm_model.score(x["m"], tree, held, n_held)[0].mean() for x in (with_it, without))
+    counted = lm_model.score(lm_model.init(tree, table.size), tree, held, n_held)[0].mean()
+    assert a > b + 0.05 and b > counted + 0.3

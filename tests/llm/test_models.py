@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 
 from tidemark.llm import lm_model
+from tidemark.llm.common import read
 from tidemark.llm.lm_score import score_texts
 from tidemark.llm.quality import score_quality
 from tidemark.llm.tokens import tokenizer_path
@@ -36,38 +37,86 @@ def test_counts_and_base_score(docs, texts, no_docs):
 
 
 def test_windows_score_each_input_once():
-    lengths = np.array([1, 24, 25, 32, 33, 100])
-    first, context, scored = lm_model.windows(lengths)
-    seen = np.zeros(lengths.sum(), int)
-    for f, s in zip(first, scored):
-        seen[f : f + s] += 1
-    assert (seen == 1).all() and context.max() <= lm_model.WINDOW - lm_model.STRIDE
+    lengths = np.array([0, 1, 48, 49, 64, 65, 112, 113, 500])
+    for stride in (lm_model.STRIDE, lm_model.WINDOW):
+        first, text, context, scored = lm_model.windows(lengths, stride)
+        seen, starts = np.zeros((lengths + 1).sum(), int), np.cumsum(lengths + 1) - lengths - 1
+        for f, t, c, s in zip(first, text, context, scored):
+            assert 0 < s and c + s <= lm_model.WINDOW and starts[t] <= f and (c == lm_model.WINDOW - stride or f == starts[t])
+            seen[f + c : f + c + s] += 1
+        inside = np.ones(len(seen), bool)
+        inside[starts + lengths] = False  # a text's last id is no input
+        assert (seen == inside).all()
+
+
+def small_model(size: int, seed: int = 0):
+    rng = np.random.default_rng(seed)
+    tree = lm_model.Tree(rng.integers(0, 50, size).astype(float), rng.random(size) < 0.5, rng.permutation(size))
+    return tree, {k: (w + rng.standard_normal(w.shape) * 0.3).astype(np.float32) for k, w in lm_model.init(tree, size).items()}
+
+
+def test_tree_gives_the_share_of_the_counts():
+    counts = np.random.default_rng(2).integers(0, 1000, 300).astype(float)
+    starts = np.arange(300) % 3 == 0
+    tree = lm_model.Tree(counts, starts, np.arange(300))
+    m = lm_model.init(tree, 300)
+    logs, start = lm_model.log_probabilities(m, tree, np.zeros((300, lm_model.DIM), np.float32), np.arange(300))
+    share = (counts + 0.5) / (counts + 0.5).sum()
+    assert tree.nodes == 299 and np.allclose(np.exp(logs), share, rtol=1e-4) and np.allclose(np.exp(start), share[starts].sum(), rtol=1e-4)
 
 
 def test_model_is_causal_and_normalised():
-    rng = np.random.default_rng(0)
-    m = {k: (w + rng.standard_normal(w.shape) * 0.2).astype(np.float32) for k, w in lm_model.init().items()}
-    bigram = lm_model.bigram_logs(rng.integers(0, 9, (lm_model.CLASSES, lm_model.CLASSES)))
-    flat = rng.integers(0, lm_model.CLASSES, 60)
-    base = lm_model.score(m, bigram, flat, np.array([59]))
+    size, rng = 200, np.random.default_rng(0)
+    tree, m = small_model(size)
+    flat = rng.integers(0, size, 120)
+    base = lm_model.score(m, tree, flat, np.array([119]))[0]
     later = flat.copy()
-    later[40:] = rng.integers(0, lm_model.CLASSES, 20)
-    assert np.allclose(lm_model.score(m, bigram, later, np.array([59]))[:39], base[:39], atol=1e-5)
+    later[80:] = rng.integers(0, size, 40)
+    assert np.allclose(lm_model.score(m, tree, later, np.array([119]))[0][:79], base[:79], atol=1e-5)
     total = 0.0
-    for c in range(lm_model.CLASSES):
+    for c in range(size):
         last = flat.copy()
         last[-1] = c
-        total += math.exp(lm_model.score(m, bigram, last, np.array([59]))[-1])
+        total += math.exp(lm_model.score(m, tree, last, np.array([119]))[0][-1])
     assert abs(total - 1) < 1e-3
 
 
+def test_gradients_follow_the_loss():
+    """A small step along each weight's gradient lowers the loss as the gradient says."""
+    size, rng = 40, np.random.default_rng(5)
+    tree, m = small_model(size)
+    flat, n = rng.integers(0, size, 130), np.array([64, 64])
+    loss = lambda x: -float(lm_model.score(x, tree, flat, n, 1)[0].astype(float).sum())
+    state = lm_model.begin(m, spent=1e12)  # a huge sum: steps of rate / 1e6 along the plain gradient
+    lm_model.train(state, tree, flat, n, rate=1e6 * 1e-3)
+    for name in m:
+        step = state["m"][name] - m[name]
+        moved = {**m, name: m[name] + step}
+        expected = -(step.astype(float) ** 2).sum() / 1e-3
+        assert expected < 0 and abs(loss(moved) - loss(m) - expected) < 0.15 * abs(expected) + 2e-3, name
+
+
 def test_model_learns():
-    flat = np.tile(np.arange(20), 300)
+    flat = np.append(3, np.tile(np.arange(20), 300))
     lengths = np.array([len(flat) - 1])
-    bigram = np.zeros((lm_model.CLASSES, lm_model.CLASSES), np.float32)
-    before = lm_model.score(lm_model.init(), bigram, flat, lengths).mean()
-    after = lm_model.score(lm_model.train(flat, lengths, bigram, epochs=40), bigram, flat, lengths).mean()
-    assert after > before + 2
+    tree = lm_model.Tree(np.bincount(flat, minlength=24).astype(float), np.arange(24) % 2 == 0, np.arange(24))
+    state = lm_model.begin(lm_model.init(tree, 24))
+    before = lm_model.score(state["m"], tree, flat, lengths)[0].mean()
+    for _ in range(6):
+        lm_model.train(state, tree, flat, lengths, batch=4)
+    assert lm_model.score(state["m"], tree, flat, lengths)[0].mean() > before + 2
+
+
+def test_quality_on_held_out_labels(spark):
+    """Accuracy and ranking on the labelled documents that the fit may not use."""
+    sf = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r.quality for r in read(spark, sf, "labels").collect() if r.quality is not None}
+    got = {r.doc_id: r._score for r in score_quality(read(spark, sf, "documents"), read(spark, sf, "labels")).collect()}
+    out = [i for i in labels if i in got and zlib.crc32(str(i).encode()) % 3 == 1]
+    good, bad = ([got[i] for i in out if labels[i] == y] for y in (1, 0))
+    assert min(len(good), len(bad)) > 10
+    assert sum((got[i] >= 0.5) == (labels[i] == 1) for i in out) >= 0.9 * len(out)
+    assert np.mean([a > b for a in good for b in bad]) >= 0.95
 
 
 def test_quality(spark, docs, no_docs):

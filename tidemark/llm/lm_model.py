@@ -1,161 +1,209 @@
-"""A small causal self-attention language model in numpy, over classes of subword ids.
+"""A causal self-attention language model over subword ids, in numpy.
 
-The output is factored: p(id) = p(class | context) * p(id | class). Frequent ids are classes of their own, the rest are
-dealt to GROUPS classes by frequency. p(class | context) = softmax(h U + bigram[previous class]): h comes from one layer of masked
-self-attention over a window, the bigram log-probabilities and p(id | class) from counts over the whole training fold.
+p(id | context) is a product along a binary tree whose leaves are the ids: at each node a sigmoid of h · vector + bias chooses
+a side. h comes from one layer of masked self-attention over a window of id embeddings. The tree keeps the ids in the order given (by spelling;
+ids that start a word or end a text come first) and halves the counts at every node, so frequent ids have short paths;
+the biases start at the counts' log-odds, so an untrained model gives each id its share of the counts. The probabilities of
+all ids sum to 1 for every context, and the root alone says whether a word starts (or the text ends) next.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-SINGLES, GROUPS, DIM, WINDOW, STRIDE = 160, 32, 32, 32, 24
-CLASSES = SINGLES + GROUPS
-_ONES = np.ones(CLASSES, np.float32)
-
-
-def classes(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """From counts of all ids: (class of each id, ln p(id | class)); counts get 0.5 more, so every id has a probability."""
-    order = np.argsort(-counts, kind="stable")
-    of = np.empty(len(counts), np.int16)
-    of[order[:SINGLES]] = np.arange(SINGLES)
-    of[order[SINGLES:]] = SINGLES + np.arange(len(counts) - SINGLES) % GROUPS
-    smooth = counts + 0.5
-    total = np.bincount(of, smooth, CLASSES)
-    return of, np.log(smooth / total[of]).astype(np.float32)
-
-
-def bigram_logs(pairs: np.ndarray) -> np.ndarray:
-    """ln p(class | previous class) from a CLASSES x CLASSES table of counts, smoothed with the class shares."""
-    pairs = pairs.astype(float)
-    share = (pairs.sum(0) + 1) / (pairs.sum() + CLASSES)
-    return np.log((pairs + 20 * share) / (pairs.sum(1, keepdims=True) + 20)).astype(np.float32)
-
-
-def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For sequences of the given input lengths laid end to end: per window the place of its first scored input, how many inputs
-    before it are its context, and how many it scores. Every input is scored in one window."""
-    n = -(-lengths // STRIDE)
-    first = np.repeat(np.cumsum(lengths) - lengths, n)
-    step = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * STRIDE
-    left = np.repeat(lengths, n) - step
-    return first + step, np.minimum(step, WINDOW - STRIDE), np.minimum(left, STRIDE)
-
-
-def init(seed: int = 3) -> dict[str, np.ndarray]:
+DIM, WINDOW, STRIDE = 24, 64, 48
+#: Levels of the tree whose nodes are computed all at once.
+TOP = 7
+_ONE = np.float32(1)
+
+
+class Tree:
+    """nodes: number of inner nodes, numbered level by level; path, side (ids x depth) and depth of each id; bias: log-odds of the counts."""
+
+    def __init__(self, counts: np.ndarray, starts: np.ndarray, order: np.ndarray):
+        size = len(counts)
+        order = np.concatenate([order[starts[order]], order[~starts[order]]])
+        sums = np.concatenate([[0.0], np.cumsum(counts[order] + 0.5)])
+        lo, hi = np.array([0]), np.array([size])
+        paths, sides, biases, nodes, first = [], [], [], 0, int(starts.sum())
+        while len(lo):
+            middle = np.searchsorted(sums, (sums[lo] + sums[hi]) / 2)
+            middle = np.clip(middle - (np.abs(sums[middle - 1] * 2 - sums[lo] - sums[hi]) < np.abs(sums[middle] * 2 - sums[lo] - sums[hi])), lo + 1, hi - 1)
+            if not nodes:
+                middle = np.clip([first], 1, size - 1)
+            path, side = np.full(size, -1, np.int32), np.zeros(size, np.float32)
+            inside = np.repeat(np.arange(len(lo)), hi - lo)
+            at = np.arange(len(inside)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + lo[inside]
+            path[order[at]] = nodes + inside
+            side[order[at]] = np.where(at < middle[inside], 1, -1)
+            paths.append(path), sides.append(side), biases.append(np.log((sums[middle] - sums[lo]) / (sums[hi] - sums[middle])))
+            nodes += len(lo)
+            lo, hi = np.stack([lo, middle], 1).ravel(), np.stack([middle, hi], 1).ravel()
+            lo, hi = lo[hi - lo > 1], hi[hi - lo > 1]
+        self.nodes, self.path, self.side = nodes, np.stack(paths, 1), np.stack(sides, 1)
+        self.depth = (self.path >= 0).sum(1)
+        self.bias = np.concatenate(biases).astype(np.float32)
+        self.top = int(np.flatnonzero(np.bincount(self.path[:, : TOP].ravel() + 1, minlength=nodes + 1)[1:])[-1]) + 1
+
+
+def init(tree: Tree, size: int, seed: int = 3) -> dict[str, np.ndarray]:
+    """E: embedding of each id; P: of each place; Q, K, V: attention; U: vector of each node; B: its bias."""
     rng = np.random.default_rng(seed)
-    shapes = {"E": (CLASSES, DIM), "P": (WINDOW, DIM), "Q": (DIM, DIM), "K": (DIM, DIM), "V": (DIM, DIM), "U": (DIM, CLASSES)}
-    return {k: (rng.standard_normal(s) * (0.02 if k == "U" else 0.3 if k in "EP" else DIM**-0.5)).astype(np.float32) for k, s in shapes.items()}
+    shapes = {"E": (size, DIM), "P": (WINDOW, DIM), "Q": (DIM, DIM), "K": (DIM, DIM), "V": (DIM, DIM)}
+    m = {k: (rng.standard_normal(s) * (0.2 if k in "EP" else DIM**-0.5)).astype(np.float32) for k, s in shapes.items()}
+    return m | {"U": np.zeros((tree.nodes, DIM), np.float32), "B": tree.bias.copy()}
 
 
-def _mask(context: np.ndarray) -> np.ndarray:
-    """Additive mask (windows x STRIDE x WINDOW): an input sees itself and what precedes it inside its window and text."""
-    slot, query = np.arange(WINDOW), np.arange(STRIDE) + WINDOW - STRIDE
-    seen = (slot[None, None] <= query[None, :, None]) & (slot[None, None] >= (WINDOW - STRIDE - context)[:, None, None])
-    return np.where(seen, np.float32(0), np.float32(-1e9))
+def windows(lengths: np.ndarray, stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For texts of the given input lengths laid end to end (each with one id more): per window the place of its first id, its text, how many
+    inputs at its beginning are context only, and how many it scores. Windows start stride apart and hold up to WINDOW inputs, so
+    that WINDOW - stride of them overlap; every input is scored in one window."""
+    n = np.maximum(1, -(-(lengths - (WINDOW - stride)) // stride)) * (lengths > 0)
+    text = np.repeat(np.arange(len(lengths)), n)
+    step = (np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)) * stride
+    context = np.where(step > 0, WINDOW - stride, 0)
+    first = np.repeat(np.cumsum(lengths + 1) - lengths - 1, n) + step
+    return first, text, context, np.minimum(lengths[text] - step, WINDOW) - context
 
 
-_FULL = np.where(np.arange(WINDOW)[None] <= (np.arange(STRIDE) + WINDOW - STRIDE)[:, None], np.float32(0), np.float32(-1e9))[None]
+_MASK = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
 
 
-def forward(m: dict[str, np.ndarray], inputs: np.ndarray, context: np.ndarray) -> tuple:
-    """inputs: windows x WINDOW classes. Returns (x, q, k, v, attention, h); h has a row for each of the last STRIDE slots."""
-    x = m["E"][inputs] + m["P"]
-    own = x[:, WINDOW - STRIDE :]
+def forward(m: dict[str, np.ndarray], inputs: np.ndarray) -> tuple[np.ndarray, ...]:
+    """inputs: windows x WINDOW ids. Returns x, q, k, v, attention and h, in which each input has seen those before it and itself."""
+    x = m["E"][inputs]
+    x += m["P"]
     flat = x.reshape(-1, DIM)
-    q, k, v = own.reshape(-1, DIM) @ (m["Q"] * np.float32(DIM**-0.5)), flat @ m["K"], flat @ m["V"]
-    q, k, v = q.reshape(own.shape), k.reshape(x.shape), v.reshape(x.shape)
+    q, k, v = ((flat @ w).reshape(x.shape) for w in (m["Q"] * np.float32(DIM**-0.5), m["K"], m["V"]))
     a = np.matmul(q, k.transpose(0, 2, 1))
-    a += _FULL if (context == WINDOW - STRIDE).all() else _mask(context)
+    a += _MASK
     np.minimum(a, 60, out=a)
     np.exp(a, out=a)
     a /= a.sum(2, keepdims=True)
-    return x, q, k, v, a, np.tanh(np.matmul(a, v) + own)
-
-
-def _gather(flat: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Classes of each window's slots; slots before a text's start hold anything, the mask hides them."""
-    at = first[:, None] + np.arange(-(WINDOW - STRIDE), STRIDE)[None]
-    return flat[np.clip(at, 0, len(flat) - 1)]
-
-
-def score(m: dict[str, np.ndarray], bigram: np.ndarray, flat: np.ndarray, lengths: np.ndarray, batch: int = 64, share: np.ndarray | None = None) -> np.ndarray | tuple[np.ndarray, np.ndarray]:
-    """ln p(class) of every target; with a share for each class also ln of its mean under the next class's distribution, at every input. flat: classes of texts end to end, each with one begin class before it; lengths: inputs of each text,
-    one less than its classes. Returns one value for each input, text after text."""
-    first, context, scored = windows(lengths)
-    shift = np.repeat(np.arange(len(lengths)), -(-lengths // STRIDE))  # flat has one more class for each earlier text
-    order = np.argsort(context < WINDOW - STRIDE, kind="stable")
-    out = np.empty(int(lengths.sum()), np.float32)
-    shared = np.empty_like(out)
-    sums = np.stack([_ONES, _ONES if share is None else share.astype(np.float32)], 1)
-    slots = np.arange(STRIDE)
+    h = np.matmul(a, v)
+    h += x
+    return x, q, k, v, a, np.tanh(h, out=h)
+
+
+def _soft(z: np.ndarray) -> np.ndarray:
+    """ln sigmoid(z)."""
+    return np.minimum(z, 0) - np.log1p(np.exp(-np.abs(z)))
+
+
+def _deep(tree: Tree, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Below the top levels, target after target: row, node and side of every node on its path."""
+    n = np.maximum(tree.depth[target] - TOP, 0)
+    row = np.repeat(np.arange(len(target)), n)
+    level = TOP + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    own = target[row]
+    return row, tree.path[own, level], tree.side[own, level]
+
+
+def log_probabilities(m: dict[str, np.ndarray], tree: Tree, h: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """ln p(target | h) of each row, and ln p(a word starts or the text ends | h)."""
+    top = h @ m["U"][: tree.top].T
+    top += m["B"][: tree.top]
+    path, side = tree.path[target, :TOP], tree.side[target, :TOP]
+    z = np.take_along_axis(top, np.maximum(path, 0), 1) * side
+    out = np.where(side != 0, _soft(z), 0).sum(1)
+    row, node, side = _deep(tree, target)
+    if len(row):
+        z = np.einsum("nd,nd->n", h[row], m["U"][node])
+        z += m["B"][node]
+        z *= side
+        out += np.bincount(row, _soft(z), len(target)).astype(np.float32)
+    return out, _soft(top[:, 0])
+
+
+def score(m: dict[str, np.ndarray], tree: Tree, flat: np.ndarray, lengths: np.ndarray, batch: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """For every input of texts laid end to end: ln p(the next id), and ln p(a word starts or the text ends there). flat: ids of the texts, each with
+    an end before it; lengths: inputs of each text, one less than its ids."""
+    first, text, context, scored = windows(lengths, STRIDE)
+    logs, starts = np.empty(int(lengths.sum()), np.float32), np.empty(int(lengths.sum()), np.float32)
+    slots = np.arange(WINDOW)
+    for i in range(0, len(first), batch):
+        w = slice(i, i + batch)
+        at = first[w][:, None] + slots
+        h = forward(m, flat[np.minimum(at, len(flat) - 1)])[-1]
+        live = (slots >= context[w][:, None]) & (slots < (context[w] + scored[w])[:, None])
+        place = at[live]
+        into = place - np.repeat(text[w], scored[w])
+        logs[into], starts[into] = log_probabilities(m, tree, h[live], flat[place + 1])
+    return logs, starts
+
+
+def _add_rows(w: np.ndarray, s: np.ndarray, rows: np.ndarray, grads: np.ndarray, rate: float) -> None:
+    """One Adagrad step of the rows (which may repeat) of w; s has each row's sum of mean squared gradients."""
+    order = np.argsort(rows, kind="stable")
+    rows = rows[order]
+    cut = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+    g, own = np.add.reduceat(grads[order], cut), rows[cut]
+    s[own] += (g * g).mean(1) if g.ndim > 1 else g * g
+    scale = np.float32(rate) / np.sqrt(s[own] + np.float32(1e-8))
+    w[own] -= (g.T * scale).T
+
+
+def train(state: dict, tree: Tree, flat: np.ndarray, lengths: np.ndarray, rate: float = 0.1, batch: int = 64, seed: int = 3, still: str = "") -> dict[str, np.ndarray]:
+    """One pass of Adagrad over all inputs of the texts (see score), in windows that do not overlap; returns the weights of state. still: names of
+    square matrices that stay as they are."""
+    m, s, rng = state["m"], state["s"], np.random.default_rng(seed)
+    first, _, _, scored = windows(lengths, WINDOW)
+    slots, scale = np.arange(WINDOW), np.float32(DIM**-0.5)
+    order = rng.permutation(len(first))
     for i in range(0, len(order), batch):
         w = order[i : i + batch]
-        inputs = _gather(flat, first[w] + shift[w])
-        h = forward(m, inputs, context[w])[-1]
-        live = slots[None] < scored[w][:, None]
-        at = (first[w][:, None] + slots[None])[live]
-        there = at + np.repeat(shift[w], scored[w])
-        logits = h[live] @ m["U"]
-        logits += bigram[flat[there]]
-        target = logits[np.arange(len(at)), flat[there + 1]]
-        np.exp(logits, out=logits)
-        total, part = (logits @ sums).T
-        out[at] = target - np.log(total)
-        shared[at] = np.log(np.maximum(part, np.float32(1e-30)) / total)
-    return out if share is None else (out, shared)
-
-
-def train(flat: np.ndarray, lengths: np.ndarray, bigram: np.ndarray, epochs: int = 2, batch: int = 32, rate: float = 4e-3, seed: int = 3, state: dict | None = None) -> dict[str, np.ndarray]:
-    """Adam on the mean cross-entropy of the scored inputs; the bigram table stays as it was counted. With a state (see begin) its
-    weights are trained further at a constant rate, so that texts can come in pieces; else from init() at a falling rate."""
-    held = begin(init(seed)) if state is None else state
-    m, s1, s2, rng = held["m"], held["s1"], held["s2"], np.random.default_rng(seed)
-    if not len(lengths):
-        return m
-    first, context, scored = windows(lengths)
-    shift = np.repeat(np.arange(len(lengths)), -(-lengths // STRIDE))
-    slots, scale = np.arange(STRIDE), np.float32(DIM**-0.5)
-    steps = epochs * -(-len(first) // batch)
-    for _ in range(epochs):
-        order = rng.permutation(len(first))
-        for i in range(0, len(order), batch):
-            w = order[i : i + batch]
-            held["t"] = t = held["t"] + 1
-            inputs = _gather(flat, first[w] + shift[w])
-            x, q, k, v, a, h = forward(m, inputs, context[w])
-            live = slots[None] < scored[w][:, None]
-            there = (first[w][:, None] + shift[w][:, None] + slots[None])[live]
-            own_h = h[live]
-            p = own_h @ m["U"]
-            p += bigram[flat[there]]
-            p -= p.max(1, keepdims=True)
-            np.exp(p, out=p)
-            p *= 1 / ((p @ _ONES) * np.float32(len(p)))[:, None]
-            p[np.arange(len(p)), flat[there + 1]] -= np.float32(1 / len(p))
-            g = {"U": own_h.T @ p}
-            dh = np.zeros_like(h)
-            dh[live] = p @ m["U"].T
-            dh *= 1 - h * h
-            da = np.matmul(dh, v.transpose(0, 2, 1))
-            dv = np.matmul(a.transpose(0, 2, 1), dh)
-            ds = a * (da - (da * a).sum(2, keepdims=True)) * scale
-            dq, dk = np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q) / scale
-            own = x[:, WINDOW - STRIDE :]
-            dx = dk @ m["K"].T + dv @ m["V"].T
-            dx[:, WINDOW - STRIDE :] += dq @ m["Q"].T + dh
-            g["Q"], g["K"], g["V"] = (y.reshape(-1, DIM).T @ dy.reshape(-1, DIM) for y, dy in ((own, dq), (x, dk), (x, dv)))
-            g["P"] = dx.sum(0)
-            at = inputs.ravel()[:, None].astype(np.int64) * DIM + np.arange(DIM)
-            g["E"] = np.bincount(at.ravel(), dx.ravel(), CLASSES * DIM).reshape(CLASSES, DIM).astype(np.float32)
-            step = rate * min(1.0, t / 50) * (max(0.05, 1 - t / steps) if state is None else 1.0)
-            for name, grad in g.items():
-                s1[name] += 0.1 * (grad - s1[name])
-                s2[name] += 0.01 * (grad * grad - s2[name])
-                m[name] -= np.float32(step / (1 - 0.9**t)) * s1[name] / (np.sqrt(s2[name] / np.float32(1 - 0.99**t)) + np.float32(1e-8))
+        at = first[w][:, None] + slots
+        inputs = flat[np.minimum(at, len(flat) - 1)]
+        x, q, k, v, a, h = forward(m, inputs)
+        live = slots < scored[w][:, None]
+        own, target = h[live], flat[at[live] + 1]
+        # of -ln p by each node's z: -side * sigmoid(-side * z)
+        top = own @ m["U"][: tree.top].T
+        top += m["B"][: tree.top]
+        path, side = np.maximum(tree.path[target, :TOP], 0), tree.side[target, :TOP]
+        g = -side / (_ONE + np.exp(np.clip(np.take_along_axis(top, path, 1) * side, -60, 60)))
+        top[:] = 0
+        np.put_along_axis(top, np.where(side != 0, path, tree.top - 1), np.where(side != 0, g, 0), 1)
+        if (short := np.flatnonzero(side[:, -1] == 0)).size:  # a padded level must not wipe the last node's own gradient
+            for l in range(side.shape[1]):
+                r = short[side[short, l] != 0]
+                top[r, path[r, l]] = g[r, l]
+        dh = top @ m["U"][: tree.top]
+        row, node, side = _deep(tree, target)
+        u, hr = m["U"][node], own[row]
+        gd = -side / (_ONE + np.exp(np.clip((np.einsum("nd,nd->n", hr, u) + m["B"][node]) * side, -60, 60)))
+        u *= gd[:, None]
+        if len(row):
+            cut = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+            dh[row[cut]] += np.add.reduceat(u, cut)
+        gu, gb = top.T @ own, top.sum(0)
+        hr *= gd[:, None]
+        back = np.zeros_like(h)
+        back[live] = dh * (_ONE - own * own)
+        da = np.matmul(back, v.transpose(0, 2, 1))
+        dv = np.matmul(a.transpose(0, 2, 1), back)
+        da *= a
+        da -= a * da.sum(2, keepdims=True)
+        dq, dk = np.matmul(da, k), np.matmul(da.transpose(0, 2, 1), q)
+        flat_x, dq, dk, dv = x.reshape(-1, DIM), dq.reshape(-1, DIM) * scale, dk.reshape(-1, DIM), dv.reshape(-1, DIM)
+        dx = back.reshape(-1, DIM) + dq @ m["Q"].T + dk @ m["K"].T + dv @ m["V"].T
+        for name, grad in (("Q", flat_x.T @ dq), ("K", flat_x.T @ dk), ("V", flat_x.T @ dv), ("P", dx.reshape(x.shape).sum(0))):
+            if name in still:
+                continue
+            s[name] += grad * grad
+            m[name] -= np.float32(rate) * grad / np.sqrt(s[name] + np.float32(1e-8))
+        t = slice(0, tree.top)
+        s["U"][t] += (gu * gu).mean(1)
+        m["U"][t] -= np.float32(rate) * gu / np.sqrt(s["U"][t] + np.float32(1e-8))[:, None]
+        s["B"][t] += gb * gb
+        m["B"][t] -= np.float32(rate) * gb / np.sqrt(s["B"][t] + np.float32(1e-8))
+        if len(row):
+            _add_rows(m["U"], s["U"], node, hr, rate)
+            _add_rows(m["B"], s["B"], node, gd, rate)
+        _add_rows(m["E"], s["E"], inputs[live], dx.reshape(x.shape)[live], rate)
     return m
 
 
-def begin(m: dict[str, np.ndarray]) -> dict:
-    """State of train() at the weights m, which are copied: weights, Adam's two means, steps done."""
-    return {"m": {k: v.copy() for k, v in m.items()}, "s1": {k: np.zeros_like(v) for k, v in m.items()}, "s2": {k: np.zeros_like(v) for k, v in m.items()}, "t": 0}
+def begin(m: dict[str, np.ndarray], spent: float = 1e-3) -> dict:
+    """State of train() at the weights m, which are copied: weights and Adagrad's sums (spent at first), one for each row of E, U and B."""
+    return {"m": {k: v.copy() for k, v in m.items()}, "s": {k: np.full(len(v) if k in "EUB" else v.shape, spent, np.float32) for k, v in m.items()}}

@@ -1,16 +1,17 @@
-"""LM scoring: word counts of the whole training fold mixed with a causal self-attention model over subword ids.
+"""LM scoring: a causal self-attention model over subword ids, trained on the whole training fold.
 
-A text is its words (A-Z lower-cased) and one end. The attention model spells every word in ids of the byte-level
-tokenizer; long texts are cut into windows that overlap by their context, and each id is scored once, in batches under a mask.
-A word's probability is SHARE * c / N + (1 - SHARE) * p(its ids | context), c being its count among the N tokens of the training fold.
-p(its ids | context) is that of a whole word: the first id's among the ids that start a word or end the text (one of them comes, as the
-word before has ended), the others', and that after the last id a word starts or the text ends. So the words and the end share at most 1.
+A text is its words (A-Z lower-cased) and one end. Every word is spelled in ids of the byte-level tokenizer, once: the ids of all
+texts are written down, and counting, training and scoring read them. Long texts are cut into windows that overlap by their context,
+and each id is scored once, in batches under a causal mask. A word's probability is that of its ids and of the word ending there: the first
+id's among the ids that start a word or end the text (one of them comes, as the word before has ended), the others', and that after the last id a word starts
+or the text ends. So the words and the end share at most 1. A floor of SHARE * c / N, c being the word's count among the N tokens of the
+training fold, is mixed in: SHARE * c / N + (1 - SHARE) * p(ids | context).
 
-All training texts are counted: words, ids and pairs of id classes; the classes come from the counts of all ids. The attention
-weights are trained on all training texts, each once: texts are dealt to ROUNDS rounds by their id's hash; in a round each task runs
-Adam over its own texts from the same weights, and the next round starts from the mean of the tasks' weights, each counting by its
-ids. So the weights depend a little on how the input is cut into tasks. The most frequent TOP words' counts (a fixed number) are broadcast; other words travel as
-64-bit hashes to a join with the counts, so the table of counts is never held in one place and no hot word is shuffled.
+All training texts are counted and learned from, each id once: texts are dealt to ROUNDS rounds by their id's hash; in a round each task trains
+over its own texts from the same weights, and the next round starts from the mean of the tasks' weights, each counting by its
+ids. So the weights depend a little on how the input is cut into tasks. The weights (about 10 MB, a fixed number) travel in blocks that are summed as
+streams, first by salt, then in all. The most frequent TOP words' counts (a fixed number) are broadcast; other words travel as
+64-bit hashes of their ids to a join with the counts, so the table of counts is never held in one place and no hot word is shuffled.
 
 Defined results: a null or empty text is the end alone; rows that repeat a doc_id are scored and counted each; a row without doc_id
 is scored, not learned from, and has a null held_out; without training rows every word is spelled by the untrained model.
@@ -23,48 +24,48 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import lm_model
-from tidemark.llm.common import id_text, read, staged
+from tidemark.llm.common import id_text, partitions, pieces, read, staged
 from tidemark.llm.quality import fold
 from tidemark.llm.tokens import tokenizer_path
-from tidemark.llm.words import word_hashes
+from tidemark.llm.words import Kept, mix
 
-SHARE, ROUNDS, TOP = 0.35, 4, 1 << 17
-#: Windows in a training step, Adam's rate in the first round (it falls with the rounds), ids trained on together.
-BATCH, RATE, TRAINED = 64, 4e-3, 400_000
-KEPT_WORDS = 400_000
-#: Word hashes counted together; ids scored together.
-COUNTED, SCORED = 6_000_000, 200_000
-#: The end as a word: a hash that stands for no text.
-END_WORD = np.uint64(0x5EED)
+SHARE, ROUNDS, TOP = 0.05, 3, 1 << 17
+#: Bytes of ids that a training task of a round is meant to have; ids trained on, counted or scored together.
+TASK_BYTES, TRAINED, COUNTED, SCORED = 16_000_000, 400_000, 3_000_000, 200_000
+#: Floats in a block of weights; salts by which blocks are summed first.
+BLOCK, SALTS = 1 << 14, 16
+KEPT_WORDS = 150_000
 
 
-class _Ids(dict):
+class _Ids(Kept):
     """word (bytes) -> ids of the word after a space, as unsigned 32-bit little-endian bytes."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        super().__init__(KEPT_WORDS)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size()
 
-    def __missing__(self, word: bytes) -> bytes:
-        ids = np.array(self.tokenizer.encode(" " + word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self) < KEPT_WORDS and len(word) < 64:
-            self[word] = ids
-        return ids
+    def make(self, word: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(" " + word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
 
+    def spellings(self) -> list[str]:
+        out = [""] * self.size
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
+            out[i] = token
+        return out
 
     def starts(self) -> np.ndarray:
         """Of each id, whether a word or the end begins with it: words are spelled after a space, and no other id of a word holds one."""
-        own = np.zeros(self.size, bool)
-        for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
-            own[i] = token.startswith("\u0120")
+        own = np.array([t.startswith("\u0120") for t in self.spellings()])
         own[self.size - 1] = True
         return own
 
@@ -74,193 +75,213 @@ _IDS: dict[str, _Ids] = {}
 
 def _ids(path: str) -> _Ids:
     if path not in _IDS:
+        _IDS.clear()
         _IDS[path] = _Ids(path)
     return _IDS[path]
 
 
-def _spelled(table: _Ids, text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(ids with an end before and after, number of ids of each word and of the end)."""
-    parts = list(map(table.__getitem__, text.lower().split()))
-    end = table.size - 1
-    ids = np.empty(sum(map(len, parts)) // 4 + 2, np.int64)
-    ids[0] = ids[-1] = end
-    ids[1:-1] = np.frombuffer(b"".join(parts), "<u4")
-    return ids, np.fromiter(map(len, [*parts, b"end."]), np.int64, len(parts) + 1) // 4
-
+def grown(path: str, counts: np.ndarray) -> lm_model.Tree:
+    """The tree over the tokenizer's ids, by spelling."""
+    table = _ids(path)
+    names, starts = table.spellings(), table.starts()
+    order = np.array(sorted(range(table.size), key=names.__getitem__))
+    return lm_model.Tree(counts, starts, order)
 
-def _texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
-    return batch.column(batch.schema.get_field_index(name)).cast(pa.large_binary()).to_pylist()
 
-
-def _counts(kind: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["kind", "key", "n"])
-
-
-def _word_counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of words (kind 0), summed inside the task."""
-    held, size = [], 0
-    for batch in batches:
-        for text in _texts(batch):
-            words = word_hashes(text)
-            held += [words, np.array([END_WORD])]
-            size += len(words) + 1
-            if size >= COUNTED:
-                yield _counts(0, *np.unique(np.concatenate(held), return_counts=True))
-                held, size = [], 0
-    if held:
-        yield _counts(0, *np.unique(np.concatenate(held), return_counts=True))
+def _width(size: int) -> str:
+    return "<u2" if size <= 1 << 16 else "<u4"
 
 
 def _speller(path: str):
-    """The round and the ids (with an end before and after) of each text."""
+    """A row number, doc_id, held_out, the round and the ids (with an end before and after) of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _ids(path)
+        table, row = _ids(path), TaskContext.get().partitionId() << 40
+        kind = _width(table.size)
+        end = np.array([table.size - 1], kind).tobytes()
         for batch in batches:
-            ids = [_spelled(table, t)[0].astype("<u4").tobytes() for t in _texts(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["round", "ids"])
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                ids = []
+                for text in part.column(3).cast(pa.large_binary()).to_pylist():
+                    spelled = b"".join(map(table.__getitem__, text.lower().split()))
+                    ids.append(end + np.frombuffer(spelled, "<u4").astype(kind).tobytes() + end)
+                yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(len(ids))), *part.columns[:3], pa.array(ids, pa.binary())], ["row", "doc_id", "held_out", "round", "ids"])
+                row += len(ids)
 
     return run
 
 
-def _laid(ids: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def _laid(ids: list[bytes], kind: str) -> tuple[np.ndarray, np.ndarray]:
     """(ids of texts end to end, number of ids of each text)."""
-    return np.frombuffer(b"".join(ids), "<u4").astype(np.int64), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+    return np.frombuffer(b"".join(ids), kind).astype(np.int64), np.fromiter(map(len, ids), np.int64, len(ids)) // int(kind[-1])
+
 
+def _words(flat: np.ndarray, n: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts laid end to end, without the end before each: places of the first id of every word and end among the inputs, their hashes (of their
+    ids), and the number of words and ends of each text."""
+    keep = np.ones(len(flat), bool)
+    keep[np.cumsum(n) - n] = False
+    own = flat[keep]
+    first = np.flatnonzero(starts[own])
+    place = np.arange(len(own)) - np.repeat(first, np.diff(np.append(first, len(own))))
+    with np.errstate(over="ignore"):
+        each = mix(own.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + mix(place.astype(np.uint64) + np.uint64(77)))
+        hashes = mix(np.add.reduceat(each, first)) if len(first) else np.zeros(0, np.uint64)
+    text = np.repeat(np.arange(len(n)), n - 1)
+    return first, hashes, np.bincount(text[first], minlength=len(n))
 
-def _id_counter(size: int, of: np.ndarray | None = None):
-    """Counts of ids (kind 1) or, with the classes, of pairs of classes (2), summed inside the task."""
+
+def _counter(path: str):
+    """Counts of words (kind 0, by hash) and of ids (kind 1), summed inside the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(size if of is None else lm_model.CLASSES**2, np.int64)
+        table = _ids(path)
+        kind, starts = _width(table.size), table.starts()
+        seen, held, size = np.zeros(table.size, np.int64), [], 0
+
+        def out(kind: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["kind", "key", "n"])
+
         for batch in batches:
-            flat, n = _laid(batch.column(0).to_pylist())
-            starts = np.cumsum(n) - n
-            if of is None:
-                seen += np.bincount(np.delete(flat, starts), minlength=len(seen))
-            else:
-                c = of[flat].astype(np.int64)
-                seen += np.bincount(np.delete(c[:-1] * lm_model.CLASSES + c[1:], starts[1:] - 1), minlength=len(seen))
+            for at in range(0, batch.num_rows, 500):
+                flat, n = _laid(batch.column(0).slice(at, 500).to_pylist(), kind)
+                if not len(n):
+                    continue
+                seen += np.bincount(flat, minlength=len(seen)) - np.bincount(flat[np.cumsum(n) - n], minlength=len(seen))
+                held.append(_words(flat, n, starts)[1])
+                size += len(held[-1])
+                if size >= COUNTED:
+                    yield out(0, *np.unique(np.concatenate(held), return_counts=True))
+                    held, size = [], 0
+        if held:
+            yield out(0, *np.unique(np.concatenate(held), return_counts=True))
         at = np.flatnonzero(seen)
-        yield _counts(1 if of is None else 2, at, seen[at])
+        yield out(1, at, seen[at])
 
     return run
 
 
-def _learner(m: dict[str, np.ndarray], of: np.ndarray, bigram: np.ndarray, rate: float):
-    """Trains m on the task's texts, all of them: each weight's place and value times the ids trained on, and their number."""
+def _learner(held, kind: str):
+    """Trains the weights on the task's texts, all of them: blocks of the weights, and the number of ids trained on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state, total, held, size = lm_model.begin(m), 0, [], 0
+        m, tree = held.value
+        state, total, texts, size, salt = lm_model.begin(m), 0, [], 0, TaskContext.get().partitionId() % SALTS
 
         def learn() -> None:
-            flat, n = _laid(held)
-            lm_model.train(of[flat].astype(np.int64), n - 1, bigram, epochs=1, batch=BATCH, rate=rate, state=state)
+            flat, n = _laid(texts, kind)
+            lm_model.train(state, tree, flat, n - 1)
 
         for batch in batches:
-            for ids in batch.column(0).to_pylist():
-                held.append(ids)
-                size += len(ids) // 4 - 1
-                if size >= TRAINED:
-                    learn()
-                    total, held, size = total + size, [], 0
-        if held:
+            for at in range(0, batch.num_rows, 500):
+                for ids in batch.column(0).slice(at, 500).to_pylist():
+                    texts.append(ids)
+                    size += len(ids) // int(kind[-1]) - 1
+                    if size >= TRAINED:
+                        learn()
+                        total, texts, size = total + size, [], 0
+        if texts:
             learn()
             total += size
         if total:
-            flat = np.concatenate([state["m"][k].ravel() for k in m]).astype(np.float64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat * total), pa.array(np.full(len(flat), total))], ["at", "w", "n"])
+            flat = np.concatenate([state["m"][k].ravel() for k in m]).astype("<f4")
+            for block, a in enumerate(range(0, len(flat), BLOCK)):
+                yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "salt": pa.array([salt], pa.int32()), "n": pa.array([total]), "w": pa.array([flat[a : a + BLOCK].tobytes()], pa.binary())})
 
     return run
 
 
-def _learned(spelled: DataFrame, of: np.ndarray, bigram: np.ndarray) -> dict[str, np.ndarray]:
-    """The attention weights after ROUNDS rounds over all spelled texts."""
-    m = lm_model.init()
+def _mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by block; the mean of each block's rows, which count by n, held one at a time."""
+    now, salt, n, total = None, 0, 0, None
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"block": pa.array([now], pa.int32()), "salt": pa.array([salt], pa.int32()), "n": pa.array([n]), "w": pa.array([(total / n).astype("<f4").tobytes()], pa.binary())})
+
+    for batch in batches:
+        for r in batch.to_pylist():
+            own = np.frombuffer(r["w"], "<f4").astype(np.float64) * r["n"]
+            if (r["block"], r["salt"]) == (now, salt):
+                n, total = n + r["n"], total + own
+                continue
+            if now is not None:
+                yield out()
+            now, salt, n, total = r["block"], r["salt"], r["n"], own
+    if now is not None:
+        yield out()
+
+
+def learned(spelled: DataFrame, tree: lm_model.Tree, size: int) -> dict[str, np.ndarray]:
+    """The weights after ROUNDS rounds over all spelled texts (round, ids)."""
+    spark, kinds = spelled.sparkSession, "block int, salt int, n long, w binary"
+    m = lm_model.init(tree, size)
+    amount = spelled.agg(F.sum(F.length("ids"))).first()[0] or 0
+    tasks = max(spark.sparkContext.defaultParallelism, pieces(amount // ROUNDS, TASK_BYTES))
     for k in range(ROUNDS):
-        each = spelled.where(F.col("round") == k).select("ids").mapInArrow(_learner(m, of, bigram, RATE * (1 - (k + 0.5) / ROUNDS)), "at long, w double, n long")
-        mean = staged(each.groupBy("at").agg((F.sum("w") / F.sum("n")).alias("w")), "lm-model").toPandas()  # one row for each weight
-        if len(mean):
-            flat = mean.sort_values("at").w.to_numpy(np.float32)
+        held = spark.sparkContext.broadcast((m, tree))
+        each = spelled.where(F.col("round") == k).select("ids").coalesce(tasks).mapInArrow(_learner(held, _width(size)), kinds)
+        some = each.repartition(min(tasks, partitions(spark)), "block", "salt").sortWithinPartitions("block", "salt").mapInArrow(_mean, kinds)
+        mean = some.withColumn("salt", F.lit(0)).repartition(partitions(spark), "block").sortWithinPartitions("block").mapInArrow(_mean, kinds)
+        rows = sorted(staged(mean, "lm-model").select("block", "w").collect())  # the weights: about 10 MB
+        if rows:
+            flat = np.frombuffer(b"".join(bytes(r.w) for r in rows), "<f4")
             cuts = np.cumsum([w.size for w in m.values()])[:-1]
-            m = {name: x.reshape(w.shape) for (name, w), x in zip(m.items(), np.split(flat, cuts))}
+            m = {name: x.reshape(w.shape).copy() for (name, w), x in zip(m.items(), np.split(flat, cuts))}
+        held.unpersist()
     return m
 
 
-def _word_logs(model: dict[str, np.ndarray], bigram: np.ndarray, of: np.ndarray, inside: np.ndarray, share: np.ndarray, spelled: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """ln p(word | context) of every word and end of the spelled texts; share: of each class, how much of it starts a word or is the end."""
-    flat = np.concatenate([s for s, _ in spelled])
-    logs, ends = lm_model.score(model, bigram, of[flat].astype(np.int64), np.array([len(s) - 1 for s, _ in spelled]), share=share)
-    logs += inside[np.concatenate([s[1:] for s, _ in spelled])]
-    each = np.concatenate([n for _, n in spelled])
-    first = np.cumsum(each) - each
-    after = np.append(ends[first][1:], np.float32(0))
-    after[np.cumsum([len(n) for _, n in spelled]) - 1] = 0  # nothing follows an end
-    return np.add.reduceat(logs, first) - ends[first] + after
-
-
 def score_texts(docs: DataFrame, tokenizer: str, share: float = SHARE) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of docs."""
     spark = docs.sparkSession
-    rows = id_text(docs).withColumn("held_out", fold(F.col("doc_id"), 7) == 2)
-    training = rows.where("NOT held_out")
     size = _ids(tokenizer).size
-    spelled = staged(training.select(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)).cast("int").alias("round"), "text").mapInArrow(_speller(tokenizer), "round int, ids binary"), "lm-ids")
-    words = staged(training.select("text").mapInArrow(_word_counter, "kind int, key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "lm-counts").withColumnRenamed("key", "word")
+    kind = _width(size)
+    rows = id_text(docs).select("doc_id", (fold(F.col("doc_id"), 7) == 2).alias("held_out"), F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)).cast("int").alias("round"), "text")
+    spelled = staged(rows.mapInArrow(_speller(tokenizer), "row long, doc_id long, held_out boolean, round int, ids binary"), "lm-ids")
+    training = spelled.where("NOT held_out")
+    counts = staged(training.select("ids").mapInArrow(_counter(tokenizer), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "lm-counts")
+    words = counts.where("kind = 0").select(F.col("key").alias("word"), "n")
     total, distinct = (x or 0 for x in words.agg(F.sum("n"), F.count("*")).first())
-
-    def counted(n: int, of: np.ndarray | None = None) -> np.ndarray:
-        rows = spelled.select("ids").mapInArrow(_id_counter(size, of), "kind int, key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas()  # at most n rows
-        out = np.zeros(n)
-        out[rows.key.to_numpy(np.int64)] = rows.n.to_numpy()
-        return out
-
-    of, inside = lm_model.classes(counted(size))
-    share_of = np.bincount(of, np.exp(inside.astype(float)) * _ids(tokenizer).starts(), lm_model.CLASSES)
-    bigram = lm_model.bigram_logs(counted(lm_model.CLASSES**2, of).reshape(lm_model.CLASSES, -1))
-    model = _learned(spelled, of, bigram)
+    of_ids = np.zeros(size)
+    for key, n in counts.where("kind = 1").select("key", "n").collect():  # at most as many rows as ids
+        of_ids[key] = n
+    tree = grown(tokenizer, of_ids)
+    model = learned(training.select("round", "ids"), tree, size)
     top = words.orderBy(F.desc("n"), "word").limit(TOP).toPandas()
     order = np.argsort(top.word.to_numpy().view(np.uint64))
-    held = spark.sparkContext.broadcast((model, bigram, of, inside, share_of, top.word.to_numpy().view(np.uint64)[order], top.n.to_numpy(np.float64)[order]))
+    held = spark.sparkContext.broadcast((model, tree, top.word.to_numpy().view(np.uint64)[order], top.n.to_numpy(np.float64)[order]))
     base_of = math.log10(total + distinct + 1)
     kinds = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, words array<long>, logs array<float>"
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, bigram, of, inside, share_of, top_words, top_counts = held.value
-        table, row = _ids(tokenizer), TaskContext.get().partitionId() << 40
+        model, tree, top_words, top_counts = held.value
+        starts = _ids(tokenizer).starts()
         if not len(top_words):
             top_words, top_counts = np.zeros(1, np.uint64), np.zeros(1)
 
-        def part(ids: list, outs: list, hashes: list[np.ndarray], spelled: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-            nonlocal row
-            logs = _word_logs(model, bigram, of, inside, share_of, spelled)
-            all_words = np.concatenate(hashes)
-            at = np.minimum(np.searchsorted(top_words, all_words), len(top_words) - 1)
-            c = np.where(top_words[at] == all_words, top_counts[at], 0.0)
-            rare, doc = c == 0, np.repeat(np.arange(len(ids)), [len(h) for h in hashes])
+        def part(rows: pa.RecordBatch) -> pa.RecordBatch:
+            flat, n = _laid(rows.column(3).to_pylist(), kind)
+            first, hashes, each = _words(flat, n, starts)
+            logs = word_logs(model, tree, flat, n, first, each)
+            at = np.minimum(np.searchsorted(top_words, hashes), len(top_words) - 1)
+            c = np.where(top_words[at] == hashes, top_counts[at], 0.0)
+            rare, doc = c == 0, np.repeat(np.arange(len(n)), each)
             base = np.where(rare, 0.0, np.log10(c + 1) - base_of)
             mixed = np.where(rare, 0.0, np.log10(np.maximum(share * c / max(total, 1) + (1 - share) * np.exp(logs.astype(float)), 1e-300)))
-            n = np.bincount(doc, minlength=len(ids))
-            edges = np.concatenate([[0], np.cumsum(np.bincount(doc[rare], minlength=len(ids)))]).astype(np.int32)
-            out = pa.RecordBatch.from_arrays([pa.array(row + np.arange(len(ids))), pa.array(ids, pa.int64()), pa.array(outs, pa.bool_()), pa.array(n), pa.array(np.bincount(doc[~rare], minlength=len(ids))), pa.array(np.bincount(doc, base, len(ids))), pa.array(np.bincount(doc, mixed, len(ids))), pa.ListArray.from_arrays(pa.array(edges), pa.array(all_words[rare].view(np.int64))), pa.ListArray.from_arrays(pa.array(edges), pa.array(logs[rare]))], ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "words", "logs"])
-            row += len(ids)
-            return out
+            edges = np.concatenate([[0], np.cumsum(np.bincount(doc[rare], minlength=len(n)))]).astype(np.int32)
+            sums = [pa.array(each), pa.array(np.bincount(doc[~rare], minlength=len(n))), pa.array(np.bincount(doc, base, len(n))), pa.array(np.bincount(doc, mixed, len(n)))]
+            return pa.RecordBatch.from_arrays([*rows.columns[:3], *sums, pa.ListArray.from_arrays(pa.array(edges), pa.array(hashes[rare].view(np.int64))), pa.ListArray.from_arrays(pa.array(edges), pa.array(logs[rare]))], ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "words", "logs"])
 
         for batch in batches:
-            ids, outs, hashes, spelled, size = [], [], [], [], 0
-            for doc, out, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), _texts(batch)):
-                spelled.append(_spelled(table, text))
-                hashes.append(np.append(word_hashes(text), END_WORD))
-                ids.append(doc)
-                outs.append(out)
-                size += len(spelled[-1][0])
-                if size >= SCORED:
-                    yield part(ids, outs, hashes, spelled)
-                    ids, outs, hashes, spelled, size = [], [], [], [], 0
-            if ids:
-                yield part(ids, outs, hashes, spelled)
-
-    each = staged(rows.select("doc_id", "text", "held_out").mapInArrow(scored, kinds), "lm-scores")
+            upto = np.cumsum(np.asarray(pc.binary_length(batch.column(3))), dtype=np.int64)
+            a = 0
+            while a < batch.num_rows:  # rows of about SCORED ids
+                b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + SCORED * int(kind[-1]))))
+                yield part(batch.slice(a, b - a))
+                a = b
+
+    each = staged(spelled.select("row", "doc_id", "held_out", "ids").mapInArrow(scored, kinds), "lm-scores")
     rare = each.select("row", F.explode(F.arrays_zip("words", "logs")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.logs").cast("double").alias("log"))
     c = F.coalesce("n", F.lit(0))
     mixed = F.log10(F.greatest(F.lit(share / max(total, 1)) * c + F.lit(1 - share) * F.exp("log"), F.lit(1e-300)))
@@ -270,5 +291,13 @@ def score_texts(docs: DataFrame, tokenizer: str, share: float = SHARE) -> DataFr
     return done.select("doc_id", "held_out", "n_tokens", add("n_known", "known_r").alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), add("base", "base_r").alias("base_score"), add("score", "score_r").alias("score"))
 
 
+def word_logs(model: dict[str, np.ndarray], tree: lm_model.Tree, flat: np.ndarray, n: np.ndarray, first: np.ndarray, each: np.ndarray) -> np.ndarray:
+    """ln p(word | context) of every word and end of texts laid end to end; first, each: see _words."""
+    logs, starts = lm_model.score(model, tree, flat, n - 1)
+    after = np.append(starts[first][1:], np.float32(0))
+    after[np.cumsum(each) - 1] = 0  # nothing follows an end
+    return np.add.reduceat(logs, first) - starts[first] + after
+
+
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
