@@ -3,8 +3,8 @@
 Documents are dealt to parts by ranges of doc_id and sorted inside them. A part is three flat files:
 `.ids` (unsigned 16- or 32-bit ids, as the vocabulary needs), `.off` (64-bit offsets of its documents, one more
 than there are documents) and `.doc` (64-bit doc ids). The first id of a part in the whole output is the prefix sum
-of the parts before it, kept in the table `index` beside the files. A part's files are written under a name of the task
-attempt and renamed, so a task that runs again after a lost executor leaves the same files.
+of the parts before it, kept in the table `index` beside the files. A part's files carry the number of the task attempt that
+wrote them and nothing is renamed; the index names the attempt that was kept, so a task that runs again after a lost executor does no harm.
 
 Defined results: a null or empty text has only the end id; rows that repeat a doc_id each have
 their own place; a row without doc_id sorts first and comes back with a null doc_id; an empty table gives no documents.
@@ -34,10 +34,10 @@ def _write(folder: str, path: str, end_id: int):
         dtype = "<u2" if enc.tokenizer.get_vocab_size() <= 2**16 else "<u4"
         files, root = pafs.FileSystem.from_uri(folder)
         task = TaskContext.get()
-        name, temp = f"{root}/part-{task.partitionId():06d}", f"{root}/_{task.partitionId():06d}-{task.taskAttemptId()}"
+        part = f"part-{task.partitionId():06d}-{task.taskAttemptId()}"
         end = np.array([end_id], dtype).tobytes()
         lengths, docs = [np.zeros(1, np.int64)], []
-        with files.open_output_stream(f"{temp}.ids") as out:
+        with files.open_output_stream(f"{root}/{part}.ids") as out:
             for batch in batches:
                 own = np.zeros(batch.num_rows, np.int64)
                 for i, text in enumerate(batch.column(1).to_pylist()):
@@ -48,27 +48,26 @@ def _write(folder: str, path: str, end_id: int):
                 docs.append(np.asarray(batch.column(0).fill_null(_NO_ID)))
         offsets = np.cumsum(np.concatenate(lengths), dtype="<i8")
         for kind, data in (("off", offsets), ("doc", np.concatenate(docs) if docs else np.zeros(0, "<i8"))):
-            with files.open_output_stream(f"{temp}.{kind}") as out:
+            with files.open_output_stream(f"{root}/{part}.{kind}") as out:
                 out.write(data.astype("<i8").tobytes())
-        for kind in ("ids", "doc", "off"):
-            files.move(f"{temp}.{kind}", f"{name}.{kind}")
-        yield pa.RecordBatch.from_pydict({"part": pa.array([task.partitionId()], pa.int32()), "docs": pa.array([len(offsets) - 1]), "ids": pa.array([int(offsets[-1])]), "width": pa.array([int(dtype[-1])], pa.int32())})
+        yield pa.RecordBatch.from_pydict({"part": pa.array([task.partitionId()], pa.int32()), "name": pa.array([part]), "docs": pa.array([len(offsets) - 1]), "ids": pa.array([int(offsets[-1])]), "width": pa.array([int(dtype[-1])], pa.int32())})
 
     return run
 
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int) -> DataFrame:
-    """Write the token files of docs to folder (which all executors see); returns the index, also kept as folder/index: part, docs, ids, width, base."""
+    """Write the token files of docs to folder (which all executors see); returns the index, also kept as folder/index: part, name, docs, ids, width, base."""
     spark = docs.sparkSession
     files, root = pafs.FileSystem.from_uri(folder)
     files.create_dir(root, recursive=True)
-    ordered = id_text(docs).repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id")
-    sums = staged(ordered.mapInArrow(_write(folder, tokenizer, end_id), "part int, docs long, ids long, width int"), "token-parts")
+    rows = id_text(docs).withColumn("tie", F.xxhash64("text"))  # so that many rows of one doc_id, or of none, are dealt to several parts
+    ordered = rows.repartitionByRange(partitions(spark), "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
+    sums = staged(ordered.mapInArrow(_write(folder, tokenizer, end_id), "part int, name string, docs long, ids long, width int"), "token-parts")
     rows, base = [], 0
     for r in sorted(sums.collect()):  # one row for each part
-        rows.append((r.part, r.docs, r.ids, r.width, base))
+        rows.append((r.part, r.name, r.docs, r.ids, r.width, base))
         base += r.ids
-    index = spark.createDataFrame(rows, "part int, docs long, ids long, width int, base long")
+    index = spark.createDataFrame(rows, "part int, name string, docs long, ids long, width int, base long")
     index.coalesce(1).write.parquet(f"{folder}/index")
     return index
 
@@ -85,7 +84,7 @@ def _read(folder: str):
         files, root = pafs.FileSystem.from_uri(folder)
         for batch in batches:
             for r in batch.to_pylist():
-                name = f"{root}/part-{r['part']:06d}"
+                name = f"{root}/{r['name']}"
                 ids, off, docs = _open(files, f"{name}.ids", f"<u{r['width']}"), _open(files, f"{name}.off", "<i8"), _open(files, f"{name}.doc", "<i8")
                 for a in range(0, len(docs), 5000):
                     b = min(a + 5000, len(docs))
