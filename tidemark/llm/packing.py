@@ -192,7 +192,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, larg
     table = spark.sparkContext.broadcast(_table(plan(histogram, capacity, groups, large)))
     before = W.partitionBy("length").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)
     bases = counts.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    own = F.row_number().over(W.partitionBy("length", "salt").orderBy("doc_id", "piece"))
+    # every column orders the ranks: rows that tie in all of them are the same, so a stage that is computed again gives the same places
+    order = ["doc_id", "piece", *(f.name for f in pieces.schema if f.name not in ("doc_id", "piece") and f.dataType.typeName() not in ("map", "variant"))]
+    own = F.row_number().over(W.partitionBy("length", "salt").orderBy(*order))
     ranked = salted.withColumn("rank", own - 1).join(bases, ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("base"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
