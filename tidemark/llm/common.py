@@ -33,8 +33,10 @@ def partitions(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession, kind: str) -> str:
-    """A fresh folder under spark.checkpoint.dir, which every executor sees; a temporary one only where that is unset."""
+    """A fresh folder under spark.checkpoint.dir, which every executor sees; a temporary one only in local mode and where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and every executor see")
     if not base:
         base = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
         spark.conf.set("spark.checkpoint.dir", base)
