@@ -57,7 +57,7 @@ def normalize_remote(url: Column) -> Column:
 def forge(remote: Column) -> dict[str, Column]:
     """host, owner and repo of a normalized address."""
     path = F.split(F.regexp_replace(remote, "^https://", ""), "/")
-    return {"host": F.get(path, F.lit(0)), "owner": F.when(F.size(path) > 2, F.get(path, F.lit(1))), "repo": F.element_at(path, -1)}
+    return {"host": F.get(path, F.lit(0)), "owner": F.when(F.size(path) > 2, F.get(path, F.lit(1))), "repo": F.when(F.size(path) > 1, F.element_at(path, -1))}
 
 
 def windows_path(path: Column) -> Column:

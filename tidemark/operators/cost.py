@@ -42,16 +42,16 @@ def priced(events: DataFrame, prices: DataFrame) -> DataFrame:
     return r
 
 
-def cost_ledger(events: DataFrame, prices: DataFrame) -> DataFrame:
-    """event_cost: events of which at least one component has a price."""
+def cost_ledger(events: DataFrame, prices: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """event_cost: events of which at least one component has a price; keep: further columns of the events."""
     p = priced(events, prices).where(" OR ".join(f"{c}_nano IS NOT NULL" for c in _PARTS))
     parts = [F.coalesce(f"{c}_nano", F.lit(0)).alias(f"{c}_nano") for c in _PARTS]
-    return p.select("event_id", "session_id", "thread_id", "source", "ts", F.col("carried").alias("model"), "attributed", "price_from", "currency", *parts, sum((F.coalesce(f"{c}_nano", F.lit(0)) for c in _PARTS), F.lit(0)).alias("total_nano"))
+    return p.select("event_id", "session_id", "thread_id", "source", "ts", F.col("carried").alias("model"), "attributed", "price_from", "currency", *keep, *parts, sum((F.coalesce(f"{c}_nano", F.lit(0)) for c in _PARTS), F.lit(0)).alias("total_nano"))
 
 
-def unpriced_ledger(events: DataFrame, prices: DataFrame) -> DataFrame:
-    """event_unpriced: tokens without a price, by reason (no_model, no_rate, no_component)."""
+def unpriced_ledger(events: DataFrame, prices: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """event_unpriced: tokens without a price, by reason (no_model, no_rate, no_component); keep: further columns of the events."""
     p = priced(events, prices)
     reason = F.when(F.col("carried").isNull(), "no_model").when(F.col("price_from").isNull(), "no_rate").otherwise("no_component")
     missing = sum((F.when((F.col(f"t_{c}") > 0) & F.col(f"{c}_nano").isNull(), F.col(f"t_{c}")).otherwise(0) for c in _PARTS), F.lit(0))
-    return p.select("event_id", "session_id", "thread_id", "source", "ts", F.col("carried").alias("model"), "attributed", missing.alias("tokens"), reason.alias("reason")).where("tokens > 0")
+    return p.select("event_id", "session_id", "thread_id", "source", "ts", F.col("carried").alias("model"), "attributed", *keep, missing.alias("tokens"), reason.alias("reason")).where("tokens > 0")

@@ -29,19 +29,25 @@ def time_at_level(spans: DataFrame, *keys: str) -> DataFrame:
     return levels(spans, *keys).where("level > 0 AND ms > 0").groupBy(*keys, "level").agg(F.sum("ms").alias("ms"))
 
 
+def _covered() -> Column:
+    return F.coalesce(F.sum(F.when(F.col("level") > 0, F.col("ms"))), F.lit(0))
+
+
+def _area() -> Column:
+    """The sum of all spans' lengths is the area under the sweep."""
+    return F.coalesce(F.sum(F.col("level") * F.col("ms")), F.lit(0))
+
+
 def concurrency(spans: DataFrame, *keys: str) -> DataFrame:
-    """Peak, first time of the peak (null if 0), wall clock, active time and their ratio (4 digits)."""
-    swept = levels(spans, *keys).groupBy(*keys).agg(F.max("level").alias("peak"), F.min_by("t", F.struct(-F.col("level"), "t")).alias("_at"), F.coalesce(F.sum(F.when(F.col("level") > 0, F.col("ms"))), F.lit(0)).alias("wall_ms"))
-    active = spans.groupBy(*keys).agg(F.sum(F.col("ended_at") - F.col("started_at")).alias("active_ms"))
-    both = swept.join(active, list(keys)) if keys else swept.crossJoin(active)  # one row each without keys
+    """Peak, first time of the peak (null if 0), wall clock, active time and their ratio (4 digits), all from one sweep."""
+    swept = levels(spans, *keys).groupBy(*keys).agg(F.max("level").alias("peak"), F.min_by("t", F.struct(-F.col("level"), "t")).alias("at"), _covered().alias("wall_ms"), _area().alias("active_ms"))
     ratio = F.when(F.col("wall_ms") > 0, F.round(F.col("active_ms") / F.col("wall_ms"), 4)).otherwise(F.lit(0.0))
-    return both.select(*keys, "peak", F.when(F.col("peak") > 0, F.col("_at")).alias("peak_at"), "wall_ms", "active_ms", ratio.alias("multiplier"))
+    return swept.select(*keys, "peak", F.when(F.col("peak") > 0, F.col("at")).alias("peak_at"), "wall_ms", "active_ms", ratio.alias("multiplier"))
 
 
 def union_length(spans: DataFrame, *keys: str) -> DataFrame:
     """Milliseconds covered by at least one span."""
-    swept = levels(spans, *keys)
-    return swept.groupBy(*keys).agg(F.coalesce(F.sum(F.when(F.col("level") > 0, F.col("ms"))), F.lit(0)).alias("wall_ms"))
+    return levels(spans, *keys).groupBy(*keys).agg(_covered().alias("wall_ms"))
 
 
 def split(spans: DataFrame, unit: str) -> DataFrame:
@@ -58,8 +64,7 @@ def split(spans: DataFrame, unit: str) -> DataFrame:
 def daily(spans: DataFrame, *keys: str) -> DataFrame:
     """Active time and wall clock of each local day that has a span."""
     pieces = split(spans, "DAY").select(*keys, F.to_date("bucket").alias("day"), F.col("piece_start").alias("started_at"), F.col("piece_end").alias("ended_at"))
-    active = pieces.groupBy(*keys, "day").agg(F.sum(F.col("ended_at") - F.col("started_at")).alias("active_ms"))
-    return active.join(union_length(pieces, *keys, "day"), [*keys, "day"])
+    return levels(pieces, *keys, "day").groupBy(*keys, "day").agg(_area().alias("active_ms"), _covered().alias("wall_ms"))
 
 
 def fill_days(days: DataFrame, **zero: Column) -> DataFrame:

@@ -2,51 +2,69 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import spelling
+from tidemark.functions.scalars import strip_date
 
-#: Words that name another tier of a model.
-TIERS = ("mini", "nano", "lite", "flash", "pro", "max", "turbo", "free", "fast", "high", "low", "thinking", "preview")
+#: Words after a key that name another, separately priced model.
+TIERS = ("mini", "nano", "pro", "max", "lite", "flash", "fast", "turbo", "plus", "ultra")
+#: Fixed value: how a name says that it is a vendor's free tier.
+FREE = r"(?:^|[-:])free$"
 
 
-def contained(key: str, model: str) -> bool:
-    """Whether a spelled key names the spelled model up to a boundary: no further version number (a date may follow) and no other tier."""
-    at = model.find(key)
-    if at < 0 or at and model[at - 1] != "-":
-        return False
-    rest = model[at + len(key) :]
-    if rest and rest[0] != "-":
-        return False
-    words = [w for w in rest.split("-") if w]
-    return not any(w in TIERS for w in words) and not any(re.fullmatch(r"v?\d+", w) and not re.fullmatch(r"\d{8}", w) for w in words)
+def dashed(name: Column) -> Column:
+    return F.translate(name, ".@", "--")
 
 
-def match_models(models: DataFrame, catalog: DataFrame) -> DataFrame:
-    """models (model) x catalog (key, rank) -> model, key, exact. Models and keys are the distinct names in use, both small dimensions.
+def is_free(name: Column) -> Column:
+    return F.rlike(F.lower(F.trim(name)), F.lit(FREE))
+
+
+def forms(model: Column) -> Column:
+    """The strings that name the same model, the most literal first: as recorded, in lower case, without each provider prefix, and all of these without a date."""
+    raw = F.trim(model)
+    low = F.lower(raw)
+    parts = F.split(low, "/")
+    peeled = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i + 1, F.size(parts)), "/"))
+    literal = F.concat(F.array(raw, low), peeled)
+    every = F.concat(literal, F.transform(literal, strip_date), F.transform(literal, lambda f: strip_date(dashed(f))))
+    return F.filter(F.array_distinct(every), lambda f: f != "")
+
+
+def contained(key: Column, name: Column) -> Column:
+    """Whether the key stands in the name, both in lower case, between characters that are neither letters nor digits.
 
-    Names first meet by equality (exact, then spelled alike); only names left over are tried by containment, joined on a shared word.
+    Not if the word behind it is a tier, and, for a key that ends in a digit, not if `-` or `.` and a number go on, unless that is a date of eight digits.
     """
-    m, c = models.distinct().withColumn("s", spelling(F.col("model"))), catalog.withColumn("s", spelling(F.col("key")))
-    exact = m.join(c.select("key", "rank"), m["model"] == c["key"]).select("model", "key", F.lit(0).alias("way"), "rank")
-    alike = m.join(c.select("key", "rank", "s"), "s").select("model", "key", F.lit(1).alias("way"), "rank")
-    word = lambda d: d.select("*", F.explode(F.array_distinct(F.split("s", "-"))).alias("w"))
-    head = c.withColumn("w", F.substring_index("s", "-", 1))
-    maybe = word(m).join(head.select("key", "rank", F.col("s").alias("ks"), "w"), "w").select("model", "s", "key", "ks", "rank").distinct()
+    edge = r"(?![\p{L}\p{N}])"
+    tier = rf"(?![^\p{{L}}\p{{N}}](?:{'|'.join(TIERS)})(?![a-z0-9]))"
+    version = rf"(?![-.](?!\d{{8}}{edge})\d)"
+    quoted = F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), key, F.lit(rf"\E{edge}{tier}"))
+    return (key != "") & F.rlike(name, F.concat(quoted, F.when(F.rlike(key, F.lit(r"\d$")), F.lit(version)).otherwise(F.lit(""))))
 
-    @F.pandas_udf("boolean")
-    def fits(keys: pd.Series, names: pd.Series) -> pd.Series:
-        return pd.Series([contained(k, n) for k, n in zip(keys, names)])
 
-    near = maybe.where(fits("ks", "s")).select("model", "key", F.lit(2).alias("way"), "rank")
-    order = W.partitionBy("model").orderBy("way", "rank", F.length("key").desc(), "key")
-    best = exact.union(alike).union(near).withColumn("_rn", F.row_number().over(order)).where("_rn = 1")
-    return best.select("model", "key", (F.col("way") < 2).alias("exact"))
+def match_models(models: DataFrame, catalog: DataFrame) -> DataFrame:
+    """models (model) x catalog (key, rank: 0 for the primary source) -> model, key, exact. Models and keys are distinct names, both small dimensions.
+
+    A name meets a key by its forms, the most literal first; then by forms and keys with `.` and `@` as `-`, where a spelling of two keys names
+    neither; only then, and never for free tiers, by the key that it contains: primary source first, the longest, the alphabetically first.
+    The last ones meet on a shared word, so names are not paired with all keys.
+    """
+    m = models.distinct().select("model", F.posexplode(forms(F.col("model"))).alias("place", "form"))
+    c = catalog.groupBy("key").agg(F.min("rank").alias("rank"))
+    exact = m.join(c.select("key"), F.col("form") == F.col("key")).select("model", "key", F.lit(0).alias("way"), F.col("place").alias("first"), F.lit(0).alias("second"))
+    spelled = c.groupBy(dashed(F.lower("key")).alias("form")).agg(F.min("key").alias("key"), F.count("*").alias("n")).where("n = 1").drop("n")
+    alike = m.withColumn("form", dashed(F.col("form"))).join(spelled, "form").select("model", "key", F.lit(1).alias("way"), F.col("place").alias("first"), F.lit(0).alias("second"))
+    name, low = F.lower(F.trim("model")), F.lower("key")
+    words = lambda x: F.filter(F.split(x, r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    paid = models.distinct().where(~is_free(F.col("model"))).withColumn("w", F.explode(F.array_distinct(words(name))))
+    keys = c.where(~is_free(F.col("key"))).withColumn("w", F.get(words(low), F.lit(0)))
+    maybe = paid.join(keys, "w").where(contained(low, name) | contained(dashed(low), dashed(name)))
+    near = maybe.select("model", "key", F.lit(2).alias("way"), F.col("rank").alias("first"), (-F.length("key")).alias("second"))
+    best = W.partitionBy("model").orderBy("way", "first", "second", "key")
+    return exact.union(alike).union(near).withColumn("rn", F.row_number().over(best)).where("rn = 1").select("model", "key", (F.col("way") < 2).alias("exact"))
 
 
 def layered(*layers: DataFrame) -> DataFrame:
@@ -59,8 +77,21 @@ def layered(*layers: DataFrame) -> DataFrame:
     return ranked.withColumn("_best", best).where("_layer = _best").drop("_layer", "_best")
 
 
-def history(snapshots: DataFrame, key: str, at: str, value: str) -> DataFrame:
-    """Snapshots of a value as periods (from, to exclusive): a new one begins only where the value changed."""
-    w = W.partitionBy(key).orderBy(at)
-    changed = snapshots.withColumn("_new", F.lag(at).over(w).isNull() | ~F.col(value).eqNullSafe(F.lag(value).over(w))).where("_new")
-    return changed.select(key, F.col(at).alias("valid_from"), F.lead(at).over(w).alias("valid_to"), value)
+def history(snapshots: DataFrame, key: str, at: str, value: str, bucket_ms: int = 86_400_000) -> DataFrame:
+    """Snapshots of a value as periods (from, to exclusive): a new one begins only where the value changed.
+
+    Rows are compared inside time buckets; what a bucket ends or begins with crosses its edge through one row for each key and bucket, so
+    the snapshots of a key are never ordered in one task.
+    """
+    b = F.floor(F.col(at) / bucket_ms)
+    rows = snapshots.select(F.col(key).alias("k"), F.col(at).alias("t"), F.col(value).alias("v"), b.alias("b"))
+    w, over = W.partitionBy("k", "b").orderBy("t"), W.partitionBy("k").orderBy("b")
+    edge = rows.groupBy("k", "b").agg(F.max_by(F.struct("v"), "t").alias("last"))
+    edge = edge.select("k", "b", F.lag("last").over(over).alias("before"))
+    held = rows.withColumn("own", F.lag(F.struct("v")).over(w)).join(edge, ["k", "b"])
+    before = F.coalesce("own", "before")
+    changed = held.where(before.isNull() | ~F.col("v").eqNullSafe(before["v"])).select("k", "b", "t", "v")
+    first = changed.groupBy("k", "b").agg(F.min("t").alias("first"))
+    first = first.select("k", "b", F.lead("first").over(over).alias("next"))
+    until = F.coalesce(F.lead("t").over(w), F.col("next"))
+    return changed.join(first, ["k", "b"]).select(F.col("k").alias(key), F.col("t").alias("valid_from"), until.alias("valid_to"), F.col("v").alias(value))

@@ -14,6 +14,13 @@ def bounds(events: DataFrame, *keys: str) -> DataFrame:
     return events.groupBy(*keys).agg(F.min("ts").alias("started_at"), F.max("ts").alias("ended_at"), F.count("*").alias("event_count"))
 
 
+def rollup(events: DataFrame, key: str, idle_ms: int) -> DataFrame:
+    """bounds() plus active_ms: a span is as long as its gaps, so the gaps of at most idle_ms inside threads sum to the active time."""
+    gap = F.col("ts") - F.lag("ts").over(W.partitionBy("thread_id").orderBy("ts"))
+    timed = events.select("thread_id", "ts", key).withColumn("gap", gap)
+    return timed.groupBy(key).agg(F.min("ts").alias("started_at"), F.max("ts").alias("ended_at"), F.count("*").alias("event_count"), F.coalesce(F.sum(F.when(F.col("gap") <= idle_ms, F.col("gap"))), F.lit(0)).alias("active_ms"))
+
+
 def active_ms(entities: DataFrame, spans: DataFrame, key: str) -> DataFrame:
     """entities plus active_ms, 0 for those without spans."""
     sums = spans.groupBy(key).agg(F.sum("ms").alias("_ms"))

@@ -73,12 +73,12 @@ def span_ids(spark, d):
 
 @query(w(SPANS, f"SELECT e.thread_id, min(e.ts) AS started_at, max(e.ts) AS ended_at, count(*) AS event_count, coalesce((SELECT {_I('sum(ms)')} FROM span s WHERE s.thread_id = e.thread_id), 0) AS active_ms FROM ev e GROUP BY e.thread_id"))
 def thread_rollup(spark, d):
-    return A.active_ms(A.bounds(act_event(spark, d), "thread_id"), act_span(spark, d), "thread_id")
+    return A.rollup(act_event(spark, d), "thread_id", IDLE_MS)
 
 
 @query(w(SPANS, f"SELECT e.session_id, min(e.ts) AS started_at, max(e.ts) AS ended_at, count(*) AS event_count, coalesce((SELECT {_I('sum(ms)')} FROM span s WHERE s.session_id = e.session_id), 0) AS active_ms FROM ev e GROUP BY e.session_id"))
 def session_rollup(spark, d):
-    return A.active_ms(A.bounds(act_event(spark, d), "session_id"), act_span(spark, d), "session_id")
+    return A.rollup(act_event(spark, d), "session_id", IDLE_MS)
 
 
 _TOTALS = f"count(*) AS spans, count(DISTINCT session_id) AS sessions, count(DISTINCT thread_id) AS threads, {_I("coalesce(sum(event_count), 0)")} AS events, {_I("coalesce(sum(ms), 0)")} AS active_ms"
@@ -99,16 +99,16 @@ def summary_partition(spark, d):
     return A.by_role(act_span(spark, d))
 
 
-@query(w(SPANS, ", ".join(["SELECT s.source", *(f"{_I(f'coalesce(sum({c}_tokens), 0)')} AS {c}" for c in ("input", "output", "cache_read", "cache_write"))]) + " FROM ev e JOIN span s ON s.thread_id = e.thread_id AND e.ts BETWEEN s.started_at AND s.ended_at GROUP BY s.source"))
+@query(w(SPANS, ", ".join(["SELECT s.source", *(f"{_I(f'coalesce(sum({c}_tokens), 0)')} AS {c}" for c in ("input", "output", "cache_read", "cache_write", "cache_write_1h"))]) + " FROM ev e JOIN span s ON s.thread_id = e.thread_id AND e.ts BETWEEN s.started_at AND s.ended_at GROUP BY s.source"))
 def summary_tokens(spark, d):
     # an event carries its span's number from the gap pass, so the range join is not needed
-    return SP.with_span(act_event(spark, d), IDLE_MS).groupBy("source").agg(*(F.coalesce(F.sum(f"{c}_tokens"), F.lit(0)).alias(c) for c in ("input", "output", "cache_read", "cache_write")))
+    return SP.with_span(act_event(spark, d), IDLE_MS).groupBy("source").agg(*(F.coalesce(F.sum(f"{c}_tokens"), F.lit(0)).alias(c) for c in ("input", "output", "cache_read", "cache_write", "cache_write_1h")))
 
 
 @query(w(SPANS, "SELECT s.thread_id, s.span_no, count(*) AS events FROM ev e JOIN span s ON s.thread_id = e.thread_id AND e.ts BETWEEN s.started_at AND s.ended_at GROUP BY ALL"))
 def events_in_span(spark, d):
-    s = act_span(spark, d).select("thread_id", "span_no", "started_at", "ended_at")
-    return act_event(spark, d).join(s, "thread_id").where("ts BETWEEN started_at AND ended_at").groupBy("thread_id", "span_no").agg(F.count("*").alias("events"))
+    # the gap pass numbers events and spans alike, so no range join is needed
+    return SP.with_span(act_event(spark, d), IDLE_MS).groupBy("thread_id", "span_no").agg(F.count("*").alias("events"))
 
 
 @query(w(V1, ", g AS (SELECT ts - lag(ts) OVER (PARTITION BY thread_id ORDER BY ts, event_id) AS gap FROM ev) SELECT p, quantile_disc(gap, p) AS gap FROM g, (VALUES (0.5), (0.9), (0.99)) q(p) WHERE gap IS NOT NULL GROUP BY p".replace("quantile_disc(gap, p)", "CASE p WHEN 0.5 THEN quantile_disc(gap, 0.5) WHEN 0.9 THEN quantile_disc(gap, 0.9) ELSE quantile_disc(gap, 0.99) END").replace("SELECT p,", "SELECT CAST(p AS DOUBLE) AS p,")))
@@ -218,9 +218,7 @@ def projects_ranking(spark, d):
 
 @query(w(COST, f", {SPANS.split(V1)[1].lstrip(',')}, m AS (SELECT project_id, {_I('sum(total)')} AS cost_nano FROM ledger GROUP BY project_id), r AS (SELECT project_id, {_RANK} FROM span GROUP BY project_id) SELECT r.*, coalesce(cost_nano, 0) AS cost_nano FROM r LEFT JOIN m ON r.project_id IS NOT DISTINCT FROM m.project_id"))
 def projects_cost_ranking(spark, d):
-    e = act_event(spark, d)
-    money = C.cost_ledger(e, prices(spark)).join(e.select("event_id", "project_id"), "event_id")
-    return A.ranking(act_span(spark, d), "project_id", money)
+    return A.ranking(act_span(spark, d), "project_id", C.cost_ledger(act_event(spark, d), prices(spark), ("project_id",)))
 
 
 @query(w(V2, f", x AS (SELECT * FROM iv_span WHERE started_at >= 883612800000) SELECT CAST(n_nationkey AS BIGINT) AS project_id, n_name AS name, coalesce((SELECT {_I('sum(ms)')} FROM x WHERE x.project_id = n_nationkey), 0) AS active_ms FROM nation"))
@@ -332,18 +330,27 @@ def cost_by_component(spark, d):
     return led.agg(*(F.sum(f"{c}_nano").alias(f"{c}_nano") for c in _N), F.sum("total_nano").alias("total_nano"), F.count("*").alias("events"), F.count_if("attributed").alias("attributed"))
 
 
-def _cost_by(key, expr=None):
+def _cost_by(key):
     def run(spark, d):
         led = C.cost_ledger(act_event(spark, d), prices(spark))
-        return led.groupBy((expr() if expr else F.col(key)).alias(key)).agg(F.sum("total_nano").alias("total_nano"), F.count("*").alias("events"))
+        return led.groupBy(key).agg(F.sum("total_nano").alias("total_nano"), F.count("*").alias("events"))
 
     return run
 
 
-for _key, _sql, _expr in (("model", "model", None), ("source", "source", None), ("day", "CAST(make_timestamp(ts * 1000) AS DATE)", lambda: F.to_date(F.timestamp_millis("ts")))):
-    _f = _cost_by(_key, _expr)
-    _f.__name__ = "cost_daily" if _key == "day" else f"cost_by_{_key}"
-    query(w(COST, f"SELECT {_sql} AS {_key}, {_I('sum(total)')} AS total_nano, count(*) AS events FROM ledger GROUP BY 1"), day="day" if _key == "day" else None)(_f)
+for _key in ("model", "source"):
+    _f = _cost_by(_key)
+    _f.__name__ = f"cost_by_{_key}"
+    query(w(COST, f"SELECT {_key}, {_I('sum(total)')} AS total_nano, count(*) AS events FROM ledger GROUP BY 1"))(_f)
+
+SPAN_ONLY = SPANS.split(V1)[1].lstrip(",")
+
+
+@query(w(COST, f", {SPAN_ONLY} SELECT CAST(make_timestamp(l.ts * 1000) AS DATE) AS day, {_I('sum(total)')} AS total_nano, count(*) AS events FROM ledger l JOIN span s ON s.thread_id = l.thread_id AND l.ts BETWEEN s.started_at AND s.ended_at GROUP BY 1"), day="day")
+def cost_daily(spark, d):
+    """Events inside spans only, so that the days sum to what the cost endpoint totals."""
+    led = C.cost_ledger(SP.with_span(act_event(spark, d), IDLE_MS), prices(spark))
+    return led.groupBy(F.to_date(F.timestamp_millis("ts")).alias("day")).agg(F.sum("total_nano").alias("total_nano"), F.count("*").alias("events"))
 
 
 @query(w(COST, f"SELECT source, {_I('sum(t4)')} AS tokens, count(*) AS events FROM priced WHERE assumed GROUP BY source"))
@@ -481,10 +488,14 @@ def normalize_remote(spark, d):
     return p.select("page_id", "remote", *(v.alias(k) for k, v in S.forge(F.col("remote")).items()))
 
 
-@query("SELECT page_id, regexp_replace(regexp_replace(url, '^http://', 'https://'), '/+$', '') AS remote FROM pages WHERE url NOT LIKE '%.git' AND url NOT LIKE '%@%' AND regexp_matches(url, '^https?://[a-z0-9.-]+(/|$)')")
+_PARTS = r"""u AS (SELECT page_id, regexp_replace(trim(url), '^[a-z+]+://([^/@]*@)?', '') AS rest FROM pages),
+p AS (SELECT page_id, string_split(regexp_replace(regexp_replace(regexp_replace(rest, '/+$', ''), '\.git$', ''), '/+$', ''), '/') AS seg FROM u)"""
+
+
+@query(f"WITH {_PARTS} SELECT page_id, lower(seg[1]) AS host, CASE WHEN len(seg) > 2 THEN seg[2] END AS owner, CASE WHEN len(seg) > 1 THEN seg[-1] END AS repo FROM p")
 def parse_forge(spark, d):
-    p = read(spark, d, "pages").where("url NOT LIKE '%.git' AND url NOT LIKE '%@%'").where(F.col("url").rlike("^https?://[a-z0-9.-]+(/|$)"))
-    return p.select("page_id", S.normalize_remote(F.col("url")).alias("remote"))
+    p = read(spark, d, "pages").select("page_id", S.normalize_remote(F.col("url")).alias("remote"))
+    return p.select("page_id", *(v.alias(k) for k, v in S.forge(F.col("remote")).items()))
 
 
 @query("SELECT p_partkey, regexp_replace(concat('acme/', p_brand, '-', '2024010', p_size % 10), '-(\\d{8}|\\d{4}-\\d{2}-\\d{2})$', '') AS model FROM part")

@@ -15,8 +15,10 @@ from tidemark.functions.scalars import iso_millis
 from tidemark.operators.usage import bill_once
 
 #: Types of a line that are the tool's own bookkeeping.
-SYSTEM_TYPES = ("system", "mode", "permission-mode", "hook", "hook-result", "queue-operation")
+SYSTEM_TYPES = ("system", "mode", "permission-mode", "hook", "hook-result")
 SYNTHETIC_MODEL = "<synthetic>"
+#: Lines of a file that are searched for the agent's name.
+HEAD_LINES = 64
 
 
 def lines(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -46,10 +48,18 @@ def _billed(read: DataFrame) -> DataFrame:
     return told.withColumns(once).select(own.columns).unionByName(own.where("NOT _usage"))
 
 
+def agent_names(log: DataFrame) -> DataFrame:
+    """(file_path, agent_name) of the files whose first HEAD_LINES lines name an agent: the first name counts for the whole file."""
+    name = F.nullif(_text("attributionAgent"), F.lit(""))
+    found = log.groupBy("file_path").agg(F.min("line").alias("head"), F.min(F.when(name.isNotNull(), F.struct("line", name.alias("name")))).alias("first"))
+    near = (F.col("first.line.block") == F.col("head.block")) & (F.col("first.line.number") - F.col("head.number") < HEAD_LINES)
+    return found.where(near).select("file_path", F.col("first.name").alias("agent_name"))
+
+
 def events(log: DataFrame) -> DataFrame:
-    """lines() as events; further tool blocks of a line are events of their own (id#place), without usage."""
+    """lines() as events; a subagent's events carry the name in its file's head; further tool blocks of a line are events of their own (id#place), without usage."""
     read = log.where(F.expr("try_parse_json(value) IS NOT NULL") & F.expr("startswith(ltrim(value), '{')"))
-    read = _billed(read.withColumn("ts", iso_millis(_text("timestamp")))).where("ts IS NOT NULL")
+    read = _billed(read.withColumn("ts", iso_millis(_text("timestamp")))).where("ts IS NOT NULL").join(agent_names(read), "file_path", "left")
     blocks = F.from_json(_text("message.content"), "array<struct<type string, id string, name string, tool_use_id string>>")
     tools = F.filter(F.coalesce(blocks, F.array().cast("array<struct<type string, id string, name string, tool_use_id string>>")), lambda b: b["type"].isin("tool_use", "tool_result"))
     stem = F.regexp_extract("file_path", r"([^/]+?)(\.[^./]*)?$", 1)
@@ -58,7 +68,7 @@ def events(log: DataFrame) -> DataFrame:
     base = read.select(
         "ts", "file_path", "line", session.alias("session_id"), F.coalesce(agent, session).alias("thread_id"), agent.isNotNull().alias("is_subagent"),
         F.when(agent.isNotNull(), session).alias("parent_thread_id"), F.coalesce(_text("uuid"), F.substring(F.sha2("value", 256), 1, 32)).alias("native_event_id"),
-        kind.alias("type"), F.nullif(_text("message.model"), F.lit(SYNTHETIC_MODEL)).alias("model"), "response_id", "request_id", _text("cwd").alias("cwd"), _text("gitBranch").alias("git_branch"), _text("attributionAgent").alias("agent_name"),
+        kind.alias("type"), F.nullif(_text("message.model"), F.lit(SYNTHETIC_MODEL)).alias("model"), "response_id", "request_id", _text("cwd").alias("cwd"), _text("gitBranch").alias("git_branch"), F.when(agent.isNotNull(), F.col("agent_name")).alias("agent_name"),
         *USAGE.values(),
         F.posexplode_outer(tools).alias("place", "tool"),
     )
