@@ -8,6 +8,7 @@ from decimal import Decimal
 import duckdb
 import pytest
 
+from tidemark.plans import endpoint_queries  # noqa: F401  registers the endpoints
 from tidemark.plans.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import to_millis
 from tidemark.operators.spans import spans
+from tidemark.plans.endpoints import Corpus
 
 IDLE_MS = 21_600_000
 
@@ -83,6 +84,15 @@ def act_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
+    """The event view with agents, projects of the nation table and groups of the region table."""
+    agent = F.when(F.col("is_subagent"), F.when(F.col("source") == "src_b", "src_b agents").otherwise(F.concat(F.lit("agent-"), (F.col("thread_id") % 5).cast("string"))))
+    key = F.col("n_nationkey").cast("long")
+    projects = read(spark, sf_dir, "nation").select(key.alias("project_id"), F.col("n_name").alias("name"), F.concat(F.lit("/srv/"), F.lower("n_name")).alias("root_path"), F.when(key != 5, key % 3).alias("group_id"), (key % 4 == 0).alias("group_pinned"), F.when(key % 5 != 0, key % 2 == 0).alias("path_exists"))
+    groups = read(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("group_id"), F.col("r_name").alias("name"), F.lit("git_remote").alias("origin"))
+    return Corpus(act_event(spark, sf_dir).withColumn("agent_name", agent), prices(spark), projects, groups, IDLE_MS)
+
+
 def act_span(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans(act_event(spark, sf_dir), IDLE_MS)
 
