@@ -180,7 +180,7 @@ def test_repeats_of_a_hot_passage(spark, monkeypatch):
     rows += [(900, "z" * 1000), (901, "zy" * 300), (902, passage)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = repeats_by_force(rows)
-    for hot in (4_000, 20):
+    for hot in (1_000, 20):
         monkeypatch.setattr(substring, "HOT", hot)
         assert Counter((r.doc_id, bytes(r.kept), r.n_bytes, r.n_removed, r.n_spans) for r in drop_repeats(df).collect()) == want
 

@@ -38,7 +38,7 @@ STARTS = LENGTH - K + 1  # starts whose string can hold a given anchor
 #: A difference cover of 31: every residue is a difference of two of its members. SAMPLE bytes are ranked at each covered place.
 PERIOD, COVER, SAMPLE = 31, (1, 5, 11, 24, 25, 27), 168
 #: Contexts sorted at once; contexts of one bucket above which it is split, and the suffixes of a piece then; bytes hashed at once.
-BATCH, HOT, STEPS, CHUNK = 4_000, 4_000, (16, 1), 1 << 21
+BATCH, HOT, STEPS, CHUNK = 1_000, 1_000, (16, 1), 1 << 20
 #: Bits of a bitmap of anchors for each anchor in it, and their bounds (the largest has 64 MB; beyond, it passes more on to the exact joins).
 SPARSE, LEAST_BITS, MOST_BITS = 8, 1 << 20, 1 << 29
 _P = np.uint64(0x9E3779B97F4A7C15)
