@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections import Counter
+from dataclasses import replace
 from decimal import Decimal
 
 import duckdb
 import pytest
 
-from tidemark.plans import endpoint_queries  # noqa: F401  registers the endpoints
+from tidemark.plans import endpoint_queries, team_queries  # noqa: F401  register their queries
+from tidemark.plans import endpoints
 from tidemark.plans.queries import ORACLE_SQL, QUERIES
+from tidemark.plans.views import act_event, corpus
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -42,6 +45,60 @@ def test_query(spark, duck, name):
     assert Counter(tuple(plain(r[n]) for n in names) for r in out.collect()) == want
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
-def test_query_without_sql(spark, name):
-    assert QUERIES[name](spark, SF).count() >= 0
+def test_every_query_has_sql_or_a_test_of_its_own():
+    """path_ancestor_ladder is held against the rules one by one in test_grouping."""
+    assert set(QUERIES) - set(ORACLE_SQL) == {"model_lookup_fuzzy", "fork_replay", "path_ancestor_ladder"}
+
+
+def test_model_lookup(spark):
+    parts = spark.read.parquet(f"{SF}/part.parquet").collect()
+    want = set()
+    for r in parts:
+        key = r.p_brand.replace("#", "-").lower()
+        tail = ("-mini", "-20240101", "")[r.p_size % 3]
+        if tail != "-mini":  # another tier is another model
+            want.add((f"acme/{key}{tail}", key, True))
+    assert Counter(map(tuple, QUERIES["model_lookup_fuzzy"](spark, SF).select("model", "key", "exact").collect())) == Counter(want)
+
+
+def test_fork_replay(spark):
+    """A child's leading rows that repeat its parent's at the same places go; the first that differs ends the replay."""
+    threads: dict[int, list] = {}
+    for r in act_event(spark, SF).select("thread_id", "ts", "event_id", "input_tokens").collect():
+        threads.setdefault(r.thread_id, []).append((r.ts, r.event_id, r.input_tokens % 20))
+    usage = {k: [u for _, _, u in sorted(v)] for k, v in threads.items()}
+    want = Counter()
+    for k, own in usage.items():
+        parent = k - k % 4
+        if k == parent:
+            continue
+        n = 0
+        for a, b in zip(own, usage.get(parent, [])):
+            if a != b:
+                break
+            n += 1
+        want.update((k, parent, at + 1, u) for at, u in enumerate(own) if at >= n)
+    got = Counter((r.thread_id, r.parent_id, r["at"], r.usage) for r in QUERIES["fork_replay"](spark, SF).collect())
+    assert got == want and sum(got.values()) < sum(len(v) for k, v in usage.items() if k % 4)
+
+
+def test_endpoints_of_empty_tables(spark):
+    c = corpus(spark, SF)
+    empty = replace(c, events=c.events.limit(0))
+    for name in endpoints.ENDPOINTS:
+        out = endpoints.endpoint(name, empty)
+        for part, df in (out if isinstance(out, dict) else {"": out}).items():
+            rows = df.collect()
+            if name in ("summary", "concurrency") or part == "totals":
+                assert len(rows) == 1 and not any(rows[0])
+            elif name != "meta":
+                assert rows == []
+    with pytest.raises(KeyError):
+        endpoints.endpoint("other", c)
+
+
+def test_timeline_above_its_limit(spark):
+    c = corpus(spark, SF)
+    rows = endpoints.timeline(c, limit=3).collect()
+    widths = sorted((r.ended_at - r.started_at for r in endpoints.timeline(c).collect()), reverse=True)
+    assert sorted((r.ended_at - r.started_at for r in rows), reverse=True) == widths[:3] and all(r.truncated for r in rows)

@@ -31,11 +31,15 @@ def test_store(spark, tmp_path):
     con.executescript("CREATE TABLE session(id, parent_id, directory); CREATE TABLE message(id, session_id, time_created, data); CREATE TABLE part(id, session_id, time_created, data)")
     con.executemany("INSERT INTO session VALUES (?, ?, '/x')", [("a", None), ("b", "a"), ("c", "b"), ("d", "gone"), ("e", "f"), ("f", "e")])
     con.execute("INSERT INTO message VALUES ('m', 'a', 5, ?)", (json.dumps({"role": "assistant", "modelID": "x", "time": {"created": 5, "completed": 9}, "tokens": {"input": 1, "output": 2, "reasoning": 3, "cache": {"read": 4, "write": 0}}}),))
+    part = lambda kind="tool", status="completed", **time: json.dumps({"type": kind, "tool": "bash", "callID": "c", "state": {"status": status, "time": time}})
+    con.executemany("INSERT INTO part VALUES (?, 'a', 5, ?)", [("p1", part(start=6, end=8)), ("p2", part(start=9, end=7)), ("p3", part(status="running", start=9, end=9)), ("p4", part(end=9)), ("p5", part("text", start=1, end=2)), ("p6", part(start=3)), ("p7", "junk")])
     con.commit()
     con.close()
     (tmp_path / "b.db").write_bytes(b"no store")
     roots = {r.id: r.root_id for r in store.with_root(store.table(spark, [str(tmp_path)], "session")).collect()}
     assert {k: roots[k] for k in "abcd"} == {"a": "a", "b": "a", "c": "a", "d": "d"} and set(roots) == set("abcdef")
+    tools = {(r.native_event_id, r.ts, r.kind, r.tool_name, r.tool_use_id) for r in store.tool_events(store.table(spark, [str(tmp_path)], "part")).collect()}
+    assert tools == {(i, t, k, "bash", "c") for i, t, k in [("p1", 6, "tool_use"), ("p1:done", 8, "tool_result"), ("p2", 9, "tool_use"), ("p2:done", 9, "tool_result"), ("p3", 9, "tool_use"), ("p6", 3, "tool_use")]}
     rows = {r.native_event_id: r for r in store.message_events(store.table(spark, [str(tmp_path)], "message")).collect()}
     assert rows["m"].output_tokens == 5 and rows["m"].ts == 5 and rows["m:done"].ts == 9 and rows["m:done"].output_tokens is None
 

@@ -105,3 +105,29 @@ def ladder(projects: DataFrame) -> DataFrame:
     fourth = F.col("origin").isNull() & ~F.col("group_pinned")
     group = F.when(fourth, F.coalesce("up_group", F.when(F.col("founds") & F.col("anchors"), make_id(F.lit("path_ancestor"), F.col("root_path"))))).otherwise(F.col("group"))
     return out.select("project_id", group.alias("group_id"), F.when(fourth, F.when(group.isNotNull(), "path_ancestor").otherwise("none")).otherwise(F.col("origin")).alias("origin"))
+
+
+def changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """What a new run of the ladder would do, from (project_id, group_id) before and after: one row of counts. Nothing changes on a second run."""
+    a, b = before.select("project_id", F.col("group_id").alias("old")), after.select("project_id", F.col("group_id").alias("new"))
+    moved = a.join(b, "project_id", "full").agg(F.count_if(F.col("old").isNull() & F.col("new").isNotNull()).alias("grouped"), F.count_if(F.col("old").isNotNull() & F.col("new").isNotNull() & (F.col("old") != F.col("new"))).alias("moved"), F.count_if(F.col("old").isNotNull() & F.col("new").isNull()).alias("ungrouped"))
+    kinds = a.select(F.col("old").alias("g")).where("g IS NOT NULL").distinct().withColumn("was", F.lit(True)).join(b.select(F.col("new").alias("g")).where("g IS NOT NULL").distinct().withColumn("is", F.lit(True)), "g", "full")
+    return moved.crossJoin(kinds.agg(F.count_if(F.col("was").isNull()).alias("created"), F.count_if(F.col("is").isNull()).alias("emptied")))  # one row each
+
+
+def find(dimension: DataFrame, spec: str, *columns: str) -> DataFrame:
+    """Rows whose columns hold the text, in any case; a single row that equals it wins alone. More than one row is for the caller to refuse."""
+    low = spec.lower()
+    some = lambda test: F.coalesce(F.greatest(*(test(F.lower(c)) for c in columns), F.lit(False)), F.lit(False))
+    marked = dimension.where(some(lambda c: F.contains(c, F.lit(low)))).withColumn("_same", some(lambda c: c == low))
+    alone = marked.agg((F.count_if("_same") == 1).alias("_alone"))
+    return marked.crossJoin(F.broadcast(alone)).where("_same OR NOT _alone").drop("_same", "_alone")  # one row
+
+
+def is_worktree(path: Column) -> Column:
+    return path.rlike(r"/\.claude/worktrees/|/\.t3/worktrees/|/conductor/workspaces/")
+
+
+def abbreviate_home(path: Column, home: str) -> Column:
+    """For display: a path inside the home directory with ~ in its place."""
+    return F.when(path == home, "~").when(path.startswith(home.rstrip("/") + "/"), F.concat(F.lit("~"), F.substr(path, F.lit(len(home.rstrip("/")) + 1)))).otherwise(path)

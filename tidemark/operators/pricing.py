@@ -95,3 +95,40 @@ def history(snapshots: DataFrame, key: str, at: str, value: str, bucket_ms: int
     first = first.select("k", "b", F.lead("first").over(over).alias("next"))
     until = F.coalesce(F.lead("t").over(w), F.col("next"))
     return changed.join(first, ["k", "b"]).select(F.col("k").alias(key), F.col("t").alias("valid_from"), until.alias("valid_to"), F.col("v").alias(value))
+
+
+def canonical(name: Column) -> Column:
+    """The bare model that a name tells: no provider, no platform's wrapper, no date, `-` for every separator."""
+    bare = F.element_at(F.split(F.lower(F.trim(name)), "/"), -1)
+    return strip_date(dashed(F.regexp_replace(bare, r"^([a-z]+\.)+(?=[a-z])|-v\d+:\d+$", "")))
+
+
+def approximations(prices: DataFrame) -> DataFrame:
+    """(model, matched_id) of models that a catalogue priced as a neighbour; manual and override rows never are."""
+    rows = prices.where("origin NOT IN ('manual', 'override') AND matched_id IS NOT NULL").select("model", "matched_id").distinct()
+    return rows.where(canonical(F.regexp_replace("matched_id", r"^(litellm|models\.dev):", "")) != canonical(F.col("model")))
+
+
+def redundant_overrides(overrides: DataFrame, catalog: DataFrame, rates: list[str]) -> DataFrame:
+    """Models whose newest override says what the newest catalogue row of the same model says."""
+    newest = lambda df: df.groupBy("model").agg(F.max_by(F.struct(*rates), "effective_from").alias("rates"))
+    both = newest(overrides).join(newest(catalog).withColumnRenamed("rates", "upstream"), "model")
+    return both.where(F.col("rates").eqNullSafe(F.col("upstream"))).select("model")
+
+
+def set_price(prices: DataFrame, manual: DataFrame) -> DataFrame:
+    """prices with manual rows in place of those of the same model and date."""
+    return prices.join(manual, ["model", "effective_from"], "left_anti").unionByName(manual)
+
+
+def clear_price(prices: DataFrame, model: str, effective_from: int | None = None) -> DataFrame:
+    """prices without a model's manual rows, of one date or of all."""
+    gone = (F.col("model") == model) & (F.col("origin") == "manual")
+    return prices.where(~(gone if effective_from is None else gone & (F.col("effective_from") == effective_from)))
+
+
+def per_million(per_token: Column) -> Column:
+    """A rate per token as one per million, to ten significant digits, so that 3e-06 is 3.0."""
+    scaled = per_token.cast("double") * 1e6
+    digits = F.when(scaled == 0, 0).otherwise(9 - F.floor(F.log10(F.abs(scaled)))).cast("int")
+    return F.when(scaled == 0, F.lit(0.0)).otherwise(F.round(scaled * F.pow(F.lit(10.0), digits)) / F.pow(F.lit(10.0), digits))

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: The tables' columns.
 TABLES = {"session": ("id", "parent_id", "directory"), "message": ("id", "session_id", "time_created", "data"), "part": ("id", "session_id", "time_created", "data")}
+#: States of a tool call that has not ended.
+UNFINISHED = ("pending", "running")
 DEPTH = 32
 
 
@@ -62,3 +64,13 @@ def message_events(messages: DataFrame) -> DataFrame:
     rows = out.withColumn("output_tokens", billed).withColumn("e", F.explode(both))
     first = lambda c: F.when(~F.col("e.end"), F.col(c)).alias(c)
     return rows.select("path", "session_id", F.when(F.col("e.end"), F.concat("id", F.lit(":done"))).otherwise(F.col("id")).alias("native_event_id"), F.col("e.ts").alias("ts"), F.when(F.col("role") == "user", "user_prompt").when(F.col("role") == "assistant", "assistant").otherwise("other").alias("kind"), "model", *map(first, ("input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens")))
+
+
+def tool_events(parts: DataFrame) -> DataFrame:
+    """Tool parts as a use at their start and, where they have ended, a result at their end; other parts are dropped before anything else is parsed."""
+    j = lambda p: F.get_json_object("data", f"$.{p}")
+    tools = parts.where(j("type") == "tool").select("path", "session_id", "id", j("tool").alias("tool_name"), j("callID").alias("tool_use_id"), j("state.time.start").cast("long").alias("start"), F.when(~F.coalesce(j("state.status"), F.lit("")).isin(*UNFINISHED), j("state.time.end").cast("long")).alias("done"))
+    use = F.struct(F.lit("tool_use").alias("kind"), F.col("start").alias("ts"), F.col("id").alias("native_event_id"))
+    result = F.struct(F.lit("tool_result").alias("kind"), F.greatest("done", "start").alias("ts"), F.concat("id", F.lit(":done")).alias("native_event_id"))
+    rows = tools.where("start IS NOT NULL").select("*", F.explode(F.when(F.col("done").isNotNull(), F.array(use, result)).otherwise(F.array(use))).alias("e"))
+    return rows.select("path", "session_id", "e.native_event_id", "e.ts", "e.kind", "tool_name", "tool_use_id")
