@@ -5,27 +5,70 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 
+import numpy as np
+import pytest
+
 import corpus_pipeline
 from tidemark.llm.common import read
 
-from .test_chat_embed import leaked_by_force
-from .test_dedup import lower, near_by_force
+from .test_dedup import lower, near_by_force, words
 from .test_tokens import ids, sound
 
 SF = "/root/testdata/sf0.001"
 SPACE = " \t\n\r\x0b\x0c"
 
 
-def test_stages(spark):
+def leaked(doc: np.ndarray, item: np.ndarray) -> bool:
+    """Whether some aligned 13 words (the whole item if shorter) agree in 0.8 of the places; every pair of places is looked at."""
+    size = min(13, len(item))
+    n, m = len(item) - size + 1, len(doc) - size + 1
+    if not len(item) or m < 1:
+        return False
+    same = item[:, None] == doc[None]
+    return bool((sum(same[k : n + k, k : m + k].astype(np.int8) for k in range(size)) >= 0.8 * size - 1e-9).any())
+
+
+@pytest.fixture(scope="module")
+def out(spark) -> dict[str, list]:
+    """The rows after each stage; "" are the documents."""
     docs = read(spark, SF, "documents")
-    out = {"": docs.collect()}
+    rows = {"": docs.collect()}
     for name, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
-        rows = docs.collect()
         if name != "packing":
             assert docs.columns == read(spark, SF, "documents").columns
-            docs = spark.createDataFrame(rows, docs.schema)
-        out[name] = rows
+        rows[name] = docs.collect()
+        docs = spark.createDataFrame(rows[name], docs.schema)
+    return rows
+
+
+def test_run_against_brute_force(spark, out):
+    """run() from the documents that the classifier keeps: lines, near copies, leaks and token pieces over all of them by plain loops."""
+    held, keeper = Counter(), {}
+    keys = lambda t: {lower(x.strip(SPACE)) for x in (t or "").split("\n")}
+    for r in out["quality"]:
+        held.update(keys(r.text))
+        keeper.update({k: max(keeper.get(k, r.doc_id), r.doc_id) for k in keys(r.text)})
+    text = {r.doc_id: "\n".join(x for x in (r.text or "").split("\n") if len(k := lower(x.strip(SPACE))) < 40 or held[k] < 5 or keeper[k] == r.doc_id) for r in out["quality"]}
+    part = near_by_force(list(text.items()), 5)[1]
+    text = {i: t for i, t in text.items() if part[i] == i}
+    number: dict[str, int] = {}
+    coded = lambda t: np.array([number.setdefault(w, len(number)) for w in words(t)], int)
+    items = [coded(r.text) for r in read(spark, SF, "benchmark").collect()]
+    kept = {i: t for i, t in text.items() if not any(leaked(d, x) for d in [coded(t)] for x in items)}
+    assert 0 < len(kept) < len(text) and {r.doc_id for r in out["benchmark"]} == set(kept)
+    want = Counter()
+    for i, t in kept.items():
+        own = ids("word_bpe_49k.json", t, 1)
+        for k, a in enumerate(range(0, len(own), 4096)):
+            piece = own[a : a + 4096]
+            want[i, k, a, len(piece), zlib.crc32(np.array(piece, "<u4").tobytes())] += 1
+    rows = corpus_pipeline.run(spark, SF).collect()
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == want
+    assert sound(rows, 4096) <= -(-sum(r.length for r in rows) // 4096) + 2
+
+
+def test_stages(spark, out):
     labels = {r.doc_id: r.quality for r in read(spark, SF, "labels").collect()}
     gone = {r.doc_id for r in out[""]} - {r.doc_id for r in out["quality"]}
     judged = [i for i in labels if i in {r.doc_id for r in out[""]} and zlib.crc32(str(i).encode()) % 3 != 1]
@@ -42,13 +85,6 @@ def test_stages(spark):
     assert {r.doc_id: r.text or "" for r in out["lines"]} == want
     _, part = near_by_force([(r.doc_id, r.text) for r in out["lines"]], 5)
     assert {r.doc_id for r in out["near_copies"]} == {i for i in part if part[i] == i}
-    items = [r.text for r in read(spark, SF, "benchmark").collect()]
-    kept = {r.doc_id for r in out["benchmark"]}
-    for r in out["near_copies"][:40] + [r for r in out["near_copies"] if r.doc_id not in kept][:10]:
-        short = " ".join((r.text or "").split()[:1500])
-        assert (r.doc_id in kept) or any(leaked_by_force(r.text, x) for x in items)
-        if r.doc_id in kept and len(short.split()) < 300:
-            assert not any(leaked_by_force(short, x) for x in items)
     total = sum(r.length for r in out["packing"])
     assert total == sum(len(ids("word_bpe_49k.json", r.text, 1)) for r in out["benchmark"])
     assert sound(out["packing"], 4096) <= -(-total // 4096) + 2

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import functools
 import zlib
 from collections import defaultdict
 
@@ -16,8 +17,13 @@ from tidemark.llm.token_files import read_tokens, write_tokens
 from tidemark.llm.tokens import encoder, tokenizer_path
 
 
+@functools.cache
+def tokenizer(name: str) -> Tokenizer:
+    return Tokenizer.from_file(tokenizer_path(name))
+
+
 def ids(name: str, text: str | None, end: int) -> np.ndarray:
-    return np.array([*Tokenizer.from_file(tokenizer_path(name)).encode(text or "", add_special_tokens=False).ids, end], "<u4")
+    return np.array([*tokenizer(name).encode(text or "", add_special_tokens=False).ids, end], "<u4")
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
