@@ -122,7 +122,7 @@ def cost_in_units(spark, d):
     return C.cost_ledger(act_event(spark, d), prices(spark)).groupBy("source").agg(F.round(F.sum("total_nano") / 1e9, 6).alias("cost"))
 
 
-@query(w(SPANS, f", {SWEEP('span')}, p AS (SELECT CASE WHEN max(level) > 0 THEN arg_min(t, (-level, t)) END AS at FROM lev) SELECT CAST(CAST(make_timestamp(at * 1000) AS DATE) AS VARCHAR) AS day FROM p WHERE at IS NOT NULL"))
+@query(w(SPANS, f", {SWEEP('span')}, p AS (SELECT CASE WHEN max(level) > 0 THEN arg_min(t, (-level, t)) END AS pk FROM lev) SELECT CAST(CAST(make_timestamp(pk * 1000) AS DATE) AS VARCHAR) AS day FROM p WHERE pk IS NOT NULL"))
 def peak_day(spark, d):
     return I.concurrency(act_span(spark, d)).where("peak_at IS NOT NULL").select(F.to_date(F.timestamp_millis("peak_at")).cast("string").alias("day"))
 
