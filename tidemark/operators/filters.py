@@ -29,8 +29,9 @@ class Filters:
         """From a query string's lists: the last scalar wins, unknown names are ignored, a bad number raises."""
         last = {k: v[-1] for k, v in params.items() if v}
         number = lambda k: int(last[k]) if last.get(k) else None
-        lists = {k: tuple(params.get(n, ())) for k, n in (("projects", "project"), ("groups", "group"), ("sources", "source"))}
-        return cls(**lists, ts_from=number("from"), ts_to=number("to"), role=last.get("role") or None)
+        lists = {k: tuple(v for v in params.get(n, ()) if v) for k, n in (("projects", "project"), ("groups", "group"), ("sources", "source"))}
+        role = last.get("role")
+        return cls(**lists, ts_from=number("from"), ts_to=number("to"), role=None if role in (None, "", "all") else role)
 
     def predicate(self) -> Column:
         """On rows with project_id, group_id, source, started_at and is_subagent; pushed to the scan by Catalyst."""

@@ -21,7 +21,7 @@ def unclassified(df: DataFrame, public: set[str], private: set[str]) -> tuple[se
 
 def publish_spans(spans: DataFrame, repos: DataFrame) -> DataFrame:
     """Spans of publishable projects, cleared columns only, with the repository and the role."""
-    r = repos.select(F.col("project_id").alias("_pid"), "repo_id")
+    r = repos.select(F.col("project_id").alias("_pid"), "repo_id").distinct()  # a repository listed twice publishes once
     return spans.join(r, F.col("project_id") == F.col("_pid")).select(*PUBLIC["span"], "repo_id", role(F.col("is_subagent"), F.col("attended")).alias("role"))
 
 
