@@ -80,3 +80,38 @@ def test_compaction_counts_once_whatever_the_order(spark, tmp_path):
 def test_empty(spark, tmp_path):
     (tmp_path / "e.jsonl").write_text("")
     assert thread_log.events(thread_log.lines(spark, [str(tmp_path)])).count() == 0
+
+
+def test_a_fork_counts_only_what_is_its_own(spark):
+    """Usage taken one by one: the repeated head of the origin, else a burst at the start, counts for nothing."""
+    import random
+
+    from tidemark.sources.thread_log import BURST_MS, without_replays
+
+    rng = random.Random(4)
+    files: dict[str, tuple[str, str | None, list[tuple[int, int]]]] = {}
+    make = lambda n, start, pauses: [(start := start + rng.choice(pauses), rng.randrange(4)) for _ in range(n)]
+    for k in range(12):
+        files[f"/logs/t{k}.jsonl"] = (f"t{k}", None, make(8, 0, [5000]))
+    files["/logs/archived_sessions/t0.jsonl"] = ("t0", None, make(8, 0, [5000]))
+    for k in range(40):
+        origin = f"t{rng.randrange(14)}"  # t12 and t13 are not there
+        head = [(i * rng.choice([20, 1500]), u) for i, (_, u) in enumerate(files.get(f"/logs/{origin}.jsonl", ("", None, make(5, 0, [30])))[2][: rng.randrange(6)])]
+        files[f"/logs/f{k}.jsonl"] = (f"f{k}", origin, head + make(rng.randrange(1, 6), 10_000, [30, BURST_MS, BURST_MS + 1, 9000]))
+    want = {}
+    for path, (_, origin, own) in files.items():
+        said = [u for _, u in files.get(f"/logs/{origin}.jsonl", ("", None, []))[2]] if origin else []
+        n = 0
+        while origin and n < min(len(own), len(said)) and own[n][1] == said[n]:
+            n += 1
+        if origin and not n and len(own) > 1 and 0 <= own[1][0] - own[0][0] <= BURST_MS:
+            n = 1
+            while n < len(own) and 0 <= own[n][0] - own[n - 1][0] <= BURST_MS:
+                n += 1
+        want.update({(path, 2 * i): None if i < n else u for i, (_, u) in enumerate(own)})
+    rows = [(path, 2 * i + j, t, origin, ts, u if j == 0 else None) for path, (t, origin, own) in files.items() for i, (ts, u) in enumerate(own) for j in (0, 1)]
+    kind = "file_path string, line int, thread_id string, replayed_from string, ts long, output_tokens long, input_tokens long, cache_read_tokens long, cache_write_tokens long"
+    out = without_replays(spark.createDataFrame([(*r, r[5], 0, 0) for r in rows], kind))
+    assert len(out.columns) == 9
+    got = {(r.file_path, r.line): r.output_tokens for r in out.where("line % 2 = 0").collect()}
+    assert got == want and None in want.values() and sum(v is not None for v in want.values()) > 60

@@ -140,3 +140,31 @@ def events(log: DataFrame) -> DataFrame:
         F.greatest(F.col("counted.input") - F.col("counted.cached") - F.col("counted.write"), F.when(F.col("counted").isNotNull(), 0)).alias("input_tokens"),
         F.col("counted.output").alias("output_tokens"), F.col("counted.cached").alias("cache_read_tokens"), F.col("counted.write").alias("cache_write_tokens"),
     )
+
+
+#: How long a fork pauses at most inside history that it repeats, in ms, and how the path of a put-away copy is told.
+BURST_MS = 1000
+ARCHIVED = "/archived_sessions/"
+
+
+def without_replays(rows: DataFrame) -> DataFrame:
+    """events() in which a fork's usage that repeats its origin's counts for nothing.
+
+    Usage repeats while it equals the origin's, one by one from the start (the origin's active file comes before an archived one). Where not even the first is
+    equal, or the origin is not there, a burst at the start is history: usage events of which each follows the one before within BURST_MS.
+    """
+    tokens = ("input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens")
+    by_file = W.partitionBy("file_path").orderBy("line")
+    own = rows.where("output_tokens IS NOT NULL").select("file_path", "line", "thread_id", "replayed_from", "ts", F.struct(*tokens).alias("usage"), F.row_number().over(by_file).alias("k"))
+    first_file = F.min_by("file_path", F.struct(F.contains("file_path", F.lit(ARCHIVED)), "file_path"))
+    files = own.groupBy(F.col("thread_id").alias("of")).agg(first_file.alias("of_file"))
+    origin = own.join(files, (F.col("thread_id") == F.col("of")) & (F.col("file_path") == F.col("of_file"))).select(F.col("thread_id").alias("replayed_from"), "k", F.col("usage").alias("said"))
+    forks = own.where("replayed_from IS NOT NULL").join(origin, ["replayed_from", "k"], "left")
+    w = W.partitionBy("file_path").orderBy("k")
+    so_far = w.rowsBetween(W.unboundedPreceding, 0)
+    pause = F.col("ts") - F.lag("ts").over(w)
+    forks = forks.withColumn("same", F.coalesce(F.col("usage") == F.col("said"), F.lit(False)).cast("int")).withColumn("close", F.when(F.col("k") == 1, F.coalesce((F.lead("ts").over(w) - F.col("ts")).between(0, BURST_MS), F.lit(False))).otherwise(pause.between(0, BURST_MS)).cast("int"))
+    told = forks.withColumn("repeats", F.min("same").over(so_far)).withColumn("bursts", F.min("close").over(so_far)).withColumn("begins", F.first("same").over(so_far))
+    gone = told.where("repeats = 1 OR begins = 0 AND bursts = 1").select("file_path", "line", F.lit(True).alias("gone"))
+    out = rows.join(gone, ["file_path", "line"], "left")
+    return out.select(*(F.when(F.col("gone").isNull(), F.col(c)).alias(c) if c in tokens else F.col(c) for c in rows.columns))
