@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import id_text, partitions, read, staged
+from tidemark.llm.common import id_text, partitions, read, slices, staged
 from tidemark.llm.words import mix, odd_numbers, word_hashes
 
 #: The masks; 1 selects a position.
@@ -125,7 +125,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: fl
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed, masks = held.value, _masks(short)
-        for batch in batches:
+        for batch in slices(batches):
             ids, keys, n, found = batch.column(0), batch.column(1), [], []
             for text in batch.column(2).cast(pa.large_binary()).to_pylist():
                 own = []

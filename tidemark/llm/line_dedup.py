@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACE, id_text, partitions, pieces, runs, staged
+from tidemark.llm.common import SPACE, id_text, partitions, pieces, runs, slices, staged
 
 #: Distinct lines in a shard (about 1 MB of arrays); probes that one copy of a shard takes; bits of a level for each key still there.
 SHARD_KEYS, PROBES, SPARSE = 100_000, 400_000, 2
@@ -40,7 +40,7 @@ def line_key(line: bytes, min_chars: int) -> bytes | None:
 
 def _keys(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids, keys = [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()).to_pylist()):
                 found = {k for line in text.split(b"\n") if len(line) >= min_chars and (k := line_key(line, min_chars))}

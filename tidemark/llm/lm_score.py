@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import lm_model
-from tidemark.llm.common import id_text, partitions, pieces, read, staged
+from tidemark.llm.common import id_text, partitions, pieces, read, slices, staged
 from tidemark.llm.quality import fold
 from tidemark.llm.tokens import tokenizer_path
 from tidemark.llm.words import Kept, mix
@@ -99,15 +99,13 @@ def _speller(path: str):
         table, row = _ids(path), TaskContext.get().partitionId() << 40
         kind = _width(table.size)
         end = np.array([table.size - 1], kind).tobytes()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                ids = []
-                for text in part.column(3).cast(pa.large_binary()).to_pylist():
-                    spelled = b"".join(map(table.__getitem__, text.lower().split()))
-                    ids.append(end + np.frombuffer(spelled, "<u4").astype(kind).tobytes() + end)
-                yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(len(ids))), *part.columns[:3], pa.array(ids, pa.binary())], ["row", "doc_id", "held_out", "round", "ids"])
-                row += len(ids)
+        for part in slices(batches):
+            ids = []
+            for text in part.column(3).cast(pa.large_binary()).to_pylist():
+                spelled = b"".join(map(table.__getitem__, text.lower().split()))
+                ids.append(end + np.frombuffer(spelled, "<u4").astype(kind).tobytes() + end)
+            yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(len(ids))), *part.columns[:3], pa.array(ids, pa.binary())], ["row", "doc_id", "held_out", "round", "ids"])
+            row += len(ids)
 
     return run
 
@@ -143,17 +141,14 @@ def _counter(path: str):
         def out(kind: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["kind", "key", "n"])
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                flat, n = _laid(batch.column(0).slice(at, 500).to_pylist(), kind)
-                if not len(n):
-                    continue
-                seen += np.bincount(flat, minlength=len(seen)) - np.bincount(flat[np.cumsum(n) - n], minlength=len(seen))
-                held.append(_words(flat, n, starts)[1])
-                size += len(held[-1])
-                if size >= COUNTED:
-                    yield out(0, *np.unique(np.concatenate(held), return_counts=True))
-                    held, size = [], 0
+        for part in slices(batches):
+            flat, n = _laid(part.column(0).to_pylist(), kind)
+            seen += np.bincount(flat, minlength=len(seen)) - np.bincount(flat[np.cumsum(n) - n], minlength=len(seen))
+            held.append(_words(flat, n, starts)[1])
+            size += len(held[-1])
+            if size >= COUNTED:
+                yield out(0, *np.unique(np.concatenate(held), return_counts=True))
+                held, size = [], 0
         if held:
             yield out(0, *np.unique(np.concatenate(held), return_counts=True))
         at = np.flatnonzero(seen)
@@ -173,14 +168,13 @@ def _learner(held, kind: str):
             flat, n = _laid(texts, kind)
             lm_model.train(state, tree, flat, n - 1)
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                for ids in batch.column(0).slice(at, 500).to_pylist():
-                    texts.append(ids)
-                    size += len(ids) // int(kind[-1]) - 1
-                    if size >= TRAINED:
-                        learn()
-                        total, texts, size = total + size, [], 0
+        for part in slices(batches):
+            for ids in part.column(0).to_pylist():
+                texts.append(ids)
+                size += len(ids) // int(kind[-1]) - 1
+                if size >= TRAINED:
+                    learn()
+                    total, texts, size = total + size, [], 0
         if texts:
             learn()
             total += size

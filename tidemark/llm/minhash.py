@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import components, id_text, partitions, read, runs, staged
+from tidemark.llm.common import components, id_text, partitions, read, runs, slices, staged
 from tidemark.llm.words import mix, odd_numbers, word_hashes
 
 #: Bands of ROWS samples: a pair of similarity 0.8 shares none with probability (1 - 0.8^5)^32 = 3e-6.
@@ -83,7 +83,7 @@ def estimate(differing: np.ndarray) -> np.ndarray:
 
 def _profiles(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids, texts, keys = batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()).to_pylist(), batch.column(2)
             at = 0
             while at < len(ids):

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import id_text, partitions, read, staged
+from tidemark.llm.common import id_text, partitions, read, slices, staged
 from tidemark.llm.tokens import encoder, tokenizer_path
 
 CAPACITY, END_ID = 4096, 1
@@ -36,7 +36,7 @@ GROUPS, LARGE = 256, 1 / 16
 def _pieces(path: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(path), np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in slices(batches):
             docs, piece, start, length, crc = [], [], [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = enc.encode(text) + end

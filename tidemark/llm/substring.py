@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import id_text, partitions, read, runs, staged
+from tidemark.llm.common import id_text, partitions, read, runs, slices, staged
 from tidemark.llm.words import mix
 
 LENGTH, K = 200, 40
@@ -38,7 +38,7 @@ STARTS = LENGTH - K + 1  # starts whose string can hold a given anchor
 #: A difference cover of 31: every residue is a difference of two of its members. SAMPLE bytes are ranked at each covered place.
 PERIOD, COVER, SAMPLE = 31, (1, 5, 11, 24, 25, 27), 168
 #: Contexts sorted at once; contexts of one bucket above which it is split, and the suffixes of a piece then; bytes hashed at once.
-BATCH, HOT, STEPS, CHUNK = 1_000, 1_000, (16, 1), 1 << 20
+BATCH, HOT, STEPS, CHUNK = 1_000, 1_000, (16, 1), 1 << 19
 #: Bits of a bitmap of anchors for each anchor in it, and their bounds (the largest has 64 MB; beyond, it passes more on to the exact joins).
 SPARSE, LEAST_BITS, MOST_BITS = 8, 1 << 20, 1 << 29
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -98,7 +98,7 @@ def _chunks(ids: list[int], texts: list[bytes]) -> Iterator[tuple[np.ndarray, np
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         for data, starts, _ in _chunks(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()).to_pylist()):
             h, n = np.unique(anchors(data, starts)[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
@@ -319,7 +319,7 @@ def _occurrences(held, context: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = _SHAPE if context else ["key", "at", "h", "left", "right", "digest"]
         bits, packed = held.value
-        for batch in batches:
+        for batch in slices(batches):
             texts, keys = batch.column(1).cast(pa.large_binary()).to_pylist(), batch.column(2).to_pylist()
             for data, starts, rows in _chunks(batch.column(0).to_pylist(), texts):
                 h, place, first, last = anchors(data, starts)

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import id_text, partitions, read, shared_dir, staged
+from tidemark.llm.common import id_text, partitions, read, shared_dir, slices, staged
 from tidemark.llm.tokens import encoder, tokenizer_path
 
 _NO_ID = -(2**63)
@@ -38,7 +38,7 @@ def _write(folder: str, path: str, end_id: int):
         end = np.array([end_id], dtype).tobytes()
         lengths, docs = [np.zeros(1, np.int64)], []
         with files.open_output_stream(f"{root}/{part}.ids") as out:
-            for batch in batches:
+            for batch in slices(batches):
                 own = np.zeros(batch.num_rows, np.int64)
                 for i, text in enumerate(batch.column(1).to_pylist()):
                     ids = np.frombuffer(enc.encode(text), "<u4").astype(dtype)
