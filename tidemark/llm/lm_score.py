@@ -40,7 +40,7 @@ SHARE, ROUNDS, TOP = 0.05, 3, 1 << 17
 TASK_BYTES, TRAINED, COUNTED, SCORED = 16_000_000, 400_000, 3_000_000, 200_000
 #: Floats in a block of weights; salts by which blocks are summed first.
 BLOCK, SALTS = 1 << 14, 16
-KEPT_WORDS = 150_000
+KEPT_WORDS = 250_000
 
 
 class _Ids(Kept):

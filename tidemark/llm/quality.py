@@ -26,7 +26,7 @@ from tidemark.llm.words import Kept
 SAMPLE, BUCKETS, DIM, EPOCHS, RATE = 6000, 1 << 16, 8, 6, 4.0
 NGRAMS = (3, 4)
 #: Words whose sums a task keeps in each of two generations.
-KEPT_WORDS = 150_000
+KEPT_WORDS = 250_000
 
 
 def fold(doc_id: Column, n: int) -> Column:

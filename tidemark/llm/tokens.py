@@ -12,8 +12,8 @@ import numpy as np
 
 from tidemark.llm.words import Kept
 
-#: Words whose ids a worker keeps in each of two generations, about 30 MB each.
-KEPT_WORDS = 150_000
+#: Words whose ids a worker keeps in each of two generations, about 75 MB each.
+KEPT_WORDS = 350_000
 
 
 def tokenizer_path(name: str) -> str:

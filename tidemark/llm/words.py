@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Words whose hash a worker keeps in each of two generations.
-KEPT_WORDS = 60_000
+KEPT_WORDS = 120_000
 
 
 class Kept(dict):
