@@ -33,15 +33,26 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def shared_dir(spark: SparkSession, kind: str) -> str:
-    """A fresh folder under spark.checkpoint.dir, which every executor sees; a temporary one only in local mode and where that is unset."""
+#: Temporary folders of sessions in local mode that have no spark.checkpoint.dir, by application id.
+_OWN_DIRS: dict[str, str] = {}
+
+
+def base_dir(spark: SparkSession) -> str:
+    """The folder that every executor sees: spark.checkpoint.dir, or where that is unset a temporary folder, in local mode only."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base and not spark.sparkContext.master.startswith("local["):
+    if base:
+        return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and every executor see")
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/tidemark/{kind}-{uuid.uuid4().hex}"
+    own = spark.sparkContext.applicationId
+    if own not in _OWN_DIRS:
+        _OWN_DIRS[own] = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
+    return _OWN_DIRS[own]
+
+
+def shared_dir(spark: SparkSession, kind: str) -> str:
+    """A fresh folder's path below base_dir."""
+    return f"{base_dir(spark)}/tidemark/{kind}-{uuid.uuid4().hex}"
 
 
 def staged(df: DataFrame, kind: str) -> DataFrame:
@@ -52,12 +63,9 @@ def staged(df: DataFrame, kind: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Delete everything staged under spark.checkpoint.dir; call it when the results have been written."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        jvm = spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/tidemark")
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete everything staged below base_dir; call it when the results have been written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base_dir(spark)}/tidemark")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:

@@ -11,6 +11,7 @@ from tidemark.llm.decontaminate import op4_decontaminate
 from tidemark.llm.embed_join import op8_embedding_join
 from tidemark.llm.line_dedup import op1_line_dedup
 from tidemark.llm.lm_score import op2_lm_score
+from tidemark.llm.merkle import op12_merkle_manifest
 from tidemark.llm.minhash import op9_minhash_near_dedup
 from tidemark.llm.packing import op6_best_fit_packing
 from tidemark.llm.quality import op7_quality_classifier
@@ -19,7 +20,19 @@ from tidemark.llm.token_files import op3_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_line_dedup, op2_lm_score, op3_token_files, op4_decontaminate, op5_chat_format, op6_best_fit_packing, op7_quality_classifier, op8_embedding_join, op9_minhash_near_dedup, op10_suffix_dedup)
+    for f in (
+        op1_line_dedup,
+        op2_lm_score,
+        op3_token_files,
+        op4_decontaminate,
+        op5_chat_format,
+        op6_best_fit_packing,
+        op7_quality_classifier,
+        op8_embedding_join,
+        op9_minhash_near_dedup,
+        op10_suffix_dedup,
+        op12_merkle_manifest,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -51,4 +64,25 @@ SELECT conv_id, max(n) AS n_turns, sha256(string_agg(role || chr(10) || text ||
   sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(upto) FILTER (WHERE role = 'assistant' OR place = n) AS BIGINT) AS formatted_chars
 FROM s GROUP BY conv_id""",
+    "op12_merkle_manifest": r"""
+WITH RECURSIVE field AS (SELECT *, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head,
+    list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: [CAST(ascii(x) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda crc, x: CASE WHEN x >= 0 THEN xor(crc, x) WHEN crc % 2 = 1 THEN xor(crc // 2, 3988292384) ELSE crc // 2 END) AS crc
+  FROM documents),
+hashed AS (SELECT lang, doc_id, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    CASE WHEN xor(crc, 4294967295) % 3 = 0 THEN sha256(head || coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) END AS other FROM field),
+leaves AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY lang) AS n FROM hashed),
+node(lang, level, idx, n, h) AS (SELECT lang, 0, idx, n, leaf FROM leaves
+  UNION ALL SELECT lang, level + 1, idx // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY idx)) FROM node WHERE n > 1 GROUP BY lang, level, idx // 8, n),
+subroots AS MATERIALIZED (SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS idx, count(*) OVER () AS n FROM node WHERE n = 1),
+upper_node(level, idx, n, h) AS (SELECT 0, idx, n, subroot FROM subroots
+  UNION ALL SELECT level + 1, idx // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY idx)) FROM upper_node WHERE n > 1 GROUP BY level, idx // 8, n),
+walk(lang, leaf_idx, level, idx, n, now, path) AS (SELECT lang, idx, 0, idx, n, coalesce(other, leaf), '' FROM leaves
+  UNION ALL SELECT w.lang, w.leaf_idx, w.level + 1, w.idx // 8, (w.n + 7) // 8, sha256(string_agg(CASE WHEN s.idx = w.idx THEN w.now ELSE s.h END, '' ORDER BY s.idx)), w.path || coalesce(string_agg(s.h, '' ORDER BY s.idx) FILTER (s.idx <> w.idx), '')
+  FROM walk w JOIN node s ON s.lang IS NOT DISTINCT FROM w.lang AND s.level = w.level AND s.idx // 8 = w.idx // 8 WHERE w.n > 1 GROUP BY w.lang, w.leaf_idx, w.level, w.idx, w.n, w.now, w.path),
+climb(lang, leaf_idx, level, idx, n, now, path) AS (SELECT w.lang, w.leaf_idx, 0, r.idx, r.n, w.now, w.path FROM walk w JOIN subroots r ON r.lang IS NOT DISTINCT FROM w.lang WHERE w.n = 1
+  UNION ALL SELECT w.lang, w.leaf_idx, w.level + 1, w.idx // 8, (w.n + 7) // 8, sha256(string_agg(CASE WHEN s.idx = w.idx THEN w.now ELSE s.h END, '' ORDER BY s.idx)), w.path || coalesce(string_agg(s.h, '' ORDER BY s.idx) FILTER (s.idx <> w.idx), '')
+  FROM climb w JOIN upper_node s ON s.level = w.level AND s.idx // 8 = w.idx // 8 WHERE w.n > 1 GROUP BY w.lang, w.leaf_idx, w.level, w.idx, w.n, w.now, w.path)
+SELECT l.doc_id, l.leaf, r.subroot, u.h AS root, sha256(c.path) AS proof_sha256, c.now AS folded_root, c.now = u.h AS verified
+FROM leaves l JOIN subroots r ON r.lang IS NOT DISTINCT FROM l.lang JOIN climb c ON c.lang IS NOT DISTINCT FROM l.lang AND c.leaf_idx = l.idx AND c.n = 1 CROSS JOIN (SELECT h FROM upper_node WHERE n = 1) u""",
 }
