@@ -17,6 +17,7 @@ from tidemark.llm.packing import op6_best_fit_packing
 from tidemark.llm.quality import op7_quality_classifier
 from tidemark.llm.substring import op10_suffix_dedup
 from tidemark.llm.token_files import op3_token_files
+from tidemark.llm.warc import op13_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_minhash_near_dedup,
         op10_suffix_dedup,
         op12_merkle_manifest,
+        op13_warc,
     )
 }
 
@@ -85,4 +87,8 @@ climb(lang, leaf_idx, level, idx, n, now, path) AS (SELECT w.lang, w.leaf_idx, 0
   FROM climb w JOIN upper_node s ON s.level = w.level AND s.idx // 8 = w.idx // 8 WHERE w.n > 1 GROUP BY w.lang, w.leaf_idx, w.level, w.idx, w.n, w.now, w.path)
 SELECT l.doc_id, l.leaf, r.subroot, u.h AS root, sha256(c.path) AS proof_sha256, c.now AS folded_root, c.now = u.h AS verified
 FROM leaves l JOIN subroots r ON r.lang IS NOT DISTINCT FROM l.lang JOIN climb c ON c.lang IS NOT DISTINCT FROM l.lang AND c.leaf_idx = l.idx AND c.n = 1 CROSS JOIN (SELECT h FROM upper_node WHERE n = 1) u""",
+    "op13_warc": r"""
+WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 AND page_id IS NOT NULL THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to FROM f""",
 }
