@@ -15,6 +15,7 @@ from tidemark.llm.merkle import op12_merkle_manifest
 from tidemark.llm.minhash import op9_minhash_near_dedup
 from tidemark.llm.packing import op6_best_fit_packing
 from tidemark.llm.quality import op7_quality_classifier
+from tidemark.llm.ranked import op11_ranked_search
 from tidemark.llm.substring import op10_suffix_dedup
 from tidemark.llm.token_files import op3_token_files
 from tidemark.llm.warc import op13_warc
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_embedding_join,
         op9_minhash_near_dedup,
         op10_suffix_dedup,
+        op11_ranked_search,
         op12_merkle_manifest,
         op13_warc,
     )
@@ -91,4 +93,15 @@ FROM leaves l JOIN subroots r ON r.lang IS NOT DISTINCT FROM l.lang JOIN climb c
 WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
 f AS (SELECT *, CASE WHEN payload_bytes >= 100 AND page_id IS NOT NULL THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first FROM p)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to FROM f""",
+    "op11_ranked_search": r"""
+WITH term AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9A-Za-z\x{80}-\x{10FFFF}]+')) AS t FROM documents WHERE doc_id IS NOT NULL),
+tf AS MATERIALIZED (SELECT doc_id, t, count(*) AS tf FROM term GROUP BY doc_id, t),
+doc AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM tf GROUP BY doc_id),
+total AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS len FROM doc),
+df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
+query AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9A-Za-z\x{80}-\x{10FFFF}]+')) AS t FROM benchmark WHERE item_id IS NOT NULL),
+scored AS (SELECT item_id, doc_id, CAST(sum(CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // len)))) AS BIGINT) AS score
+  FROM query JOIN df USING (t) JOIN tf USING (t) JOIN doc USING (doc_id) CROSS JOIN total GROUP BY item_id, doc_id),
+placed AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM placed WHERE rank <= 50""",
 }
