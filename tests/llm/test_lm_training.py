@@ -10,45 +10,63 @@ from tidemark.llm import lm_model, lm_score
 from tidemark.llm.common import read
 from tidemark.llm.tokens import tokenizer_path
 
-PATH = tokenizer_path("byte_bpe_50k.json")
+PATH = tokenizer_path("byte_bpe_50k.tiktoken")
 
 
 def spelled_ids(text: str) -> list[int]:
     """An end, the ids of every word after a space, an end."""
     table = lm_score._ids(PATH)
-    own = [i for w in text.lower().split() for i in table.tokenizer.encode(" " + w, add_special_tokens=False).ids]
+    own = [i for w in text.lower().split() for i in table.tokenizer.encode_ordinary(" " + w)]
     return [table.size - 1, *own, table.size - 1]
 
 
-def test_all_training_texts_shape_tree_and_weights(spark, monkeypatch):
+def vocabulary_of(ids: list[np.ndarray]):
+    """The vocabulary of texts as ids with an end before and after."""
+    flat, n = np.concatenate(ids), np.array([len(x) for x in ids])
+    _, hashes, each = lm_score._words(flat, n, lm_score.ranks_of(PATH))
+    words, counts = np.unique(np.delete(hashes, np.cumsum(each) - each), return_counts=True)
+    of_ids = np.bincount(np.concatenate([x[1:] for x in ids]), minlength=lm_score._ids(PATH).size).astype(float)
+    return lm_score.Vocabulary(words, counts, 0.0, of_ids, lm_score.spelling_order(PATH))
+
+
+def test_all_training_texts_shape_vocabulary_and_weights(spark, monkeypatch):
     ids = [i for i in range(900) if zlib.crc32(str(i).encode()) % 7 != 2]
     texts = [(i, f"word{i} amber basin {'zephyr ' * (i % 5)}") for i in ids]
     seen = []
     real = lm_score.learned
-    monkeypatch.setattr(lm_score, "learned", lambda spelled, tree, size: seen.append((spelled, tree, size)) or real(spelled, tree, size))
+    monkeypatch.setattr(lm_score, "learned", lambda *a: seen.append(a) or real(*a))
     lm_score.score_texts(spark.createDataFrame(texts, "doc_id long, text string"), PATH)
-    spelled, tree, size = seen[0]
+    spelled, vocabulary, ranks = seen[0]
     want = [np.array(spelled_ids(t)) for _, t in texts]
-    counts = np.zeros(size)
-    for x in want:
-        np.add.at(counts, x[1:], 1)
-    again = lm_score.grown(PATH, counts)
-    assert np.array_equal(tree.bias, again.bias) and np.array_equal(tree.path, again.path)
+    again = vocabulary_of(want)
+    assert np.array_equal(vocabulary.words, again.words) and np.array_equal(vocabulary.n, again.n)
+    for a, b in ((vocabulary.cells, again.cells), (vocabulary.ids, again.ids)):
+        assert all(np.allclose(getattr(a, k), getattr(b, k)) for k in ("cls", "cell", "share", "bias", "cell_bias"))
     rows = spelled.collect()
-    assert sorted(bytes(r.ids) for r in rows) == sorted(x.astype("<u2").tobytes() for x in want) and {r["round"] for r in rows} == set(range(lm_score.ROUNDS))
-    held = spark.sparkContext.broadcast((lm_model.init(tree, size), tree))
+    assert sorted(bytes(r.ids) for r in rows) == sorted(x.astype("<u2").tobytes() for x in want)
+    held = spark.sparkContext.broadcast((lm_model.begin(vocabulary.init(len(ranks))), vocabulary, ranks))
     trained = spelled.coalesce(2).select("ids").mapInArrow(lm_score._learner(held, "<u2"), "block int, salt int, n long, w binary").where("block = 0").collect()
     assert sum(r.n for r in trained) == sum(len(x) - 1 for x in want)
 
 
 def test_rounds_average_and_learn(spark):
-    texts = [np.append(23, np.tile(np.arange(20), 200)).astype("<u2") for _ in range(60)]
-    spelled = spark.createDataFrame([(i % lm_score.ROUNDS, x.tobytes()) for i, x in enumerate(texts)], "round int, ids binary").repartition(2)
-    starts = np.arange(24) % 2 == 1
-    tree = lm_model.Tree(np.bincount(texts[0][1:], minlength=24).astype(float), starts, np.arange(24))
-    flat, lengths = texts[0].astype(np.int64), np.array([len(texts[0]) - 1])
-    m = lm_score.learned(spelled, tree, 24)
-    assert lm_model.score(m, tree, flat, lengths)[0].mean() > lm_model.score(lm_model.init(tree, 24), tree, flat, lengths)[0].mean() + 1
+    line = spelled_ids("the same words come again and again in this one line and no other does zzqxv ")[:-1]
+    texts = [np.array(line + line[1:] * 40 + [line[0]]) for _ in range(60)]
+    spelled = spark.createDataFrame([(i, x.astype("<u2").tobytes()) for i, x in enumerate(texts)], "doc_id long, ids binary").repartition(2)
+    vocabulary, ranks = vocabulary_of(texts), lm_score.ranks_of(PATH)
+    m = lm_score.learned(spelled, vocabulary, ranks)
+    first, hashes, each = lm_score._words(texts[0], np.array([len(texts[0])]), ranks)
+    t = vocabulary.tokens(texts[0], first, vocabulary.at(hashes))
+    score = lambda x: sum(lm_model.score(x, vocabulary.ids, t, each - 1)).mean()
+    assert score(m) > score(vocabulary.init(len(ranks))) + 1
+    state = lm_model.begin(m)
+    again = lm_score._shaped(lm_score._flat(state), state)
+    assert all(np.array_equal(again[part][k], state[part][k]) for part in "ms" for k in state[part])
+
+
+def test_rounds_grow_with_the_corpus():
+    each = 8 * lm_score.ROUNDS * lm_score.TASK_BYTES
+    assert [lm_score.rounds_of(x) - lm_score.ROUNDS for x in (0, each, each + 1, 4 * each, 1024 * each)] == [0, 0, 1, 2, 10]
 
 
 def test_the_mean_counts_by_ids(spark):
@@ -70,31 +88,15 @@ def test_starts_are_the_first_ids_of_words():
         assert own[ids[0]] and not own[ids[1:]].any() and table.size - 1 not in ids
 
 
-def test_words_and_end_share_at_most_one():
-    rng = np.random.default_rng(1)
-    size, end, starts, counts = 7, 6, np.array([1, 1, 1, 0, 0, 0, 1], bool), np.array([9.0, 5, 3, 8, 4, 2, 6])
-    tree = lm_model.Tree(counts, starts, np.arange(size))
-    m = {k: (w + rng.standard_normal(w.shape) * 0.5).astype(np.float32) for k, w in lm_model.init(tree, size).items()}
-    # every word of up to four ids whose first id alone starts a word: all but a rest of long words
-    vocabulary, frontier = [], [[i] for i in np.flatnonzero(starts[:end])]
-    for _ in range(4):
-        vocabulary += frontier
-        frontier = [w + [i] for w in frontier for i in np.flatnonzero(~starts)]
-
-    def logs(texts):
-        flat = np.concatenate([[end, *(i for w in t for i in w), end] for t in texts])
-        n = np.array([2 + sum(map(len, t)) for t in texts])
-        first, _, each = lm_score._words(flat, n, starts)
-        assert each.tolist() == [len(t) + 1 for t in texts]
-        return lm_score.word_logs(m, tree, flat, n, first, each).astype(float), np.cumsum(each)
-
-    for before in ([], [[0, 3]], [[1], [2, 4, 3]]):
-        out, at = logs([[*before, w] for w in vocabulary] + [before])
-        last = np.append(at[:-1] - 2, at[-1] - 1)  # the word after `before`, or the end
-        total = np.exp(out[last]).sum()
-        out, at = logs([[*before, w] for w in frontier])
-        rest = np.exp(out[at - 2]).sum()
-        assert 0.3 < total <= 1.0001 and total + rest <= 1.0001
+def test_tokens_are_cut_at_the_starts_and_hashed_by_their_ids():
+    ranks = lm_score.ranks_of(PATH)
+    own = [np.array(spelled_ids(t)) for t in ("amber basin amber", "", "basin 漢字 amber")]
+    first, hashes, each = lm_score._words(np.concatenate(own), np.array([len(x) for x in own]), ranks)
+    assert each.tolist() == [5, 2, 5]
+    end, amber, basin = hashes[0], hashes[1], hashes[2]
+    assert hashes[3] == amber and (hashes[[4, 5, 6, 7, 11]] == end).all() and hashes[8] == basin and hashes[10] == amber and len({end, amber, basin, hashes[9]}) == 4
+    assert amber >> np.uint64(48) < basin >> np.uint64(48) < end >> np.uint64(48) or end < amber < basin
+    assert lm_score._words(np.zeros(0, np.int64), np.zeros(0, np.int64), ranks)[2].tolist() == []
 
 
 def test_attention_helps_on_held_out_text(spark):
@@ -104,17 +106,22 @@ def test_attention_helps_on_held_out_text(spark):
     table = lm_score._ids(PATH)
 
     def laid(own):
-        ids = [spelled_ids(t) for t in own]
-        return np.concatenate(ids), np.array([len(x) - 1 for x in ids])
-
-    flat, n = laid([t for i, t in docs if not fold(i)][:600])
-    held, n_held = laid([t for i, t in docs if fold(i)][:100])
-    counts = np.bincount(flat, minlength=table.size).astype(float)
-    tree = lm_score.grown(PATH, counts)
-    with_it, without = lm_model.begin(lm_model.init(tree, table.size)), lm_model.begin(lm_model.init(tree, table.size))
+        return [np.array(spelled_ids(t)) for t in own]
+
+    ids, held_ids = laid([t for i, t in docs if not fold(i)][:600]), laid([t for i, t in docs if fold(i)][:100])
+    vocabulary, ranks = vocabulary_of(ids), lm_score.ranks_of(PATH)
+
+    def tokens(own):
+        flat, n = np.concatenate(own), np.array([len(x) for x in own])
+        first, hashes, each = lm_score._words(flat, n, ranks)
+        return vocabulary.tokens(flat, first, vocabulary.at(hashes)), each - 1
+
+    t, n = tokens(ids)
+    held, n_held = tokens(held_ids)
+    with_it, without = lm_model.begin(vocabulary.init(table.size)), lm_model.begin(vocabulary.init(table.size))
     without["m"]["V"][:] = 0
-    lm_model.train(with_it, tree, flat, n)
-    lm_model.train(without, tree, flat, n, still="V")
-    a, b = (lm_model.score(x["m"], tree, held, n_held)[0].mean() for x in (with_it, without))
-    counted = lm_model.score(lm_model.init(tree, table.size), tree, held, n_held)[0].mean()
+    lm_model.train(with_it, vocabulary.ids, t, n)
+    lm_model.train(without, vocabulary.ids, t, n, still="V")
+    a, b = (sum(lm_model.score(x["m"], vocabulary.ids, held, n_held)).mean() for x in (with_it, without))
+    counted = sum(lm_model.score(vocabulary.init(table.size), vocabulary.ids, held, n_held)).mean()
     assert a > b + 0.05 and b > counted + 0.3

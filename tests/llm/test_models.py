@@ -18,7 +18,7 @@ from tidemark.llm.tokens import tokenizer_path
 
 from .test_dedup import words
 
-BYTES = "byte_bpe_50k.json"
+BYTES = "byte_bpe_50k.tiktoken"
 
 
 def test_counts_and_base_score(docs, texts, no_docs):
@@ -37,58 +37,80 @@ def test_counts_and_base_score(docs, texts, no_docs):
 
 
 def test_windows_score_each_input_once():
-    lengths = np.array([0, 1, 48, 49, 64, 65, 112, 113, 500])
-    for stride in (lm_model.STRIDE, lm_model.WINDOW):
+    w, s = lm_model.WINDOW, lm_model.STRIDE
+    lengths = np.array([0, 1, s, s + 1, w, w + 1, w + s, w + s + 1, 500])
+    for stride in (s, w):
         first, text, context, scored = lm_model.windows(lengths, stride)
         seen, starts = np.zeros((lengths + 1).sum(), int), np.cumsum(lengths + 1) - lengths - 1
-        for f, t, c, s in zip(first, text, context, scored):
-            assert 0 < s and c + s <= lm_model.WINDOW and starts[t] <= f and (c == lm_model.WINDOW - stride or f == starts[t])
-            seen[f + c : f + c + s] += 1
+        for f, t, c, n in zip(first, text, context, scored):
+            assert 0 < n and c + n <= w and starts[t] <= f and (c == w - stride or f == starts[t])
+            seen[f + c : f + c + n] += 1
         inside = np.ones(len(seen), bool)
-        inside[starts + lengths] = False  # a text's last id is no input
+        inside[starts + lengths] = False  # a text's last token is no input
         assert (seen == inside).all()
 
 
-def small_model(size: int, seed: int = 0):
+#: Ids of the small models below, and words of the vocabulary, whose ids are (word, id) for a word.
+IDS, VOCABULARY = 30, 12
+
+
+def small_model(seed: int = 0, n_words: int = VOCABULARY, n_ids: int = IDS):
+    """Random weights; cells of words and of ids with the stop."""
     rng = np.random.default_rng(seed)
-    tree = lm_model.Tree(rng.integers(0, 50, size).astype(float), rng.random(size) < 0.5, rng.permutation(size))
-    return tree, {k: (w + rng.standard_normal(w.shape) * 0.3).astype(np.float32) for k, w in lm_model.init(tree, size).items()}
+    words, ids = lm_model.Cells(rng.integers(1, 50, n_words), 20.0), lm_model.Cells(rng.integers(1, 50, n_ids + 1))
+    m = {k: (w + rng.standard_normal(w.shape) * 0.3).astype(np.float32) for k, w in lm_model.init(words, ids, n_ids).items()}
+    return words, ids, m
+
+
+def laid(words, own) -> lm_model.Tokens:
+    """Tokens from (vocabulary word or None, its ids)."""
+    size = np.array([len(x) for _, x in own])
+    cls = np.array([lm_model.SPELLED if w is None else words.cls[w] for w, _ in own])
+    cell, share = (np.array([0 if w is None else part[w] for w, _ in own], part.dtype) for part in (words.cell, words.share))
+    return lm_model.Tokens(np.concatenate([x for _, x in own]), np.cumsum(size) - size, cls, cell, share)
 
 
-def test_tree_gives_the_share_of_the_counts():
-    counts = np.random.default_rng(2).integers(0, 1000, 300).astype(float)
-    starts = np.arange(300) % 3 == 0
-    tree = lm_model.Tree(counts, starts, np.arange(300))
-    m = lm_model.init(tree, 300)
-    logs, start = lm_model.log_probabilities(m, tree, np.zeros((300, lm_model.DIM), np.float32), np.arange(300))
-    share = (counts + 0.5) / (counts + 0.5).sum()
-    assert tree.nodes == 299 and np.allclose(np.exp(logs), share, rtol=1e-4) and np.allclose(np.exp(start), share[starts].sum(), rtol=1e-4)
+def random_tokens(rng, n: int, n_words: int = VOCABULARY, n_ids: int = IDS) -> list:
+    return [(w if w < n_words else None, rng.integers(0, n_ids, rng.integers(1, 5))) for w in rng.integers(0, n_words * 3 // 2, n)]
+
+
+def test_untrained_model_gives_the_share_of_the_counts():
+    counts = np.random.default_rng(2).integers(1, 1000, 3000).astype(float)
+    words, ids = lm_model.Cells(counts, 5000.0), lm_model.Cells(np.ones(IDS + 1))
+    m = lm_model.init(words, ids, IDS)
+    t = laid(words, [(0, np.array([1])), *((i, np.array([2])) for i in range(3000)), (None, np.array([7]))])
+    logs = sum(lm_model.score(m, ids, t, np.array([3001])))
+    assert np.allclose(np.exp(logs[:-1]), counts / (counts.sum() + 5000), rtol=2e-3)
+    assert abs(logs[-1] - math.log(5000 / (counts.sum() + 5000) / (IDS + 1) ** 2)) < 0.05  # spelled by one id and the stop
+    none = lm_model.init(lm_model.Cells(np.zeros(0)), ids, IDS)
+    assert abs(sum(lm_model.score(none, ids, laid(words, [(0, np.array([1])), (None, np.array([7]))]), np.array([1])))[0] - math.log(1 / (IDS + 1) ** 2)) < 0.05
 
 
 def test_model_is_causal_and_normalised():
-    size, rng = 200, np.random.default_rng(0)
-    tree, m = small_model(size)
-    flat = rng.integers(0, size, 120)
-    base = lm_model.score(m, tree, flat, np.array([119]))[0]
-    later = flat.copy()
-    later[80:] = rng.integers(0, size, 40)
-    assert np.allclose(lm_model.score(m, tree, later, np.array([119]))[0][:79], base[:79], atol=1e-5)
-    total = 0.0
-    for c in range(size):
-        last = flat.copy()
-        last[-1] = c
-        total += math.exp(lm_model.score(m, tree, last, np.array([119]))[0][-1])
-    assert abs(total - 1) < 1e-3
+    words, ids, m = small_model()
+    rng = np.random.default_rng(0)
+    own = random_tokens(rng, 120)
+    score = lambda x: sum(lm_model.score(m, ids, laid(words, x), np.array([len(x) - 1])))
+    base = score(own)
+    assert np.allclose(score(own[:80] + random_tokens(rng, 40))[:79], base[:79], atol=1e-5)
+    total = sum(math.exp(score([*own, (w, np.array([0]))])[-1]) for w in range(VOCABULARY))
+    ended, frontier = 0.0, [[i] for i in range(IDS)]
+    for _ in range(2):  # spellings of up to two ids; the rest are longer
+        texts = [[*own[-40:], (None, np.array(x))] for x in frontier]
+        logs = sum(lm_model.score(m, ids, laid(words, [t for x in texts for t in x]), np.full(len(texts), 40))).reshape(len(texts), 40)[:, -1]
+        ended += np.exp(logs.astype(float)).sum()
+        frontier = [[*x, i] for x in frontier for i in range(IDS)]
+    short = sum(math.exp(score([*own[-40:], (w, np.array([0]))])[-1]) for w in range(VOCABULARY))
+    assert 0.1 < total < 1 and 0 < ended and short + ended <= 1.0001
 
 
 def test_gradients_follow_the_loss():
     """A small step along each weight's gradient lowers the loss as the gradient says."""
-    size, rng = 40, np.random.default_rng(5)
-    tree, m = small_model(size)
-    flat, n = rng.integers(0, size, 130), np.array([64, 64])
-    loss = lambda x: -float(lm_model.score(x, tree, flat, n, 1)[0].astype(float).sum())
+    words, ids, m = small_model(5, 600, 500)
+    t, n = laid(words, random_tokens(np.random.default_rng(5), 2 * lm_model.WINDOW + 2, 600, 500)), np.full(2, lm_model.WINDOW)
+    loss = lambda x: -float(sum(lm_model.score(x, ids, t, n, 1)).astype(float).sum())
     state = lm_model.begin(m, spent=1e12)  # a huge sum: steps of rate / 1e6 along the plain gradient
-    lm_model.train(state, tree, flat, n, rate=1e6 * 1e-3)
+    lm_model.train(state, ids, t, n, rate=1e6 * 1e-3)
     for name in m:
         step = state["m"][name] - m[name]
         moved = {**m, name: m[name] + step}
@@ -97,14 +119,23 @@ def test_gradients_follow_the_loss():
 
 
 def test_model_learns():
-    flat = np.append(3, np.tile(np.arange(20), 300))
-    lengths = np.array([len(flat) - 1])
-    tree = lm_model.Tree(np.bincount(flat, minlength=24).astype(float), np.arange(24) % 2 == 0, np.arange(24))
-    state = lm_model.begin(lm_model.init(tree, 24))
-    before = lm_model.score(state["m"], tree, flat, lengths)[0].mean()
+    words, ids, _ = small_model()
+    m = lm_model.init(words, ids, IDS)
+    own = [(w, np.array([w, 20])) for w in range(10)] + [(None, np.array([3, 5, 7]))]
+    t = laid(words, [own[-1], *own * 300])
+    lengths = np.array([len(t.first) - 1])
+    state = lm_model.begin(m)
+    before = sum(lm_model.score(state["m"], ids, t, lengths)).mean()
     for _ in range(6):
-        lm_model.train(state, tree, flat, lengths, batch=4)
-    assert lm_model.score(state["m"], tree, flat, lengths)[0].mean() > before + 2
+        lm_model.train(state, ids, t, lengths, batch=4)
+    assert sum(lm_model.score(state["m"], ids, t, lengths)).mean() > before + 2
+
+
+def test_scores_beat_the_counts_on_held_out_known_words(spark):
+    """By 0.1 of a decimal digit a token or more, over texts of which 97 % of the tokens are known."""
+    rows = score_texts(read(spark, "/root/testdata/sf0.01", "documents"), tokenizer_path(BYTES)).where("held_out AND n_known >= 0.97 * n_tokens").collect()
+    tokens = sum(r.n_tokens for r in rows)
+    assert tokens > 3000 and sum(r.score - r.base_score for r in rows) > 0.1 * tokens
 
 
 def test_quality_on_held_out_labels(spark):

@@ -1,61 +1,58 @@
-"""A causal self-attention language model over subword ids, in numpy.
+"""A causal self-attention language model over the subword ids of words, in numpy.
 
-p(id | context) is a product along a binary tree whose leaves are the ids: at each node a sigmoid of h · vector + bias chooses
-a side. h comes from one layer of masked self-attention over a window of id embeddings. The tree keeps the ids in the order given (by spelling;
-ids that start a word or end a text come first) and halves the counts at every node, so frequent ids have short paths;
-the biases start at the counts' log-odds, so an untrained model gives each id its share of the counts. The probabilities of
-all ids sum to 1 for every context, and the root alone says whether a word starts (or the text ends) next.
+A token is a word or an end, and enters as the sum of its subword ids' vectors. One layer of masked self-attention over a window of tokens gives h. The next
+token is predicted from h by a two-level softmax: first its class, then its cell in the class; inside a cell, tokens keep the shares of their
+counts. Words that are not in the vocabulary are one class; they are spelled id by id, each id and the final stop again predicted by a two-level
+softmax, from h and the vector of the id before. Classes and cells have about equal counts, in the order given, so each frequent token has a
+cell of its own. The biases start at the counts' logs: an untrained model gives every token the share of its count.
+
+So p(token | context) sums to 1 over the vocabulary and all spellings.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-DIM, WINDOW, STRIDE = 24, 64, 48
-#: Levels of the tree whose nodes are computed all at once.
-TOP = 7
-_ONE = np.float32(1)
-
-
-class Tree:
-    """nodes: number of inner nodes, numbered level by level; path, side (ids x depth) and depth of each id; bias: log-odds of the counts."""
-
-    def __init__(self, counts: np.ndarray, starts: np.ndarray, order: np.ndarray):
-        size = len(counts)
-        order = np.concatenate([order[starts[order]], order[~starts[order]]])
-        sums = np.concatenate([[0.0], np.cumsum(counts[order] + 0.5)])
-        lo, hi = np.array([0]), np.array([size])
-        paths, sides, biases, nodes, first = [], [], [], 0, int(starts.sum())
-        while len(lo):
-            middle = np.searchsorted(sums, (sums[lo] + sums[hi]) / 2)
-            middle = np.clip(middle - (np.abs(sums[middle - 1] * 2 - sums[lo] - sums[hi]) < np.abs(sums[middle] * 2 - sums[lo] - sums[hi])), lo + 1, hi - 1)
-            if not nodes:
-                middle = np.clip([first], 1, size - 1)
-            path, side = np.full(size, -1, np.int32), np.zeros(size, np.float32)
-            inside = np.repeat(np.arange(len(lo)), hi - lo)
-            at = np.arange(len(inside)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + lo[inside]
-            path[order[at]] = nodes + inside
-            side[order[at]] = np.where(at < middle[inside], 1, -1)
-            paths.append(path), sides.append(side), biases.append(np.log((sums[middle] - sums[lo]) / (sums[hi] - sums[middle])))
-            nodes += len(lo)
-            lo, hi = np.stack([lo, middle], 1).ravel(), np.stack([middle, hi], 1).ravel()
-            lo, hi = lo[hi - lo > 1], hi[hi - lo > 1]
-        self.nodes, self.path, self.side = nodes, np.stack(paths, 1), np.stack(sides, 1)
-        self.depth = (self.path >= 0).sum(1)
-        self.bias = np.concatenate(biases).astype(np.float32)
-        self.top = int(np.flatnonzero(np.bincount(self.path[:, : TOP].ravel() + 1, minlength=nodes + 1)[1:])[-1]) + 1
-
-
-def init(tree: Tree, size: int, seed: int = 3) -> dict[str, np.ndarray]:
-    """E: embedding of each id; P: of each place; Q, K, V: attention; U: vector of each node; B: its bias."""
+DIM, WINDOW, STRIDE = 16, 32, 24
+#: Classes, the last of which is for spelled tokens (among ids: is empty), and cells of a class.
+CLASSES, CELLS = 64, 32
+SPELLED = CLASSES - 1
+
+
+class Cells:
+    """Class and cell of each of n symbols, the log of its share in the cell, and the biases that give each class and cell its share of the counts."""
+
+    def __init__(self, counts: np.ndarray, spelled: float = 0.0):
+        """counts: of the symbols, in an order that puts like ones together; spelled: tokens that are spelled instead."""
+        mass = np.asarray(counts, float)
+        n, total = len(mass), float(mass.sum()) or 1.0
+        self.cls = np.minimum((np.cumsum(mass) - mass / 2) / total * SPELLED, SPELLED - 1).astype(np.int64)
+        of_class = np.bincount(self.cls, mass, CLASSES)
+        before = np.concatenate([[0.0], np.cumsum(of_class)])[self.cls]
+        self.cell = np.minimum((np.cumsum(mass) - mass / 2 - before) / np.maximum(of_class[self.cls], 1e-9) * CELLS, CELLS - 1).clip(0).astype(np.int64)
+        of_cell = np.bincount(self.cls * CELLS + self.cell, mass, CLASSES * CELLS).reshape(CLASSES, CELLS)
+        self.share = np.log(np.maximum(mass, 1e-30) / np.maximum(of_cell[self.cls, self.cell], 1e-30)).astype(np.float32) if n else np.zeros(0, np.float32)
+        both = of_class.copy()
+        both[SPELLED] = spelled
+        # a class or cell that no symbol is in gets (almost) nothing; with no counts at all, all tokens are spelled
+        self.bias = np.log(np.maximum(both, 1e-9 * max(both.sum(), 1.0)) / max(both.sum(), 1e-9)).clip(-30).astype(np.float32)
+        if not both.sum():
+            self.bias = np.where(np.arange(CLASSES) == SPELLED, 0.0, -30.0).astype(np.float32)
+        self.cell_bias = np.log(np.maximum(of_cell, 1e-9 * np.maximum(of_class, 1e-9)[:, None]) / np.maximum(of_class, 1e-9)[:, None]).clip(-30).astype(np.float32)
+
+
+def init(words: Cells, ids: Cells, size: int, seed: int = 3) -> dict[str, np.ndarray]:
+    """E: vector of each id as input; P: of each place; Q, K, V: attention; A, a: classes of tokens; B, b: their cells; S: vector of the id before in a
+    spelling (the last: of its beginning); C, c and D, d: classes and cells of ids."""
     rng = np.random.default_rng(seed)
-    shapes = {"E": (size, DIM), "P": (WINDOW, DIM), "Q": (DIM, DIM), "K": (DIM, DIM), "V": (DIM, DIM)}
-    m = {k: (rng.standard_normal(s) * (0.2 if k in "EP" else DIM**-0.5)).astype(np.float32) for k, s in shapes.items()}
-    return m | {"U": np.zeros((tree.nodes, DIM), np.float32), "B": tree.bias.copy()}
+    shapes = {"E": (size, DIM), "P": (WINDOW, DIM), "Q": (DIM, DIM), "K": (DIM, DIM), "V": (DIM, DIM), "S": (size + 1, DIM)}
+    m = {k: (rng.standard_normal(s) * (0.2 if k in "EPS" else DIM**-0.5)).astype(np.float32) for k, s in shapes.items()}
+    m |= {k: np.zeros(s, np.float32) for k, s in (("A", (DIM, CLASSES)), ("B", (CLASSES, DIM, CELLS)), ("C", (DIM, CLASSES)), ("D", (CLASSES, DIM, CELLS)))}
+    return m | {"a": words.bias.copy(), "b": words.cell_bias.copy(), "c": ids.bias.copy(), "d": ids.cell_bias.copy()}
 
 
 def windows(lengths: np.ndarray, stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For texts of the given input lengths laid end to end (each with one id more): per window the place of its first id, its text, how many
+    """For texts of the given input lengths laid end to end (each with one token more): per window the place of its first token, its text, how many
     inputs at its beginning are context only, and how many it scores. Windows start stride apart and hold up to WINDOW inputs, so
     that WINDOW - stride of them overlap; every input is scored in one window."""
     n = np.maximum(1, -(-(lengths - (WINDOW - stride)) // stride)) * (lengths > 0)
@@ -66,70 +63,129 @@ def windows(lengths: np.ndarray, stride: int) -> tuple[np.ndarray, np.ndarray, n
     return first, text, context, np.minimum(lengths[text] - step, WINDOW) - context
 
 
+def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges (start, size), end to end."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+
+
+class Tokens:
+    """Texts laid end to end as tokens, each text with an end before it: ids of all tokens, first id and number of ids of each, its class (SPELLED or the
+    vocabulary's), cell and log share."""
+
+    def __init__(self, ids: np.ndarray, first: np.ndarray, cls: np.ndarray, cell: np.ndarray, share: np.ndarray):
+        self.ids, self.first, self.size = ids, first, np.diff(np.append(first, len(ids)))
+        self.cls, self.cell, self.share = cls, cell, share
+
+
 _MASK = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
 
 
-def forward(m: dict[str, np.ndarray], inputs: np.ndarray) -> tuple[np.ndarray, ...]:
-    """inputs: windows x WINDOW ids. Returns x, q, k, v, attention and h, in which each input has seen those before it and itself."""
-    x = m["E"][inputs]
-    x += m["P"]
+def _inputs(m: dict[str, np.ndarray], t: Tokens, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sum of the ids' vectors of the tokens at `at`, those ids, and where each token's begin."""
+    size = t.size[at]
+    ids, cut = t.ids[spans(t.first[at], size)], np.cumsum(size) - size
+    return np.add.reduceat(m["E"][ids], cut), ids, cut
+
+
+def forward(m: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, ...]:
+    """x: windows x WINDOW x DIM inputs. Returns q, k, v, attention and h, in which each input has seen those before it and itself."""
     flat = x.reshape(-1, DIM)
     q, k, v = ((flat @ w).reshape(x.shape) for w in (m["Q"] * np.float32(DIM**-0.5), m["K"], m["V"]))
     a = np.matmul(q, k.transpose(0, 2, 1))
-    a += _MASK
     np.minimum(a, 60, out=a)
+    a += _MASK
     np.exp(a, out=a)
-    a /= a.sum(2, keepdims=True)
+    a /= (a.reshape(-1, WINDOW) @ np.ones(WINDOW, np.float32)).reshape(len(x), WINDOW, 1)
     h = np.matmul(a, v)
     h += x
-    return x, q, k, v, a, np.tanh(h, out=h)
-
-
-def _soft(z: np.ndarray) -> np.ndarray:
-    """ln sigmoid(z)."""
-    return np.minimum(z, 0) - np.log1p(np.exp(-np.abs(z)))
-
-
-def _deep(tree: Tree, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Below the top levels, target after target: row, node and side of every node on its path."""
-    n = np.maximum(tree.depth[target] - TOP, 0)
-    row = np.repeat(np.arange(len(target)), n)
-    level = TOP + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    own = target[row]
-    return row, tree.path[own, level], tree.side[own, level]
-
-
-def log_probabilities(m: dict[str, np.ndarray], tree: Tree, h: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """ln p(target | h) of each row, and ln p(a word starts or the text ends | h)."""
-    top = h @ m["U"][: tree.top].T
-    top += m["B"][: tree.top]
-    path, side = tree.path[target, :TOP], tree.side[target, :TOP]
-    z = np.take_along_axis(top, np.maximum(path, 0), 1) * side
-    out = np.where(side != 0, _soft(z), 0).sum(1)
-    row, node, side = _deep(tree, target)
-    if len(row):
-        z = np.einsum("nd,nd->n", h[row], m["U"][node])
-        z += m["B"][node]
-        z *= side
-        out += np.bincount(row, _soft(z), len(target)).astype(np.float32)
-    return out, _soft(top[:, 0])
-
-
-def score(m: dict[str, np.ndarray], tree: Tree, flat: np.ndarray, lengths: np.ndarray, batch: int = 64) -> tuple[np.ndarray, np.ndarray]:
-    """For every input of texts laid end to end: ln p(the next id), and ln p(a word starts or the text ends there). flat: ids of the texts, each with
-    an end before it; lengths: inputs of each text, one less than its ids."""
+    return q, k, v, a, np.tanh(h, out=h)
+
+
+def _exp(z: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(exp of each row, in place, its sums, ln p of the column `at`)."""
+    np.minimum(z, 60, out=z)
+    own = z[np.arange(len(z)), at]
+    np.exp(z, out=z)
+    total = z @ np.ones(z.shape[1], np.float32)
+    return z, total, own - np.log(total)
+
+
+class _Choice:
+    """One two-level prediction for rows of h: classes by (A, a), cells by (B, b); rows of the class SPELLED have no cell."""
+
+    def __init__(self, m: dict[str, np.ndarray], names: str, h: np.ndarray, cls: np.ndarray, cell: np.ndarray):
+        self.m, self.names, self.h, self.cls = m, names, h, cls
+        A, a, B, b = (m[n] for n in names)
+        z = h @ A
+        z += a
+        self.p, self.total, self.logs = _exp(z, cls)
+        self.order = np.argsort(cls, kind="stable")
+        edges = np.searchsorted(cls[self.order], np.arange(CLASSES + 1))
+        self.order = self.order[: edges[SPELLED]]
+        self.parts = [(c, edges[c], edges[c + 1]) for c in range(SPELLED) if edges[c] < edges[c + 1]]
+        self.hs, self.cell = h[self.order], cell[self.order]
+        z = np.empty((len(self.order), CELLS), np.float32)
+        for c, s, e in self.parts:
+            np.dot(self.hs[s:e], B[c], out=z[s:e])
+            z[s:e] += b[c]
+        self.p2, self.total2, logs = _exp(z, self.cell)
+        self.logs[self.order] += logs
+
+    def back(self) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        """Gradients of -ln p by h and by the weights."""
+        A, _, B, _ = (self.m[n] for n in self.names)
+        self.p /= self.total[:, None]
+        self.p2 /= self.total2[:, None]
+        self.p[np.arange(len(self.p)), self.cls] -= 1
+        self.p2[np.arange(len(self.p2)), self.cell] -= 1
+        dh, own, gB, gb = self.p @ A.T, np.empty_like(self.hs), np.zeros_like(B), np.zeros((CLASSES, CELLS), np.float32)
+        for c, s, e in self.parts:
+            np.dot(self.p2[s:e], B[c].T, out=own[s:e])
+            np.dot(self.hs[s:e].T, self.p2[s:e], out=gB[c])
+            gb[c] = self.p2[s:e].sum(0)
+        dh[self.order] += own
+        return dh, dict(zip(self.names, (self.h.T @ self.p, self.p.sum(0), gB, gb)))
+
+
+def _spelling(t: Tokens, ids: Cells, rare: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+    """For the tokens at `rare`: row (among them), id before (size for none), class, cell and log share of every symbol of their spellings, the stop (symbol size) included."""
+    n = t.size[rare] + 1
+    row = np.repeat(np.arange(len(rare)), n)
+    begin = np.cumsum(n) - n
+    symbol, before = np.full(len(row), size), np.full(len(row), size)
+    inner = np.ones(len(row), bool)
+    inner[begin + n - 1] = False
+    symbol[inner] = t.ids[spans(t.first[rare], n - 1)]
+    later = np.flatnonzero(inner) + 1
+    before[later] = symbol[inner]
+    return row, before, ids.cls[symbol], ids.cell[symbol], ids.share[symbol]
+
+
+def score(m: dict[str, np.ndarray], ids: Cells, t: Tokens, lengths: np.ndarray, batch: int = 128) -> tuple[np.ndarray, np.ndarray]:
+    """For every token but the ends before the texts: ln p of the token, or of being spelled, and ln p of its spelling, 0 for one of the vocabulary. lengths: inputs of
+    each text, one less than its tokens."""
+    size = len(m["E"])
     first, text, context, scored = windows(lengths, STRIDE)
-    logs, starts = np.empty(int(lengths.sum()), np.float32), np.empty(int(lengths.sum()), np.float32)
-    slots = np.arange(WINDOW)
+    logs, spells = np.empty(int(lengths.sum()), np.float32), np.zeros(int(lengths.sum()), np.float32)
+    slots, n = np.arange(WINDOW), len(t.first)
     for i in range(0, len(first), batch):
         w = slice(i, i + batch)
-        at = first[w][:, None] + slots
-        h = forward(m, flat[np.minimum(at, len(flat) - 1)])[-1]
+        at = np.minimum(first[w][:, None] + slots, n - 1)
+        x = _inputs(m, t, at.ravel())[0].reshape(*at.shape, DIM)
+        x += m["P"]
+        h = forward(m, x)[-1]
         live = (slots >= context[w][:, None]) & (slots < (context[w] + scored[w])[:, None])
-        place = at[live]
+        place, h = at[live], h[live]
+        target = place + 1
+        own = _Choice(m, "AaBb", h, t.cls[target], t.cell[target]).logs + t.share[target]
         into = place - np.repeat(text[w], scored[w])
-        logs[into], starts[into] = log_probabilities(m, tree, h[live], flat[place + 1])
-    return logs, starts
+        logs[into] = own
+        rare = np.flatnonzero(t.cls[target] == SPELLED)
+        if len(rare):
+            row, before, cls, cell, share = _spelling(t, ids, target[rare], size)
+            g = np.tanh(h[rare][row] + m["S"][before])
+            spells[into[rare]] = np.bincount(row, _Choice(m, "CcDd", g, cls, cell).logs + share, len(rare))
+    return logs, spells
 
 
 def _add_rows(w: np.ndarray, s: np.ndarray, rows: np.ndarray, grads: np.ndarray, rate: float) -> None:
@@ -138,72 +194,60 @@ def _add_rows(w: np.ndarray, s: np.ndarray, rows: np.ndarray, grads: np.ndarray,
     rows = rows[order]
     cut = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
     g, own = np.add.reduceat(grads[order], cut), rows[cut]
-    s[own] += (g * g).mean(1) if g.ndim > 1 else g * g
-    scale = np.float32(rate) / np.sqrt(s[own] + np.float32(1e-8))
-    w[own] -= (g.T * scale).T
+    s[own] += (g * g) @ np.full(g.shape[1], 1 / g.shape[1], np.float32)
+    w[own] -= g * (np.float32(rate) / np.sqrt(s[own] + np.float32(1e-8)))[:, None]
 
 
-def train(state: dict, tree: Tree, flat: np.ndarray, lengths: np.ndarray, rate: float = 0.1, batch: int = 64, seed: int = 3, still: str = "") -> dict[str, np.ndarray]:
-    """One pass of Adagrad over all inputs of the texts (see score), in windows that do not overlap; returns the weights of state. still: names of
-    square matrices that stay as they are."""
+def train(state: dict, ids: Cells, t: Tokens, lengths: np.ndarray, rate: float = 0.1, batch: int = 128, seed: int = 3, still: str = "") -> dict[str, np.ndarray]:
+    """One pass of Adagrad over all tokens of the texts (see score), in windows that do not overlap; returns the weights of state. still: names of
+    weights that stay as they are."""
     m, s, rng = state["m"], state["s"], np.random.default_rng(seed)
+    size = len(m["E"])
     first, _, _, scored = windows(lengths, WINDOW)
-    slots, scale = np.arange(WINDOW), np.float32(DIM**-0.5)
+    slots, scale, n = np.arange(WINDOW), np.float32(DIM**-0.5), len(t.first)
     order = rng.permutation(len(first))
     for i in range(0, len(order), batch):
         w = order[i : i + batch]
-        at = first[w][:, None] + slots
-        inputs = flat[np.minimum(at, len(flat) - 1)]
-        x, q, k, v, a, h = forward(m, inputs)
+        at = np.minimum(first[w][:, None] + slots, n - 1)
+        x, own_ids, cut = _inputs(m, t, at.ravel())
+        x = x.reshape(*at.shape, DIM)
+        x += m["P"]
+        q, k, v, a, h = forward(m, x)
         live = slots < scored[w][:, None]
-        own, target = h[live], flat[at[live] + 1]
-        # of -ln p by each node's z: -side * sigmoid(-side * z)
-        top = own @ m["U"][: tree.top].T
-        top += m["B"][: tree.top]
-        path, side = np.maximum(tree.path[target, :TOP], 0), tree.side[target, :TOP]
-        g = -side / (_ONE + np.exp(np.clip(np.take_along_axis(top, path, 1) * side, -60, 60)))
-        top[:] = 0
-        np.put_along_axis(top, np.where(side != 0, path, tree.top - 1), np.where(side != 0, g, 0), 1)
-        if (short := np.flatnonzero(side[:, -1] == 0)).size:  # a padded level must not wipe the last node's own gradient
-            for l in range(side.shape[1]):
-                r = short[side[short, l] != 0]
-                top[r, path[r, l]] = g[r, l]
-        dh = top @ m["U"][: tree.top]
-        row, node, side = _deep(tree, target)
-        u, hr = m["U"][node], own[row]
-        gd = -side / (_ONE + np.exp(np.clip((np.einsum("nd,nd->n", hr, u) + m["B"][node]) * side, -60, 60)))
-        u *= gd[:, None]
-        if len(row):
-            cut = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-            dh[row[cut]] += np.add.reduceat(u, cut)
-        gu, gb = top.T @ own, top.sum(0)
-        hr *= gd[:, None]
+        own, target = h[live], at[live] + 1
+        dh, grads = _Choice(m, "AaBb", own, t.cls[target], t.cell[target]).back()
+        rare = np.flatnonzero(t.cls[target] == SPELLED)
+        if len(rare):
+            row, before, cls, cell, _ = _spelling(t, ids, target[rare], size)
+            g = np.tanh(own[rare][row] + m["S"][before])
+            dg, more = _Choice(m, "CcDd", g, cls, cell).back()
+            dg *= 1 - g * g
+            dh[rare] += np.add.reduceat(dg, np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])))
+            grads |= more
+            if "S" not in still:
+                _add_rows(m["S"], s["S"], before, dg, rate)
         back = np.zeros_like(h)
-        back[live] = dh * (_ONE - own * own)
+        back[live] = dh * (1 - own * own)
         da = np.matmul(back, v.transpose(0, 2, 1))
         dv = np.matmul(a.transpose(0, 2, 1), back)
         da *= a
-        da -= a * da.sum(2, keepdims=True)
+        da -= a * (da.reshape(-1, WINDOW) @ np.ones(WINDOW, np.float32)).reshape(len(da), WINDOW, 1)
         dq, dk = np.matmul(da, k), np.matmul(da.transpose(0, 2, 1), q)
         flat_x, dq, dk, dv = x.reshape(-1, DIM), dq.reshape(-1, DIM) * scale, dk.reshape(-1, DIM), dv.reshape(-1, DIM)
         dx = back.reshape(-1, DIM) + dq @ m["Q"].T + dk @ m["K"].T + dv @ m["V"].T
-        for name, grad in (("Q", flat_x.T @ dq), ("K", flat_x.T @ dk), ("V", flat_x.T @ dv), ("P", dx.reshape(x.shape).sum(0))):
-            if name in still:
-                continue
-            s[name] += grad * grad
-            m[name] -= np.float32(rate) * grad / np.sqrt(s[name] + np.float32(1e-8))
-        t = slice(0, tree.top)
-        s["U"][t] += (gu * gu).mean(1)
-        m["U"][t] -= np.float32(rate) * gu / np.sqrt(s["U"][t] + np.float32(1e-8))[:, None]
-        s["B"][t] += gb * gb
-        m["B"][t] -= np.float32(rate) * gb / np.sqrt(s["B"][t] + np.float32(1e-8))
-        if len(row):
-            _add_rows(m["U"], s["U"], node, hr, rate)
-            _add_rows(m["B"], s["B"], node, gd, rate)
-        _add_rows(m["E"], s["E"], inputs[live], dx.reshape(x.shape)[live], rate)
+        grads |= {"Q": flat_x.T @ dq, "K": flat_x.T @ dk, "V": flat_x.T @ dv, "P": dx.reshape(x.shape).sum(0)}
+        for name, grad in grads.items():
+            if name not in still:
+                s[name] += grad * grad
+                m[name] -= np.float32(rate) * grad / np.sqrt(s[name] + np.float32(1e-8))
+        if "E" not in still:
+            counts = t.size[at.ravel()] * live.ravel()  # slots behind a text's end take no part
+            keep = np.repeat(live.ravel(), t.size[at.ravel()])
+            _add_rows(m["E"], s["E"], own_ids[keep], np.repeat(dx, counts, axis=0), rate)
     return m
 
 
-def begin(m: dict[str, np.ndarray], spent: float = 1e-3) -> dict:
-    """State of train() at the weights m, which are copied: weights and Adagrad's sums (spent at first), one for each row of E, U and B."""
-    return {"m": {k: v.copy() for k, v in m.items()}, "s": {k: np.full(len(v) if k in "EUB" else v.shape, spent, np.float32) for k, v in m.items()}}
+def begin(m: dict[str, np.ndarray], spent: float = 1e-3, sums: dict[str, np.ndarray] | None = None) -> dict:
+    """State of train() at the weights m, which are copied: weights and Adagrad's sums (spent at first, or those given), one for each row of E and S."""
+    fresh = {k: np.full(len(v) if k in "ES" else v.shape, spent, np.float32) for k, v in m.items()}
+    return {"m": {k: v.copy() for k, v in m.items()}, "s": {k: v.copy() for k, v in (sums or fresh).items()}}

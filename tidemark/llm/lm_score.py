@@ -1,16 +1,16 @@
-"""LM scoring: a causal self-attention model over subword ids, trained on the whole training fold.
+"""LM scoring: a causal self-attention model over the subword ids of words, trained on the whole training fold.
 
 A text is its words (A-Z lower-cased) and one end. Every word is spelled in ids of the byte-level tokenizer, once: the ids of all
-texts are written down, and counting, training and scoring read them. Long texts are cut into windows that overlap by their context,
-and each id is scored once, in batches under a causal mask. A word's probability is that of its ids and of the word ending there: the first
-id's among the ids that start a word or end the text (one of them comes, as the word before has ended), the others', and that after the last id a word starts
-or the text ends. So the words and the end share at most 1. A floor of SHARE * c / N, c being the word's count among the N tokens of the
-training fold, is mixed in: SHARE * c / N + (1 - SHARE) * p(ids | context).
-
-All training texts are counted and learned from, each id once: texts are dealt to ROUNDS rounds by their id's hash; in a round each task trains
-over its own texts from the same weights, and the next round starts from the mean of the tasks' weights, each counting by its
-ids. So the weights depend a little on how the input is cut into tasks. The weights (about 10 MB, a fixed number) travel in blocks that are summed as
-streams, first by salt, then in all. The most frequent TOP words' counts (a fixed number) are broadcast; other words travel as
+texts are written down, and counting, training and scoring read them. A token enters the model as the sum of its ids' vectors. Long texts are cut into
+windows of tokens that overlap by their context, and each token is scored once, in batches under a causal mask. The TOP most frequent tokens that occur
+LEAST times or more are predicted whole, all others as rare words (see lm_model). A rare word is one met before, by its count c among the R rare tokens of
+the training fold, or a new one, by its spelling: p(rare | context) * (seen * c / R + (1 - seen) * p(spelling | context)), where 1 - seen is the share of words met
+once among the R (the Good-Turing estimate of new ones). A floor of SHARE * c / N, N being all tokens of the training fold, is mixed in.
+
+All training texts are counted and learned from, each token once: texts are dealt to rounds by their id's hash; in a round each task trains
+over its own texts from the same weights, and the next round starts from the mean of the tasks' weights and of their Adagrad sums, each counting by its
+ids. Rounds grow with the logarithm of the corpus. The weights depend a little on how the input is cut into tasks. They (about 10 MB, a fixed number) travel
+in blocks that are summed as streams, first by salt, then in all. The most frequent TOP words' counts (a fixed number) are broadcast; other words travel as
 64-bit hashes of their ids to a join with the counts, so the table of counts is never held in one place and no hot word is shuffled.
 
 Defined results: a null or empty text is the end alone; rows that repeat a doc_id are scored and counted each; a row without doc_id
@@ -35,37 +35,41 @@ from tidemark.llm.quality import fold
 from tidemark.llm.tokens import tokenizer_path
 from tidemark.llm.words import Kept, mix
 
-SHARE, ROUNDS, TOP = 0.05, 3, 1 << 17
-#: Bytes of ids that a training task of a round is meant to have; ids trained on, counted or scored together.
-TASK_BYTES, TRAINED, COUNTED, SCORED = 16_000_000, 400_000, 3_000_000, 200_000
+SHARE, ROUNDS, TOP, LEAST = 0.02, 3, 1 << 17, 3
+#: Bytes of ids that a training task of a round has at most, and those under which a corpus is not split over idle cores; ids trained on, counted or scored together.
+TASK_BYTES, LEAST_BYTES, TRAINED, COUNTED, SCORED = 32_000_000, 2_000_000, 400_000, 3_000_000, 200_000
 #: Floats in a block of weights; salts by which blocks are summed first.
 BLOCK, SALTS = 1 << 14, 16
 KEPT_WORDS = 250_000
 
 
 class _Ids(Kept):
-    """word (bytes) -> ids of the word after a space, as unsigned 32-bit little-endian bytes."""
+    """word (bytes) -> ids of the word after a space, as unsigned 32-bit little-endian bytes. The last id, which no text gives, is the end."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        import base64
+
+        import public_tokenizers
+        import tiktoken
 
         super().__init__(KEPT_WORDS)
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.size = self.tokenizer.get_vocab_size()
+        with open(path, "rb") as f:
+            self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+        self.tokenizer = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=self.ranks, special_tokens={})
+        self.size = len(self.ranks) + 1
 
     def make(self, word: bytes) -> bytes:
-        return np.array(self.tokenizer.encode(" " + word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+        return np.array(self.tokenizer.encode_ordinary(" " + word.decode("utf-8", "replace")), "<u4").tobytes()
 
-    def spellings(self) -> list[str]:
-        out = [""] * self.size
-        for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
+    def spellings(self) -> list[bytes]:
+        out = [b""] * self.size
+        for token, i in self.ranks.items():
             out[i] = token
         return out
 
     def starts(self) -> np.ndarray:
-        """Of each id, whether a word or the end begins with it: words are spelled after a space, and no other id of a word holds one."""
-        own = np.array([t.startswith("\u0120") for t in self.spellings()])
+        """Of each id, whether a word or the end begins with it: words are spelled after a space, and no other id of a word begins with one."""
+        own = np.array([t.startswith(b" ") for t in self.spellings()])
         own[self.size - 1] = True
         return own
 
@@ -80,12 +84,44 @@ def _ids(path: str) -> _Ids:
     return _IDS[path]
 
 
-def grown(path: str, counts: np.ndarray) -> lm_model.Tree:
-    """The tree over the tokenizer's ids, by spelling."""
+def spelling_order(path: str) -> np.ndarray:
+    """The tokenizer's ids by spelling."""
     table = _ids(path)
-    names, starts = table.spellings(), table.starts()
-    order = np.array(sorted(range(table.size), key=names.__getitem__))
-    return lm_model.Tree(counts, starts, order)
+    names = table.spellings()
+    return np.array(sorted(range(table.size), key=names.__getitem__))
+
+
+class Vocabulary:
+    """What training and scoring know of the counts: the most frequent words by hash, their counts and cells; the cells of ids and the stop."""
+
+    def __init__(self, words: np.ndarray, n: np.ndarray, rest: float, of_ids: np.ndarray, order: np.ndarray):
+        """words: hashes (uint64), n: their counts; rest: training tokens that are not among them; of_ids: counts of the ids; order: of the ids."""
+        by = np.argsort(words)
+        self.words, self.n = words[by], n[by].astype(np.float64)
+        whole = self.n >= LEAST
+        self.rare = spelled = float(rest + self.n[~whole].sum())
+        self.cells = lm_model.Cells(self.n[whole], spelled)
+        self.cls, self.cell, self.share = np.full(len(by) + 1, lm_model.SPELLED), np.zeros(len(by) + 1, np.int64), np.zeros(len(by) + 1, np.float32)
+        self.cls[:-1][whole], self.cell[:-1][whole], self.share[:-1][whole] = self.cells.cls, self.cells.cell, self.cells.share
+        mass = np.append(of_ids[order] + 0.5, max(spelled, 1.0))
+        sorted_ids, place = lm_model.Cells(mass), np.empty(len(mass), np.int64)
+        place[np.append(order, len(order))] = np.arange(len(mass))
+        for part in ("cls", "cell", "share"):
+            setattr(sorted_ids, part, getattr(sorted_ids, part)[place])
+        self.ids = sorted_ids
+
+    def at(self, hashes: np.ndarray) -> np.ndarray:
+        """Place of each hash among the words; len(words) for others."""
+        if not len(self.words):
+            return np.zeros(len(hashes), np.int64)
+        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
+        return np.where(self.words[at] == hashes, at, len(self.words))
+
+    def tokens(self, flat: np.ndarray, first: np.ndarray, at: np.ndarray) -> lm_model.Tokens:
+        return lm_model.Tokens(flat, first, self.cls[at], self.cell[at], self.share[at])
+
+    def init(self, size: int) -> dict[str, np.ndarray]:
+        return lm_model.init(self.cells, self.ids, size)
 
 
 def _width(size: int) -> str:
@@ -93,7 +129,7 @@ def _width(size: int) -> str:
 
 
 def _speller(path: str):
-    """A row number, doc_id, held_out, the round and the ids (with an end before and after) of each text."""
+    """A row number, doc_id, held_out and the ids (with an end before and after) of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, row = _ids(path), TaskContext.get().partitionId() << 40
@@ -101,10 +137,10 @@ def _speller(path: str):
         end = np.array([table.size - 1], kind).tobytes()
         for part in slices(batches):
             ids = []
-            for text in part.column(3).cast(pa.large_binary()).to_pylist():
+            for text in part.column(2).cast(pa.large_binary()).to_pylist():
                 spelled = b"".join(map(table.__getitem__, text.lower().split()))
                 ids.append(end + np.frombuffer(spelled, "<u4").astype(kind).tobytes() + end)
-            yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(len(ids))), *part.columns[:3], pa.array(ids, pa.binary())], ["row", "doc_id", "held_out", "round", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(len(ids))), *part.columns[:2], pa.array(ids, pa.binary())], ["row", "doc_id", "held_out", "ids"])
             row += len(ids)
 
     return run
@@ -115,19 +151,27 @@ def _laid(ids: list[bytes], kind: str) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(ids), kind).astype(np.int64), np.fromiter(map(len, ids), np.int64, len(ids)) // int(kind[-1])
 
 
-def _words(flat: np.ndarray, n: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of texts laid end to end, without the end before each: places of the first id of every word and end among the inputs, their hashes (of their
-    ids), and the number of words and ends of each text."""
-    keep = np.ones(len(flat), bool)
-    keep[np.cumsum(n) - n] = False
-    own = flat[keep]
-    first = np.flatnonzero(starts[own])
-    place = np.arange(len(own)) - np.repeat(first, np.diff(np.append(first, len(own))))
+def _words(flat: np.ndarray, n: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts laid end to end: place of the first id of every token, the ends before the texts included, the tokens' hashes (of their ids), and the
+    number of tokens of each text. ranks: of the ids that begin a token, their place by spelling, -1 for others; it is a hash's first 16 bits, so that
+    words in the order of their hashes lie by spelling."""
+    first = np.flatnonzero(ranks[flat] >= 0)
+    if not len(first):
+        return first, np.zeros(0, np.uint64), np.zeros(len(n), np.int64)
+    place = np.arange(len(flat)) - np.repeat(first, np.diff(np.append(first, len(flat))))
     with np.errstate(over="ignore"):
-        each = mix(own.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + mix(place.astype(np.uint64) + np.uint64(77)))
-        hashes = mix(np.add.reduceat(each, first)) if len(first) else np.zeros(0, np.uint64)
-    text = np.repeat(np.arange(len(n)), n - 1)
-    return first, hashes, np.bincount(text[first], minlength=len(n))
+        each = mix(flat.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + mix(place.astype(np.uint64) + np.uint64(77)))
+        hashes = mix(np.add.reduceat(each, first))
+    hashes = ranks[flat[first]].astype(np.uint64) << np.uint64(48) | hashes >> np.uint64(16)
+    return first, hashes, np.diff(np.searchsorted(first, np.concatenate([[0], np.cumsum(n)])))
+
+
+def ranks_of(path: str) -> np.ndarray:
+    """For _words."""
+    table = _ids(path)
+    ranks = np.empty(table.size, np.int64)
+    ranks[spelling_order(path)] = np.arange(table.size) * (1 << 16) // max(table.size, 1 << 16)
+    return np.where(table.starts(), ranks, -1)
 
 
 def _counter(path: str):
@@ -135,7 +179,7 @@ def _counter(path: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _ids(path)
-        kind, starts = _width(table.size), table.starts()
+        kind, ranks = _width(table.size), ranks_of(path)
         seen, held, size = np.zeros(table.size, np.int64), [], 0
 
         def out(kind: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
@@ -144,7 +188,8 @@ def _counter(path: str):
         for part in slices(batches):
             flat, n = _laid(part.column(0).to_pylist(), kind)
             seen += np.bincount(flat, minlength=len(seen)) - np.bincount(flat[np.cumsum(n) - n], minlength=len(seen))
-            held.append(_words(flat, n, starts)[1])
+            _, hashes, each = _words(flat, n, ranks)
+            held.append(np.delete(hashes, np.cumsum(each) - each))
             size += len(held[-1])
             if size >= COUNTED:
                 yield out(0, *np.unique(np.concatenate(held), return_counts=True))
@@ -157,16 +202,28 @@ def _counter(path: str):
     return run
 
 
+def _flat(state: dict) -> np.ndarray:
+    return np.concatenate([*(x.ravel() for x in state["m"].values()), *(x.ravel() for x in state["s"].values())]).astype("<f4")
+
+
+def _shaped(flat: np.ndarray, state: dict) -> dict:
+    """flat (of _flat) as weights and sums shaped like those of state."""
+    own = [*state["m"].values(), *state["s"].values()]
+    parts = [x.reshape(w.shape).copy() for w, x in zip(own, np.split(flat, np.cumsum([w.size for w in own])[:-1]))]
+    return {"m": dict(zip(state["m"], parts)), "s": dict(zip(state["s"], parts[len(state["m"]) :]))}
+
+
 def _learner(held, kind: str):
-    """Trains the weights on the task's texts, all of them: blocks of the weights, and the number of ids trained on."""
+    """Trains the weights on the task's texts, all of them: blocks of the weights and sums, and the number of ids trained on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, tree = held.value
-        state, total, texts, size, salt = lm_model.begin(m), 0, [], 0, TaskContext.get().partitionId() % SALTS
+        before, vocabulary, ranks = held.value
+        state, total, texts, size, salt = lm_model.begin(before["m"], sums=before["s"]), 0, [], 0, TaskContext.get().partitionId() % SALTS
 
         def learn() -> None:
             flat, n = _laid(texts, kind)
-            lm_model.train(state, tree, flat, n - 1)
+            first, hashes, each = _words(flat, n, ranks)
+            lm_model.train(state, vocabulary.ids, vocabulary.tokens(flat, first, vocabulary.at(hashes)), each - 1)
 
         for part in slices(batches):
             for ids in part.column(0).to_pylist():
@@ -179,7 +236,7 @@ def _learner(held, kind: str):
             learn()
             total += size
         if total:
-            flat = np.concatenate([state["m"][k].ravel() for k in m]).astype("<f4")
+            flat = _flat(state)
             for block, a in enumerate(range(0, len(flat), BLOCK)):
                 yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "salt": pa.array([salt], pa.int32()), "n": pa.array([total]), "w": pa.array([flat[a : a + BLOCK].tobytes()], pa.binary())})
 
@@ -206,24 +263,28 @@ def _mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def learned(spelled: DataFrame, tree: lm_model.Tree, size: int) -> dict[str, np.ndarray]:
-    """The weights after ROUNDS rounds over all spelled texts (round, ids)."""
-    spark, kinds = spelled.sparkSession, "block int, salt int, n long, w binary"
-    m = lm_model.init(tree, size)
+def rounds_of(amount: int) -> int:
+    """Rounds for that many bytes of training ids: ROUNDS, and one more for each doubling beyond what they hold in eight tasks."""
+    return ROUNDS + max(0, math.ceil(math.log2(max(amount, 1) / (8 * ROUNDS * TASK_BYTES))))
+
+
+def learned(spelled: DataFrame, vocabulary: Vocabulary, ranks: np.ndarray) -> dict[str, np.ndarray]:
+    """The weights after all rounds over all spelled texts (doc_id, ids)."""
+    spark, kinds, size = spelled.sparkSession, "block int, salt int, n long, w binary", len(ranks)
+    state = lm_model.begin(vocabulary.init(size))
     amount = spelled.agg(F.sum(F.length("ids"))).first()[0] or 0
-    tasks = max(spark.sparkContext.defaultParallelism, pieces(amount // ROUNDS, TASK_BYTES))
-    for k in range(ROUNDS):
-        held = spark.sparkContext.broadcast((m, tree))
-        each = spelled.where(F.col("round") == k).select("ids").coalesce(tasks).mapInArrow(_learner(held, _width(size)), kinds)
+    rounds = rounds_of(amount)
+    tasks = max(min(spark.sparkContext.defaultParallelism, pieces(amount // rounds, LEAST_BYTES)), pieces(amount // rounds, TASK_BYTES))
+    for k in range(rounds):
+        held = spark.sparkContext.broadcast((state, vocabulary, ranks))
+        each = spelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == k).select("ids").coalesce(tasks).mapInArrow(_learner(held, _width(size)), kinds)
         some = each.repartition(min(tasks, partitions(spark)), "block", "salt").sortWithinPartitions("block", "salt").mapInArrow(_mean, kinds)
         mean = some.withColumn("salt", F.lit(0)).repartition(partitions(spark), "block").sortWithinPartitions("block").mapInArrow(_mean, kinds)
         rows = sorted(staged(mean, "lm-model").select("block", "w").collect())  # the weights: about 10 MB
         if rows:
-            flat = np.frombuffer(b"".join(bytes(r.w) for r in rows), "<f4")
-            cuts = np.cumsum([w.size for w in m.values()])[:-1]
-            m = {name: x.reshape(w.shape).copy() for (name, w), x in zip(m.items(), np.split(flat, cuts))}
+            state = _shaped(np.frombuffer(b"".join(bytes(r.w) for r in rows), "<f4"), state)
         held.unpersist()
-    return m
+    return state["m"]
 
 
 def score_texts(docs: DataFrame, tokenizer: str, share: float = SHARE) -> DataFrame:
@@ -231,41 +292,46 @@ def score_texts(docs: DataFrame, tokenizer: str, share: float = SHARE) -> DataFr
     spark = docs.sparkSession
     size = _ids(tokenizer).size
     kind = _width(size)
-    rows = id_text(docs).select("doc_id", (fold(F.col("doc_id"), 7) == 2).alias("held_out"), F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)).cast("int").alias("round"), "text")
-    spelled = staged(rows.mapInArrow(_speller(tokenizer), "row long, doc_id long, held_out boolean, round int, ids binary"), "lm-ids")
+    rows = id_text(docs).select("doc_id", (fold(F.col("doc_id"), 7) == 2).alias("held_out"), "text")
+    spelled = staged(rows.mapInArrow(_speller(tokenizer), "row long, doc_id long, held_out boolean, ids binary"), "lm-ids")
     training = spelled.where("NOT held_out")
     counts = staged(training.select("ids").mapInArrow(_counter(tokenizer), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "lm-counts")
     words = counts.where("kind = 0").select(F.col("key").alias("word"), "n")
-    total, distinct = (x or 0 for x in words.agg(F.sum("n"), F.count("*")).first())
+    total, distinct, once = (x or 0 for x in words.agg(F.sum("n"), F.count("*"), F.count_if(F.col("n") == 1)).first())
     of_ids = np.zeros(size)
     for key, n in counts.where("kind = 1").select("key", "n").collect():  # at most as many rows as ids
         of_ids[key] = n
-    tree = grown(tokenizer, of_ids)
-    model = learned(training.select("round", "ids"), tree, size)
     top = words.orderBy(F.desc("n"), "word").limit(TOP).toPandas()
-    order = np.argsort(top.word.to_numpy().view(np.uint64))
-    held = spark.sparkContext.broadcast((model, tree, top.word.to_numpy().view(np.uint64)[order], top.n.to_numpy(np.float64)[order]))
+    ranks = ranks_of(tokenizer)
+    vocabulary = Vocabulary(top.word.to_numpy().astype(np.int64).view(np.uint64), top.n.to_numpy(np.float64), float(total - top.n.sum()), of_ids, spelling_order(tokenizer))
+    model = learned(training.select("doc_id", "ids"), vocabulary, ranks)
+    held = spark.sparkContext.broadcast((model, vocabulary, ranks))
+    seen = min(max(1 - once / vocabulary.rare, 0.05), 0.95) if vocabulary.rare else 0.0
+    of_rare = max(vocabulary.rare, 1.0)
     base_of = math.log10(total + distinct + 1)
-    kinds = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, words array<long>, logs array<float>"
+    kinds = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, words array<long>, logs array<float>, spells array<float>"
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, tree, top_words, top_counts = held.value
-        starts = _ids(tokenizer).starts()
-        if not len(top_words):
-            top_words, top_counts = np.zeros(1, np.uint64), np.zeros(1)
+        model, vocabulary, ranks = held.value
+        of_word = np.append(vocabulary.n, 0.0)
 
         def part(rows: pa.RecordBatch) -> pa.RecordBatch:
             flat, n = _laid(rows.column(3).to_pylist(), kind)
-            first, hashes, each = _words(flat, n, starts)
-            logs = word_logs(model, tree, flat, n, first, each)
-            at = np.minimum(np.searchsorted(top_words, hashes), len(top_words) - 1)
-            c = np.where(top_words[at] == hashes, top_counts[at], 0.0)
+            first, hashes, each = _words(flat, n, ranks)
+            at = vocabulary.at(hashes)
+            each = each - 1  # without the end before the text
+            tokens = vocabulary.tokens(flat, first, at)
+            logs, spells = lm_model.score(model, vocabulary.ids, tokens, each)
+            keep = np.ones(len(at), bool)
+            keep[np.cumsum(each + 1) - each - 1] = False
+            c, hashes = of_word[at[keep]], hashes[keep]
             rare, doc = c == 0, np.repeat(np.arange(len(n)), each)
             base = np.where(rare, 0.0, np.log10(c + 1) - base_of)
-            mixed = np.where(rare, 0.0, np.log10(np.maximum(share * c / max(total, 1) + (1 - share) * np.exp(logs.astype(float)), 1e-300)))
+            p = np.exp(logs.astype(float)) * np.where(tokens.cls[keep] == lm_model.SPELLED, seen * c / of_rare + (1 - seen) * np.exp(spells.astype(float)), 1.0)
+            mixed = np.where(rare, 0.0, np.log10(np.maximum(share * c / max(total, 1) + (1 - share) * p, 1e-300)))
             edges = np.concatenate([[0], np.cumsum(np.bincount(doc[rare], minlength=len(n)))]).astype(np.int32)
             sums = [pa.array(each), pa.array(np.bincount(doc[~rare], minlength=len(n))), pa.array(np.bincount(doc, base, len(n))), pa.array(np.bincount(doc, mixed, len(n)))]
-            return pa.RecordBatch.from_arrays([*rows.columns[:3], *sums, pa.ListArray.from_arrays(pa.array(edges), pa.array(hashes[rare].view(np.int64))), pa.ListArray.from_arrays(pa.array(edges), pa.array(logs[rare]))], ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "words", "logs"])
+            return pa.RecordBatch.from_arrays([*rows.columns[:3], *sums, pa.ListArray.from_arrays(pa.array(edges), pa.array(hashes[rare].view(np.int64))), *(pa.ListArray.from_arrays(pa.array(edges), pa.array(x[rare])) for x in (logs, spells))], ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "words", "logs", "spells"])
 
         for batch in batches:
             upto = np.cumsum(np.asarray(pc.binary_length(batch.column(3))), dtype=np.int64)
@@ -276,22 +342,14 @@ def score_texts(docs: DataFrame, tokenizer: str, share: float = SHARE) -> DataFr
                 a = b
 
     each = staged(spelled.select("row", "doc_id", "held_out", "ids").mapInArrow(scored, kinds), "lm-scores")
-    rare = each.select("row", F.explode(F.arrays_zip("words", "logs")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.logs").cast("double").alias("log"))
+    rare = each.select("row", F.explode(F.arrays_zip("words", "logs", "spells")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.logs").cast("double").alias("log"), F.col("w.spells").cast("double").alias("spell"))
     c = F.coalesce("n", F.lit(0))
-    mixed = F.log10(F.greatest(F.lit(share / max(total, 1)) * c + F.lit(1 - share) * F.exp("log"), F.lit(1e-300)))
+    mixed = F.log10(F.greatest(F.lit(share / max(total, 1)) * c + F.lit(1 - share) * F.exp("log") * (F.lit(seen / of_rare) * c + F.lit(1 - seen) * F.exp("spell")), F.lit(1e-300)))
     sums = rare.join(words, "word", "left").groupBy("row").agg(F.sum((c > 0).cast("long")).alias("known_r"), F.sum(F.log10(c + 1) - F.lit(base_of)).alias("base_r"), F.sum(mixed).alias("score_r"))
     done = each.select("row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score").join(sums, "row", "left")
     add = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
     return done.select("doc_id", "held_out", "n_tokens", add("n_known", "known_r").alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), add("base", "base_r").alias("base_score"), add("score", "score_r").alias("score"))
 
 
-def word_logs(model: dict[str, np.ndarray], tree: lm_model.Tree, flat: np.ndarray, n: np.ndarray, first: np.ndarray, each: np.ndarray) -> np.ndarray:
-    """ln p(word | context) of every word and end of texts laid end to end; first, each: see _words."""
-    logs, starts = lm_model.score(model, tree, flat, n - 1)
-    after = np.append(starts[first][1:], np.float32(0))
-    after[np.cumsum(each) - 1] = 0  # nothing follows an end
-    return np.add.reduceat(logs, first) - starts[first] + after
-
-
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_texts(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+    return score_texts(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"))
