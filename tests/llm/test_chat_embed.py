@@ -83,3 +83,31 @@ def test_masks_find_every_choice_of_differing_words():
     for n in range(1, 13):
         for gone in itertools.combinations(range(n), n // 5):
             assert any(not {*m} & {*gone} for m in short_masks(n))
+
+
+def test_tiny_and_huge_vectors(spark):
+    """Norms that would underflow or overflow; the links of other vectors stay."""
+    rows = [(1, [1.0, 0.0], 1), (2, [1.0, 0.01], 1), (3, [1e-200, 0.0], 1), (4, [1e200, 1e198], 1), (5, [5e-324, 0.0], 1), (6, [-1e308, -1e308], 1), (7, [0.0, 1e-300], 1)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {**{i: (4, 1) for i in range(1, 6)}, 6: (0, 6), 7: (0, 7)}
+
+
+def test_a_session_without_a_checkpoint_folder(spark, monkeypatch):
+    """In local mode one temporary folder for each application; on a cluster an error."""
+    import pytest
+
+    from tidemark.llm import common
+
+    class Bare:
+        """The session as it is, without spark.checkpoint.dir."""
+
+        def __init__(self, master: str):
+            self.conf = type("Conf", (), {"get": lambda _, key, default=None: default})()
+            self.sparkContext = type("Context", (), {"master": master, "applicationId": "app-1", "getCheckpointDir": lambda _: None})()
+
+    a, b = (common.shared_dir(Bare("local[2]"), "x") for _ in range(2))
+    assert a != b and a.rsplit("/", 2)[0] == b.rsplit("/", 2)[0] and a.startswith("file:///")
+    with pytest.raises(ValueError):
+        common.shared_dir(Bare("spark://somewhere:7077"), "x")
+    spark.range(3).write.parquet(a)
+    assert spark.read.parquet(a).count() == 3

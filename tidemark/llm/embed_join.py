@@ -42,11 +42,16 @@ def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"size": pa.array(np.full(len(own), size, np.int32)), "at": pa.array(np.arange(len(own))), "value": pa.array(own)})
 
 
-def _unit(values: pa.Array) -> np.ndarray:
-    x = np.asarray(values.flatten(), float).reshape(len(values), -1)
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of x over their norms; the largest magnitude goes first, so that no square of a tiny or huge component is lost."""
+    x = x / np.abs(x).max(1, keepdims=True)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+def _unit(values: pa.Array) -> np.ndarray:
+    return unit(np.asarray(values.flatten(), float).reshape(len(values), -1))
+
+
 def _unit_batches(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
     sizes = np.asarray(column.value_lengths())
     for size in np.unique(sizes):
@@ -137,9 +142,8 @@ def near_vectors(vectors: DataFrame, least: float = 0.93) -> DataFrame:
 
         def made(rows: list[dict]) -> pa.RecordBatch:
             places = np.array([r["place"] for r in rows])
-            unit = np.array([r["embedding"] for r in rows])
-            unit /= np.sqrt((unit * unit).sum(1, keepdims=True))
-            one = {"block": number, "label": rows[0]["label"], "size": rows[0]["size"], "low": places.min(0).tolist(), "high": places.max(0).tolist(), "first": rows[0]["c0"], "last": rows[-1]["c0"], "reps": [r["rep"] for r in rows], "counts": [r["n"] for r in rows], "places": places.ravel().tolist(), "vectors": unit.ravel().tolist()}
+            vectors = unit(np.array([r["embedding"] for r in rows]))
+            one = {"block": number, "label": rows[0]["label"], "size": rows[0]["size"], "low": places.min(0).tolist(), "high": places.max(0).tolist(), "first": rows[0]["c0"], "last": rows[-1]["c0"], "reps": [r["rep"] for r in rows], "counts": [r["n"] for r in rows], "places": places.ravel().tolist(), "vectors": vectors.ravel().tolist()}
             return pa.RecordBatch.from_pylist([one], schema=schema)
 
         schema = pa.schema([("block", pa.int64()), ("label", label_arrow), ("size", pa.int32()), ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64())), ("first", pa.int32()), ("last", pa.int32()), ("reps", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("places", pa.list_(pa.float64())), ("vectors", pa.list_(pa.float64()))])
