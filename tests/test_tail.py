@@ -57,3 +57,22 @@ def test_stream(spark, tmp_path):
     (logs / "b.log").write_text("b1\n")
     assert run() == ["a1", "a2", "a3", "b1"]
     assert {r.error.split(":")[0] for r in spark.read.parquet(str(tmp_path / "out")).where("error IS NOT NULL").collect()} <= {"FileNotFoundError"}
+
+
+def test_a_file_that_cannot_be_read_at_first(tmp_path, monkeypatch):
+    """Its error is told once; once it can be read, no line is lost."""
+    from tidemark.sources import tail
+
+    path = tmp_path / "c.log"
+    path.write_text("first\nsecond\n")
+    shut, real = [True], tail.line_end
+    monkeypatch.setattr(tail, "line_end", lambda p, *a: (_ for _ in ()).throw(PermissionError(13, "Permission denied")) if shut[0] else real(p, *a))
+    monkeypatch.setattr(tail.os, "open", lambda *a: (_ for _ in ()).throw(PermissionError(13, "Permission denied")))
+    reader = TailReader(str(tmp_path / "*.log"))
+    one = reader.latestOffset()
+    told = [r for p in reader.partitions({}, one) for r in lines_of(p)]
+    assert told == [(str(path), 0, None, "PermissionError: Permission denied")]
+    assert reader.partitions(one, reader.latestOffset()) == []
+    shut[0] = False
+    two = reader.latestOffset()
+    assert [r[2] for p in reader.partitions(one, two) for r in lines_of(p)] == ["first", "second"]

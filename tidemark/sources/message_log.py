@@ -36,30 +36,44 @@ def _text(path: str) -> Column:
 USAGE = {"input_tokens": "input_tokens", "output_tokens": "output_tokens", "cache_read_input_tokens": "cache_read_tokens", "cache_creation_input_tokens": "cache_write_tokens", "cache_creation.ephemeral_1h_input_tokens": "cache_write_1h_tokens"}
 
 
+def prepared(log: DataFrame) -> DataFrame:
+    """rows (file_path, line, value) plus what billing needs: whole (the line is a JSON object), ts, response_id, request_id, usage as stated, usage_line, name (of an agent) and in_agent."""
+    whole = F.expr("try_parse_json(value) IS NOT NULL") & F.expr("startswith(ltrim(value), '{')")
+    own = log.select("*", F.coalesce(whole, F.lit(False)).alias("whole"), iso_millis(_text("timestamp")).alias("ts"), _text("message.id").alias("response_id"), _text("requestId").alias("request_id"), *(_text(f"message.usage.{a}").cast("long").alias(b) for a, b in USAGE.items()))
+    usage = F.col("whole") & (_text("type") == "assistant") & F.startswith(_text("message.usage"), F.lit("{")) & F.col("response_id").isNotNull()
+    return own.select("*", F.coalesce(usage, F.lit(False)).alias("usage_line"), F.nullif(_text("attributionAgent"), F.lit("")).alias("name"), _text("agentId").isNotNull().alias("in_agent"))
+
+
+def once(rows: DataFrame) -> DataFrame:
+    """rows with `first` and `billed_output` on their usage lines: the first line of a response keeps its usage, a later one only the output it adds."""
+    added = F.when(F.col("output_tokens").isNotNull(), F.col("billed_output"))
+    kept = {c: F.when(~F.col("usage_line") | F.col("first"), F.col(c)).otherwise(added if c == "output_tokens" else F.lit(None)) for c in USAGE.values()}
+    return rows.withColumns(kept)
+
+
 def _billed(read: DataFrame) -> DataFrame:
-    """rows (file_path, line, value, ts) plus response_id, request_id and the usage that each line bills."""
-    own = read.select("*", _text("message.id").alias("response_id"), _text("requestId").alias("request_id"), *(_text(f"message.usage.{a}").cast("long").alias(b) for a, b in USAGE.items()))
-    usage = (_text("type") == "assistant") & F.startswith(_text("message.usage"), F.lit("{")) & F.col("response_id").isNotNull()
-    own = own.withColumn("_usage", F.coalesce(usage, F.lit(False)))
-    told = own.where("_usage").withColumn("_output", F.when(F.col("ts").isNotNull(), F.col("output_tokens")))  # a line without a time bills nothing
+    """prepared rows with the usage that each line bills."""
+    told = read.where("usage_line").withColumn("_output", F.when(F.col("ts").isNotNull(), F.col("output_tokens")))  # a line without a time bills nothing
     told = bill_once(told, "file_path", "line", ["response_id", "request_id"], "_output")
-    added = F.when(F.col("output_tokens").isNotNull(), F.col("billed_output"))
-    once = {c: F.when(F.col("first"), F.col(c)).otherwise(added if c == "output_tokens" else F.lit(None)) for c in USAGE.values()}
-    return told.withColumns(once).select(own.columns).unionByName(own.where("NOT _usage"))
+    return once(told).select(read.columns).unionByName(read.where("NOT usage_line"))
 
 
 def agent_names(log: DataFrame) -> DataFrame:
     """(file_path, agent_name) of the files whose first HEAD_LINES lines name an agent: the first name counts for the whole file."""
-    name = F.nullif(_text("attributionAgent"), F.lit(""))
-    found = log.groupBy("file_path").agg(F.min("line").alias("head"), F.min(F.when(name.isNotNull(), F.struct("line", name.alias("name")))).alias("first"))
+    found = log.groupBy("file_path").agg(F.min("line").alias("head"), F.min(F.when(F.col("name").isNotNull(), F.struct("line", "name"))).alias("first"))
     near = (F.col("first.line.block") == F.col("head.block")) & (F.col("first.line.number") - F.col("head.number") < HEAD_LINES)
     return found.where(near).select("file_path", F.col("first.name").alias("agent_name"))
 
 
 def events(log: DataFrame) -> DataFrame:
     """lines() as events; a subagent's events carry the name in its file's head; further tool blocks of a line are events of their own (id#place), without usage."""
-    read = log.where(F.expr("try_parse_json(value) IS NOT NULL") & F.expr("startswith(ltrim(value), '{')"))
-    read = _billed(read.withColumn("ts", iso_millis(_text("timestamp")))).where("ts IS NOT NULL").join(agent_names(read), "file_path", "left")
+    read = prepared(log).where("whole")
+    return shaped(_billed(read).join(agent_names(read), "file_path", "left"))
+
+
+def shaped(read: DataFrame) -> DataFrame:
+    """Billed rows with their file's agent_name as events."""
+    read = read.where("ts IS NOT NULL")
     blocks = F.from_json(_text("message.content"), "array<struct<type string, id string, name string, tool_use_id string>>")
     tools = F.filter(F.coalesce(blocks, F.array().cast("array<struct<type string, id string, name string, tool_use_id string>>")), lambda b: b["type"].isin("tool_use", "tool_result"))
     stem = F.regexp_extract("file_path", r"([^/]+?)(\.[^./]*)?$", 1)

@@ -15,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 CHUNK, BLOCK = 64 << 20, 1 << 16
+#: Before the path of a file that cannot be read, in an offset; its bytes stay under the path alone.
+UNREAD = "!"
 
 
 @dataclass
@@ -43,7 +45,14 @@ def ranges(path: str, start: int, end: int) -> list[Range]:
 
 
 def lines_of(part: Range) -> Iterator[tuple[str, int, str | None, str | None]]:
-    """(path, place of the line, line, error) of the lines that begin in the range; the last one may end behind it."""
+    """(path, place of the line, line, error) of the lines that begin in the range; the last one may end behind it. A range of an UNREAD path gives its error."""
+    if part.path.startswith(UNREAD):
+        path = part.path.removeprefix(UNREAD)
+        try:
+            os.close(os.open(path, os.O_RDONLY))
+        except OSError as e:
+            yield path, 0, None, f"{type(e).__name__}: {e.strerror}"
+        return
     try:
         with open(part.path, "rb") as f:
             at = part.start
@@ -67,15 +76,16 @@ class TailReader(DataSourceStreamReader):
         return {}
 
     def latestOffset(self) -> dict:
-        """path -> bytes decided; files by their real path, so that links count once."""
+        """path -> bytes decided; files by their real path, so that links count once. A file that cannot be read has its UNREAD path besides, until it can."""
         out = dict(self.known)
         for path in sorted({os.path.realpath(p) for p in glob.glob(self.pattern, recursive=True)}):
             done = out.get(path, 0)
             try:
                 size = os.stat(path).st_size
                 out[path] = line_end(path, size, done if size >= done else 0)
+                out.pop(UNREAD + path, None)
             except OSError:
-                out[path] = max(done, 1)  # told once as an error row
+                out[UNREAD + path] = 1  # told once as an error row
         self.known = out
         return out
 

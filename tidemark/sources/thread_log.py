@@ -78,15 +78,24 @@ def _any(u: str) -> Column:
     return F.coalesce(reduce(lambda a, b: a | b, (F.col(f"{u}.{k}") > 0 for k in COUNTS if k != "total")), F.lit(False))
 
 
+def prepared(log: DataFrame, *keep: str) -> DataFrame:
+    """rows (file_path, place, value) plus what the ledger needs: whole (the line is a JSON object), ts, ordinal, type, p, rid, total and last of a report, own and thread of a record; keep: further columns."""
+    whole = F.coalesce(F.expr("try_parse_json(value) IS NOT NULL") & F.expr("startswith(ltrim(value), '{')"), F.lit(False))
+    rows = log.withColumn("whole", whole).withColumn("r", F.when(F.col("whole"), F.from_json("value", _LINE)))
+    rows = rows.select("file_path", "place", "value", *keep, "whole", iso_millis(F.col("r.timestamp")).alias("ts"), F.col("r.ordinal").alias("ordinal"), F.col("r.type").alias("type"), F.col("r.payload").alias("p"))
+    key = F.nullif(F.trim(F.coalesce("p.response_id", "p.compaction_response_id")), F.lit(""))
+    report = F.col("p.type").eqNullSafe("token_count") & F.col("ts").isNotNull()
+    x = rows.withColumn("rid", F.when(F.col("type").isin("token_usage_record", "compacted"), key))
+    x = x.withColumn("total", F.when(report, usage("p.info.total_token_usage"))).withColumn("last", F.when(report, usage("p.info.last_token_usage")))
+    return x.withColumn("own", usage("p.usage")).withColumn("thread", usage("p.thread_token_usage"))
+
+
 def ledger(rows: DataFrame) -> DataFrame:
-    """rows (file_path, place, ts, type, p) plus counted: the usage that each line bills, or null."""
+    """prepared rows plus line (number in the file) and counted: the usage that each line bills, or null."""
     w = W.partitionBy("file_path").orderBy("place")
-    before, key = w.rowsBetween(W.unboundedPreceding, -1), F.nullif(F.trim(F.coalesce("p.response_id", "p.compaction_response_id")), F.lit(""))
+    before = w.rowsBetween(W.unboundedPreceding, -1)
     report, known = F.col("p.type").eqNullSafe("token_count") & F.col("ts").isNotNull(), F.col("rid").isNotNull()
     x = rows.withColumn("line", F.row_number().over(w))
-    x = x.withColumn("rid", F.when(F.col("type").isin("token_usage_record", "compacted"), key))
-    x = x.withColumn("total", F.when(report, usage("p.info.total_token_usage"))).withColumn("last", F.when(report, usage("p.info.last_token_usage")))
-    x = x.withColumn("own", usage("p.usage")).withColumn("thread", usage("p.thread_token_usage"))
     x = x.withColumn("prior", F.last("total", ignorenulls=True).over(before))
     moved = F.col("total").isNull() | ~F.col("total").eqNullSafe(F.col("prior"))
     x = x.withColumn("used", F.when(report, F.when(F.col("last").isNotNull() & moved, F.col("last")).when(F.col("total").isNotNull(), gained("total", "prior"))))
@@ -115,11 +124,18 @@ def ledger(rows: DataFrame) -> DataFrame:
 
 def events(log: DataFrame) -> DataFrame:
     """lines() as events; replayed_from is the thread whose history a fork's file repeats first."""
-    whole = F.expr("try_parse_json(value) IS NOT NULL") & F.expr("startswith(ltrim(value), '{')")
-    rows = log.where(whole).withColumn("r", F.from_json("value", _LINE))
-    rows = rows.select("file_path", "place", "value", iso_millis(F.col("r.timestamp")).alias("ts"), F.col("r.ordinal").alias("ordinal"), F.col("r.type").alias("type"), F.col("r.payload").alias("p"))
     all_ = W.partitionBy("file_path").orderBy("place").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    x = ledger(rows).withColumn("m", F.first(F.when(F.col("type") == "session_meta", F.col("p")), ignorenulls=True).over(all_)).where("ts IS NOT NULL")
+    return shaped(ledger(prepared(log).where("whole")).withColumn("m", F.first(F.when(F.col("type") == "session_meta", F.col("p")), ignorenulls=True).over(all_)))
+
+
+def meta_of(value: Column) -> Column:
+    """The payload of a session_meta line, as events() keep it."""
+    return F.from_json(value, _LINE)["payload"]
+
+
+def shaped(x: DataFrame) -> DataFrame:
+    """Rows of the ledger with m, the payload of their file's first session_meta line, as events."""
+    x = x.where("ts IS NOT NULL")
     filled = lambda c: F.nullif(c, F.lit(""))
     thread = F.coalesce(filled(F.col("m.id")), F.regexp_extract("file_path", r"([^/]+?)(\.[^./]*)?$", 1))
     # `source` is a word on root threads; only an object can say that a thread is another's
