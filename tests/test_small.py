@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import scalars as S
 from tidemark.operators.filters import Filters
 from tidemark.operators.grouping import abbreviate_home, anchorable, changes, find, worktree
-from tidemark.operators.parents import depths
+from tidemark.operators.parents import cycles, depths, lanes
 from tidemark.operators.pricing import clear_price, redundant_overrides, set_price
 from tidemark.operators.redact import publish_spans, unclassified
 
@@ -71,3 +71,25 @@ def test_publication(spark):
     out = publish_spans(spans, spark.createDataFrame([(1, "r"), (1, "r")], "project_id long, repo_id string")).collect()
     assert [(r.span_id, r.repo_id, r.role) for r in out] == [("s1", "r", "human")]
     assert unclassified(spans, {"span_id", "gone"}, set(spans.columns) - {"span_id", "attended"}) == ({"attended"}, {"gone"})
+
+
+def test_deep_chains_and_cycles(spark):
+    """A chain of 1,000, a cycle with threads below it, a thread that is its own parent."""
+    rows = [(i, i - 1 if i else None) for i in range(1000)] + [(2000, 2002), (2001, 2000), (2002, 2001), (2003, 2002), (2004, 2003), (3000, 3000)]
+    threads = spark.createDataFrame(rows, "id long, parent_id long").repartition(3)
+    got = {r.id: r.depth for r in depths(threads).collect()}
+    assert got == {**{i: i for i in range(1000)}, **{i: None for i in (2000, 2001, 2002, 2003, 2004, 3000)}}
+    assert {r.id: r.cycle for r in cycles(threads).collect()} == {2000: 2000, 2001: 2000, 2002: 2000, 3000: 3000}
+
+
+def test_lanes_follow_their_parents(spark):
+    """Children under their parent, by first start; orphans after the roots and one level in; a parent of another session is none; a chain of 200."""
+    threads = [(1, None, False, 7), (2, 1, True, 7), (3, 1, True, 7), (4, 2, True, 7), (5, None, False, 7), (6, 99, True, 7), (7, 6, True, 7), (8, 5, True, 8), (9, None, False, 7), (20, 21, True, 7), (21, 20, True, 7)]
+    starts = {1: 10, 2: 30, 3: 20, 4: 25, 5: 5, 6: 1, 7: 2, 8: 3, 20: 1, 21: 2}
+    threads += [(1000 + i, 999 + i if i else None, i > 0, 9) for i in range(200)]
+    starts |= {1000 + i: 500 - i for i in range(200)}
+    spans = spark.createDataFrame(list(starts.items()), "thread_id long, started_at long")
+    got = lanes(spark.createDataFrame(threads, "id long, parent_id long, is_subagent boolean, session_id long"), spans).collect()
+    order = lambda s: [(r.id, r.depth) for r in sorted((r for r in got if r.session_id == s), key=lambda r: r.lane)]
+    assert order(7) == [(5, 0), (1, 0), (3, 1), (2, 1), (4, 2), (6, 1), (7, 2), (20, None), (21, None)]
+    assert order(8) == [(8, 1)] and order(9) == [(1000 + i, i) for i in range(200)]

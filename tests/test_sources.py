@@ -49,3 +49,49 @@ def test_catalog(spark, tmp_path):
     assert sorted((r.model, r.effective_from, r.input_mtok, r.output_mtok) for r in catalog.rates(spark, str(tmp_path / "c.json")).collect()) == [("m", 0, 2.0, None), ("m", 1767225600000, 3.0, None)]
     (tmp_path / "bad.json").write_text("[]")
     assert catalog.rates(spark, str(tmp_path / "bad.json")).count() == 0
+
+
+def test_store_with_a_log(spark, tmp_path):
+    """Rows in the main file, in the write-ahead log alone, and in both; frames that were not committed, or are damaged, count for nothing."""
+    import shutil
+    import sqlite3
+
+    from tidemark.sources import store
+
+    con = sqlite3.connect(tmp_path / "live.db", isolation_level=None)
+    con.execute("PRAGMA journal_mode=WAL")
+    con.execute("PRAGMA wal_autocheckpoint=0")
+    for name, columns in store.TABLES.items():
+        con.execute(f"CREATE TABLE {name} ({', '.join(columns)})")
+    put = lambda a, b: con.executemany("INSERT INTO session VALUES (?, ?, ?)", [(f"s{i}", None, "x" * 300) for i in range(a, b)])
+    keep = lambda name: [shutil.copy(tmp_path / f"live.db{e}", tmp_path / f"{name}.db{e}") for e in ("", "-wal")]
+    ids = lambda name: sorted(int(r.id[1:]) for r in store.table(spark, [str(tmp_path / f"{name}.db")], "session").collect())
+    put(0, 5)
+    keep("log_only")
+    con.execute("PRAGMA wal_checkpoint(TRUNCATE)")
+    keep("main_only")
+    put(5, 60)
+    con.execute("UPDATE session SET id = 's1000' WHERE id = 's3'")
+    keep("both")
+    log = (tmp_path / "both.db-wal").read_bytes()
+    (tmp_path / "cut.db").write_bytes((tmp_path / "both.db").read_bytes())
+    (tmp_path / "cut.db-wal").write_bytes(log[: len(log) - 10])
+    (tmp_path / "worse.db").write_bytes((tmp_path / "both.db").read_bytes())
+    (tmp_path / "worse.db-wal").write_bytes(log[:60] + b"?" + log[61:])
+    con.execute("BEGIN")
+    put(60, 4000)  # spills into the log before its end
+    keep("open")
+    con.execute("COMMIT")
+    con.close()
+    assert (tmp_path / "main_only.db").stat().st_size > 0 and (tmp_path / "log_only.db").stat().st_size <= 4096
+    whole = sorted([*(i for i in range(60) if i != 3), 1000])
+    assert ids("log_only") == ids("main_only") == list(range(5)) and ids("both") == ids("open") == whole
+    assert ids("cut") == sorted(range(60)) and ids("worse") == list(range(5))
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "a.db").write_bytes(b"not a store at all" * 100)
+    sqlite3.connect(tmp_path / "bad" / "b.db").executescript("CREATE TABLE other (x)")
+    shutil.copy(tmp_path / "both.db", tmp_path / "bad" / "c.db")
+    shutil.copy(tmp_path / "both.db-wal", tmp_path / "bad" / "c.db-wal")
+    told = {r.path.rsplit("/", 1)[1]: r.error for r in store.errors(spark, [str(tmp_path / "bad")]).collect()}
+    assert set(told) == {"a.db", "b.db"} and "no such table" in told["b.db"]
+    assert store.table(spark, [str(tmp_path / "bad")], "session").count() == len(whole)

@@ -1,32 +1,77 @@
-"""Threads and the threads that started them: depth, and an order with parents before children."""
+"""Threads and the threads that started them: depth, cycles, and an order in which children follow their parent."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.session import work_dir
 
-def depths(threads: DataFrame, steps: int = 6) -> DataFrame:
-    """threads (id, parent_id) plus depth: parents above it among the threads, 0 for a root or an unknown parent, null on or below a cycle.
 
-    Pointers are doubled, so a chain of 2^steps is resolved in `steps` joins.
+def _kept(df: DataFrame) -> DataFrame:
+    """df written and read back, so that a loop's plan does not grow."""
+    path = work_dir(df.sparkSession, "parents")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _doubled(up: DataFrame, by: list[str], joined: dict[str, Column]) -> DataFrame:
+    """up (by, id, up, ...) with pointers doubled until none that ends still moves: up is null but on and below cycles.
+
+    joined: how a column grows by the same one of the row pointed to, which is there as far_<column>. After k rounds every chain of 2^k threads
+    is resolved; a round that resolves none has met cycles alone, as threads deeper than 2^k stand below others of every smaller depth.
     """
+    up, left = _kept(up), None
+    while (now := up.where("up IS NOT NULL").count()) and now != left:
+        left = now
+        far = up.select(*by, F.col("id").alias("up"), F.col("up").alias("far_up"), *(F.col(c).alias(f"far_{c}") for c in joined))
+        up = _kept(up.join(far, [*by, "up"], "left").select(*by, "id", F.col("far_up").alias("up"), *(F.when(F.col("up").isNull(), F.col(c)).otherwise(how).alias(c) for c, how in joined.items())))
+    return up
+
+
+def depths(threads: DataFrame) -> DataFrame:
+    """threads (id, parent_id) plus depth: parents above it among the threads, 0 for a root or an unknown parent, null on or below a cycle. Chains may have any length."""
     ids = threads.select(F.col("id").alias("parent_id")).distinct().withColumn("known", F.lit(True))
     up = threads.join(ids, "parent_id", "left").select("id", F.when(F.col("known"), F.col("parent_id")).alias("up"), F.when(F.col("known"), 1).otherwise(0).alias("depth"))
-    for _ in range(steps):
-        far = up.select(F.col("id").alias("up"), F.col("up").alias("far"), F.col("depth").alias("more"))
-        up = up.join(far, "up", "left").select("id", F.col("far").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
+    up = _doubled(up, [], {"depth": F.col("depth") + F.col("far_depth")})
     return threads.join(up.select("id", F.when(F.col("up").isNull(), F.col("depth")).alias("depth")), "id")
 
 
+def cycles(threads: DataFrame) -> DataFrame:
+    """(id, cycle) of the threads on a cycle of parents; cycle: the smallest id on it. Threads below a cycle are not on it."""
+    stuck = depths(threads).where("depth IS NULL").select("id", F.col("parent_id").alias("up"))
+    # as often as pointers must be doubled to pass every thread: then they all lie on cycles, and every thread of a cycle is pointed to
+    rounds = max(1, stuck.count().bit_length())
+    far = _kept(stuck)
+    for _ in range(rounds):
+        far = _kept(far.join(far.select(F.col("id").alias("up"), F.col("up").alias("far")), "up").select("id", F.col("far").alias("up")))
+    on = stuck.join(far.select(F.col("up").alias("id")).distinct(), "id")
+    low = _kept(on.withColumn("cycle", F.least("id", "up")))
+    for _ in range(rounds):
+        far = low.select(F.col("id").alias("up"), F.col("up").alias("far"), F.col("cycle").alias("more"))
+        low = _kept(low.join(far, "up").select("id", F.col("far").alias("up"), F.least("cycle", "more").alias("cycle")))
+    return low.select("id", "cycle")
+
+
 def lanes(threads: DataFrame, spans: DataFrame, per: str = "session_id") -> DataFrame:
-    """Threads with a span, numbered in each session: roots before threads whose parent is not in it, each kind by its first start."""
+    """Threads (id, parent_id, is_subagent, session) with a span, numbered in each session: every thread before its children, these by their first start.
+
+    A parent counts only if it has a span in the same session. Threads without one: roots first (depth 0), then subagents whose parent is not there
+    (depth 1), each by first start, then id. Threads on or below a cycle come last, without depth.
+    """
     first = spans.groupBy("thread_id").agg(F.min("started_at").alias("first_at"))
-    own = threads.join(first, threads["id"] == first["thread_id"])
-    orphan = F.col("parent_id").isNotNull() & (F.col("depth") == 0)
-    order = W.partitionBy(per).orderBy(F.col("depth").asc_nulls_last(), orphan, "first_at", "id")
-    return own.select("id", per, "parent_id", "depth", "first_at", F.row_number().over(order).alias("lane"))
+    own = threads.join(first, threads["id"] == first["thread_id"]).select("id", per, "parent_id", "is_subagent", "first_at")
+    parents = own.select(per, F.col("id").alias("parent_id"), F.lit(True).alias("known")).distinct()
+    placed = own.join(parents, [per, "parent_id"], "left").withColumn("up", F.when(F.col("known"), F.col("parent_id")))
+    root, sub = F.col("up").isNull(), F.col("is_subagent")
+    key = F.struct((root & sub).alias("orphan"), "first_at", "id")
+    up = placed.select(per, "id", "up", F.when(root & ~sub, 0).otherwise(1).alias("depth"), F.array(key).alias("path"))
+    done = _doubled(up, [per], {"depth": F.col("depth") + F.col("far_depth"), "path": F.concat("far_path", "path")})
+    done = done.select(per, "id", F.col("up").isNotNull().alias("stuck"), "depth", "path")
+    order = W.partitionBy(per).orderBy("stuck", F.when(~F.col("stuck"), F.col("path")), "first_at", "id")
+    out = own.join(done, [per, "id"])
+    return out.select("id", per, "parent_id", F.when(~F.col("stuck"), F.col("depth")).alias("depth"), "first_at", F.row_number().over(order).alias("lane"))
 
 
 def existence(projects: DataFrame, by: str) -> DataFrame:

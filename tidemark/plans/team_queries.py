@@ -102,9 +102,17 @@ def parent_depths(spark, d):
     return PA.depths(_threads(spark, d)).select("id", "depth")
 
 
-@query(f"WITH RECURSIVE {V2}, {_TREE}, x AS (SELECT th.*, depth, started_at AS first_at FROM th JOIN dep USING (id) JOIN iv_span ON thread_id = id) SELECT id, depth, CAST(row_number() OVER (PARTITION BY session_id ORDER BY depth, parent_id IS NOT NULL AND depth = 0, first_at, id) AS INTEGER) AS lane FROM x")
+_LANES = """lane_of AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey // 3 END AS parent_id, o_custkey % 3 AS session_id, o_orderstatus <> 'O' AS sub, started_at AS first_at
+  FROM orders JOIN iv_span ON thread_id = o_orderkey),
+walk(id, session_id, depth, path) AS (
+  SELECT id, session_id, CASE WHEN sub THEN 1 ELSE 0 END, [{'orphan': sub, 'at': first_at, 'id': id}] FROM lane_of t WHERE NOT EXISTS (SELECT 1 FROM lane_of p WHERE p.id = t.parent_id AND p.session_id = t.session_id)
+  UNION ALL SELECT t.id, t.session_id, w.depth + 1, list_append(w.path, {'orphan': false, 'at': t.first_at, 'id': t.id}) FROM lane_of t JOIN walk w ON w.id = t.parent_id AND w.session_id = t.session_id)"""
+
+
+@query(f"WITH RECURSIVE {V2}, {_LANES} SELECT id, depth, CAST(row_number() OVER (PARTITION BY session_id ORDER BY path) AS INTEGER) AS lane FROM walk")
 def lanes(spark, d):
-    return PA.lanes(PA.depths(_threads(spark, d)), iv_span(spark, d)).select("id", "depth", "lane")
+    threads = read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.expr("o_orderkey % 3 <> 0"), F.expr("o_orderkey DIV 3")).alias("parent_id"), (F.col("o_custkey") % 3).alias("session_id"), (F.col("o_orderstatus") != "O").alias("is_subagent"))
+    return PA.lanes(threads, iv_span(spark, d)).select("id", "depth", "lane")
 
 
 # --- cost, prices and projects

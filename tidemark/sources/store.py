@@ -1,11 +1,13 @@
 """A relational session store kept in SQLite files: tables session, message and part, opened from the bytes that Spark reads.
 
-A store is one file of one machine, so a task reads each; what is not such a store gives no rows.
+A store is one file of one machine, so a task reads each. Where a write-ahead log lies beside it (`-wal`), the pages of its committed transactions
+are put in place first, so rows that the tool has not yet moved into the main file are read too. What cannot be read has a row in errors().
 """
 
 from __future__ import annotations
 
 import sqlite3
+import struct
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,24 +21,102 @@ UNFINISHED = ("pending", "running")
 DEPTH = 32
 
 
+#: Fixed values of the file format: the first word of a log by the byte order of its checksums, and the sizes of its header and of a frame's.
+WAL_MAGIC = {0x377F0682: "<", 0x377F0683: ">"}
+WAL_HEADER, FRAME_HEADER = 32, 24
+
+
+def _sums(data: bytes, order: str, s0: int, s1: int) -> tuple[int, int]:
+    """The log's running checksum over the words of data."""
+    words = iter(struct.unpack(f"{order}{len(data) // 4}I", data))
+    for x, y in zip(words, words):
+        s0 = (s0 + x + s1) & 0xFFFFFFFF
+        s1 = (s1 + y + s0) & 0xFFFFFFFF
+    return s0, s1
+
+
+def with_log(main: bytes, wal: bytes) -> bytes:
+    """The database as its committed transactions left it: frames of the log's own salts with right checksums, up to the last that ends a transaction."""
+    if len(wal) < WAL_HEADER + FRAME_HEADER or struct.unpack(">I", wal[:4])[0] not in WAL_MAGIC:
+        return main
+    order = WAL_MAGIC[struct.unpack(">I", wal[:4])[0]]
+    size, salts = struct.unpack(">I", wal[8:12])[0], wal[16:24]
+    sums = _sums(wal[:24], order, 0, 0)
+    if sums != struct.unpack(">2I", wal[24:32]):
+        return main
+    pages, waiting, last = {}, {}, 0
+    for at in range(WAL_HEADER, len(wal) - FRAME_HEADER - size + 1, FRAME_HEADER + size):
+        head, page = wal[at : at + FRAME_HEADER], wal[at + FRAME_HEADER : at + FRAME_HEADER + size]
+        sums = _sums(page, order, *_sums(head[:8], order, *sums))
+        if head[8:16] != salts or sums != struct.unpack(">2I", head[16:24]):
+            break
+        number, ends = struct.unpack(">2I", head[:8])
+        waiting[number] = page
+        if ends:  # the database's size in pages after this transaction
+            pages |= waiting
+            waiting, last = {}, ends
+    if not pages:
+        return main
+    out = bytearray(main[: last * size].ljust(last * size, b"\0"))
+    for number, page in pages.items():
+        if number <= last:
+            out[(number - 1) * size : number * size] = page
+    return bytes(out)
+
+
+def opened(main: bytes, wal: bytes | None) -> sqlite3.Connection:
+    """The store in memory, to be read."""
+    data = bytearray(with_log(bytes(main), bytes(wal or b"")))
+    if len(data) >= 20 and data[18] == 2:  # says that a log lies beside it, which in memory there is not
+        data[18] = data[19] = 1
+    con = sqlite3.connect(":memory:")
+    con.deserialize(bytes(data))
+    return con
+
+
+def _files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, content, wal) of every store under paths, each with the log beside it; paths may be folders, or files with or without their logs."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    beside = [jvm.org.apache.hadoop.fs.Path(f"{p}-wal") for p in paths if not p.endswith("-wal")]
+    there = [str(p) for p in beside if p.getFileSystem(conf).exists(p)]
+    files = spark.read.format("binaryFile").load(sorted({*paths, *there})).select("path", "content").where("NOT endswith(path, '-shm')")
+    log = F.endswith("path", F.lit("-wal"))
+    logs = files.where(log).select(F.regexp_replace("path", "-wal$", "").alias("path"), F.col("content").alias("wal"))
+    return files.where(~log).join(logs, "path", "left")
+
+
 def table(spark: SparkSession, paths: list[str], name: str) -> DataFrame:
     """One table of all stores under paths, as strings, with the store's path."""
     columns = TABLES[name]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                con = sqlite3.connect(":memory:")
+            for path, content, wal in zip(batch["path"], batch["content"], batch["wal"]):
                 try:
-                    con.deserialize(bytes(content))
-                    rows = con.execute(f"SELECT {', '.join(columns)} FROM {name}")
-                except sqlite3.DatabaseError:
-                    continue
-                while some := rows.fetchmany(5000):
-                    yield pd.DataFrame([[path, *(None if v is None else str(v) for v in r)] for r in some], columns=["path", *columns])
-
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
-    return files.mapInPandas(run, ", ".join(f"{c} string" for c in ("path", *columns)))
+                    rows = opened(content, wal).execute(f"SELECT {', '.join(columns)} FROM {name}")
+                    while some := rows.fetchmany(5000):
+                        yield pd.DataFrame([[path, *(None if v is None else str(v) for v in r)] for r in some], columns=["path", *columns])
+                except sqlite3.Error:
+                    continue  # told by errors()
+
+    return _files(spark, paths).mapInPandas(run, ", ".join(f"{c} string" for c in ("path", *columns)))
+
+
+def errors(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, error) of the files under paths that are no such store, or are damaged."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, content, wal in zip(batch["path"], batch["content"], batch["wal"]):
+                try:
+                    con = opened(content, wal)
+                    for name, columns in TABLES.items():
+                        for _ in con.execute(f"SELECT {', '.join(columns)} FROM {name}"):
+                            pass
+                except sqlite3.Error as e:
+                    yield pd.DataFrame({"path": [path], "error": [f"{type(e).__name__}: {e}"]})
+
+    return _files(spark, paths).mapInPandas(run, "path string, error string")
 
 
 def with_root(sessions: DataFrame) -> DataFrame:
