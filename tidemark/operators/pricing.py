@@ -23,14 +23,14 @@ def is_free(name: Column) -> Column:
 
 
 def forms(model: Column) -> Column:
-    """The strings that name the same model, the most literal first: as recorded, in lower case, without each provider prefix, and all of these without a date."""
-    raw = F.trim(model)
-    low = F.lower(raw)
-    parts = F.split(low, "/")
-    peeled = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i + 1, F.size(parts)), "/"))
-    literal = F.concat(F.array(raw, low), peeled)
-    every = F.concat(literal, F.transform(literal, strip_date), F.transform(literal, lambda f: strip_date(dashed(f))))
-    return F.filter(F.array_distinct(every), lambda f: f != "")
+    """The strings that name the same model, the most literal first: as recorded, in lower case, without each provider prefix, and all of these without a date.
+
+    One fold over the parts between slashes, from the last, makes every rest of the name; the longest rest is the whole name in lower case.
+    """
+    rests = F.aggregate(F.reverse(F.split(F.lower(F.trim(model)), "/")), F.array().cast("array<string>"), lambda done, part: F.array_prepend(done, F.concat_ws("/", part, F.get(done, F.lit(0)))))
+    literal = F.array_prepend(rests, F.trim(model))
+    spelled = F.flatten(F.array(literal, *(F.transform(literal, how) for how in (strip_date, lambda name: strip_date(dashed(name))))))
+    return F.array_distinct(F.filter(spelled, lambda name: F.length(name) > 0))
 
 
 def contained(key: Column, name: Column) -> Column:
@@ -97,10 +97,24 @@ def history(snapshots: DataFrame, key: str, at: str, value: str, bucket_ms: int
     return changed.join(first, ["k", "b"]).select(F.col("k").alias(key), F.col("t").alias("valid_from"), until.alias("valid_to"), F.col("v").alias(value))
 
 
+#: What a platform that resells models writes before a name (a word, again and again, each with a dot behind it) and after it (a version and a build).
+PLATFORM_WORD, PLATFORM_BUILD = "^[a-z]+$", "-v[0-9]+:[0-9]+$"
+
+
+def without_platform(name: Column) -> Column:
+    """A lower-case name without a platform's words and build: a dotted part gives way to the next one while it is a word and the next begins with a letter."""
+
+    def step(done: Column, part: Column) -> Column:
+        gives_way = (F.size(done) == 1) & F.rlike(F.get(done, F.lit(0)), F.lit(PLATFORM_WORD)) & F.rlike(part, F.lit("^[a-z]"))
+        return F.when(gives_way, F.array(part)).otherwise(F.array_append(done, part))
+
+    parts = F.aggregate(F.split(name, "[.]"), F.array().cast("array<string>"), step)
+    return F.regexp_replace(F.array_join(parts, "."), PLATFORM_BUILD, "")
+
+
 def canonical(name: Column) -> Column:
-    """The bare model that a name tells: no provider, no platform's wrapper, no date, `-` for every separator."""
-    bare = F.element_at(F.split(F.lower(F.trim(name)), "/"), -1)
-    return strip_date(dashed(F.regexp_replace(bare, r"^([a-z]+\.)+(?=[a-z])|-v\d+:\d+$", "")))
+    """The bare model that a name tells: what is behind the last slash, without a platform's additions and the date, `-` for every separator."""
+    return strip_date(dashed(without_platform(F.substring_index(F.lower(F.trim(name)), "/", -1))))
 
 
 def approximations(prices: DataFrame) -> DataFrame:

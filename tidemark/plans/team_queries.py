@@ -164,9 +164,9 @@ def grouping_changes(spark, d):
     return G.changes(before, c.select(F.col("c_custkey").alias("project_id"), F.when(F.expr("c_custkey % 5 <> 0"), F.when(F.expr("c_custkey % 7 = 0"), "99").otherwise(nation)).alias("group_id")))
 
 
-@query("SELECT n_nationkey, n_name FROM nation WHERE contains(lower(n_name), 'an')")
+@query("SELECT n_nationkey, n_name FROM nation WHERE contains(lower(n_name), 'n_1')")
 def find_by_substring(spark, d):
-    return G.find(read(spark, d, "nation").select("n_nationkey", "n_name"), "An", "n_name")
+    return G.find(read(spark, d, "nation").select("n_nationkey", "n_name"), "N_1", "n_name")
 
 
 _ROOT = "CASE c_custkey % 6 WHEN 0 THEN '/home/u' WHEN 1 THEN '/' WHEN 2 THEN concat('/home/u/', c_nationkey) WHEN 3 THEN concat('/home/u/', c_nationkey, '/.claude/worktrees/w') WHEN 4 THEN concat('/home/u/.t3/worktrees/', c_nationkey, '/x') ELSE concat('/srv/', c_nationkey) END"
