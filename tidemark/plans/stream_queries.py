@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.plans.queries import query, w
-from tidemark.plans.views import V1, act_event
+from tidemark.plans.views import IDLE_MS, SPANS, V1, act_event
 from tidemark.session import work_dir
 from tidemark.streaming.reader import message_events, message_lines
+from tidemark.streaming.store import SessionStore
 
 #: Micro-batches in which the lines of a log come.
 SLICES = 3
@@ -38,3 +39,13 @@ def stream_equals_batch(spark, d):
     q = message_lines(grown, timers=False).writeStream.foreachBatch(write).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.parquet(f"{base}/out").select("native_event_id", "session_id", "ts", "input_tokens", "output_tokens")
+
+
+@query(w(SPANS, "SELECT span_id, thread_id, session_id, started_at, ended_at, event_count FROM span"))
+def store_equals_batch(spark, d):
+    """The table's events in SLICES overlapping batches into a session store whose cells split; its spans are those of one batch."""
+    e = act_event(spark, d)
+    store = SessionStore(spark, work_dir(spark, "store"), cell_rows=2000)
+    for k in range(SLICES):
+        store.cycle(e.where((F.col("event_id") % SLICES == k) | (F.col("event_id") % 7 == 0)), IDLE_MS)
+    return store.read("spans").select("span_id", "thread_id", "session_id", "started_at", "ended_at", "event_count")
