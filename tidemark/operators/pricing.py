@@ -141,8 +141,13 @@ def clear_price(prices: DataFrame, model: str, effective_from: int | None = None
     return prices.where(~(gone if effective_from is None else gone & (F.col("effective_from") == effective_from)))
 
 
+def significant(value: Column, digits: int = 10) -> Column:
+    """A number to so many significant digits, so that no noise of binary fractions is left."""
+    x = value.cast("double")
+    places = F.when(x == 0, 0).otherwise(digits - 1 - F.floor(F.log10(F.abs(x)))).cast("int")
+    return F.when(x == 0, F.lit(0.0)).otherwise(F.round(x * F.pow(F.lit(10.0), places)) / F.pow(F.lit(10.0), places))
+
+
 def per_million(per_token: Column) -> Column:
     """A rate per token as one per million, to ten significant digits, so that 3e-06 is 3.0."""
-    scaled = per_token.cast("double") * 1e6
-    digits = F.when(scaled == 0, 0).otherwise(9 - F.floor(F.log10(F.abs(scaled)))).cast("int")
-    return F.when(scaled == 0, F.lit(0.0)).otherwise(F.round(scaled * F.pow(F.lit(10.0), digits)) / F.pow(F.lit(10.0), digits))
+    return significant(per_token.cast("double") * 1e6)

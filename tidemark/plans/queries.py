@@ -569,7 +569,7 @@ def model_lookup_fuzzy(spark, d):
     return P.match_models(names, keys)
 
 
-@query()
+@query(w(V1, ", e AS (SELECT thread_id, thread_id - thread_id % 4 AS parent_id, CAST(row_number() OVER (PARTITION BY thread_id ORDER BY ts, event_id) AS INTEGER) AS place, input_tokens % 20 AS usage FROM ev), m AS (SELECT c.*, coalesce(c.usage = p.usage, FALSE) AS same FROM e c LEFT JOIN e p ON p.thread_id = c.parent_id AND p.place = c.place WHERE c.thread_id <> c.parent_id), r AS (SELECT *, bool_and(same) OVER (PARTITION BY thread_id ORDER BY place) AS repeats FROM m) SELECT thread_id, parent_id, place AS \"at\", usage FROM r WHERE NOT repeats"))
 def fork_replay(spark, d):
     at = F.row_number().over(W.partitionBy("thread_id").orderBy("ts", "event_id"))
     e = act_event(spark, d).select("thread_id", (F.col("thread_id") - F.col("thread_id") % 4).alias("parent_id"), at.alias("at"), (F.col("input_tokens") % 20).alias("usage"))

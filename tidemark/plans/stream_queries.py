@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.operators import digests
 from tidemark.plans.queries import query, w
-from tidemark.plans.views import IDLE_MS, SPANS, V1, act_event
+from tidemark.plans.views import IDLE_MS, SPANS, V1, act_event, read
+from tidemark.sources import catalog_build
+from tidemark.sources.catalog import RATES
 from tidemark.session import work_dir
 from tidemark.streaming.reader import message_events, message_lines
 from tidemark.streaming.store import SessionStore
@@ -49,3 +52,40 @@ def store_equals_batch(spark, d):
     for k in range(SLICES):
         store.cycle(e.where((F.col("event_id") % SLICES == k) | (F.col("event_id") % 7 == 0)), IDLE_MS)
     return store.read("spans").select("span_id", "thread_id", "session_id", "started_at", "ended_at", "event_count")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 1009 = 3 THEN 'removed' WHEN o_orderkey % 997 = 5 THEN 'added' ELSE 'changed' END AS change FROM orders WHERE o_orderkey % 1009 = 3 AND o_orderkey % 997 <> 5 OR o_orderkey % 997 = 5 AND o_orderkey % 1009 <> 3 OR o_orderkey % 499 = 7 AND o_orderkey % 1009 <> 3 AND o_orderkey % 997 <> 5")
+def store_difference(spark, d):
+    """Orders against a copy of which some rows were changed, removed and added, by trees of digests."""
+    orders, base, k = read(spark, d, "orders"), work_dir(spark, "digests"), F.col("o_orderkey")
+    a = digests.write(orders.where(k % 997 != 5), ["o_orderkey"], f"{base}/a", 3)
+    b = digests.write(orders.where(k % 1009 != 3).withColumn("o_totalprice", F.when(k % 499 == 7, 0.0).otherwise(F.col("o_totalprice"))), ["o_orderkey"], f"{base}/b", 3)
+    return digests.difference(a, b)
+
+
+_PERIODS = """WITH prev AS (SELECT p_brand AS model, CAST(p_size AS BIGINT) * 1000 AS effective_from, max(p_retailprice) AS input_mtok FROM part GROUP BY ALL),
+last AS (SELECT model, max(effective_from) AS since, arg_max(input_mtok, effective_from) AS rate, CAST(right(model, 1) AS INTEGER) AS k FROM prev GROUP BY model),
+now AS (SELECT model, CASE WHEN k % 3 = 1 THEN rate + 1 ELSE rate END AS input_mtok, CASE WHEN k % 3 = 1 THEN 1000000 WHEN k = 5 THEN 0 ELSE since END AS effective_from FROM last)"""
+
+
+def _periods(spark, d):
+    at, digit = F.col("p_size").cast("long") * 1000, F.right(F.col("model"), F.lit(1)).cast("int")
+    none = [F.lit(None).cast("double").alias(r) for r in RATES[1:]]
+    previous = read(spark, d, "part").groupBy(F.col("p_brand").alias("model"), at.alias("effective_from")).agg(F.max("p_retailprice").alias("input_mtok")).select("model", F.lit("p").alias("provider"), "effective_from", "input_mtok", *none)
+    last = previous.groupBy("model").agg(F.max_by("input_mtok", "effective_from").alias("rate"))
+    plain = [F.lit(x).cast(t).alias(c) for c, x, t in (("source", "s", "string"), ("upstream", "u", "string"), ("provider", "p", "string"), ("trust", None, "string"), ("tiered", False, "boolean"))]
+    built = last.select("model", *plain, F.when(digit % 3 == 1, F.col("rate") + 1).otherwise(F.col("rate")).alias("input_mtok"), *none)
+    return previous, built, [r.model for r in last.where(digit == 5).select("model").collect()]
+
+
+@query(f"{_PERIODS} SELECT p.model, p.effective_from, p.input_mtok FROM prev p JOIN now USING (model) WHERE p.effective_from < now.effective_from UNION ALL SELECT model, effective_from, input_mtok FROM now")
+def catalog_history(spark, d):
+    """Brands as models of a catalogue that is built again: unchanged rates keep their date, changed ones begin a period, rebased ones lose theirs."""
+    previous, built, rebased = _periods(spark, d)
+    return catalog_build.with_history(built, previous, 1_000_000, tuple(rebased)).select("model", "effective_from", "input_mtok")
+
+
+@query(f"{_PERIODS} SELECT model, rate AS before, input_mtok AS after FROM now JOIN last USING (model) WHERE abs(input_mtok - rate) / abs(rate) > 0.0005")
+def catalog_changes(spark, d):
+    previous, built, _ = _periods(spark, d)
+    return catalog_build.changes(previous, built, 0.0005).select("model", F.col("before.input_mtok").alias("before"), F.col("after.input_mtok").alias("after"))
