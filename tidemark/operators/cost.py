@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -31,27 +33,41 @@ def asof_rates(events: DataFrame, prices: DataFrame, model: str = "carried") ->
     return events.join(p, at, "left").drop("_m", "valid_to")
 
 
-def priced(events: DataFrame, prices: DataFrame) -> DataFrame:
-    """Each token-bearing event with its tokens and nano cost by component (null: no rate) and the reason for what is missing."""
+def priced(events: DataFrame, prices: DataFrame, every: bool = False) -> DataFrame:
+    """Each token-bearing event (or every event) with its tokens and nano cost by component (null: no rate)."""
     five, hour, assumed = ttl_split(F.col("cache_write_tokens"), F.col("cache_write_1h_tokens"))
     t = carry_model(events).select("*", five.alias("t_cache_write"), hour.alias("t_cache_write_1h"), assumed.alias("assumed_5m"), *(F.greatest(F.coalesce(f"{c}_tokens", F.lit(0)), F.lit(0)).alias(f"t_{c}") for c in _PARTS[:3]))
-    t = t.where(" OR ".join(f"t_{c} > 0" for c in _PARTS))
+    t = t if every else t.where(" OR ".join(f"t_{c} > 0" for c in _PARTS))
     r = asof_rates(t, prices)
     for c in _PARTS:
         r = r.withColumn(f"{c}_nano", F.when(F.col(f"t_{c}") > 0, nano(F.col(f"t_{c}"), F.col(f"{c}_mtok"))))
     return r
 
 
+def has_price() -> Column:
+    """Of a priced() row: whether at least one component has a price."""
+    return reduce(lambda a, b: a | b, (F.col(f"{c}_nano").isNotNull() for c in _PARTS))
+
+
+def total() -> Column:
+    """Of a priced() row: what its priced components cost."""
+    return sum((F.coalesce(f"{c}_nano", F.lit(0)) for c in _PARTS), F.lit(0))
+
+
+def missing() -> Column:
+    """Of a priced() row: its tokens without a price."""
+    return sum((F.when((F.col(f"t_{c}") > 0) & F.col(f"{c}_nano").isNull(), F.col(f"t_{c}")).otherwise(0) for c in _PARTS), F.lit(0))
+
+
 def cost_ledger(events: DataFrame, prices: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """event_cost: events of which at least one component has a price; keep: further columns of the events."""
-    p = priced(events, prices).where(" OR ".join(f"{c}_nano IS NOT NULL" for c in _PARTS))
+    p = priced(events, prices).where(has_price())
     parts = [F.coalesce(f"{c}_nano", F.lit(0)).alias(f"{c}_nano") for c in _PARTS]
-    return p.select("event_id", "session_id", "thread_id", "source", "ts", F.col("carried").alias("model"), "attributed", "price_from", "currency", *keep, *parts, sum((F.coalesce(f"{c}_nano", F.lit(0)) for c in _PARTS), F.lit(0)).alias("total_nano"))
+    return p.select("event_id", "session_id", "thread_id", "source", "ts", F.col("carried").alias("model"), "attributed", "price_from", "currency", *keep, *parts, total().alias("total_nano"))
 
 
 def unpriced_ledger(events: DataFrame, prices: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """event_unpriced: tokens without a price, by reason (no_model, no_rate, no_component); keep: further columns of the events."""
     p = priced(events, prices)
     reason = F.when(F.col("carried").isNull(), "no_model").when(F.col("price_from").isNull(), "no_rate").otherwise("no_component")
-    missing = sum((F.when((F.col(f"t_{c}") > 0) & F.col(f"{c}_nano").isNull(), F.col(f"t_{c}")).otherwise(0) for c in _PARTS), F.lit(0))
-    return p.select("event_id", "session_id", "thread_id", "source", "ts", F.col("carried").alias("model"), "attributed", *keep, missing.alias("tokens"), reason.alias("reason")).where("tokens > 0")
+    return p.select("event_id", "session_id", "thread_id", "source", "ts", F.col("carried").alias("model"), "attributed", *keep, missing().alias("tokens"), reason.alias("reason")).where("tokens > 0")

@@ -16,6 +16,7 @@ from tidemark.session import work_dir
 
 #: Bits of a level: children of a node as a power of two.
 BITS = 4
+TREE = "node long, rows long, sum decimal(38,0), xor long, level int"
 
 
 def _leaf(keys: list[str], depth: int) -> Column:
@@ -44,15 +45,17 @@ def write(df: DataFrame, keys: list[str], path: str, depth: int = 4) -> Digested
     spark, columns = df.sparkSession, sorted(df.columns)
     placed = df.select(*df.columns, _leaf(keys, depth).alias("_leaf"), F.xxhash64(*(F.struct(c) for c in columns)).alias("_hash"))  # a struct, so that nulls count
     placed.repartitionByRange("_leaf").sortWithinPartitions("_leaf").write.parquet(f"{path}/rows")  # sorted: footers tell which leaves a row group has
-    level = spark.read.parquet(f"{path}/rows").groupBy(F.col("_leaf").alias("node")).agg(F.count("*").alias("rows"), F.sum(F.col("_hash").cast("decimal(38,0)")).alias("sum"), F.bit_xor("_hash").alias("xor"))
+    level = spark.read.schema(placed.schema).parquet(f"{path}/rows").groupBy(F.col("_leaf").alias("node")).agg(F.count("*").alias("rows"), F.sum(F.col("_hash").cast("decimal(28,0)")).cast("decimal(38,0)").alias("sum"), F.bit_xor("_hash").alias("xor"))
     for at in range(depth, -1, -1):
         level.withColumn("level", F.lit(at)).write.mode("append").partitionBy("level").parquet(f"{path}/tree")
-        level = spark.read.parquet(f"{path}/tree").where(F.col("level") == at).groupBy(F.shiftrightunsigned("node", BITS).alias("node")).agg(F.sum("rows").alias("rows"), F.sum("sum").alias("sum"), F.bit_xor("xor").alias("xor"))
-    return read(spark, path, keys, depth)
+        level = spark.read.schema(TREE).parquet(f"{path}/tree").where(F.col("level") == at).groupBy(F.shiftrightunsigned("node", BITS).alias("node")).agg(F.sum("rows").alias("rows"), F.sum("sum").cast("decimal(38,0)").alias("sum"), F.bit_xor("xor").alias("xor"))
+    return read(spark, path, keys, depth, placed.schema)
 
 
-def read(spark: SparkSession, path: str, keys: list[str], depth: int = 4) -> Digested:
-    return Digested(spark.read.parquet(f"{path}/rows"), spark.read.parquet(f"{path}/tree"), keys, depth)
+def read(spark: SparkSession, path: str, keys: list[str], depth: int = 4, schema=None) -> Digested:
+    """What write() left; schema: of the rows, needed only where there may be none."""
+    rows = spark.read.schema(schema) if schema is not None else spark.read
+    return Digested(rows.parquet(f"{path}/rows"), spark.read.schema(TREE).parquet(f"{path}/tree"), keys, depth)
 
 
 def differing(a: Digested, b: Digested) -> tuple[DataFrame, int]:

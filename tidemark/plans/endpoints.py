@@ -49,6 +49,11 @@ class Corpus:
     def ledger(self) -> DataFrame:
         return C.cost_ledger(self.numbered, self.prices, ("span_no", "project_id"))
 
+    @cached_property
+    def priced(self) -> DataFrame:
+        """Every event in a span with its tokens and costs: one pass for all sums."""
+        return C.priced(self.numbered, self.prices, every=True)
+
     @cached_property
     def unpriced(self) -> DataFrame:
         return C.unpriced_ledger(self.numbered, self.prices, ("span_no",))
@@ -57,7 +62,9 @@ class Corpus:
         return self.spans.where(f.predicate())
 
     def within(self, rows: DataFrame, f: Filters) -> DataFrame:
-        """rows (thread_id, span_no, ...) of the selected spans."""
+        """rows (thread_id, span_no, ...) of the selected spans. Without a filter that is all of them, and nothing is joined."""
+        if f == NO_FILTER:
+            return rows
         return rows.join(self.selected(f).select(*_OF_SPAN), list(_OF_SPAN), "left_semi")
 
 
@@ -89,19 +96,23 @@ def summary(c: Corpus, f: Filters = NO_FILTER) -> DataFrame:
         F.countDistinct("session_id").alias("sessions"), F.countDistinct("thread_id").alias("threads"), _sum("event_count").alias("events"), F.count("*").alias("spans"), _sum("ms").alias("active_ms"),
         part(root & human).alias("human_initiated_ms"), part(~root).alias("autonomous_ms"), part(root & ~human).alias("unattended_root_ms"),
     )
-    tokens = c.within(c.numbered, f).agg(*(_sum(t).alias(t) for t in TOKENS))
-    return times.crossJoin(tokens).crossJoin(_cost_totals(c, f))  # one row each
+    return times.crossJoin(c.within(c.priced, f).agg(*(_sum(t).alias(t) for t in TOKENS), *_money()))  # one row each
 
 
 def by_source(c: Corpus, f: Filters = NO_FILTER) -> DataFrame:
     return c.selected(f).groupBy("source").agg(F.sum("ms").alias("active_ms"))
 
 
+def _money() -> list[Column]:
+    """Aggregates of priced rows: cost in all and by component, priced and attributed events, unpriced tokens. Both ledgers are sums of the same rows."""
+    return [
+        _sum(C.total()).alias("cost_nano"), *(_sum(f"{k}_nano").alias(f"{k}_nano") for k in COMPONENTS), F.count_if(C.has_price()).alias("priced_events"), F.count_if(C.has_price() & F.col("attributed")).alias("attributed_events"),
+        _sum(C.missing()).alias("unpriced_tokens"),
+    ]
+
+
 def _cost_totals(c: Corpus, f: Filters) -> DataFrame:
-    """One row: cost in all and by component, priced, attributed and unpriced tokens' events."""
-    led, un = c.within(c.ledger, f), c.within(c.unpriced, f)
-    money = led.agg(_sum("total_nano").alias("cost_nano"), *(_sum(f"{k}_nano").alias(f"{k}_nano") for k in COMPONENTS), F.count("*").alias("priced_events"), F.count_if("attributed").alias("attributed_events"))
-    return money.crossJoin(un.agg(_sum("tokens").alias("unpriced_tokens")))  # one row each
+    return c.within(c.priced, f).agg(*_money())
 
 
 def timeline(c: Corpus, f: Filters = NO_FILTER, limit: int = TIMELINE_LIMIT) -> DataFrame:

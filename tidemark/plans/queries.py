@@ -564,7 +564,8 @@ def team_withheld_max_sum(spark, d):
 
 @query()
 def model_lookup_fuzzy(spark, d):
-    names = read(spark, d, "part").select(F.concat(F.lit("acme/"), F.lower(F.translate("p_brand", "#", "-")), F.when(F.col("p_size") % 3 == 0, "-mini").when(F.col("p_size") % 3 == 1, "-20240101").otherwise("")).alias("model"))
+    kind = F.col("p_size") % 4
+    names = read(spark, d, "part").select(F.concat(F.when(kind == 3, "acme/eu-").otherwise("acme/"), F.lower(F.translate("p_brand", "#", "-")), F.when(kind == 0, "-mini").when(kind == 1, "-20240101").when(kind == 3, "-large").otherwise("")).alias("model"))
     keys = read(spark, d, "part").select(F.lower(F.translate("p_brand", "#", "-")).alias("key"), F.lit(0).alias("rank")).distinct()
     return P.match_models(names, keys)
 
