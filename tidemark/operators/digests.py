@@ -43,7 +43,7 @@ class Digested:
 def write(df: DataFrame, keys: list[str], path: str, depth: int = 4) -> Digested:
     """Write df (unique by keys) and its tree of 16^depth leaves below path. Depth follows the table: a leaf is read as a whole."""
     spark, columns = df.sparkSession, sorted(df.columns)
-    placed = df.select(*df.columns, _leaf(keys, depth).alias("_leaf"), F.xxhash64(*(F.struct(c) for c in columns)).alias("_hash"))  # a struct, so that nulls count
+    placed = df.select(*df.columns, _leaf(keys, depth).alias("_leaf"), F.xxhash64(*(x for c in columns for x in (F.col(c).isNull(), F.col(c)))).alias("_hash"))  # a null adds nothing to a hash, that it is one does
     placed.repartitionByRange("_leaf").sortWithinPartitions("_leaf").write.parquet(f"{path}/rows")  # sorted: footers tell which leaves a row group has
     level = spark.read.schema(placed.schema).parquet(f"{path}/rows").groupBy(F.col("_leaf").alias("node")).agg(F.count("*").alias("rows"), F.sum(F.col("_hash").cast("decimal(28,0)")).cast("decimal(38,0)").alias("sum"), F.bit_xor("_hash").alias("xor"))
     for at in range(depth, -1, -1):
