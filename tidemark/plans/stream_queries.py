@@ -10,6 +10,7 @@ from tidemark.plans.views import IDLE_MS, SPANS, V1, act_event, read
 from tidemark.sources import catalog_build
 from tidemark.sources.catalog import RATES
 from tidemark.session import work_dir
+from tidemark.streaming.open_spans import stream_spans
 from tidemark.streaming.reader import message_events, message_lines
 from tidemark.streaming.store import SessionStore
 
@@ -54,6 +55,22 @@ def store_equals_batch(spark, d):
     return store.read("spans").select("span_id", "thread_id", "session_id", "started_at", "ended_at", "event_count")
 
 
+@query(w(SPANS, "SELECT span_id, thread_id, session_id, span_no, started_at, ended_at, event_count, attended FROM span"))
+def open_spans_equal_batch(spark, d):
+    """The table's events in SLICES steps of time, each step shuffled, into spans that a stream keeps open; one event far on closes them all."""
+    e = act_event(spark, d).select("event_id", "session_id", "thread_id", "is_subagent", "ts", "kind")
+    low, high = e.agg(F.min("ts"), F.max("ts")).first()
+    base, step = work_dir(spark, "spans"), (high - low) // SLICES + 1
+    end = spark.createDataFrame([(-1, -1, -1, False, high + 100 * IDLE_MS, "system")], e.schema)  # of a thread of its own
+    for k in range(SLICES + 1):
+        part = e.where(F.floor((F.col("ts") - low) / step) == k).orderBy(F.xxhash64("event_id")) if k < SLICES else end
+        part.coalesce(1).write.mode("append").parquet(f"{base}/in")
+    grown = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    q = stream_spans(grown, "1 hour", IDLE_MS).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("span_id", F.col("thread_id").cast("long").alias("thread_id"), F.col("session_id").cast("long").alias("session_id"), "span_no", "started_at", "ended_at", "event_count", "attended")
+
+
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 1009 = 3 THEN 'removed' WHEN o_orderkey % 997 = 5 THEN 'added' ELSE 'changed' END AS change FROM orders WHERE o_orderkey % 1009 = 3 AND o_orderkey % 997 <> 5 OR o_orderkey % 997 = 5 AND o_orderkey % 1009 <> 3 OR o_orderkey % 499 = 7 AND o_orderkey % 1009 <> 3 AND o_orderkey % 997 <> 5")
 def store_difference(spark, d):
     """Orders against a copy of which some rows were changed, removed and added, by trees of digests."""
