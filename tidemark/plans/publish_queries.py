@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import publish as P
+from tidemark.operators import regroup as R
 from tidemark.plans.queries import query, w
 from tidemark.plans.views import read
 
@@ -68,3 +69,32 @@ def publication_audit(spark, d):
     tables = store(spark, d)
     known = P.secrets(tables, "/home/u1", "u1")
     return P.audit(P.publication(tables, ACTOR), known.where("NOT (kind = 'identity' AND secret = 'u1') AND kind <> 'name'"), ACTOR).groupBy("severity", "kind", "field", "secret").agg(F.count("*").alias("n"))
+
+
+_REGROUP = """
+grp AS (SELECT n_nationkey AS k, n_name AS name, CASE WHEN n_nationkey % 5 = 0 THEN 'manual' ELSE 'remote' END AS origin, CASE WHEN n_nationkey % 3 = 0 THEN 'old' ELSE concat('u', n_nationkey) END AS url FROM nation WHERE n_nationkey % 4 <> 3),
+plan AS (SELECT n_nationkey AS k, concat('u', n_nationkey) AS url FROM nation WHERE n_nationkey % 4 <> 1 AND n_nationkey <> 2),
+proj AS (SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN g.k WHEN c_custkey % 7 <> 0 AND c_custkey % 3 <> 0 THEN p.k END AS k FROM customer LEFT JOIN grp g ON g.k = c_nationkey LEFT JOIN plan p ON p.k = c_nationkey)"""
+
+
+def _regrouped(spark, d):
+    nation, customer, k = read(spark, d, "nation"), read(spark, d, "customer"), F.col("n_nationkey")
+    none = lambda *names: [F.lit(None).cast("string").alias(c) for c in names]
+    group = lambda url, origin: [k.cast("string").alias("group_id"), F.col("n_name").alias("name"), origin.alias("origin"), F.lit("k").alias("match_key"), url.alias("remote_url"), *none("forge", "owner", "repo", "web_url")]
+    u = F.concat(F.lit("u"), k)
+    groups = nation.where(k % 4 != 3).select(*group(F.when(k % 3 == 0, "old").otherwise(u), F.when(k % 5 == 0, "manual").otherwise("remote")), F.lit(1).cast("long").alias("created_at"), F.lit(1).cast("long").alias("updated_at"))
+    plans = nation.where((k % 4 != 1) & (k != 2)).select(*group(u, F.lit("remote")))
+    home, key = F.col("c_nationkey").cast("string"), F.col("c_custkey")
+    projects = customer.join(groups.select(F.col("group_id").alias("_g")), home == F.col("_g"), "left").select(key.cast("string").alias("project_id"), F.col("_g").alias("group_id"), (key % 10 == 0).alias("group_pinned"))
+    to = customer.where((key % 10 != 0) & (key % 7 != 0) & (key % 3 != 0)).join(plans.select(F.col("group_id").alias("_g")), home == F.col("_g")).select(key.cast("string").alias("project_id"), F.col("_g").alias("group_id"))
+    return R.applied(groups, projects, plans, to, 9)
+
+
+@query(w(_REGROUP, "SELECT CAST(coalesce(g.k, p.k) AS VARCHAR) AS group_id, coalesce(g.name, n_name) AS name, coalesce(g.origin, 'remote') AS origin, coalesce(p.url, g.url) AS remote_url, CAST(CASE WHEN g.k IS NULL OR p.k IS NOT NULL AND p.url <> g.url THEN 9 ELSE 1 END AS BIGINT) AS updated_at FROM grp g FULL JOIN plan p ON p.k = g.k JOIN nation ON n_nationkey = coalesce(g.k, p.k) WHERE coalesce(g.origin, '') = 'manual' OR coalesce(g.k, p.k) IN (SELECT k FROM proj WHERE k IS NOT NULL)"))
+def regroup_groups(spark, d):
+    return _regrouped(spark, d)[0].select("group_id", "name", "origin", "remote_url", "updated_at")
+
+
+@query(w(_REGROUP, "SELECT CAST(c_custkey AS VARCHAR) AS project_id, CAST(k AS VARCHAR) AS group_id FROM proj"))
+def regroup_projects(spark, d):
+    return _regrouped(spark, d)[1].select("project_id", "group_id")
