@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -89,10 +91,12 @@ def keyset_page(rows: DataFrame, keys: list[str], after: tuple | None, n: int) -
 
 
 def digest(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """Number of rows and an order-insensitive digest, computed without a sort or a gather."""
+    """Number of rows and an order-insensitive digest, computed without a sort or a gather: the sum of the rows' hashes modulo 2^64, as a signed number, so that no table is too large."""
     text = F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns))
     part = F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("long")
-    return rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(part), F.lit(0)).cast("long").alias("digest"))
+    turn = F.lit(Decimal(2**64))
+    whole = F.pmod(F.coalesce(F.sum(part.cast("decimal(20,0)")), F.lit(0)), turn)
+    return rows.agg(F.count("*").alias("n"), F.when(whole < turn / 2, whole).otherwise(whole - turn).cast("long").alias("digest"))
 
 
 def covered(known: Column, total: Column) -> Column:
