@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import random
 
+from pyspark.sql import functions as F
+
+from tidemark.operators.pricing import history
 from tidemark.operators.rollups import digest
 
 
@@ -14,3 +18,13 @@ def test_a_digest_beyond_64_bits(spark):
     got = digest(spark.range(70_000), ["id"]).first()
     assert (got.n, got.digest) == (70_000, (want + 2**63) % 2**64 - 2**63)
     assert tuple(digest(spark.range(0), ["id"]).first()) == (0, 0)
+
+
+def test_history_of_snapshots_at_one_time(spark):
+    """Their order is that of the tie, within a bucket and at its end, whatever order they come in."""
+    rows = [("a", t, n, v) for n, (t, v) in enumerate([(1, 5), (1, 6), (1, 5), (8, 5), (9, 4), (9, 7), (9, 3), (12, 3), (12, 8)])]
+    want = [(1, 1, 5), (1, 1, 6), (1, 9, 5), (9, 9, 4), (9, 9, 7), (9, 12, 3), (12, None, 8)]
+    for seed in range(3):
+        random.Random(seed).shuffle(rows)
+        got = history(spark.createDataFrame(rows, "k string, t long, n long, v long").repartition(3, F.col("n")), "k", "t", "v", 10, tie="n")
+        assert sorted((tuple(r)[1:] for r in got.collect()), key=str) == sorted(want, key=str)

@@ -381,8 +381,8 @@ def anti_unpriced_models(spark, d):
 @query(w(V1, f""", s AS (SELECT model, ts, output_tokens % 7 AS rate, event_id FROM ev WHERE model IS NOT NULL), c AS (SELECT *, row_number() OVER w = 1 OR rate IS DISTINCT FROM lag(rate) OVER w AS fresh FROM s WINDOW w AS (PARTITION BY model ORDER BY ts))
 SELECT model, ts AS valid_from, lead(ts) OVER (PARTITION BY model ORDER BY ts) AS valid_to, rate FROM c WHERE fresh"""))
 def scd2_price_history(spark, d):
-    snaps = act_event(spark, d).where("model IS NOT NULL").select("model", "ts", (F.col("output_tokens") % 7).alias("rate"))
-    return P.history(snaps, "model", "ts", "rate")
+    snaps = act_event(spark, d).where("model IS NOT NULL").select("model", "ts", "event_id", (F.col("output_tokens") % 7).alias("rate"))
+    return P.history(snaps, "model", "ts", "rate", tie="event_id")
 
 
 # --- ingest rules ------------------------------------------------------------------------------------------------------------------------------
