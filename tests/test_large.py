@@ -7,6 +7,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from tidemark.operators import parents
 from tidemark.operators.pricing import history
 from tidemark.operators.rollups import digest
 
@@ -28,3 +29,26 @@ def test_history_of_snapshots_at_one_time(spark):
         random.Random(seed).shuffle(rows)
         got = history(spark.createDataFrame(rows, "k string, t long, n long, v long").repartition(3, F.col("n")), "k", "t", "v", 10, tie="n")
         assert sorted((tuple(r)[1:] for r in got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_no_null_key_is_joined(spark, monkeypatch):
+    """Threads without a parent, and those whose chain has ended, take no part in the left side of a join: they would all meet in one task."""
+    joined, real = [], type(spark.range(1)).join
+
+    def join(self, other, on=None, how=None):
+        if isinstance(on, list) and "id" not in on:
+            joined.append(self.where(F.col(on[-1]).isNull()).count())
+        return real(self, other, on, how)
+
+    rows = [(i, i // 3 if i % 3 else None) for i in range(1, 300)] + [(1000, 1001), (1001, 1000), (1002, 5000)]
+    want = {}
+    for i, p in rows[:-3]:
+        want[i] = want[p] + 1 if p in want else 0
+    threads = spark.createDataFrame(rows, "id long, parent_id long")
+    monkeypatch.setattr(type(threads), "join", join)
+    assert {r.id: r.depth for r in parents.depths(threads).collect()} == {**want, 1000: None, 1001: None, 1002: 0}
+    lane = threads.where("id < 1000").select("*", F.lit(False).alias("is_subagent"), F.lit(1).alias("session_id"))
+    spans = lane.select(F.col("id").alias("thread_id"), F.col("id").alias("started_at"))
+    before = len(joined)
+    assert {r.id: r.depth for r in parents.lanes(lane, spans).collect()} == want
+    assert before >= 3 and len(joined) > before and set(joined) == {0}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,18 +24,28 @@ def _doubled(up: DataFrame, by: list[str], joined: dict[str, Column]) -> DataFra
     joined: how a column grows by the same one of the row pointed to, which is there as far_<column>. After k rounds every chain of 2^k threads
     is resolved; a round that resolves none has met cycles alone, as threads deeper than 2^k stand below others of every smaller depth.
     """
-    up, left = _kept(up), None
-    while (now := up.where("up IS NOT NULL").count()) and now != left:
+    moving, ended, left = _kept(up), [], None
+    while (now := moving.where("up IS NOT NULL").count()) and now != left:
         left = now
-        far = up.select(*by, F.col("id").alias("up"), F.col("up").alias("far_up"), *(F.col(c).alias(f"far_{c}") for c in joined))
-        up = _kept(up.join(far, [*by, "up"], "left").select(*by, "id", F.col("far_up").alias("up"), *(F.when(F.col("up").isNull(), F.col(c)).otherwise(how).alias(c) for c, how in joined.items())))
-    return up
+        # rows that have ended are joined to, but join nothing: their null pointers would all meet in one task
+        ended.append(moving.where("up IS NULL"))
+        moving = moving.where("up IS NOT NULL")
+        far = reduce(DataFrame.union, ended, moving).select(*by, F.col("id").alias("up"), F.col("up").alias("far_up"), *(F.col(c).alias(f"far_{c}") for c in joined))
+        moving = _kept(moving.join(far, [*by, "up"]).select(*by, "id", F.col("far_up").alias("up"), *(how.alias(c) for c, how in joined.items())))
+    return reduce(DataFrame.union, ended, moving)
+
+
+def _pointed(threads: DataFrame, ids: DataFrame, by: list[str]) -> DataFrame:
+    """threads plus up: the parent, if ids (by, parent_id, distinct) has it. Threads without a parent are not joined: their nulls would all meet in one task."""
+    joined = threads.where("parent_id IS NOT NULL").join(ids.withColumn("known", F.lit(True)), [*by, "parent_id"], "left")
+    found = joined.select(*threads.columns, F.when(F.col("known"), F.col("parent_id")).alias("up"))
+    return found.union(threads.where("parent_id IS NULL").withColumn("up", F.col("parent_id")))
 
 
 def depths(threads: DataFrame) -> DataFrame:
     """threads (id, parent_id) plus depth: parents above it among the threads, 0 for a root or an unknown parent, null on or below a cycle. Chains may have any length."""
-    ids = threads.select(F.col("id").alias("parent_id")).distinct().withColumn("known", F.lit(True))
-    up = threads.join(ids, "parent_id", "left").select("id", F.when(F.col("known"), F.col("parent_id")).alias("up"), F.when(F.col("known"), 1).otherwise(0).alias("depth"))
+    own = threads.select("id", "parent_id")
+    up = _pointed(own, own.select(F.col("id").alias("parent_id")).distinct(), []).select("id", "up", F.when(F.col("up").isNotNull(), 1).otherwise(0).alias("depth"))
     up = _doubled(up, [], {"depth": F.col("depth") + F.col("far_depth")})
     return threads.join(up.select("id", F.when(F.col("up").isNull(), F.col("depth")).alias("depth")), "id")
 
@@ -61,9 +73,8 @@ def lanes(threads: DataFrame, spans: DataFrame, per: str = "session_id") -> Data
     (depth 1), each by first start, then id. Threads on or below a cycle come last, without depth.
     """
     first = spans.groupBy("thread_id").agg(F.min("started_at").alias("first_at"))
-    own = threads.join(first, threads["id"] == first["thread_id"]).select("id", per, "parent_id", "is_subagent", "first_at")
-    parents = own.select(per, F.col("id").alias("parent_id"), F.lit(True).alias("known")).distinct()
-    placed = own.join(parents, [per, "parent_id"], "left").withColumn("up", F.when(F.col("known"), F.col("parent_id")))
+    own = _kept(threads.join(first, threads["id"] == first["thread_id"]).select("id", per, "parent_id", "is_subagent", "first_at"))
+    placed = _pointed(own, own.select(per, F.col("id").alias("parent_id")).distinct(), [per])
     root, sub = F.col("up").isNull(), F.col("is_subagent")
     key = F.struct((root & sub).alias("orphan"), "first_at", "id")
     up = placed.select(per, "id", "up", F.when(root & ~sub, 0).otherwise(1).alias("depth"), F.array(key).alias("path"))
