@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import parents
+from tidemark.operators import needles, parents
 from tidemark.operators.pricing import history
 from tidemark.operators.rollups import digest
 
@@ -52,3 +53,25 @@ def test_no_null_key_is_joined(spark, monkeypatch):
     before = len(joined)
     assert {r.id: r.depth for r in parents.lanes(lane, spans).collect()} == want
     assert before >= 3 and len(joined) > before and set(joined) == {0}
+
+
+def test_texts_are_read_once_for_any_number_of_needles(spark):
+    """Needles of many lengths, other alphabets, words at the edges of texts and slices, and a bitmap that is full, against plain search."""
+    rng = random.Random(4)
+    some = lambda a, b: "".join(rng.choice("aBc1-/é日") for _ in range(rng.randrange(a, b)))
+    texts = [("f", some(0, 60)) for _ in range(400)] + [("g", ""), ("g", "日本"), ("g", some(90, 100))]
+    held = [(x[i : i + n].lower(), x[i : i + n].lower(), "path", False) for _, x in rng.sample(texts, 60) if len(x) > 12 for i, n in [(rng.randrange(9), rng.randrange(3, 12))]]
+    words = [(w, w, "name", True) for w in ("a", "abc", "1", "bca1", "zz")]
+    wanted = sorted({*held, *words, ("nowhere/1", "nowhere/1", "path", False)})
+    tokens = lambda x: re.findall("[a-z0-9]+", x.lower())
+    want = {(f, x, s, k) for f, x in texts for low, s, k, word in wanted if (low in tokens(x) if word else low in x.lower())}
+    df = spark.createDataFrame(texts, "field string, value string").repartition(3)
+    kinds = "low string, secret string, kind string, word boolean"
+    for most in (1 << 20, 4096):
+        got = needles.found(df, spark.createDataFrame(wanted, kinds), most)
+        rows = [tuple(r) for r in got.collect()]
+        assert len(rows) == len(want) and set(rows) == want and len(want) > 100
+    many = [(f"p{i:06d}/x", f"p{i:06d}/x", "path", False) for i in range(150_000)]  # 40 automata of the former 256 KB
+    plan = needles.found(df, spark.createDataFrame([*many, *wanted], kinds), 1 << 18)
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert set(map(tuple, plan.collect())) == want

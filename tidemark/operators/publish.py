@@ -2,22 +2,21 @@
 
 Nothing is sent that was not looked at three times. Every column of every table has a verdict, and one without stops publication. The
 published columns' origins are read off their plans: a copy must be of a public column, a computed column may also read derived ones, none may touch
-a private one. And all published text is searched for what this machine knows about itself: local paths and path-derived ids anywhere in it (one
-pass of an Aho-Corasick automaton for each shard of them), names of people and machines as whole words, and names of withheld projects, which are only a warning.
+a private one. And all published text is searched for what this machine knows about itself: local paths and path-derived ids anywhere in it,
+names of people and machines as whole words, and names of withheld projects, which are only a warning.
 """
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import basename, forge, normalize_remote, role, tokens_of
 from tidemark.operators.lineage import UNKNOWN, origins
+from tidemark.operators.needles import found
 
 #: The verdict on every column. Public ones may be copied, derived ones only be computed from, private ones stay.
 PUBLIC = {
@@ -50,8 +49,8 @@ PRIVATE = {
 STRUCTURAL = frozenset(
     "http https www com org net io dev git github gitlab src lib app main master users home root var tmp opt usr etc bin new old test tests doc docs local localhost".split()
 )
-#: Shortest text that is looked for; bytes of needles in one automaton.
-LEAST, SHARD_BYTES = 3, 4 << 20
+#: Shortest text that is looked for; most bytes of the bitmap of what is looked for.
+LEAST, FILTER_BYTES = 3, 32 << 20
 
 
 class Unsafe(RuntimeError):
@@ -130,73 +129,28 @@ def secrets(tables: dict[str, DataFrame], home: str, user: str) -> DataFrame:
 
 
 def _texts(published: dict[str, DataFrame]) -> DataFrame:
-    """(field, value) of all published text, each once."""
+    """(field, value) of all published text."""
     out = []
     for name, df in published.items():
         columns = [f.name for f in df.schema.fields if f.dataType.simpleString() == "string"]
         fields = F.explode(F.array(*(F.struct(F.lit(f"{name}.{c}").alias("field"), F.col(c).alias("value")) for c in columns)))
         out.append(df.select(fields.alias("f")).select("f.field", "f.value"))
-    return reduce(DataFrame.union, out).where("value IS NOT NULL").distinct()
+    return reduce(DataFrame.union, out).where("value IS NOT NULL")
 
 
-_AUTOMATA: dict[str, object] = {}
-
-
-def _automaton(name: str, needles):
-    """The automaton of a broadcast list of needles; a worker keeps the last one, by its name."""
-    if name not in _AUTOMATA:
-        import ahocorasick
-
-        _AUTOMATA.clear()
-        made = ahocorasick.Automaton()
-        for needle in needles.value:
-            made.add_word(needle.lower(), needle)
-        made.make_automaton()
-        _AUTOMATA[name] = made
-    return _AUTOMATA[name]
-
-
-def _scan(name: str, needles):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = _automaton(name, needles)
-        for batch in batches:
-            found = [(f, v, s) for f, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for s in sorted({s for _, s in automaton.iter(v.lower())})]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], pa.string()) for i in range(3)], ["field", "value", "secret"])
-
-    return run
-
-
-def substrings(texts: DataFrame, needles: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """(field, value, secret) for every needle (secret) that stands anywhere in a value, without regard to case.
-
-    Needles are dealt to shards of bounded bytes, which are broadcast one by one; each shard's automaton reads every value once, whatever the number of needles.
-    """
-    spark = texts.sparkSession
-    wanted = needles.where(F.length("secret") >= LEAST).groupBy(F.lower("secret")).agg(F.min("secret").alias("secret"))
-    size = wanted.agg(F.sum(F.octet_length("secret") + 64)).first()[0] or 0
-    shards, out = -(-size // shard_bytes), []
-    for k in range(shards):
-        own = [r.secret for r in wanted.where(F.pmod(F.xxhash64("secret"), F.lit(shards)) == k).collect()]  # about shard_bytes
-        if own:
-            out.append(texts.select("field", "value").mapInArrow(_scan(uuid.uuid4().hex, spark.sparkContext.broadcast(own)), "field string, value string, secret string"))
-    return reduce(DataFrame.union, out) if out else spark.createDataFrame([], "field string, value string, secret string")
-
-
-def audit(published: dict[str, DataFrame], known: DataFrame, actor: str, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def audit(published: dict[str, DataFrame], known: DataFrame, actor: str, filter_bytes: int = FILTER_BYTES) -> DataFrame:
     """(severity, kind, field, value, secret): leaks, and warnings for names of withheld projects.
 
     Whole words that the viewer has anyway are exempt: the actor, and what a repository's own address and name say.
     """
-    texts = _texts(published)
-    paths = substrings(texts, known.where("kind = 'path'"), shard_bytes).select(F.lit("leak").alias("severity"), F.lit("path").alias("kind"), "field", "value", "secret")
-    spark = texts.sparkSession
+    texts, spark = _texts(published), known.sparkSession
+    paths = known.where("kind = 'path'").where(F.length("secret") >= LEAST).groupBy(F.lower("secret").alias("low")).agg(F.min("secret").alias("secret"), F.lit("path").alias("kind"), F.lit(False).alias("word"))
     own = published["repo"].select(F.explode(F.array(*(c for c in ("owner", "repo", "name", "remote_url", "web_url")))).alias("x")).where("x IS NOT NULL")
-    exempt = own.union(spark.createDataFrame([(actor,), *((w,) for w in sorted(STRUCTURAL))], "x string")).select(F.explode(tokens_of(F.col("x"))).alias("secret")).distinct()
-    words = known.where("kind <> 'path'").groupBy(F.lower("secret").alias("secret")).agg(F.min("kind").alias("kind"))  # who is a person is not a project
-    words = words.join(exempt, "secret", "left_anti")
-    seen = texts.select("field", "value", F.explode(tokens_of(F.col("value"))).alias("secret"))
-    severity = F.when(F.col("kind") == "identity", "leak").otherwise("warning")
-    return paths.union(seen.join(words, "secret").select(severity.alias("severity"), "kind", "field", "value", "secret"))
+    exempt = own.union(spark.createDataFrame([(actor,), *((w,) for w in sorted(STRUCTURAL))], "x string")).select(F.explode(tokens_of(F.col("x"))).alias("low")).distinct()
+    words = known.where("kind <> 'path'").groupBy(F.lower("secret").alias("low")).agg(F.min("kind").alias("kind"))  # who is a person is not a project
+    words = words.where("low <> ''").join(exempt, "low", "left_anti").select("low", F.col("low").alias("secret"), "kind", F.lit(True).alias("word"))
+    severity = F.when(F.col("kind") == "name", "warning").otherwise("leak")
+    return found(texts, paths.unionByName(words), filter_bytes).select(severity.alias("severity"), "kind", "field", "value", "secret")
 
 
 def publish(tables: dict[str, DataFrame], published: dict[str, DataFrame], known: DataFrame, actor: str, send: Callable[[str, DataFrame], None]) -> None:
