@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import needles, parents
 from tidemark.operators.pricing import history
 from tidemark.operators.rollups import digest
+from tidemark.streaming.store import SessionStore
 
 
 def test_a_digest_beyond_64_bits(spark):
@@ -75,3 +76,13 @@ def test_texts_are_read_once_for_any_number_of_needles(spark):
     plan = needles.found(df, spark.createDataFrame([*many, *wanted], kinds), 1 << 18)
     assert plan._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
     assert set(map(tuple, plan.collect())) == want
+
+
+def test_a_store_has_no_file_for_each_cell(spark, tmp_path):
+    store = SessionStore(spark, f"file://{tmp_path}/store", cell_rows=10)
+    events = spark.range(300).selectExpr("id event_id", "id % 60 session_id", "id % 60 thread_id", "false is_subagent", "id * 1000 ts", "'user_prompt' kind")
+    store.cycle(events.where("event_id < 200"))
+    store.cycle(events)
+    assert store.directory(store.manifest()).count() > 20
+    assert all(len(list(t.glob("*.parquet"))) <= 4 for t in tmp_path.glob("store/data/*/*"))  # the session's partitions
+    assert sorted(r.event_id for r in store.read("events").collect()) == list(range(300)) and store.read("events", 1).count() == 200

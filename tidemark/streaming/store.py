@@ -23,6 +23,8 @@ from tidemark.operators.spans import IDLE_MS, spans
 
 #: Events that a cell holds at most, if it has more than one session; bits of a hash that name cells.
 CELL_ROWS, BITS = 2_000_000, 40
+#: Cells that are asked for by name, so that a file's other pages are not read.
+FEW = 100
 TABLES = ("events", "spans", "ledger", "unpriced")
 KEPT = ("session_id", "source", "project_id", "group_id", "is_subagent")
 DIRECTORY = "depth int, prefix long, rows long, sessions long, folder string"
@@ -96,22 +98,25 @@ class SessionStore:
     def read(self, table: str, version: int | None = None) -> DataFrame:
         """A table as one version has it."""
         manifest = self.manifest(version)
-        return self._cells(table, manifest, [r.folder for r in self.directory(manifest).select("folder").distinct().collect()], self.directory(manifest))
+        return self._cells(table, manifest, self.directory(manifest))
 
-    def _cells(self, table: str, manifest: dict, folders: list[str], cells: DataFrame) -> DataFrame | None:
-        """The rows of a table in the given cells, which lie in folders (one for each cycle that still has a cell); other cells of a folder are not read."""
+    def _cells(self, table: str, manifest: dict, cells: DataFrame) -> DataFrame | None:
+        """The rows of a table in the given cells, which lie in folders (one for each cycle that still has a cell). Files hold many cells each, in order: of few wanted cells only their pages are read."""
         schema = manifest["tables"].get(table)
         if schema is None:
             return None
         from pyspark.sql.types import StructType
 
         kind = StructType.fromJson(schema)
-        if not folders:
+        folders = [r.folder for r in cells.select("folder").distinct().collect()]
+        there = [p for p in (f"{self.path}/{f}/{table}" for f in folders) if self._exists(p)]  # a cycle may have written no such table
+        if not there:
             return self.spark.createDataFrame([], kind)
-        own = cells.select(F.concat_ws("-", "depth", "prefix").alias("cell"), "folder")
-        paths = [f"{self.path}/{r.folder}/{table}/cell={r.cell}" for r in own.collect()]  # one row for each cell that is read
-        there = [p for p in paths if self._exists(p)]  # a cell may have no rows of a table
-        return self.spark.read.schema(kind).parquet(*there) if there else self.spark.createDataFrame([], kind)
+        rows = self.spark.read.schema(StructType([*kind.fields]).add("_cell", "string").add("_folder", "string")).parquet(*there)
+        own = cells.select(F.concat_ws("-", "depth", "prefix").alias("_cell"), F.col("folder").alias("_folder"))
+        few = [r["_cell"] for r in own.select("_cell").limit(FEW + 1).collect()]
+        rows = rows.where(F.col("_cell").isin(few)) if len(few) <= FEW else rows
+        return rows.join(F.broadcast(own), ["_cell", "_folder"], "left_semi").select(*kind.names)  # a row for each cell
 
     def _exists(self, path: str) -> bool:
         p = self.jvm.org.apache.hadoop.fs.Path(path)
@@ -122,7 +127,7 @@ class SessionStore:
         depths = [r.depth for r in cells.select("depth").distinct().collect()] or [0]
         asked = df.withColumn("_c", F.explode(F.array(*(F.struct(F.lit(d).alias("depth"), _prefix(d).alias("prefix")) for d in depths))))
         asked = asked.select(*df.columns, F.col("_c.depth").alias("depth"), F.col("_c.prefix").alias("prefix"))
-        return asked.join(cells.select("depth", "prefix"), ["depth", "prefix"]) if depths != [0] else asked
+        return asked.join(F.broadcast(cells.select("depth", "prefix")), ["depth", "prefix"]) if depths != [0] else asked
 
     # --- cycles
 
@@ -145,8 +150,7 @@ class SessionStore:
         cells = self.directory(before)
         new = self._write(self._routed(batch.dropDuplicates(["event_id"]), cells), f"batches/{uuid.uuid4().hex}")
         touched = cells.join(new.select("depth", "prefix").distinct(), ["depth", "prefix"])
-        folders = [r.folder for r in touched.select("folder").distinct().collect()]
-        stored = self._cells("events", before, folders, touched)
+        stored = self._cells("events", before, touched)
         fresh = new.drop("depth", "prefix")
         whole = fresh if stored is None else stored.unionByName(insert_absent(stored, fresh, ["event_id"]).select(*stored.columns))
         folder = f"data/{uuid.uuid4().hex}"
@@ -155,15 +159,16 @@ class SessionStore:
         more = F.when((F.col("rows") > self.cell_rows) & (F.col("sessions") > 1), F.ceil(F.log2(F.col("rows") / self.cell_rows))).otherwise(0)
         deeper = sizes.select("depth", "prefix", F.least(F.col("depth") + more, F.lit(BITS)).cast("int").alias("to"))
         placed = self._routed(whole, cells).join(deeper, ["depth", "prefix"])
-        events = self._write(placed.select(*whole.columns, F.concat_ws("-", "to", _prefix(F.col("to"))).alias("cell")), f"{folder}/events", "cell")
-        cell = events.select("session_id", "cell").distinct()
-        made = {"spans": spans(events.drop("cell"), idle_ms, tuple(c for c in KEPT if c in whole.columns))}
+        events = self._write(placed.select(*whole.columns, F.concat_ws("-", "to", _prefix(F.col("to"))).alias("_cell"), F.lit(folder).alias("_folder")), f"{folder}/events", "_cell")
+        cell = events.select("session_id", "_cell").distinct()
+        plain = events.drop("_cell", "_folder")
+        made = {"spans": spans(plain, idle_ms, tuple(c for c in KEPT if c in whole.columns))}
         if prices is not None:
-            made |= {"ledger": cost_ledger(events.drop("cell"), prices), "unpriced": unpriced_ledger(events.drop("cell"), prices)}
+            made |= {"ledger": cost_ledger(plain, prices), "unpriced": unpriced_ledger(plain, prices)}
         for name, df in made.items():
-            self._write(df.join(cell, "session_id").select(*df.columns, "cell"), f"{folder}/{name}", "cell")
-        own = events.groupBy("cell").agg(F.count("*").alias("rows"), F.countDistinct("session_id").alias("sessions"))
-        at = F.split("cell", "-")
+            self._write(df.join(cell, "session_id").select(*df.columns, "_cell", F.lit(folder).alias("_folder")), f"{folder}/{name}", "_cell")
+        own = events.groupBy("_cell").agg(F.count("*").alias("rows"), F.countDistinct("session_id").alias("sessions"))
+        at = F.split("_cell", "-")
         own = own.select(F.get(at, F.lit(0)).cast("int").alias("depth"), F.get(at, F.lit(1)).cast("long").alias("prefix"), "rows", "sessions", F.lit(folder).alias("folder"))
         rest = cells.join(touched.select("depth", "prefix"), ["depth", "prefix"], "left_anti").select(own.columns)
         name = f"directories/{uuid.uuid4().hex}"
@@ -178,8 +183,8 @@ class SessionStore:
 
     def _write(self, df: DataFrame, name: str, by: str = "") -> DataFrame:
         """Write df below the store, in a folder of its own, and read it back."""
-        out = df.repartition(F.col(by)) if by else df  # a file for each cell
-        (out.write.partitionBy(by) if by else out.write).parquet(f"{self.path}/{name}")
+        out = df.repartition(F.col(by)).sortWithinPartitions(by) if by else df  # each cell in one file, as many files as there are tasks
+        out.write.parquet(f"{self.path}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
     def vacuum(self, keep: int = 1) -> int:
