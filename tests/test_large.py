@@ -6,11 +6,14 @@ import hashlib
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import needles, parents
 from tidemark.operators.pricing import history
 from tidemark.operators.rollups import digest
+from tidemark.plans import stream_queries
+from tidemark.plans.queries import QUERIES
 from tidemark.streaming.store import SessionStore
 
 
@@ -86,3 +89,15 @@ def test_a_store_has_no_file_for_each_cell(spark, tmp_path):
     assert store.directory(store.manifest()).count() > 20
     assert all(len(list(t.glob("*.parquet"))) <= 4 for t in tmp_path.glob("store/data/*/*"))  # the session's partitions
     assert sorted(r.event_id for r in store.read("events").collect()) == list(range(300)) and store.read("events", 1).count() == 200
+
+
+@pytest.mark.parametrize("name", ["stream_equals_batch"])
+def test_no_step_of_a_stream_is_one_task(spark, tmp_path, monkeypatch, name):
+    spark.read.parquet("/root/testdata/sf0.001/events.parquet").where("user_id < 6").repartition(4).write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(stream_queries, "work_dir", lambda s, kind: f"file://{tmp_path}/{kind}")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        QUERIES[name](spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list(tmp_path.glob("*/in/*.parquet"))) >= 3 * stream_queries.SLICES

@@ -36,12 +36,11 @@ def stream_equals_batch(spark, d):
     line = F.to_json(F.struct(F.lit("assistant").alias("type"), F.col("event_id").cast("string").alias("uuid"), F.col("thread_id").cast("string").alias("sessionId"), F.date_format(F.timestamp_millis("ts"), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX").alias("timestamp"), message.alias("message")))
     lines = e.select(F.col("thread_id").cast("string").alias("file_path"), (F.col("event_id") + 1).alias("at"), line.alias("value"), slice_of.alias("slice"))
     base = work_dir(spark, "stream")
-    for k in range(SLICES):
-        lines.where(F.col("slice") == k).drop("slice").coalesce(1).write.mode("append").parquet(f"{base}/in")
-    grown = spark.readStream.schema("file_path string, at long, value string").option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    grown = lambda: spark.readStream.schema("file_path string, at long, value string").parquet(f"{base}/in")
     write = lambda df, n: message_events(df).write.mode("overwrite").parquet(f"{base}/out/batch={n}")  # noqa: E731  a batch that runs again replaces its own
-    q = message_lines(grown, timers=False).writeStream.foreachBatch(write).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
+    for k in range(SLICES):  # the stream goes on from its checkpoint
+        lines.where(F.col("slice") == k).drop("slice").write.mode("append").parquet(f"{base}/in")
+        message_lines(grown(), timers=False).writeStream.foreachBatch(write).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{base}/out").select("native_event_id", "session_id", "ts", "input_tokens", "output_tokens")
 
 
