@@ -91,7 +91,7 @@ def test_a_store_has_no_file_for_each_cell(spark, tmp_path):
     assert sorted(r.event_id for r in store.read("events").collect()) == list(range(300)) and store.read("events", 1).count() == 200
 
 
-@pytest.mark.parametrize("name", ["stream_equals_batch"])
+@pytest.mark.parametrize("name", ["stream_equals_batch", "open_spans_equal_batch"])
 def test_no_step_of_a_stream_is_one_task(spark, tmp_path, monkeypatch, name):
     spark.read.parquet("/root/testdata/sf0.001/events.parquet").where("user_id < 6").repartition(4).write.parquet(f"{tmp_path}/events.parquet")
     monkeypatch.setattr(stream_queries, "work_dir", lambda s, kind: f"file://{tmp_path}/{kind}")

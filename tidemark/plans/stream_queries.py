@@ -61,12 +61,11 @@ def open_spans_equal_batch(spark, d):
     low, high = e.agg(F.min("ts"), F.max("ts")).first()
     base, step = work_dir(spark, "spans"), (high - low) // SLICES + 1
     end = spark.createDataFrame([(-1, -1, -1, False, high + 100 * IDLE_MS, "system")], e.schema)  # of a thread of its own
-    for k in range(SLICES + 1):
-        part = e.where(F.floor((F.col("ts") - low) / step) == k).orderBy(F.xxhash64("event_id")) if k < SLICES else end
-        part.coalesce(1).write.mode("append").parquet(f"{base}/in")
-    grown = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
-    q = stream_spans(grown, "1 hour", IDLE_MS).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
+    for k in range(SLICES + 1):  # the stream goes on from its checkpoint
+        part = e.where(F.floor((F.col("ts") - low) / step) == k).repartition(F.xxhash64("event_id")).sortWithinPartitions(F.xxhash64("event_id")) if k < SLICES else end
+        part.write.mode("append").parquet(f"{base}/in")
+        grown = spark.readStream.schema(e.schema).parquet(f"{base}/in")
+        stream_spans(grown, "1 hour", IDLE_MS).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{base}/out").select("span_id", F.col("thread_id").cast("long").alias("thread_id"), F.col("session_id").cast("long").alias("session_id"), "span_no", "started_at", "ended_at", "event_count", "attended")
 
 
