@@ -8,13 +8,14 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from tidemark.llm.common import shared_dir
 from tidemark.llm.packing import pack, plan, token_pieces
 from tidemark.llm.token_files import read_tokens, write_tokens
-from tidemark.llm.tokens import encoder, tokenizer_path
+from tidemark.llm.tokens import Encoder, encoder, together, tokenizer_path
 
 
 @functools.cache
@@ -34,6 +35,23 @@ def test_words_are_encoded_as_in_the_whole_text(name, texts):
         assert np.frombuffer(own.encode(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text[:80]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_texts_together_are_encoded_as_each_whole(name, texts):
+    more = ["a  b", "a\nb", "a \nb", "\n", " a", "x ", "it's we'll a.b,c 12 345 é ñ", "tab\tx", "A<|x B", "a<", "|b", "x.'s y'.s,re d!ll? A;B:C.", "", "\xa0q", "café. CAFÉ, É", "x\xadx", "\x7f", "\x85a", "漢字 a. b", "İ. x", "¼ ² ª º ß µ", "A.\nB,\n.c"]
+    own, whole = Encoder(tokenizer_path(name)), Tokenizer.from_file(tokenizer_path(name))
+    every = [*(t or "" for _, t in texts), *more]
+    want = [whole.encode(t, add_special_tokens=False).ids for t in every]
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode_all(pa.array(every))] == want
+    assert [np.frombuffer(own.encode_all(pa.array([t]))[0], "<u4").tolist() for t in every] == want and own.encode_all(pa.array([], pa.string())) == []
+    assert [x for a, b in together([3, 9, 1, 1, 1], 3) for x in range(a, b)] == [*range(5)] and together([3, 9, 1, 1, 1], 3) == [(0, 1), (1, 2), (2, 5)]
+
+
+def test_words_before_marks_are_encoded_once():
+    own = Encoder(tokenizer_path("word_bpe_49k.json"))
+    own.encode_all(pa.array([f"zephyr{end} Zephyr{end} zephyr" for end in ".,;:!?"] * 50))
+    assert len(own.pieces) == 8 and not own.spaced  # the word with and without a space, and the marks
+
+
 def test_token_files(spark, docs, texts, no_docs):
     path = tokenizer_path("byte_bpe_50k.json")
     folder = shared_dir(spark, "tokens")

@@ -38,8 +38,8 @@ def _pieces(path: str, capacity: int, end_id: int):
         enc, end = encoder(path), np.array([end_id], "<u4").tobytes()
         for batch in slices(batches):
             docs, piece, start, length, crc = [], [], [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = enc.encode(text) + end
+            for doc, ids in zip(batch.column(0).to_pylist(), enc.encode_all(batch.column(1))):
+                ids += end
                 for i, a in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[a : a + 4 * capacity]
                     docs.append(doc), piece.append(i), start.append(a // 4), length.append(len(part) // 4), crc.append(zlib.crc32(part))

@@ -40,8 +40,8 @@ def _write(folder: str, path: str, end_id: int):
         with files.open_output_stream(f"{root}/{part}.ids") as out:
             for batch in slices(batches):
                 own = np.zeros(batch.num_rows, np.int64)
-                for i, text in enumerate(batch.column(1).to_pylist()):
-                    ids = np.frombuffer(enc.encode(text), "<u4").astype(dtype)
+                for i, text_ids in enumerate(enc.encode_all(batch.column(1))):
+                    ids = np.frombuffer(text_ids, "<u4").astype(dtype)
                     out.write(ids.tobytes() + end)
                     own[i] = len(ids) + 1
                 lengths.append(own)
