@@ -99,6 +99,35 @@ def test_tokens_are_cut_at_the_starts_and_hashed_by_their_ids():
     assert lm_score._words(np.zeros(0, np.int64), np.zeros(0, np.int64), ranks)[2].tolist() == []
 
 
+def test_pieces_of_words_are_spelled_as_the_words(texts):
+    own = [(t or "").encode() for _, t in texts] + [b"", b" \t\x0b a.b,c  x.'s y'.S! ", "ÉA.b e\u0301.x İ a\u3000.b \u0130".encode(), b"\xff. a\xc3.b", b"zephyr. zephyr, Zephyr; zephyr"]
+    table = lm_score._Ids(PATH)
+    flat, at = lm_score._spelled(own, table)
+    encode = table.tokenizer.encode_ordinary
+    want = [[i for w in t.lower().split() for i in encode(" " + w.decode("utf-8", "replace"))] for t in own]
+    assert [flat[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == want
+    assert [w for w in table.pieces if w.startswith(b" zephyr") and not w[7:].isalnum()] == [b" zephyr"]
+
+
+def test_inputs_sum_all_ids_of_a_token():
+    size = np.array([1, 40, 2, 16, 17, 3, 1, 15])
+    ids = np.random.default_rng(1).integers(0, 99, size.sum())
+    t = lm_model.Tokens(ids, np.cumsum(size) - size, *(np.zeros(len(size)),) * 3)
+    e = np.random.default_rng(2).standard_normal((99, lm_model.DIM)).astype(np.float32)
+    at = np.array([3, 3, 1, 0, 7, 4, 2, 6, 5, 1])
+    assert np.allclose(lm_model._inputs({"E": e}, t, at), [e[ids[t.first[i] : t.first[i] + size[i]]].sum(0) for i in at], atol=1e-4)
+
+
+def test_places_of_words_are_found_in_slots():
+    rng = np.random.default_rng(4)
+    words = np.unique(np.concatenate([rng.integers(0, 1 << 63, 500, dtype=np.uint64), np.arange(300, dtype=np.uint64) << np.uint64(40)]))  # the latter share one slot
+    known = lm_score.Vocabulary(words, np.ones(len(words)), 0.0, np.zeros(8), np.arange(8))
+    asked = np.concatenate([rng.permutation(words), words + np.uint64(1), np.array([(1 << 64) - 1], np.uint64)])
+    assert known.at(asked).tolist() == [int(np.searchsorted(words, x)) if x in set(words.tolist()) else len(words) for x in asked.tolist()]
+    none = lm_score.Vocabulary(np.zeros(0, np.uint64), np.zeros(0), 0.0, np.zeros(8), np.arange(8))
+    assert none.at(asked).tolist() == [0] * len(asked)
+
+
 def test_attention_helps_on_held_out_text(spark):
     """The same model trained with and without attention (V held at 0), over the documents of the smallest tables."""
     docs = [(r.doc_id, r.text or "") for r in read(spark, "/root/testdata/sf0.01", "documents").collect()]

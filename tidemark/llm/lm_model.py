@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from tidemark.llm.tokens import spans
+
 DIM, WINDOW, STRIDE = 16, 32, 24
 #: Classes, the last of which is for spelled tokens (among ids: is empty), and cells of a class.
 CLASSES, CELLS = 64, 32
@@ -63,11 +65,6 @@ def windows(lengths: np.ndarray, stride: int) -> tuple[np.ndarray, np.ndarray, n
     return first, text, context, np.minimum(lengths[text] - step, WINDOW) - context
 
 
-def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The numbers of all ranges (start, size), end to end."""
-    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
-
-
 class Tokens:
     """Texts laid end to end as tokens, each text with an end before it: ids of all tokens, first id and number of ids of each, its class (SPELLED or the
     vocabulary's), cell and log share."""
@@ -80,11 +77,28 @@ class Tokens:
 _MASK = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
 
 
-def _inputs(m: dict[str, np.ndarray], t: Tokens, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sum of the ids' vectors of the tokens at `at`, those ids, and where each token's begin."""
-    size = t.size[at]
-    ids, cut = t.ids[spans(t.first[at], size)], np.cumsum(size) - size
-    return np.add.reduceat(m["E"][ids], cut), ids, cut
+#: Ids of a token that are added one place after the other, for all tokens at once; longer ones are summed by themselves.
+_PLACES = 16
+
+
+def _inputs(m: dict[str, np.ndarray], t: Tokens, at: np.ndarray) -> np.ndarray:
+    """Sum of the ids' vectors of the tokens at `at`."""
+    first, size = t.first[at], t.size[at]
+    order = np.argsort(_PLACES - np.minimum(size, _PLACES).astype(np.uint8), kind="stable")  # tokens of more ids first
+    first, more = first[order], len(at) - np.cumsum(np.bincount(np.minimum(size, _PLACES), minlength=_PLACES + 1))
+    x = m["E"].take(t.ids.take(first), 0)
+    for k in range(1, _PLACES):
+        n = more[k]
+        if not n:
+            break
+        x[:n] += m["E"].take(t.ids.take(first[:n] + k), 0)
+    out = np.empty_like(x)
+    out[order] = x
+    longer = np.flatnonzero(size > _PLACES)
+    if len(longer):
+        own = size[longer]
+        out[longer] = np.add.reduceat(m["E"].take(t.ids.take(spans(t.first[at[longer]], own)), 0), np.cumsum(own) - own)
+    return out
 
 
 def forward(m: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -101,50 +115,53 @@ def forward(m: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, ...]:
     return q, k, v, a, np.tanh(h, out=h)
 
 
-def _exp(z: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(exp of each row, in place, its sums, ln p of the column `at`)."""
-    np.minimum(z, 60, out=z)
-    own = z[np.arange(len(z)), at]
+def _exp(z: np.ndarray, at: np.ndarray, steep: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(exp of each row, in place, its sums, ln p of the column `at`). steep: whether a value may be above 60."""
+    if steep:
+        np.minimum(z, 60, out=z)
+    own = z.ravel().take(np.arange(len(z)) * z.shape[1] + at)
     np.exp(z, out=z)
     total = z @ np.ones(z.shape[1], np.float32)
     return z, total, own - np.log(total)
 
 
 class _Choice:
-    """One two-level prediction for rows of h: classes by (A, a), cells by (B, b); rows of the class SPELLED have no cell."""
+    """One two-level prediction for rows of h, which lie from -1 to 1: classes by (A, a), cells by (B, b); rows of the class SPELLED have no cell."""
 
     def __init__(self, m: dict[str, np.ndarray], names: str, h: np.ndarray, cls: np.ndarray, cell: np.ndarray):
-        self.m, self.names, self.h, self.cls = m, names, h, cls
+        self.names, self.cls = names, cls
         A, a, B, b = (m[n] for n in names)
-        z = h @ A
-        z += a
-        self.p, self.total, self.logs = _exp(z, cls)
-        self.order = np.argsort(cls, kind="stable")
-        edges = np.searchsorted(cls[self.order], np.arange(CLASSES + 1))
-        self.order = self.order[: edges[SPELLED]]
-        self.parts = [(c, edges[c], edges[c + 1]) for c in range(SPELLED) if edges[c] < edges[c + 1]]
-        self.hs, self.cell = h[self.order], cell[self.order]
-        z = np.empty((len(self.order), CELLS), np.float32)
+        self.A, self.B = np.concatenate([A, a[None]]), np.concatenate([B, b[:, None]], 1)  # with the biases as the weights of a last input, 1
+        self.h = np.ones((len(h), DIM + 1), np.float32)
+        self.h[:, :DIM] = h
+        self.p, self.total, self.logs = _exp(self.h @ self.A, cls, np.abs(self.A).sum(0).max() > 60)
+        self.order = np.argsort(cls.astype(np.uint8), kind="stable")
+        edges = np.append(0, np.cumsum(np.bincount(cls, minlength=CLASSES)))
+        self.n = edges[SPELLED]
+        order = self.order[: self.n]
+        self.parts = [(c, s, e) for c, (s, e) in enumerate(zip(edges[:SPELLED].tolist(), edges[1 : SPELLED + 1].tolist())) if s < e]
+        self.hs, self.cell = self.h.take(order, 0), cell[order]
+        z = np.empty((len(order), CELLS), np.float32)
         for c, s, e in self.parts:
-            np.dot(self.hs[s:e], B[c], out=z[s:e])
-            z[s:e] += b[c]
-        self.p2, self.total2, logs = _exp(z, self.cell)
-        self.logs[self.order] += logs
+            np.dot(self.hs[s:e], self.B[c], out=z[s:e])
+        self.p2, self.total2, logs = _exp(z, self.cell, np.abs(self.B).sum(1).max() > 60)
+        self.logs[order] += logs
 
     def back(self) -> tuple[np.ndarray, dict[str, np.ndarray]]:
         """Gradients of -ln p by h and by the weights."""
-        A, _, B, _ = (self.m[n] for n in self.names)
         self.p /= self.total[:, None]
         self.p2 /= self.total2[:, None]
-        self.p[np.arange(len(self.p)), self.cls] -= 1
-        self.p2[np.arange(len(self.p2)), self.cell] -= 1
-        dh, own, gB, gb = self.p @ A.T, np.empty_like(self.hs), np.zeros_like(B), np.zeros((CLASSES, CELLS), np.float32)
+        self.p.ravel()[np.arange(len(self.p)) * CLASSES + self.cls] -= 1
+        self.p2.ravel()[np.arange(len(self.p2)) * CELLS + self.cell] -= 1
+        own, gB = np.zeros((len(self.h), DIM), np.float32), np.zeros_like(self.B)
         for c, s, e in self.parts:
-            np.dot(self.p2[s:e], B[c].T, out=own[s:e])
+            np.dot(self.p2[s:e], self.B[c, :DIM].T, out=own[s:e])
             np.dot(self.hs[s:e].T, self.p2[s:e], out=gB[c])
-            gb[c] = self.p2[s:e].sum(0)
-        dh[self.order] += own
-        return dh, dict(zip(self.names, (self.h.T @ self.p, self.p.sum(0), gB, gb)))
+        place = np.empty(len(self.order), np.int64)
+        place[self.order] = np.arange(len(place))
+        dh, gA = own.take(place, 0), self.h.T @ self.p
+        dh += self.p @ self.A[:DIM].T
+        return dh, dict(zip(self.names, (gA[:DIM], gA[DIM], gB[:, :DIM], gB[:, DIM])))
 
 
 def _spelling(t: Tokens, ids: Cells, rare: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
@@ -168,14 +185,15 @@ def score(m: dict[str, np.ndarray], ids: Cells, t: Tokens, lengths: np.ndarray,
     first, text, context, scored = windows(lengths, STRIDE)
     logs, spells = np.empty(int(lengths.sum()), np.float32), np.zeros(int(lengths.sum()), np.float32)
     slots, n = np.arange(WINDOW), len(t.first)
+    inputs = _inputs(m, t, np.arange(n))
     for i in range(0, len(first), batch):
         w = slice(i, i + batch)
         at = np.minimum(first[w][:, None] + slots, n - 1)
-        x = _inputs(m, t, at.ravel())[0].reshape(*at.shape, DIM)
+        x = inputs.take(at.ravel(), 0).reshape(*at.shape, DIM)
         x += m["P"]
         h = forward(m, x)[-1]
-        live = (slots >= context[w][:, None]) & (slots < (context[w] + scored[w])[:, None])
-        place, h = at[live], h[live]
+        live = np.flatnonzero((slots >= context[w][:, None]) & (slots < (context[w] + scored[w])[:, None]))
+        place, h = at.ravel().take(live), h.reshape(-1, DIM).take(live, 0)
         target = place + 1
         own = _Choice(m, "AaBb", h, t.cls[target], t.cell[target]).logs + t.share[target]
         into = place - np.repeat(text[w], scored[w])
@@ -183,17 +201,17 @@ def score(m: dict[str, np.ndarray], ids: Cells, t: Tokens, lengths: np.ndarray,
         rare = np.flatnonzero(t.cls[target] == SPELLED)
         if len(rare):
             row, before, cls, cell, share = _spelling(t, ids, target[rare], size)
-            g = np.tanh(h[rare][row] + m["S"][before])
+            g = np.tanh(h.take(rare[row], 0) + m["S"].take(before, 0))
             spells[into[rare]] = np.bincount(row, _Choice(m, "CcDd", g, cls, cell).logs + share, len(rare))
     return logs, spells
 
 
 def _add_rows(w: np.ndarray, s: np.ndarray, rows: np.ndarray, grads: np.ndarray, rate: float) -> None:
     """One Adagrad step of the rows (which may repeat) of w; s has each row's sum of mean squared gradients."""
-    order = np.argsort(rows, kind="stable")
+    order = np.argsort(rows.astype(np.uint16) if len(w) <= 1 << 16 else rows, kind="stable")  # short numbers are sorted by their digits
     rows = rows[order]
     cut = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-    g, own = np.add.reduceat(grads[order], cut), rows[cut]
+    g, own = np.add.reduceat(grads.take(order, 0), cut), rows[cut]
     s[own] += (g * g) @ np.full(g.shape[1], 1 / g.shape[1], np.float32)
     w[own] -= g * (np.float32(rate) / np.sqrt(s[own] + np.float32(1e-8)))[:, None]
 
@@ -209,17 +227,17 @@ def train(state: dict, ids: Cells, t: Tokens, lengths: np.ndarray, rate: float =
     for i in range(0, len(order), batch):
         w = order[i : i + batch]
         at = np.minimum(first[w][:, None] + slots, n - 1)
-        x, own_ids, cut = _inputs(m, t, at.ravel())
-        x = x.reshape(*at.shape, DIM)
+        x = _inputs(m, t, at.ravel()).reshape(*at.shape, DIM)
         x += m["P"]
         q, k, v, a, h = forward(m, x)
-        live = slots < scored[w][:, None]
-        own, target = h[live], at[live] + 1
+        live = np.flatnonzero(slots < scored[w][:, None])  # slots behind a text's end take no part
+        here = at.ravel().take(live)
+        own, target = h.reshape(-1, DIM).take(live, 0), here + 1
         dh, grads = _Choice(m, "AaBb", own, t.cls[target], t.cell[target]).back()
         rare = np.flatnonzero(t.cls[target] == SPELLED)
         if len(rare):
             row, before, cls, cell, _ = _spelling(t, ids, target[rare], size)
-            g = np.tanh(own[rare][row] + m["S"][before])
+            g = np.tanh(own.take(rare[row], 0) + m["S"].take(before, 0))
             dg, more = _Choice(m, "CcDd", g, cls, cell).back()
             dg *= 1 - g * g
             dh[rare] += np.add.reduceat(dg, np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])))
@@ -227,7 +245,7 @@ def train(state: dict, ids: Cells, t: Tokens, lengths: np.ndarray, rate: float =
             if "S" not in still:
                 _add_rows(m["S"], s["S"], before, dg, rate)
         back = np.zeros_like(h)
-        back[live] = dh * (1 - own * own)
+        back.reshape(-1, DIM)[live] = dh * (1 - own * own)
         da = np.matmul(back, v.transpose(0, 2, 1))
         dv = np.matmul(a.transpose(0, 2, 1), back)
         da *= a
@@ -241,9 +259,7 @@ def train(state: dict, ids: Cells, t: Tokens, lengths: np.ndarray, rate: float =
                 s[name] += grad * grad
                 m[name] -= np.float32(rate) * grad / np.sqrt(s[name] + np.float32(1e-8))
         if "E" not in still:
-            counts = t.size[at.ravel()] * live.ravel()  # slots behind a text's end take no part
-            keep = np.repeat(live.ravel(), t.size[at.ravel()])
-            _add_rows(m["E"], s["E"], own_ids[keep], np.repeat(dx, counts, axis=0), rate)
+            _add_rows(m["E"], s["E"], t.ids[spans(t.first[here], t.size[here])], dx.take(np.repeat(live, t.size[here]), 0), rate)
     return m
 
 

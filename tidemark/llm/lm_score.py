@@ -20,6 +20,7 @@ is scored, not learned from, and has a null held_out; without training rows ever
 from __future__ import annotations
 
 import math
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import lm_model
 from tidemark.llm.common import id_text, partitions, pieces, read, slices, staged
 from tidemark.llm.quality import fold
-from tidemark.llm.tokens import tokenizer_path
+from tidemark.llm.tokens import cuts, laid_out, together, tokenizer_path
 from tidemark.llm.words import Kept, mix
 
 SHARE, ROUNDS, TOP, LEAST = 0.02, 3, 1 << 17, 3
@@ -43,7 +44,19 @@ BLOCK, SALTS = 1 << 14, 16
 KEPT_WORDS = 250_000
 
 
-class _Ids(Kept):
+class _Pieces(Kept):
+    """A space and a word, or a piece of it (bytes) -> its ids, as unsigned 32-bit little-endian bytes; a space alone has none."""
+
+    def __init__(self, tokenizer):
+        super().__init__(KEPT_WORDS)
+        self.tokenizer = tokenizer
+
+    def make(self, word: bytes) -> bytes:
+        ids = self.tokenizer.encode_ordinary(word.decode("utf-8", "replace")) if word != b" " else []
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+
+class _Ids:
     """word (bytes) -> ids of the word after a space, as unsigned 32-bit little-endian bytes. The last id, which no text gives, is the end."""
 
     def __init__(self, path: str):
@@ -52,14 +65,13 @@ class _Ids(Kept):
         import public_tokenizers
         import tiktoken
 
-        super().__init__(KEPT_WORDS)
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
         self.tokenizer = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=self.ranks, special_tokens={})
-        self.size = len(self.ranks) + 1
+        self.size, self.pieces = len(self.ranks) + 1, _Pieces(self.tokenizer)
 
-    def make(self, word: bytes) -> bytes:
-        return np.array(self.tokenizer.encode_ordinary(" " + word.decode("utf-8", "replace")), "<u4").tobytes()
+    def __getitem__(self, word: bytes) -> bytes:
+        return self.pieces[b" " + word]
 
     def spellings(self) -> list[bytes]:
         out = [b""] * self.size
@@ -98,6 +110,13 @@ class Vocabulary:
         """words: hashes (uint64), n: their counts; rest: training tokens that are not among them; of_ids: counts of the ids; order: of the ids."""
         by = np.argsort(words)
         self.words, self.n = words[by], n[by].astype(np.float64)
+        self.table = np.full(1 << max(4, (4 * len(by)).bit_length()), -1, np.int32)
+        slot, left = self._slot(self.words), np.arange(len(by))
+        while len(left):
+            free = left[self.table[slot[left]] < 0]
+            self.table[slot[free]] = free
+            left = left[self.table[slot[left]] != left]
+            slot[left] = (slot[left] + 1) & (len(self.table) - 1)
         whole = self.n >= LEAST
         self.rare = spelled = float(rest + self.n[~whole].sum())
         self.cells = lm_model.Cells(self.n[whole], spelled)
@@ -112,10 +131,20 @@ class Vocabulary:
 
     def at(self, hashes: np.ndarray) -> np.ndarray:
         """Place of each hash among the words; len(words) for others."""
-        if not len(self.words):
-            return np.zeros(len(hashes), np.int64)
-        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        return np.where(self.words[at] == hashes, at, len(self.words))
+        out, slot = np.full(len(hashes), len(self.words)), self._slot(hashes)
+        found = self.table.take(slot)
+        left = np.flatnonzero(found >= 0)
+        while len(left):  # slots are tried one after the other up to an empty one
+            same = self.words.take(found[left]) == hashes[left]
+            out[left[same]] = found[left[same]]
+            left = left[~same]
+            slot[left] = (slot[left] + 1) & (len(self.table) - 1)
+            found[left] = self.table.take(slot[left])
+            left = left[found[left] >= 0]
+        return out
+
+    def _slot(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes & np.uint64(len(self.table) - 1)).astype(np.int64)
 
     def tokens(self, flat: np.ndarray, first: np.ndarray, at: np.ndarray) -> lm_model.Tokens:
         return lm_model.Tokens(flat, first, self.cls[at], self.cell[at], self.share[at])
@@ -128,6 +157,17 @@ def _width(size: int) -> str:
     return "<u2" if size <= 1 << 16 else "<u4"
 
 
+#: A-Z lower-cased, white space of the contract as a space.
+_FOLDED = bytes.maketrans(b"\t\n\r\x0b\x0c", b" " * 5)
+
+
+def _spelled(texts: list[bytes], table: _Ids) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all words, each after a space, end to end; place of each text's first id, and the end). The pieces of words that `cuts` finds are spelled once."""
+    data = np.frombuffer(b" ".join([b"", *texts]).lower().translate(_FOLDED), np.uint8)
+    edges = np.append(0, np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1))
+    return laid_out(data, np.flatnonzero(cuts(data)), edges, table.pieces.__getitem__)
+
+
 def _speller(path: str):
     """A row number, doc_id, held_out and the ids (with an end before and after) of each text."""
 
@@ -136,10 +176,11 @@ def _speller(path: str):
         kind = _width(table.size)
         end = np.array([table.size - 1], kind).tobytes()
         for part in slices(batches):
-            ids = []
-            for text in part.column(2).cast(pa.large_binary()).to_pylist():
-                spelled = b"".join(map(table.__getitem__, text.lower().split()))
-                ids.append(end + np.frombuffer(spelled, "<u4").astype(kind).tobytes() + end)
+            texts, ids = part.column(2).cast(pa.large_binary()).to_pylist(), []
+            for a, b in together(list(map(len, texts))):
+                flat, at = _spelled(texts[a:b], table)
+                every, at = flat.astype(kind).tobytes(), (at * int(kind[-1])).tolist()
+                ids.extend(end + every[s:e] + end for s, e in zip(at[:-1], at[1:]))
             yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(len(ids))), *part.columns[:2], pa.array(ids, pa.binary())], ["row", "doc_id", "held_out", "ids"])
             row += len(ids)
 
@@ -160,7 +201,8 @@ def _words(flat: np.ndarray, n: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarr
         return first, np.zeros(0, np.uint64), np.zeros(len(n), np.int64)
     place = np.arange(len(flat)) - np.repeat(first, np.diff(np.append(first, len(flat))))
     with np.errstate(over="ignore"):
-        each = mix(flat.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + mix(place.astype(np.uint64) + np.uint64(77)))
+        of_place = mix(np.arange(int(place.max()) + 1, dtype=np.uint64) + np.uint64(77))
+        each = mix(flat.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + of_place[place])
         hashes = mix(np.add.reduceat(each, first))
     hashes = ranks[flat[first]].astype(np.uint64) << np.uint64(48) | hashes >> np.uint64(16)
     return first, hashes, np.diff(np.searchsorted(first, np.concatenate([[0], np.cumsum(n)])))
@@ -314,6 +356,7 @@ def score_texts(docs: DataFrame, tokenizer: str, share: float = SHARE) -> DataFr
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, vocabulary, ranks = held.value
         of_word = np.append(vocabulary.n, 0.0)
+        base_of_word = np.where(of_word == 0, 0.0, np.log10(of_word + 1) - base_of)
 
         def part(rows: pa.RecordBatch) -> pa.RecordBatch:
             flat, n = _laid(rows.column(3).to_pylist(), kind)
@@ -324,10 +367,12 @@ def score_texts(docs: DataFrame, tokenizer: str, share: float = SHARE) -> DataFr
             logs, spells = lm_model.score(model, vocabulary.ids, tokens, each)
             keep = np.ones(len(at), bool)
             keep[np.cumsum(each + 1) - each - 1] = False
-            c, hashes = of_word[at[keep]], hashes[keep]
+            keep = np.flatnonzero(keep)
+            at, hashes = at.take(keep), hashes.take(keep)
+            c, base = of_word.take(at), base_of_word.take(at)
             rare, doc = c == 0, np.repeat(np.arange(len(n)), each)
-            base = np.where(rare, 0.0, np.log10(c + 1) - base_of)
-            p = np.exp(logs.astype(float)) * np.where(tokens.cls[keep] == lm_model.SPELLED, seen * c / of_rare + (1 - seen) * np.exp(spells.astype(float)), 1.0)
+            p, spelled = np.exp(logs.astype(float)), np.flatnonzero(tokens.cls.take(keep) == lm_model.SPELLED)
+            p[spelled] *= seen * c[spelled] / of_rare + (1 - seen) * np.exp(spells[spelled].astype(float))
             mixed = np.where(rare, 0.0, np.log10(np.maximum(share * c / max(total, 1) + (1 - share) * p, 1e-300)))
             edges = np.concatenate([[0], np.cumsum(np.bincount(doc[rare], minlength=len(n)))]).astype(np.int32)
             sums = [pa.array(each), pa.array(np.bincount(doc[~rare], minlength=len(n))), pa.array(np.bincount(doc, base, len(n))), pa.array(np.bincount(doc, mixed, len(n)))]
