@@ -128,6 +128,80 @@ def test_places_of_words_are_found_in_slots():
     assert none.at(asked).tolist() == [0] * len(asked)
 
 
+def test_new_pieces_are_spelled_in_one_call(texts):
+    table, calls = lm_score._Ids(PATH), []
+
+    class Counting:
+        encode_ordinary = table.tokenizer.encode_ordinary
+
+        def encode_to_numpy(self, text):
+            calls.append(text)
+            return table.tokenizer.encode_to_numpy(text)
+
+    table.pieces.tokenizer = Counting()
+    usual = sorted({b" " + w for _, t in texts for w in (t or "").lower().encode().split()})
+    odd = [b" ", b".", b" x\xc3", b" a\xe3\x80\x80", b" \xe3\x80\x80b", b" \xc2\xa0", b" " + b"long" * 40, b" <|endoftext|>", b" don't"]
+    for words in (usual, usual + odd, odd, []):
+        got = table.pieces.all(words)
+        want = [table.tokenizer.encode_ordinary(w.decode("utf-8", "replace")) if w != b" " else [] for w in words]
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == want
+    assert len(calls) <= 3
+    table.pieces.forget()
+    assert not table.pieces and not table.pieces.older
+
+
+def test_the_most_frequent_words_are_cut_at_a_count(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(lm_score, "TOP", 5)
+    of = lambda n, words: lm_score._frequent(pa.table({"n": pa.array(n, pa.int64()), "words": pa.array(words, pa.int64())}))
+    assert of([1, 7, 3], [10, 2, 3]) == (33, 15, 10, 3)
+    assert of([1, 7, 3], [10, 2, 4]) == (36, 16, 10, 7)
+    assert of([2], [9]) == (18, 9, 0, 3)
+    assert of([2, 1], [2, 3]) == (7, 5, 3, 1)
+    assert of([], [])[:3] == (0, 0, 0)
+
+
+def test_runs_are_summed():
+    rng = np.random.default_rng(5)
+    size = np.array([1, 40, 2, 16, 17, 3, 1, 15])
+    grads, cut = rng.standard_normal((size.sum(), 16)).astype(np.float32), np.cumsum(size) - size
+    assert np.allclose(lm_model._sums(grads, cut), np.add.reduceat(grads, cut), atol=1e-5)
+
+
+def test_classes_are_scored_as_they_are_trained():
+    rng = np.random.default_rng(6)
+    shapes = {"A": (16, 64), "a": (64,), "B": (64, 16, 32), "b": (64, 32)}
+    h, cls, cell = np.tanh(rng.standard_normal((5000, 16))).astype(np.float32), rng.integers(0, 64, 5000), rng.integers(0, 32, 5000)
+    cls[:1500] = 7  # more rows than are predicted together
+    for scale in (0.3, 9.0):
+        m = {k: (rng.standard_normal(s) * scale).astype(np.float32) for k, s in shapes.items()}
+        assert np.allclose(lm_model._logs(m, "AaBb", h, cls, cell), lm_model._Choice(m, "AaBb", h, cls, cell).logs, atol=1e-3)
+
+
+def test_steps_grow_after_the_first_ids(monkeypatch):
+    ids = [np.array(spelled_ids("amber basin cedar delta " * 400))] * 4
+    vocabulary, ranks = vocabulary_of(ids), lm_score.ranks_of(PATH)
+    flat, n = np.concatenate(ids), np.array([len(x) for x in ids])
+    first, hashes, each = lm_score._words(flat, n, ranks)
+    state, steps, real = lm_model.begin(vocabulary.init(len(ranks))), [], lm_model.forward
+    monkeypatch.setattr(lm_model, "forward", lambda m, x: steps.append(len(x)) or real(m, x))
+    for start in (0, lm_model.EARLY):
+        state["n"] = start
+        lm_model.train(state, vocabulary.ids, vocabulary.tokens(flat, first, vocabulary.at(hashes)), each - 1)
+        assert state["n"] == start + len(flat)
+    assert max(steps) > 128 and steps[0] == 128 and sum(steps) == 2 * int(np.ceil((each - 1) / lm_model.WINDOW).sum())
+
+
+def test_tasks_send_what_changed(spark):
+    texts = [np.array(spelled_ids("amber basin " * 50)) for _ in range(20)]
+    vocabulary, ranks = vocabulary_of(texts), lm_score.ranks_of(PATH)
+    held = spark.sparkContext.broadcast((lm_model.begin(vocabulary.init(len(ranks))), vocabulary, ranks))
+    df = spark.createDataFrame([(x.astype("<u2").tobytes(),) for x in texts], "ids binary").coalesce(1)
+    sent = np.concatenate([np.frombuffer(r.w, "<f4") for r in df.mapInArrow(lm_score._learner(held, "<u2"), "block int, salt int, n long, w binary").orderBy("block").collect()])
+    assert len(sent) == len(lm_score._flat(held.value[0])) and 0 < np.count_nonzero(sent) < len(sent) / 10
+
+
 def test_attention_helps_on_held_out_text(spark):
     """The same model trained with and without attention (V held at 0), over the documents of the smallest tables."""
     docs = [(r.doc_id, r.text or "") for r in read(spark, "/root/testdata/sf0.01", "documents").collect()]

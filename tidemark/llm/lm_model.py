@@ -18,6 +18,8 @@ from tidemark.llm.tokens import spans
 DIM, WINDOW, STRIDE = 16, 32, 24
 #: Classes, the last of which is for spelled tokens (among ids: is empty), and cells of a class.
 CLASSES, CELLS = 64, 32
+#: Windows of a training step, at first and after EARLY ids.
+BATCHES, EARLY = (128, 512), 2_000_000
 SPELLED = CLASSES - 1
 
 
@@ -164,6 +166,42 @@ class _Choice:
         return dh, dict(zip(self.names, (gA[:DIM], gA[DIM], gB[:, :DIM], gB[:, DIM])))
 
 
+#: Rows of a class that are predicted together in scoring; columns of a product that are its classes and its cells.
+_ROWS = 1024
+_BOTH = np.repeat(np.eye(2, dtype=np.float32), [CLASSES, CELLS], 0)
+
+
+def _logs(m: dict[str, np.ndarray], names: str, h: np.ndarray, cls: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    """ln p of each row's class and cell (see _Choice), class by class, each with one product for its classes and cells."""
+    A, a, B, b = (m[n] for n in names)
+    both = np.empty((CLASSES, DIM + 1, CLASSES + CELLS), np.float32)
+    both[:, :DIM, :CLASSES], both[:, DIM, :CLASSES], both[:, :DIM, CLASSES:], both[:, DIM, CLASSES:] = A, a, B, b
+    steep = np.abs(both).sum(1).max() > 60
+    order = np.argsort(cls.astype(np.uint8), kind="stable")
+    edges = np.append(0, np.cumsum(np.bincount(cls, minlength=CLASSES))).tolist()
+    own, cell = np.empty(len(h), np.float32), cell.take(order)
+    x = np.ones((len(h), DIM + 1), np.float32)
+    x[:, :DIM] = h.take(order, 0)
+    place, space = np.arange(_ROWS) * (CLASSES + CELLS) + CLASSES, np.empty((_ROWS, CLASSES + CELLS), np.float32)
+    for c in range(CLASSES):
+        for s in range(edges[c], edges[c + 1], _ROWS):
+            e = min(s + _ROWS, edges[c + 1])
+            z = np.dot(x[s:e], both[c], out=space[: e - s])
+            if steep:
+                np.minimum(z, 60, out=z)
+            got = z[:, c].copy()
+            if c != SPELLED:
+                got += z.ravel().take(place[: e - s] + cell[s:e])
+            np.exp(z, out=z)
+            total = np.log(z @ _BOTH)
+            own[s:e] = got - total[:, 0]
+            if c != SPELLED:
+                own[s:e] -= total[:, 1]
+    logs = np.empty_like(own)
+    logs[order] = own
+    return logs
+
+
 def _spelling(t: Tokens, ids: Cells, rare: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
     """For the tokens at `rare`: row (among them), id before (size for none), class, cell and log share of every symbol of their spellings, the stop (symbol size) included."""
     n = t.size[rare] + 1
@@ -183,47 +221,67 @@ def score(m: dict[str, np.ndarray], ids: Cells, t: Tokens, lengths: np.ndarray,
     each text, one less than its tokens."""
     size = len(m["E"])
     first, text, context, scored = windows(lengths, STRIDE)
-    logs, spells = np.empty(int(lengths.sum()), np.float32), np.zeros(int(lengths.sum()), np.float32)
     slots, n = np.arange(WINDOW), len(t.first)
-    inputs = _inputs(m, t, np.arange(n))
+    inputs, total = _inputs(m, t, np.arange(n)), int(lengths.sum())
+    h, place, into, done = np.empty((total, DIM), np.float32), np.empty(total, np.int64), np.empty(total, np.int64), 0
     for i in range(0, len(first), batch):
         w = slice(i, i + batch)
         at = np.minimum(first[w][:, None] + slots, n - 1)
         x = inputs.take(at.ravel(), 0).reshape(*at.shape, DIM)
         x += m["P"]
-        h = forward(m, x)[-1]
         live = np.flatnonzero((slots >= context[w][:, None]) & (slots < (context[w] + scored[w])[:, None]))
-        place, h = at.ravel().take(live), h.reshape(-1, DIM).take(live, 0)
-        target = place + 1
-        own = _Choice(m, "AaBb", h, t.cls[target], t.cell[target]).logs + t.share[target]
-        into = place - np.repeat(text[w], scored[w])
-        logs[into] = own
-        rare = np.flatnonzero(t.cls[target] == SPELLED)
-        if len(rare):
-            row, before, cls, cell, share = _spelling(t, ids, target[rare], size)
-            g = np.tanh(h.take(rare[row], 0) + m["S"].take(before, 0))
-            spells[into[rare]] = np.bincount(row, _Choice(m, "CcDd", g, cls, cell).logs + share, len(rare))
+        own = slice(done, done := done + len(live))
+        h[own] = forward(m, x)[-1].reshape(-1, DIM).take(live, 0)
+        place[own] = at.ravel().take(live)
+        into[own] = place[own] - np.repeat(text[w], scored[w])
+    logs, spells, target = np.empty(total, np.float32), np.zeros(total, np.float32), place + 1
+    cls = t.cls[target]
+    logs[into] = _logs(m, "AaBb", h, cls, t.cell[target]) + t.share[target]
+    rare = np.flatnonzero(cls == SPELLED)
+    if len(rare):
+        row, before, cls, cell, share = _spelling(t, ids, target[rare], size)
+        g = h.take(rare[row], 0)
+        g += m["S"].take(before, 0)
+        spells[into[rare]] = np.bincount(row, _logs(m, "CcDd", np.tanh(g, out=g), cls, cell) + share, len(rare))
     return logs, spells
 
 
+def _sums(grads: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """Sums of the rows of each run of grads; cut: where runs begin. Short runs are added one place after the other, for all at once."""
+    n = np.diff(np.append(cut, len(grads)))
+    out, left = grads.take(cut, 0), np.flatnonzero((n > 1) & (n <= _PLACES))
+    for k in range(1, _PLACES):
+        if not len(left):
+            break
+        out[left] += grads.take(cut.take(left) + k, 0)
+        left = left[n.take(left) > k + 1]
+    longer = np.flatnonzero(n > _PLACES)
+    if len(longer):
+        own = n[longer]
+        out[longer] = np.add.reduceat(grads.take(spans(cut[longer], own), 0), np.cumsum(own) - own)
+    return out
+
+
 def _add_rows(w: np.ndarray, s: np.ndarray, rows: np.ndarray, grads: np.ndarray, rate: float) -> None:
     """One Adagrad step of the rows (which may repeat) of w; s has each row's sum of mean squared gradients."""
     order = np.argsort(rows.astype(np.uint16) if len(w) <= 1 << 16 else rows, kind="stable")  # short numbers are sorted by their digits
     rows = rows[order]
     cut = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-    g, own = np.add.reduceat(grads.take(order, 0), cut), rows[cut]
+    g, own = _sums(grads.take(order, 0), cut), rows[cut]
     s[own] += (g * g) @ np.full(g.shape[1], 1 / g.shape[1], np.float32)
     w[own] -= g * (np.float32(rate) / np.sqrt(s[own] + np.float32(1e-8)))[:, None]
 
 
-def train(state: dict, ids: Cells, t: Tokens, lengths: np.ndarray, rate: float = 0.1, batch: int = 128, seed: int = 3, still: str = "") -> dict[str, np.ndarray]:
-    """One pass of Adagrad over all tokens of the texts (see score), in windows that do not overlap; returns the weights of state. still: names of
-    weights that stay as they are."""
+def train(state: dict, ids: Cells, t: Tokens, lengths: np.ndarray, rate: float = 0.1, batch: int = 0, seed: int = 3, still: str = "") -> dict[str, np.ndarray]:
+    """One pass of Adagrad over all tokens of the texts (see score), in windows that do not overlap; returns the weights of state. batch: windows
+    of a step, 0 for BATCHES; still: names of weights that stay as they are."""
     m, s, rng = state["m"], state["s"], np.random.default_rng(seed)
     size = len(m["E"])
     first, _, _, scored = windows(lengths, WINDOW)
     slots, scale, n = np.arange(WINDOW), np.float32(DIM**-0.5), len(t.first)
     order = rng.permutation(len(first))
+    batch = batch or BATCHES[int(state["n"] >= EARLY)]
+    state["n"] += len(t.ids)
     for i in range(0, len(order), batch):
         w = order[i : i + batch]
         at = np.minimum(first[w][:, None] + slots, n - 1)
@@ -240,7 +298,7 @@ def train(state: dict, ids: Cells, t: Tokens, lengths: np.ndarray, rate: float =
             g = np.tanh(own.take(rare[row], 0) + m["S"].take(before, 0))
             dg, more = _Choice(m, "CcDd", g, cls, cell).back()
             dg *= 1 - g * g
-            dh[rare] += np.add.reduceat(dg, np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])))
+            dh[rare] += _sums(dg, np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])))
             grads |= more
             if "S" not in still:
                 _add_rows(m["S"], s["S"], before, dg, rate)
@@ -263,7 +321,8 @@ def train(state: dict, ids: Cells, t: Tokens, lengths: np.ndarray, rate: float =
     return m
 
 
-def begin(m: dict[str, np.ndarray], spent: float = 1e-3, sums: dict[str, np.ndarray] | None = None) -> dict:
-    """State of train() at the weights m, which are copied: weights and Adagrad's sums (spent at first, or those given), one for each row of E and S."""
+def begin(m: dict[str, np.ndarray], spent: float = 1e-3, sums: dict[str, np.ndarray] | None = None, n: int = 0) -> dict:
+    """State of train() at the weights m, which are copied: weights, Adagrad's sums (spent at first, or those given), one for each row of E and S, and the
+    number of ids trained on before."""
     fresh = {k: np.full(len(v) if k in "ES" else v.shape, spent, np.float32) for k, v in m.items()}
-    return {"m": {k: v.copy() for k, v in m.items()}, "s": {k: v.copy() for k, v in (sums or fresh).items()}}
+    return {"m": {k: v.copy() for k, v in m.items()}, "s": {k: v.copy() for k, v in (sums or fresh).items()}, "n": n}

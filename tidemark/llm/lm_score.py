@@ -2,7 +2,7 @@
 
 A text is its words (A-Z lower-cased) and one end. Every word is spelled in ids of the byte-level tokenizer, once: the ids of all
 texts are written down, and counting, training and scoring read them. A token enters the model as the sum of its ids' vectors. Long texts are cut into
-windows of tokens that overlap by their context, and each token is scored once, in batches under a causal mask. The TOP most frequent tokens that occur
+windows of tokens that overlap by their context, and each token is scored once, in batches under a causal mask. The (at most) TOP most frequent tokens that occur
 LEAST times or more are predicted whole, all others as rare words (see lm_model). A rare word is one met before, by its count c among the R rare tokens of
 the training fold, or a new one, by its spelling: p(rare | context) * (seen * c / R + (1 - seen) * p(spelling | context)), where 1 - seen is the share of words met
 once among the R (the Good-Turing estimate of new ones). A floor of SHARE * c / N, N being all tokens of the training fold, is mixed in.
@@ -10,7 +10,7 @@ once among the R (the Good-Turing estimate of new ones). A floor of SHARE * c /
 All training texts are counted and learned from, each token once: texts are dealt to rounds by their id's hash; in a round each task trains
 over its own texts from the same weights, and the next round starts from the mean of the tasks' weights and of their Adagrad sums, each counting by its
 ids. Rounds grow with the logarithm of the corpus. The weights depend a little on how the input is cut into tasks. They (about 10 MB, a fixed number) travel
-in blocks that are summed as streams, first by salt, then in all. The most frequent TOP words' counts (a fixed number) are broadcast; other words travel as
+as changes, in blocks that are summed as streams, with more than SALTS tasks first by salt, then in all. The at most TOP most frequent words' counts (a fixed number) are broadcast; other words travel as
 64-bit hashes of their ids to a join with the counts, so the table of counts is never held in one place and no hot word is shuffled.
 
 Defined results: a null or empty text is the end alone; rows that repeat a doc_id are scored and counted each; a row without doc_id
@@ -36,7 +36,7 @@ from tidemark.llm.quality import fold
 from tidemark.llm.tokens import cuts, laid_out, together, tokenizer_path
 from tidemark.llm.words import Kept, mix
 
-SHARE, ROUNDS, TOP, LEAST = 0.02, 3, 1 << 17, 3
+SHARE, ROUNDS, TOP, LEAST = 0.02, 3, 1 << 19, 3
 #: Bytes of ids that a training task of a round has at most, and those under which a corpus is not split over idle cores; ids trained on, counted or scored together.
 TASK_BYTES, LEAST_BYTES, TRAINED, COUNTED, SCORED = 32_000_000, 2_000_000, 400_000, 3_000_000, 200_000
 #: Floats in a block of weights; salts by which blocks are summed first.
@@ -47,14 +47,39 @@ KEPT_WORDS = 250_000
 class _Pieces(Kept):
     """A space and a word, or a piece of it (bytes) -> its ids, as unsigned 32-bit little-endian bytes; a space alone has none."""
 
-    def __init__(self, tokenizer):
+    def __init__(self, tokenizer, spaced: np.ndarray):
+        """spaced: of each id, whether it begins with a space."""
         super().__init__(KEPT_WORDS)
-        self.tokenizer = tokenizer
+        self.tokenizer, self.spaced = tokenizer, spaced
 
     def make(self, word: bytes) -> bytes:
         ids = self.tokenizer.encode_ordinary(word.decode("utf-8", "replace")) if word != b" " else []
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def all(self, words: list[bytes]) -> list[bytes]:
+        """New pieces after a space are spelled in one call, end to end: if an id begins with each space, the tokenizer cuts there, as between single words."""
+        out = list(map(self.get, words))
+        left = [i for i, x in enumerate(out) if x is None]
+        for i, x in zip(left, map(self.older.get, map(words.__getitem__, left))):
+            out[i] = x
+        new = [i for i in left if out[i] is None]
+        joined = [i for i in new if words[i][:1] == b" " and len(words[i]) > 1]
+        ids = self.tokenizer.encode_to_numpy(b"".join([words[i] for i in joined]).decode("utf-8", "replace")) if joined else np.zeros(0, np.uint32)
+        at = np.flatnonzero(self.spaced[ids])
+        if joined and len(at) == len(joined):
+            every, at = ids.astype("<u4").tobytes(), [*(4 * at).tolist(), 4 * len(ids)]
+            for i, a, b in zip(joined, at[:-1], at[1:]):
+                out[i] = every[a:b]
+        for i in new:
+            if out[i] is None:
+                out[i] = self.make(words[i])
+        self.keep({words[i]: out[i] for i in left if len(words[i]) < 64})
+        return out
+
+    def forget(self) -> None:
+        self.clear()
+        self.older = {}
+
 
 class _Ids:
     """word (bytes) -> ids of the word after a space, as unsigned 32-bit little-endian bytes. The last id, which no text gives, is the end."""
@@ -68,7 +93,8 @@ class _Ids:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
         self.tokenizer = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=self.ranks, special_tokens={})
-        self.size, self.pieces = len(self.ranks) + 1, _Pieces(self.tokenizer)
+        self.size = len(self.ranks) + 1
+        self.pieces = _Pieces(self.tokenizer, np.array([t.startswith(b" ") for t in self.spellings()]))
 
     def __getitem__(self, word: bytes) -> bytes:
         return self.pieces[b" " + word]
@@ -81,7 +107,7 @@ class _Ids:
 
     def starts(self) -> np.ndarray:
         """Of each id, whether a word or the end begins with it: words are spelled after a space, and no other id of a word begins with one."""
-        own = np.array([t.startswith(b" ") for t in self.spellings()])
+        own = self.pieces.spaced.copy()
         own[self.size - 1] = True
         return own
 
@@ -110,7 +136,7 @@ class Vocabulary:
         """words: hashes (uint64), n: their counts; rest: training tokens that are not among them; of_ids: counts of the ids; order: of the ids."""
         by = np.argsort(words)
         self.words, self.n = words[by], n[by].astype(np.float64)
-        self.table = np.full(1 << max(4, (4 * len(by)).bit_length()), -1, np.int32)
+        self.table = np.full(1 << max(4, (2 * len(by)).bit_length()), -1, np.int32)
         slot, left = self._slot(self.words), np.arange(len(by))
         while len(left):
             free = left[self.table[slot[left]] < 0]
@@ -120,7 +146,7 @@ class Vocabulary:
         whole = self.n >= LEAST
         self.rare = spelled = float(rest + self.n[~whole].sum())
         self.cells = lm_model.Cells(self.n[whole], spelled)
-        self.cls, self.cell, self.share = np.full(len(by) + 1, lm_model.SPELLED), np.zeros(len(by) + 1, np.int64), np.zeros(len(by) + 1, np.float32)
+        self.cls, self.cell, self.share = np.full(len(by) + 1, lm_model.SPELLED, np.uint8), np.zeros(len(by) + 1, np.uint8), np.zeros(len(by) + 1, np.float32)
         self.cls[:-1][whole], self.cell[:-1][whole], self.share[:-1][whole] = self.cells.cls, self.cells.cell, self.cells.share
         mass = np.append(of_ids[order] + 0.5, max(spelled, 1.0))
         sorted_ids, place = lm_model.Cells(mass), np.empty(len(mass), np.int64)
@@ -165,7 +191,7 @@ def _spelled(texts: list[bytes], table: _Ids) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all words, each after a space, end to end; place of each text's first id, and the end). The pieces of words that `cuts` finds are spelled once."""
     data = np.frombuffer(b" ".join([b"", *texts]).lower().translate(_FOLDED), np.uint8)
     edges = np.append(0, np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1))
-    return laid_out(data, np.flatnonzero(cuts(data)), edges, table.pieces.__getitem__)
+    return laid_out(data, np.flatnonzero(cuts(data)), edges, table.pieces.all)
 
 
 def _speller(path: str):
@@ -199,11 +225,15 @@ def _words(flat: np.ndarray, n: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarr
     first = np.flatnonzero(ranks[flat] >= 0)
     if not len(first):
         return first, np.zeros(0, np.uint64), np.zeros(len(n), np.int64)
-    place = np.arange(len(flat)) - np.repeat(first, np.diff(np.append(first, len(flat))))
+    last = np.append(first[1:], len(flat))
+    place = np.arange(len(flat)) - np.repeat(first, last - first)
     with np.errstate(over="ignore"):
-        of_place = mix(np.arange(int(place.max()) + 1, dtype=np.uint64) + np.uint64(77))
-        each = mix(flat.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + of_place[place])
-        hashes = mix(np.add.reduceat(each, first))
+        of_place = mix(np.arange(int((last - first).max()), dtype=np.uint64) + np.uint64(77)) | np.uint64(1)
+        of_id = mix(np.arange(len(ranks), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(78))
+        each = of_id.take(flat)
+        each *= of_place.take(place)
+        upto = np.append(np.uint64(0), np.cumsum(each))  # sums are modulo 2^64, so differences are exact
+        hashes = mix(upto[last] - upto[first])
     hashes = ranks[flat[first]].astype(np.uint64) << np.uint64(48) | hashes >> np.uint64(16)
     return first, hashes, np.diff(np.searchsorted(first, np.concatenate([[0], np.cumsum(n)])))
 
@@ -221,6 +251,7 @@ def _counter(path: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _ids(path)
+        table.pieces.forget()  # the memory goes to the vocabulary and the weights
         kind, ranks = _width(table.size), ranks_of(path)
         seen, held, size = np.zeros(table.size, np.int64), [], 0
 
@@ -256,11 +287,12 @@ def _shaped(flat: np.ndarray, state: dict) -> dict:
 
 
 def _learner(held, kind: str):
-    """Trains the weights on the task's texts, all of them: blocks of the weights and sums, and the number of ids trained on."""
+    """Trains the weights on the task's texts, all of them: blocks of the changes of weights and sums (mostly zeros where few ids occur, so that they travel
+    small), and the number of ids trained on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before, vocabulary, ranks = held.value
-        state, total, texts, size, salt = lm_model.begin(before["m"], sums=before["s"]), 0, [], 0, TaskContext.get().partitionId() % SALTS
+        state, total, texts, size, salt = lm_model.begin(before["m"], sums=before["s"], n=before["n"]), 0, [], 0, TaskContext.get().partitionId() % SALTS
 
         def learn() -> None:
             flat, n = _laid(texts, kind)
@@ -278,7 +310,7 @@ def _learner(held, kind: str):
             learn()
             total += size
         if total:
-            flat = _flat(state)
+            flat = _flat(state) - _flat(before)
             for block, a in enumerate(range(0, len(flat), BLOCK)):
                 yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "salt": pa.array([salt], pa.int32()), "n": pa.array([total]), "w": pa.array([flat[a : a + BLOCK].tobytes()], pa.binary())})
 
@@ -320,15 +352,28 @@ def learned(spelled: DataFrame, vocabulary: Vocabulary, ranks: np.ndarray) -> di
     for k in range(rounds):
         held = spark.sparkContext.broadcast((state, vocabulary, ranks))
         each = spelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == k).select("ids").coalesce(tasks).mapInArrow(_learner(held, _width(size)), kinds)
-        some = each.repartition(min(tasks, partitions(spark)), "block", "salt").sortWithinPartitions("block", "salt").mapInArrow(_mean, kinds)
+        some = each
+        if tasks > SALTS:
+            some = each.repartition(min(tasks, partitions(spark)), "block", "salt").sortWithinPartitions("block", "salt").mapInArrow(_mean, kinds)
         mean = some.withColumn("salt", F.lit(0)).repartition(partitions(spark), "block").sortWithinPartitions("block").mapInArrow(_mean, kinds)
-        rows = sorted(staged(mean, "lm-model").select("block", "w").collect())  # the weights: about 10 MB
+        rows = sorted(staged(mean, "lm-model").select("block", "w", "n").collect())  # the weights: about 10 MB
         if rows:
-            state = _shaped(np.frombuffer(b"".join(bytes(r.w) for r in rows), "<f4"), state)
+            state = _shaped(_flat(state) + np.frombuffer(b"".join(bytes(r.w) for r in rows), "<f4"), state) | {"n": state["n"] + rows[0].n // tasks}
         held.unpersist()
     return state["m"]
 
 
+def _frequent(of_n: pa.Table) -> tuple[int, int, int, int]:
+    """Of the number of words of each count (at most about as many rows as the root of twice the tokens): tokens, distinct words, words met once, and the
+    least count of the most frequent words, which are TOP at most; words of equal counts are all among them or none."""
+    n, words = (of_n.column(k).to_numpy().astype(np.int64) for k in ("n", "words"))
+    by = np.argsort(-n)
+    n, words = n[by], words[by]
+    fits = int(np.count_nonzero(np.cumsum(words) <= TOP))
+    least = int(n[fits - 1]) if fits else int(n[0]) + 1 if len(n) else 1
+    return int(n @ words), int(words.sum()), int(words[n == 1].sum()), least
+
+
 def score_texts(docs: DataFrame, tokenizer: str, share: float = SHARE) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of docs."""
     spark = docs.sparkSession
@@ -339,13 +384,14 @@ def score_texts(docs: DataFrame, tokenizer: str, share: float = SHARE) -> DataFr
     training = spelled.where("NOT held_out")
     counts = staged(training.select("ids").mapInArrow(_counter(tokenizer), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "lm-counts")
     words = counts.where("kind = 0").select(F.col("key").alias("word"), "n")
-    total, distinct, once = (x or 0 for x in words.agg(F.sum("n"), F.count("*"), F.count_if(F.col("n") == 1)).first())
+    total, distinct, once, least = _frequent(words.groupBy("n").agg(F.count("*").alias("words")).toArrow())
     of_ids = np.zeros(size)
     for key, n in counts.where("kind = 1").select("key", "n").collect():  # at most as many rows as ids
         of_ids[key] = n
-    top = words.orderBy(F.desc("n"), "word").limit(TOP).toPandas()
+    top = words.where(F.col("n") >= least).toArrow()
+    top, top_n = (top.column(k).to_numpy() for k in ("word", "n"))
     ranks = ranks_of(tokenizer)
-    vocabulary = Vocabulary(top.word.to_numpy().astype(np.int64).view(np.uint64), top.n.to_numpy(np.float64), float(total - top.n.sum()), of_ids, spelling_order(tokenizer))
+    vocabulary = Vocabulary(top.view(np.uint64), top_n.astype(np.float64), float(total - top_n.sum()), of_ids, spelling_order(tokenizer))
     model = learned(training.select("doc_id", "ids"), vocabulary, ranks)
     held = spark.sparkContext.broadcast((model, vocabulary, ranks))
     seen = min(max(1 - once / vocabulary.rare, 0.05), 0.95) if vocabulary.rare else 0.0
@@ -390,7 +436,7 @@ def score_texts(docs: DataFrame, tokenizer: str, share: float = SHARE) -> DataFr
     rare = each.select("row", F.explode(F.arrays_zip("words", "logs", "spells")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.logs").cast("double").alias("log"), F.col("w.spells").cast("double").alias("spell"))
     c = F.coalesce("n", F.lit(0))
     mixed = F.log10(F.greatest(F.lit(share / max(total, 1)) * c + F.lit(1 - share) * F.exp("log") * (F.lit(seen / of_rare) * c + F.lit(1 - seen) * F.exp("spell")), F.lit(1e-300)))
-    sums = rare.join(words, "word", "left").groupBy("row").agg(F.sum((c > 0).cast("long")).alias("known_r"), F.sum(F.log10(c + 1) - F.lit(base_of)).alias("base_r"), F.sum(mixed).alias("score_r"))
+    sums = rare.join(words.where(F.col("n") < least), "word", "left").groupBy("row").agg(F.sum((c > 0).cast("long")).alias("known_r"), F.sum(F.log10(c + 1) - F.lit(base_of)).alias("base_r"), F.sum(mixed).alias("score_r"))
     done = each.select("row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score").join(sums, "row", "left")
     add = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
     return done.select("doc_id", "held_out", "n_tokens", add("n_known", "known_r").alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), add("base", "base_r").alias("base_score"), add("score", "score_r").alias("score"))

@@ -27,12 +27,15 @@ _BREAK[list(b" \n")] = True
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
 _MARK[list(b".,;:!?")] = True
 _BAD[[*range(10), *range(11, 32), 127, 0xC0, 0xC1, *range(0xC4, 256)]] = True
+#: Each byte's kind: 1 for white space, 2 for letters, 3 for marks.
+_KINDS = (_BREAK + 2 * _LETTER + 3 * _MARK).astype(np.uint8).tobytes()
 
 
 def cuts(data: np.ndarray) -> np.ndarray:
     """Whether a piece begins at each byte: at white space, and at a mark after a letter."""
-    out = _BREAK[data]
-    out[1:] |= _MARK[data[1:]] & _LETTER[data[:-1]]
+    kinds = np.frombuffer(data.tobytes().translate(_KINDS), np.uint8)
+    out = kinds == 1
+    out[1:] |= (kinds[1:] == 3) & (kinds[:-1] == 2)
     return out
 
 
@@ -41,12 +44,14 @@ def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
 
 
-def laid_out(data: np.ndarray, begins: np.ndarray, edges: np.ndarray, ids_of: Callable[[bytes], bytes]) -> tuple[np.ndarray, np.ndarray]:
+def laid_out(data: np.ndarray, begins: np.ndarray, edges: np.ndarray, ids_of: Callable[[list[bytes]], list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all pieces end to end, place of the first id of each text and the end). begins: places in data where pieces begin, every text's first byte
-    among them; edges: where texts begin, and the end; ids_of: a piece's ids as unsigned 32-bit little-endian bytes."""
+    among them; edges: where texts begin, and the end; ids_of: of pieces, each one's ids as unsigned 32-bit little-endian bytes."""
     offsets = np.append(begins, len(data)).astype(np.int32)
     coded = pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
-    own = list(map(ids_of, coded.dictionary.to_pylist()))
+    _, at, held = coded.dictionary.buffers()
+    raw, at = bytes(held) if held else b"", np.frombuffer(at, np.int32)[: len(coded.dictionary) + 1].tolist()
+    own = ids_of([raw[a:b] for a, b in zip(at[:-1], at[1:])])
     size = np.fromiter(map(len, own), np.int64, len(own)) // 4
     at = np.asarray(coded.indices)
     sizes = size[at]
@@ -176,7 +181,7 @@ class Encoder:
             begins, edges = begins[keep], np.append(0, np.cumsum(sizes))
             if not len(data):
                 return [self.whole(t.decode("utf-8", "replace")) for t in texts]
-        ids, at = laid_out(data, np.flatnonzero(begins), edges, self.pieces.__getitem__)
+        ids, at = laid_out(data, np.flatnonzero(begins), edges, self.pieces.all)
         every, at = ids.tobytes(), (4 * at).tolist()
         return [self.whole(t.decode("utf-8", "replace")) if w and t else every[a:b] for t, w, a, b in zip(texts, whole, at[:-1], at[1:])]
 

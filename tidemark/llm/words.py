@@ -23,12 +23,18 @@ class Kept(dict):
         if value is None:
             value = self.make(word)
         if len(word) < 64:
-            if len(self) >= self.most:
-                self.older = dict(self)
-                self.clear()
-            self[word] = value
+            self.keep({word: value})
         return value
 
+    def keep(self, some: dict) -> None:
+        if len(self) + len(some) > self.most:
+            self.older = dict(self)
+            self.clear()
+        self.update(some)
+
+    def all(self, words: list) -> list:
+        return list(map(self.__getitem__, words))
+
 
 class _Hashes(Kept):
     def make(self, word: bytes) -> int:
