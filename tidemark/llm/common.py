@@ -6,6 +6,7 @@ compared with others; rows that repeat a doc_id count as one document wherever d
 
 from __future__ import annotations
 
+import contextlib
 import math
 import tempfile
 import uuid
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: ASCII white space of the contracts: [\x20\x09-\x0D].
 SPACE = b" \t\n\r\x0b\x0c"
+#: Spark's bound on the bytes of an Arrow batch.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,10 +58,24 @@ def shared_dir(spark: SparkSession, kind: str) -> str:
     return f"{base_dir(spark)}/tidemark/{kind}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, kind: str) -> DataFrame:
-    """Write df to the shared folder and read it back: later steps neither recompute it nor depend on one executor's disk."""
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, size: int) -> Iterator[None]:
+    """What is run inside hands Arrow batches of about `size` bytes to Python, whatever the session's bound is: a batch is held several times, by the JVM
+    outside its heap and by each worker."""
+    before = spark.conf.get(BATCH, None)
+    spark.conf.set(BATCH, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.unset(BATCH) if before is None else spark.conf.set(BATCH, before)
+
+
+def staged(df: DataFrame, kind: str, batch: int | None = None) -> DataFrame:
+    """Write df to the shared folder and read it back: later steps neither recompute it nor depend on one executor's disk. batch: bytes of the Arrow batches
+    meanwhile."""
     path = shared_dir(df.sparkSession, kind)
-    df.write.parquet(path)
+    with batches_of(df.sparkSession, batch) if batch else contextlib.nullcontext():
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -26,11 +26,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import id_text, partitions, read, slices, staged
-from tidemark.llm.tokens import encoder, tokenizer_path
+from tidemark.llm.tokens import TOGETHER, encoder, tokenizer_path
 
 CAPACITY, END_ID = 4096, 1
 #: Groups of the large lengths, and the share of the capacity from which a length is large.
 GROUPS, LARGE = 256, 1 / 16
+#: Pieces for which a task of its own places them and writes a file.
+PLACED = 50_000
 
 
 def _pieces(path: str, capacity: int, end_id: int):
@@ -186,7 +188,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, larg
     """pieces (doc_id, piece, length, ...) plus sequence_id and offset (long); offsets leave no gap."""
     spark = pieces.sparkSession
     salts = max(64, 4 * partitions(spark))
-    salted = staged(pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int")), "pieces")
+    salted = staged(pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int")), "pieces", TOGETHER)
     counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     table = spark.sparkContext.broadcast(_table(plan(histogram, capacity, groups, large)))
@@ -205,7 +207,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, larg
             yield batch.drop_columns(["rank"]).append_column("sequence_id", pa.array(sequence[at] + rank - first[at])).append_column("offset", pa.array(offset[at]))
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return ranked.select(*pieces.columns, "rank").mapInArrow(place, f"{kinds}, sequence_id long, offset long")
+    tasks = max(spark.sparkContext.defaultParallelism, -(-sum(histogram.values()) // PLACED))  # few pieces are not spread over a file for each shuffle partition
+    return ranked.select(*pieces.columns, "rank").coalesce(tasks).mapInArrow(place, f"{kinds}, sequence_id long, offset long")
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import id_text, partitions, read, shared_dir, slices, staged
-from tidemark.llm.tokens import encoder, tokenizer_path
+from tidemark.llm.tokens import TOGETHER, encoder, tokenizer_path
 
 _NO_ID = -(2**63)
 
@@ -62,7 +62,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int) -> D
     files.create_dir(root, recursive=True)
     rows = id_text(docs).withColumn("tie", F.xxhash64("text"))  # so that many rows of one doc_id, or of none, are dealt to several parts
     ordered = rows.repartitionByRange(partitions(spark), "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
-    sums = staged(ordered.mapInArrow(_write(folder, tokenizer, end_id), "part int, name string, docs long, ids long, width int"), "token-parts")
+    sums = staged(ordered.mapInArrow(_write(folder, tokenizer, end_id), "part int, name string, docs long, ids long, width int"), "token-parts", TOGETHER)
     rows, base = [], 0
     for r in sorted(sums.collect()):  # one row for each part
         rows.append((r.part, r.name, r.docs, r.ids, r.width, base))
